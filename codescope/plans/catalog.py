@@ -51,3 +51,150 @@ def a2_leaderboard(spark, sf_dir):
     exe = corpus.executions(spark, sf_dir).select("solution_id", "pass_rate", "runtime_seconds")
     ana = code_analysis(spark, sf_dir).select("solution_id", "big_o_estimate")
     return leaderboard(fact_load(sol, exe, ana))
+
+
+# ------------------------------------------------------------------ relational layer
+from codescope.functions.text import line_count, word_count  # noqa: E402
+from codescope.operators import relational as R  # noqa: E402
+
+
+def _doc_sol(spark, sf_dir):
+    return corpus.doc_solutions(spark, sf_dir).withColumn(
+        "model_id", F.concat(F.lit("m-"), F.col("model")))
+
+
+@register("p1_point_lookup")
+def p1_point_lookup(spark, sf_dir):
+    """One solution by key (missing key → empty)."""
+    hit = R.point_lookup(corpus.doc_solutions(spark, sf_dir), "solution_id", 7)
+    return hit.select("solution_id", "prompt_id", "model", line_count(F.col("code")).alias("n_lines"))
+
+
+@register("p2_active_models")
+def p2_active_models(spark, sf_dir):
+    """Registry rows with is_active IS TRUE."""
+    return R.active_only(corpus.model_registry(spark, sf_dir)).select("id", "name", "provider",
+                                                                      "context_window")
+
+
+@register("p3_owned_experiments")
+def p3_owned_experiments(spark, sf_dir):
+    """Experiments of owner 3."""
+    return R.owned_by(corpus.experiments_table(spark, sf_dir), 3).select("id", "name", "status", "created_at")
+
+
+@register("p4_solution_summary")
+def p4_solution_summary(spark, sf_dir):
+    """Solution + problem statement + model name."""
+    return R.solution_summary(_doc_sol(spark, sf_dir), corpus.prompts_table(spark, sf_dir),
+                              corpus.model_registry(spark, sf_dir))
+
+
+@register("p5_solution_card")
+def p5_solution_card(spark, sf_dir):
+    """P5: one code-corpus solution with its execution and analysis (left joins)."""
+    sol = corpus.code_solutions(spark, sf_dir).select("solution_id", "model", "code")
+    exe = corpus.executions(spark, sf_dir).select("solution_id", "pass_rate", "runtime_seconds")
+    ana = code_analysis(spark, sf_dir).select("solution_id", "big_o_estimate", "lines_of_code")
+    return R.solution_card(sol, exe, ana, 3).drop("code")
+
+
+@register("p6_distinct_prompts")
+def p6_distinct_prompts(spark, sf_dir):
+    """Distinct prompts of the solution set with the default (first) prompt."""
+    return R.distinct_prompts(corpus.doc_solutions(spark, sf_dir))
+
+
+@register("p7_selection_violations")
+def p7_selection_violations(spark, sf_dir):
+    """P7 + E1: selected models that are unregistered or inactive."""
+    return R.selection_violations(corpus.experiments_table(spark, sf_dir), corpus.model_registry(spark, sf_dir))
+
+
+@register("p8_defaults")
+def p8_defaults(spark, sf_dir):
+    """Missing complexity → 0.0."""
+    ana = code_analysis(spark, sf_dir).select("solution_id", "cyclomatic_complexity")
+    return R.with_defaults(ana, {"cyclomatic_complexity": 0.0})
+
+
+@register("j2_solution_chain")
+def j2_solution_chain(spark, sf_dir):
+    """Solution → prompt → experiment (owner) + model + execution."""
+    sol = _doc_sol(spark, sf_dir).where(F.col("solution_id") == 123)
+    pr = corpus.prompts_table(spark, sf_dir).select(F.col("id").alias("prompt_id"),
+                                                     F.col("experiment_id").alias("prompt_experiment_id"))
+    ex = corpus.experiments_table(spark, sf_dir).select(F.col("id").alias("prompt_experiment_id"), "owner_id")
+    reg = R.small(corpus.model_registry(spark, sf_dir).select(F.col("id").alias("model_id"),
+                                                             F.col("name").alias("model_name")))
+    exe = corpus.executions(spark, sf_dir).select("solution_id", "pass_rate")
+    return (sol.join(pr, "prompt_id", "left").join(ex, "prompt_experiment_id", "left")
+               .join(reg, "model_id", "left").join(exe, "solution_id", "left")
+               .select("solution_id", "prompt_id", "prompt_experiment_id", "owner_id", "model_name",
+                       "pass_rate"))
+
+
+@register("j4_generation_plan")
+def j4_generation_plan(spark, sf_dir):
+    """J4 + E2: prompts × selected active models per experiment."""
+    return R.generation_plan(corpus.experiments_table(spark, sf_dir), corpus.prompts_table(spark, sf_dir),
+                             corpus.model_registry(spark, sf_dir)).drop("problem_statement")
+
+
+def _results(spark, sf_dir):
+    """Raw generation results: assistant turns, named by model, some failing."""
+    c = corpus.raw_responses(spark, sf_dir)
+    return c.select(
+        "conv_id", "turn",
+        (F.col("conv_id") % 40).alias("prompt_id"),
+        F.concat(F.lit("src"), (F.col("conv_id") % corpus.N_MODEL_NAMES).cast("string")).alias("model_name"),
+        F.when(F.col("turn") % 3 != 2, F.col("raw_response")).alias("raw_response"),
+        F.when(F.col("turn") % 3 == 2, F.lit("provider error")).alias("error"))
+
+
+@register("j5_resolve_models")
+def j5_resolve_models(spark, sf_dir):
+    """Attach registered model ids by name; unresolved names flagged."""
+    res = _results(spark, sf_dir).select("conv_id", "turn", "model_name")
+    ok, missing = R.attach_model_id(res, corpus.model_registry(spark, sf_dir))
+    return (ok.withColumn("resolved", F.lit(True))
+              .unionByName(missing.withColumn("model_id", F.lit(None).cast("string"))
+                                  .withColumn("resolved", F.lit(False))))
+
+
+@register("j6_outcome_gaps")
+def j6_outcome_gaps(spark, sf_dir):
+    """Planned (prompt, model) cells without any successful result."""
+    plan = j4_generation_plan(spark, sf_dir)
+    _, _, gaps = R.outcome_split(plan, _results(spark, sf_dir))
+    return gaps.select("experiment_id", "prompt_id", "model_name")
+
+
+@register("e2_selected_registered")
+def e2_selected_registered(spark, sf_dir):
+    """Selected ∩ active registry."""
+    return R.selected_registered(corpus.experiments_table(spark, sf_dir),
+                                 corpus.model_registry(spark, sf_dir)).select("experiment_id", "name", "model_id")
+
+
+@register("e4_all_outcomes")
+def e4_all_outcomes(spark, sf_dir):
+    """J6 + E4: successes and errors split, then re-unioned by name."""
+    res = _results(spark, sf_dir)
+    ok = res.where(F.col("error").isNull()).drop("error")
+    bad = res.where(F.col("error").isNotNull()).select("conv_id", "turn", "prompt_id", "model_name", "error")
+    return R.all_outcomes(ok, bad).select("conv_id", "turn", "model_name",
+                                          F.length("raw_response").alias("response_chars"), "error")
+
+
+@register("o1_list_models")
+def o1_list_models(spark, sf_dir):
+    """O1: active registry by name, skip 2, limit 5."""
+    return R.list_models(corpus.model_registry(spark, sf_dir), skip=2, limit=5).select("name", "provider")
+
+
+@register("o2_list_experiments")
+def o2_list_experiments(spark, sf_dir):
+    """O2: owner 3's experiments newest first, skip 1, limit 999999 (capped at 100)."""
+    return R.list_experiments(corpus.experiments_table(spark, sf_dir), 3, skip=1,
+                              limit=999999).select("id", "name", "created_at")

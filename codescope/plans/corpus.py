@@ -101,3 +101,45 @@ def raw_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
                   F.concat(F.lit("Here is the solution:\n```python\n"), F.col("text"), F.lit("\n```\nDone.")))\
             .otherwise(F.col("text"))
     return c.where(F.col("role") == "assistant").select("conv_id", "turn", text.alias("raw_response"))
+
+
+# ---- entity tables derived from the test tables (for the relational operators) ----
+N_OWNERS = 7
+N_MODEL_NAMES = 23          # selections may name src20..src22, which are never registered
+
+
+def model_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ai_models role: one model per document source (partial aggregation per source)."""
+    d = read_table(spark, sf_dir, "documents")
+    g = d.groupBy("source").agg(F.min("lang").alias("provider"), F.max("n_chars").alias("mx"))
+    return g.select(
+        F.concat(F.lit("m-"), F.col("source")).alias("id"), F.col("source").alias("name"),
+        "provider", F.lit(None).cast("string").alias("version"),
+        F.col("mx").cast("int").alias("context_window"),
+        F.when(F.col("mx") % 5 == 0, F.lit(None).cast("boolean")).otherwise(F.col("mx") % 3 != 0)
+         .alias("is_active"))
+
+
+def experiments_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """experiments role: one per o_orderkey div 100."""
+    o = read_table(spark, sf_dir, "orders")
+    g = (o.groupBy(F.expr(f"o_orderkey div {EXPERIMENT_SIZE}").alias("id"))
+          .agg(F.min("o_custkey").alias("c"), F.min("o_orderdate").alias("created_at"),
+               F.max("o_orderdate").alias("last")))
+    return g.select(
+        "id", (F.col("c") % N_OWNERS).alias("owner_id"),
+        F.concat(F.lit("exp-"), F.col("id").cast("string")).alias("name"),
+        F.when(F.col("id") % 4 == 0, "completed").when(F.col("id") % 4 == 1, "running")
+         .otherwise("pending").alias("status"),
+        F.array(F.concat(F.lit("src"), (F.col("id") % 20).cast("string")),
+                F.concat(F.lit("src"), ((F.col("id") * 7 + 3) % N_MODEL_NAMES).cast("string")))
+         .alias("selected_models"),
+        "created_at",
+        F.when(F.col("id") % 4 == 0, F.col("last")).alias("completed_at"))
+
+
+def prompts_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """prompts role: benchmark items, five per experiment."""
+    b = read_table(spark, sf_dir, "benchmark")
+    return b.select(F.col("item_id").alias("id"), F.expr("item_id div 5").alias("experiment_id"),
+                    F.col("text").alias("problem_statement"), F.lit("python").alias("language"))

@@ -16,6 +16,7 @@ from codescope.plans.corpus import CODE_TEMPLATES, EXPERIMENT_SIZE, PROMPT_SIZE
 
 ORACLE: dict[str, str] = {}
 T_TABLE_MAX_DF = 1000
+NONBLANK = None  # set below from the text-function constants
 
 
 def sql(name: str):
@@ -89,8 +90,29 @@ def _template_facts(src: str) -> dict:
         inner = max((loop_nest(c) for c in ast.iter_child_nodes(n)), default=0)
         return inner + (1 if isinstance(n, (ast.For, ast.While)) else 0)
 
+    def block_cc(b):
+        total, todo = 1, list(ast.iter_child_nodes(b))
+        while todo:
+            n = todo.pop()
+            if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+                continue
+            if isinstance(n, (ast.If, ast.IfExp, ast.Assert, ast.ExceptHandler)):
+                total += 1
+            elif isinstance(n, (ast.For, ast.AsyncFor, ast.While)):
+                total += 1 + bool(n.orelse)
+            elif isinstance(n, ast.Try):
+                total += bool(n.orelse)
+            elif isinstance(n, ast.comprehension):
+                total += 1 + len(n.ifs)
+            elif isinstance(n, ast.BoolOp):
+                total += len(n.values) - 1
+            todo.extend(ast.iter_child_nodes(n))
+        return total
+
+    blocks = [n for n in nodes if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))]
     return {
         "ok": True,
+        "cc": (sum(block_cc(b) for b in blocks) / len(blocks)) if blocks else 1.0,
         "loops": sum(isinstance(n, (ast.For, ast.While)) for n in nodes),
         "nest": loop_nest(tree), "rec": bool(fnames & calls), "depth": depth(tree),
         "funcs": sum(isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)) for n in nodes),
@@ -155,5 +177,169 @@ FROM ci LEFT JOIN modes mo ON mo.model = ci.model AND mo.rk = 1
 """
 
 
+# ------------------------------------------------------------------ relational layer
+from codescope.functions.text import LINE_SPLIT_RE, NONBLANK_RE  # noqa: E402
+
+NONBLANK = NONBLANK_RE
+
+REG = ("SELECT 'm-' || source AS id, source AS name, min(lang) AS provider, "
+       "CAST(NULL AS VARCHAR) AS version, CAST(max(n_chars) AS INTEGER) AS context_window, "
+       "CASE WHEN max(n_chars) % 5 = 0 THEN NULL ELSE max(n_chars) % 3 <> 0 END AS is_active "
+       "FROM documents GROUP BY source")
+EXPS = ("SELECT id, c % 7 AS owner_id, 'exp-' || id AS name, "
+        "CASE WHEN id % 4 = 0 THEN 'completed' WHEN id % 4 = 1 THEN 'running' ELSE 'pending' END AS status, "
+        "['src' || (id % 20), 'src' || ((id * 7 + 3) % 23)] AS selected_models, created_at, "
+        "CASE WHEN id % 4 = 0 THEN last END AS completed_at "
+        f"FROM (SELECT o_orderkey // {EXPERIMENT_SIZE} AS id, min(o_custkey) AS c, "
+        "min(o_orderdate) AS created_at, max(o_orderdate) AS last FROM orders GROUP BY 1)")
+PROMPTS = ("SELECT item_id AS id, item_id // 5 AS experiment_id, text AS problem_statement, "
+           "'python' AS language FROM benchmark")
+DOC_SOL = (f"SELECT doc_id AS solution_id, doc_id // {PROMPT_SIZE} AS prompt_id, "
+           f"doc_id // {EXPERIMENT_SIZE} AS experiment_id, source AS model, 'm-' || source AS model_id, "
+           "text AS code FROM documents")
+RESULTS = ("SELECT conv_id, turn, conv_id % 40 AS prompt_id, 'src' || (conv_id % 23) AS model_name, "
+           "CASE WHEN turn % 3 <> 2 THEN CASE WHEN turn % 2 = 0 THEN "
+           "'Here is the solution:' || chr(10) || '```python' || chr(10) || text || chr(10) || '```' "
+           "|| chr(10) || 'Done.' ELSE text END END AS raw_response, "
+           "CASE WHEN turn % 3 = 2 THEN 'provider error' END AS error "
+           "FROM conversations WHERE role = 'assistant'")
+
+
+def sql_lines(expr: str) -> str:
+    """Python splitlines() in DuckDB: split on the terminators, drop a trailing ''."""
+    parts = f"string_split_regex({expr}, '{LINE_SPLIT_RE}')"
+    return (f"(CASE WHEN {parts}[-1] = '' THEN list_slice({parts}, 1, len({parts}) - 1) "
+            f"ELSE {parts} END)")
+
+
+def sql_code(key: str) -> str:
+    arr = "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in CODE_TEMPLATES) + "]"
+    return f"replace(list_extract({arr}, CAST({key} % 8 + 1 AS INTEGER)), 'KEY', CAST({key} AS VARCHAR))"
+
+
+def template_values() -> str:
+    rows = []
+    for i, t in enumerate(CODE_TEMPLATES):
+        f = _template_facts(t.replace("KEY", "1"))
+        cc = "NULL" if not f["ok"] else repr(f["cc"])
+        rows.append(f"({i}, '{_big_o(f)}', {cc})")
+    return "(VALUES " + ", ".join(rows) + ") AS tv(tmpl, big_o, cc)"
+
+
+@sql("p1_point_lookup")
+def _p1():
+    return (f"SELECT solution_id, prompt_id, model, CAST(len({sql_lines('code')}) AS BIGINT) AS n_lines "
+            f"FROM ({DOC_SOL}) WHERE solution_id = 7 LIMIT 1")
+
+
+@sql("p2_active_models")
+def _p2():
+    return f"SELECT id, name, provider, CAST(context_window AS BIGINT) AS context_window FROM ({REG}) WHERE is_active"
+
+
+@sql("p3_owned_experiments")
+def _p3():
+    return f"SELECT id, name, status, created_at FROM ({EXPS}) WHERE owner_id = 3"
+
+
+@sql("p4_solution_summary")
+def _p4():
+    return (f"SELECT s.solution_id, s.prompt_id, p.problem_statement, r.name AS model_name "
+            f"FROM ({DOC_SOL}) s LEFT JOIN ({PROMPTS}) p ON p.id = s.prompt_id "
+            f"LEFT JOIN ({REG}) r ON r.id = s.model_id")
+
+
+@sql("p5_solution_card")
+def _p5():
+    return (f"SELECT s.solution_id, s.model, x.pass_rate, round(x.runtime_seconds, 6) AS runtime_seconds, "
+            f"tv.big_o AS big_o_estimate, "
+            f"CAST(len(list_filter({sql_lines(sql_code('s.solution_id'))}, "
+            f"lambda l: regexp_matches(l, '{NONBLANK}'))) AS BIGINT) AS lines_of_code "
+            f"FROM ({CODE_SOL}) s LEFT JOIN ({EXEC}) x USING (solution_id) "
+            f"LEFT JOIN {template_values()} USING (tmpl) WHERE s.solution_id = 3")
+
+
+@sql("p6_distinct_prompts")
+def _p6():
+    return (f"WITH f AS (SELECT prompt_id, min(solution_id) AS first_solution_id FROM ({DOC_SOL}) GROUP BY 1) "
+            "SELECT prompt_id, first_solution_id, "
+            "prompt_id = (SELECT prompt_id FROM f ORDER BY first_solution_id, prompt_id LIMIT 1) AS is_default "
+            "FROM f")
+
+
+@sql("p7_selection_violations")
+def _p7():
+    return (f"WITH picked AS (SELECT id AS experiment_id, unnest(CASE WHEN len(selected_models) = 0 "
+            f"THEN [NULL] ELSE selected_models END) AS model_name FROM ({EXPS})) "
+            f"SELECT experiment_id, model_name, CASE WHEN model_name IS NULL THEN 'no_models' "
+            f"WHEN r.name IS NULL THEN 'unregistered' WHEN r.is_active IS NOT TRUE THEN 'inactive' END AS reason "
+            f"FROM picked LEFT JOIN ({REG}) r ON r.name = picked.model_name "
+            f"WHERE model_name IS NULL OR r.name IS NULL OR r.is_active IS NOT TRUE")
+
+
+@sql("p8_defaults")
+def _p8():
+    return (f"SELECT solution_id, round(coalesce(tv.cc, 0.0), 6) AS cyclomatic_complexity "
+            f"FROM ({CODE_SOL}) LEFT JOIN {template_values()} USING (tmpl)")
+
+
+@sql("j2_solution_chain")
+def _j2():
+    return (f"SELECT s.solution_id, s.prompt_id, p.experiment_id AS prompt_experiment_id, e.owner_id, "
+            f"r.name AS model_name, x.pass_rate FROM ({DOC_SOL}) s "
+            f"LEFT JOIN ({PROMPTS}) p ON p.id = s.prompt_id LEFT JOIN ({EXPS}) e ON e.id = p.experiment_id "
+            f"LEFT JOIN ({REG}) r ON r.id = s.model_id LEFT JOIN ({EXEC}) x ON x.solution_id = s.solution_id "
+            "WHERE s.solution_id = 123")
+
+
+def _plan_sql():
+    return (f"SELECT p.experiment_id, p.id AS prompt_id, r.id AS model_id, r.name AS model_name "
+            f"FROM ({PROMPTS}) p JOIN (SELECT id AS experiment_id, unnest(selected_models) AS name "
+            f"FROM ({EXPS})) sel ON sel.experiment_id = p.experiment_id "
+            f"JOIN ({REG}) r ON r.name = sel.name AND r.is_active")
+
+
+@sql("j4_generation_plan")
+def _j4():
+    return _plan_sql()
+
+
+@sql("j5_resolve_models")
+def _j5():
+    return (f"SELECT q.conv_id, q.turn, q.model_name, r.id AS model_id, r.id IS NOT NULL AS resolved "
+            f"FROM ({RESULTS}) q LEFT JOIN ({REG}) r ON r.name = q.model_name")
+
+
+@sql("j6_outcome_gaps")
+def _j6():
+    return (f"SELECT experiment_id, prompt_id, model_name FROM ({_plan_sql()}) pl "
+            f"WHERE NOT EXISTS (SELECT 1 FROM ({RESULTS}) q WHERE q.error IS NULL "
+            "AND q.prompt_id = pl.prompt_id AND q.model_name = pl.model_name)")
+
+
+@sql("e2_selected_registered")
+def _e2():
+    return (f"SELECT sel.experiment_id, sel.name, r.id AS model_id FROM (SELECT id AS experiment_id, "
+            f"unnest(selected_models) AS name FROM ({EXPS})) sel JOIN ({REG}) r "
+            "ON r.name = sel.name AND r.is_active")
+
+
+@sql("e4_all_outcomes")
+def _e4():
+    return (f"SELECT conv_id, turn, model_name, CAST(length(raw_response) AS BIGINT) AS response_chars, error "
+            f"FROM ({RESULTS})")
+
+
+@sql("o1_list_models")
+def _o1():
+    return f"SELECT name, provider FROM ({REG}) WHERE is_active ORDER BY name LIMIT 5 OFFSET 2"
+
+
+@sql("o2_list_experiments")
+def _o2():
+    return (f"SELECT id, name, created_at FROM ({EXPS}) WHERE owner_id = 3 "
+            "ORDER BY created_at DESC, id LIMIT 100 OFFSET 1")
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: fn() for name, fn in ORACLE.items()}
