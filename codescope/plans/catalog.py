@@ -198,3 +198,72 @@ def o2_list_experiments(spark, sf_dir):
     """O2: owner 3's experiments newest first, skip 1, limit 999999 (capped at 100)."""
     return R.list_experiments(corpus.experiments_table(spark, sf_dir), 3, skip=1,
                               limit=999999).select("id", "name", "created_at")
+
+
+# ------------------------------------------------------------------ statistics layer
+from codescope.operators import describe as D  # noqa: E402
+from codescope.operators.leaderboard import experiment_summary  # noqa: E402
+from codescope.sources.tables import read_table  # noqa: E402
+
+
+@register("a1_describe")
+def a1_describe(spark, sf_dir):
+    """A1 (+X9): describe(l_extendedprice) per (returnflag, linestatus)."""
+    li = read_table(spark, sf_dir, "lineitem")
+    return D.describe(li, "l_extendedprice", ["l_returnflag", "l_linestatus"])
+
+
+@register("a4_experiment_summary")
+def a4_experiment_summary(spark, sf_dir):
+    """A4 (+A1, A5, A15, X10): per-experiment analytics of the code corpus."""
+    sol = corpus.code_solutions(spark, sf_dir).select("solution_id", "experiment_id", "code")
+    exe = corpus.executions(spark, sf_dir).select("solution_id", "pass_rate")
+    ana = code_analysis(spark, sf_dir).select("solution_id", "cyclomatic_complexity")
+    return experiment_summary(fact_load(sol, exe, ana))
+
+
+@register("a5_correlation")
+def a5_correlation(spark, sf_dir):
+    """A5 + A6 + W1 + X10: Pearson and Spearman of quantity vs discount per return flag."""
+    li = read_table(spark, sf_dir, "lineitem")
+    return D.correlation(li, "l_quantity", "l_discount", "l_returnflag")
+
+
+@register("a6_spearman_overall")
+def a6_spearman_overall(spark, sf_dir):
+    """A6 ungrouped: ranks from the distributed prefix sum, not a one-partition window."""
+    li = read_table(spark, sf_dir, "lineitem")
+    return D.spearman(li, "l_extendedprice", "l_tax")
+
+
+@register("a7_class_balance")
+def a7_class_balance(spark, sf_dir):
+    """Class balance of model labels per experiment."""
+    sol = corpus.code_solutions(spark, sf_dir)
+    return D.class_balance(sol, "model", "experiment_id")
+
+
+@register("a8_pass_rate")
+def a8_pass_rate(spark, sf_dir):
+    """passed/total from test-level rows (lineitems of an order), 0.0 when no tests."""
+    from codescope.functions.report import pass_rate_from_tests
+    tests = read_table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("solution_id"), (F.col("l_linestatus") == "F").alias("passed"))
+    sols = corpus.code_solutions(spark, sf_dir).select("solution_id")
+    return pass_rate_from_tests(sols, tests)
+
+
+@register("w1_average_rank")
+def w1_average_rank(spark, sf_dir):
+    """Average rank (ties averaged) of extended price within return flag."""
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag",
+                                                       "l_extendedprice")
+    return D.average_rank(li, "l_extendedprice", "l_returnflag", "avg_rank")
+
+
+@register("w2_fold_assignment")
+def w2_fold_assignment(spark, sf_dir):
+    """Stratified fold per solution within its model (seeded hash order)."""
+    from codescope.operators.fingerprint import stratified_folds
+    sol = corpus.code_solutions(spark, sf_dir).select("solution_id", "model")
+    return stratified_folds(sol, "solution_id", "model", folds=5, seed=42)

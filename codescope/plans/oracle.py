@@ -341,5 +341,135 @@ def _o2():
             "ORDER BY created_at DESC, id LIMIT 100 OFFSET 1")
 
 
+# ------------------------------------------------------------------ statistics layer
+def describe_aggs_sql(v: str, p: str) -> str:
+    return (f"avg({v}) AS {p}_m, median({v}) AS {p}_med, stddev_samp({v}) AS {p}_sd, "
+            f"count({v}) AS {p}_n")
+
+
+def describe_finish_sql(p: str, out: str) -> str:
+    n, m, sd = f"{p}_n", f"{p}_m", f"{p}_sd"
+    margin = f"({t975_sql(f'{n} - 1')} * {sd} / sqrt({n}))"
+    return (f"round({m}, 6) AS {out}mean, round({p}_med, 6) AS {out}median, "
+            f"round(CASE WHEN {n} = 1 THEN 0.0 WHEN {n} >= 2 THEN {sd} END, 6) AS {out}stdev, "
+            f"round(CASE WHEN {n} = 1 THEN {m} WHEN {n} >= 2 THEN {m} - {margin} END, 6) AS {out}ci_95_low, "
+            f"round(CASE WHEN {n} = 1 THEN {m} WHEN {n} >= 2 THEN {m} + {margin} END, 6) AS {out}ci_95_high, "
+            f"CAST({n} AS BIGINT) AS {out}n")
+
+
+def pvalue_ctes(src: str, keys: list[str], tag: str) -> str:
+    """CTEs ``{tag}_pv(keys…, p)``: two-sided p of r with df = n-2 by the finite
+    Student-t series (A&S 26.7.3/26.7.4) with theta = asin|r|; ``src`` has keys, n, r."""
+    k = ", ".join(keys)
+    return f"""
+{tag}_b AS (SELECT {k}, n - 2 AS df, abs(r) AS ar FROM {src} WHERE n >= 3 AND abs(r) < 1),
+{tag}_k AS (SELECT {k}, df, ar, unnest(range(1, CAST(CASE WHEN df % 2 = 0 THEN (df - 2) // 2
+                 ELSE (df - 3) // 2 END AS BIGINT) + 1)) AS k FROM {tag}_b),
+{tag}_t AS (SELECT {k}, exp(sum(ln(CASE WHEN df % 2 = 0 THEN (2 * k - 1) / (2.0 * k)
+                 ELSE (2.0 * k) / (2 * k + 1) END)) OVER (PARTITION BY {k} ORDER BY k)
+                 + k * ln(1 - ar * ar)) AS term FROM {tag}_k),
+{tag}_s AS (SELECT {k}, sum(term) AS s FROM {tag}_t GROUP BY {k}),
+{tag}_pv AS (SELECT {k}, 1 - CASE WHEN df = 1 THEN 2 * asin(ar) / pi()
+                 WHEN df % 2 = 1 THEN (2 / pi()) * (asin(ar) + ar * sqrt(1 - ar * ar) * (1 + coalesce(s, 0)))
+                 ELSE ar * (1 + coalesce(s, 0)) END AS p
+             FROM {tag}_b LEFT JOIN {tag}_s USING ({k}))"""
+
+
+def r_sql(r: str, n: str) -> str:
+    return f"CASE WHEN {n} >= 3 THEN greatest(-1.0, least(1.0, {r})) END"
+
+
+def p_sql(r: str, n: str, tag: str) -> str:
+    return (f"CASE WHEN {r_sql(r, n)} IS NULL THEN NULL WHEN abs({r_sql(r, n)}) >= 1 THEN 0.0 "
+            f"ELSE {tag}_pv.p END")
+
+
+@sql("a1_describe")
+def _a1():
+    return (f"SELECT l_returnflag, l_linestatus, {describe_finish_sql('v', '')} FROM ("
+            f"SELECT l_returnflag, l_linestatus, {describe_aggs_sql('l_extendedprice', 'v')} "
+            "FROM lineitem GROUP BY 1, 2)")
+
+
+def _corr_sql(keys: list[str], base: str, with_pearson: bool = True) -> str:
+    k = ", ".join(keys)
+    ranks = (f"SELECT {k}, rank() OVER (PARTITION BY {k} ORDER BY x) "
+             f"+ (count(*) OVER (PARTITION BY {k}, x) - 1) / 2.0 AS rx, "
+             f"rank() OVER (PARTITION BY {k} ORDER BY y) + (count(*) OVER (PARTITION BY {k}, y) - 1) / 2.0 AS ry "
+             "FROM base")
+    stats = lambda a, b: f"count(*) AS n, covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})) AS r"
+    return f"""
+WITH base AS ({base}),
+pr AS (SELECT {k}, {stats('x', 'y')} FROM base GROUP BY {k}),
+rk AS ({ranks}),
+sr AS (SELECT {k}, {stats('rx', 'ry')} FROM rk GROUP BY {k}),
+{pvalue_ctes('pr', keys, 'ppr')},
+{pvalue_ctes('sr', keys, 'psr')}
+SELECT {', '.join('pr.' + c for c in keys)},
+       {'round(' + r_sql('pr.r', 'pr.n') + ', 6) AS pearson_r, round(' + p_sql('pr.r', 'pr.n', 'ppr') + ', 6) AS pearson_p,' if with_pearson else ''}
+       round({r_sql('sr.r', 'sr.n')}, 6) AS spearman_r, round({p_sql('sr.r', 'sr.n', 'psr')}, 6) AS spearman_p,
+       CAST(pr.n AS BIGINT) AS n
+FROM pr JOIN sr USING ({k}) LEFT JOIN ppr_pv USING ({k}) LEFT JOIN psr_pv USING ({k})"""
+
+
+@sql("a5_correlation")
+def _a5():
+    return _corr_sql(["l_returnflag"], "SELECT l_returnflag, l_quantity AS x, l_discount AS y FROM lineitem "
+                                       "WHERE l_quantity IS NOT NULL AND l_discount IS NOT NULL")
+
+
+@sql("a6_spearman_overall")
+def _a6():
+    q = _corr_sql(["g"], "SELECT 1 AS g, l_extendedprice AS x, l_tax AS y FROM lineitem "
+                         "WHERE l_extendedprice IS NOT NULL AND l_tax IS NOT NULL", with_pearson=False)
+    return f"SELECT spearman_r, spearman_p, n FROM ({q})"
+
+
+@sql("a4_experiment_summary")
+def _a4():
+    lines = f"len({sql_lines(sql_code('s.solution_id'))})"
+    return f"""
+WITH f AS (
+  SELECT s.experiment_id, {lines} AS len, x.pass_rate, tv.cc
+  FROM ({CODE_SOL}) s LEFT JOIN ({EXEC}) x USING (solution_id) LEFT JOIN {template_values()} USING (tmpl)),
+a AS (
+  SELECT experiment_id, count(*) AS n_solutions, {describe_aggs_sql('len', 'l')}, {describe_aggs_sql('pass_rate', 'p')},
+         {describe_aggs_sql('cc', 'c')},
+         count(*) FILTER (WHERE pass_rate IS NOT NULL) AS n,
+         covar_pop(len, pass_rate) / (stddev_pop(CASE WHEN pass_rate IS NOT NULL THEN len END) * stddev_pop(pass_rate)) AS r
+  FROM f GROUP BY experiment_id),
+{pvalue_ctes('a', ['experiment_id'], 'pa')}
+SELECT experiment_id, CAST(n_solutions AS BIGINT) AS n_solutions,
+       {describe_finish_sql('l', 'len_')}, {describe_finish_sql('p', 'pass_')}, {describe_finish_sql('c', 'cc_')},
+       CAST(n AS BIGINT) AS corr_n, round({r_sql('r', 'n')}, 6) AS corr_pearson_r,
+       round({p_sql('r', 'n', 'pa')}, 6) AS corr_pearson_p
+FROM a LEFT JOIN pa_pv USING (experiment_id)"""
+
+
+@sql("a7_class_balance")
+def _a7():
+    return (f"SELECT experiment_id, CAST(sum(k) AS BIGINT) AS n_samples, CAST(count(*) AS BIGINT) AS n_classes, "
+            "round(max(k) / sum(k), 6) AS baseline_accuracy, CAST(least(5, min(k)) AS BIGINT) AS n_folds, "
+            "count(*) >= 2 AND least(5, min(k)) >= 2 AS sufficient_data "
+            f"FROM (SELECT experiment_id, model, count(*) AS k FROM ({CODE_SOL}) GROUP BY 1, 2) GROUP BY 1")
+
+
+@sql("a8_pass_rate")
+def _a8():
+    return ("SELECT o_orderkey AS solution_id, CAST(coalesce(p, 0) AS BIGINT) AS passed_tests, "
+            "CAST(coalesce(t, 0) AS BIGINT) AS total_tests, "
+            "round(CASE WHEN coalesce(t, 0) = 0 THEN 0.0 ELSE p / t END, 6) AS pass_rate "
+            "FROM orders LEFT JOIN (SELECT l_orderkey, count(*) FILTER (WHERE l_linestatus = 'F') AS p, "
+            "count(*) AS t FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
+
+
+@sql("w1_average_rank")
+def _w1():
+    return ("SELECT l_orderkey, l_linenumber, l_returnflag, round(l_extendedprice, 6) AS l_extendedprice, "
+            "round(rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) "
+            "+ (count(*) OVER (PARTITION BY l_returnflag, l_extendedprice) - 1) / 2.0, 6) AS avg_rank "
+            "FROM lineitem")
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: fn() for name, fn in ORACLE.items()}
