@@ -92,3 +92,35 @@ def name_bucket(name: Column) -> Column:
     h = F.aggregate(chars, F.lit(0).cast("long"),
                     lambda acc, c: (acc * 31 + F.ascii(c)) % F.lit(4294967296))
     return (h % NAME_BUCKETS).cast("int")
+
+
+# ---- X24 token-class profile (fixed values: keyword set and token alternation) ----
+PY_KEYWORDS = ["def", "return", "if", "elif", "else", "for", "while", "in", "not", "and", "or",
+               "import", "from", "as", "class", "try", "except", "finally", "raise", "with",
+               "pass", "break", "continue", "lambda", "yield", "None", "True", "False",
+               "is", "assert", "global", "nonlocal", "async", "await", "del"]
+# Line terminators and whitespace as a browser regex sees them (no unicode flag).
+JS_EOL = "\\n\\r\\x{2028}\\x{2029}"
+JS_WS = "\\t\\n\\x0b\\f\\r \\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}"
+# Token alternation with ASCII \b (as a browser and RE2 read it) …
+TOKEN_RE_ASCII_B = ("(#[^" + JS_EOL + "]*)"
+                    "|('(?:[^'\\\\]|\\\\[^" + JS_EOL + "])*'|\"(?:[^\"\\\\]|\\\\[^" + JS_EOL + "])*\")"
+                    "|(\\b[0-9]+\\.?[0-9]*\\b)"
+                    "|(\\b[A-Za-z_][A-Za-z0-9_]*\\b)"
+                    "|([^" + JS_WS + "])")
+# … and for the JVM, whose \b is Unicode-aware on Java 17: the ASCII boundary spelled out.
+ASCII_WORD_BOUNDARY = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+TOKEN_RE = TOKEN_RE_ASCII_B.replace("\\b", ASCII_WORD_BOUNDARY)
+
+
+def token_profile(text: Column) -> Column:
+    """Counts per token class: comment, string, number, keyword, name, punct."""
+    def grp(i: int) -> Column:
+        return F.filter(F.regexp_extract_all(text, F.lit(TOKEN_RE), i), lambda s: s != "")
+    words = grp(4)
+    kw = F.array(*[F.lit(k) for k in PY_KEYWORDS])
+    n_kw = F.size(F.filter(words, lambda w: F.array_contains(kw, w)))
+    return F.struct(
+        F.size(grp(1)).alias("comments"), F.size(grp(2)).alias("strings"),
+        F.size(grp(3)).alias("numbers"), n_kw.alias("keywords"),
+        (F.size(words) - n_kw).alias("names"), F.size(grp(5)).alias("punct"))

@@ -267,3 +267,136 @@ def w2_fold_assignment(spark, sf_dir):
     from codescope.operators.fingerprint import stratified_folds
     sol = corpus.code_solutions(spark, sf_dir).select("solution_id", "model")
     return stratified_folds(sol, "solution_id", "model", folds=5, seed=42)
+
+
+# ------------------------------------------------------------------ text layer
+from codescope.functions import generation as G  # noqa: E402
+from codescope.functions import lint as LN  # noqa: E402
+from codescope.functions import report as RP  # noqa: E402
+from codescope.functions import text as TX  # noqa: E402
+
+
+@register("x2_line_table")
+def x2_line_table(spark, sf_dir):
+    """One row per physical line (Python splitlines semantics)."""
+    return TX.line_table(corpus.doc_solutions(spark, sf_dir), "solution_id", "code")
+
+
+@register("a15_line_counts")
+def a15_line_counts(spark, sf_dir):
+    """All lines and non-blank lines per document."""
+    d = corpus.doc_solutions(spark, sf_dir)
+    return d.select("solution_id", TX.line_count(F.col("code")).alias("code_length"),
+                    TX.nonblank_line_count(F.col("code")).alias("lines_of_code"))
+
+
+@register("x8_normalize")
+def x8_normalize(spark, sf_dir):
+    """Normalised text (comment cut, right-strip, blank lines dropped)."""
+    d = corpus.doc_solutions(spark, sf_dir)
+    norm = TX.normalize_code(F.col("code"))
+    return d.select("solution_id", F.md5(norm).alias("normalized_md5"), F.length(norm).alias("normalized_chars"))
+
+
+@register("x15_extract_code")
+def x15_extract_code(spark, sf_dir):
+    """First fenced block of each raw response, or the whole text, stripped."""
+    r = corpus.raw_responses(spark, sf_dir)
+    return r.select("conv_id", "turn", TX.extract_code(F.col("raw_response")).alias("code"))
+
+
+@register("x16_token_estimate")
+def x16_token_estimate(spark, sf_dir):
+    """Whitespace word count of each raw response."""
+    r = corpus.raw_responses(spark, sf_dir)
+    return r.select("conv_id", "turn", TX.word_count(F.col("raw_response")).alias("tokens_used"))
+
+
+@register("x17_generation_cost")
+def x17_generation_cost(spark, sf_dir):
+    """X17 + J8 + S7: per seeded model, tokens and cost (rate lookup, default rate, free providers)."""
+    reg = G.seed_registry(spark).select(F.col("name").alias("model_name"), "provider")
+    names = F.element_at(F.array(*[F.lit(m[0]) for m in G.SEED_MODELS]), (F.col("conv_id") % 4 + 1).cast("int"))
+    gens = corpus.raw_responses(spark, sf_dir).select(
+        names.alias("model_name"), TX.word_count(F.col("raw_response")).alias("tokens"))
+    priced = R.with_rate(gens.join(R.small(reg), "model_name", "left"), G.rate_table(spark))
+    cost = G.generation_cost(F.col("tokens"), F.col("rate_per_1k"), F.col("provider"))
+    return priced.groupBy("model_name").agg(F.count(F.lit(1)).alias("n_generations"),
+                                            F.sum("tokens").alias("tokens"), F.sum(cost).alias("cost_usd"))
+
+
+@register("x18_sampling_params")
+def x18_sampling_params(spark, sf_dir):
+    """Instruction-prefixed prompt, temperature floor and do_sample per planned call."""
+    plan = R.generation_plan(corpus.experiments_table(spark, sf_dir), corpus.prompts_table(spark, sf_dir),
+                             corpus.model_registry(spark, sf_dir))
+    t = (F.col("experiment_id") % 4) * 0.1
+    return plan.select("experiment_id", "prompt_id", "model_name",
+                       F.length(G.prompt_text(F.col("problem_statement"))).alias("prompt_chars"),
+                       G.sampling_temperature(t).alias("temperature"), G.do_sample(t).alias("do_sample"))
+
+
+@register("x19_parse_report")
+def x19_parse_report(spark, sf_dir):
+    """X19 + X20: report JSON → execution row with error class."""
+    r = corpus.execution_reports(spark, sf_dir)
+    row = RP.parse_report(F.col("report_json"), F.col("stdout"), F.col("stderr"), F.col("timed_out"),
+                          F.col("wall_time_seconds"))
+    return r.select("solution_id", row.alias("x")).select(
+        "solution_id", "x.passed_tests", "x.total_tests", "x.pass_rate", "x.runtime_seconds",
+        "x.error_type", "x.report_missing")
+
+
+@register("x21_truncate_output")
+def x21_truncate_output(spark, sf_dir):
+    """64 000-character cap with a marker line, over whole document texts."""
+    d = corpus.doc_solutions(spark, sf_dir)
+    t = TX.truncate_output(F.col("code"))
+    return d.select("solution_id", F.length(t).alias("chars"), F.md5(t).alias("text_md5"))
+
+
+@register("x22_render_tests")
+def x22_render_tests(spark, sf_dir):
+    """Test harness text per prompt from its reference tests."""
+    h = RP.render_test_functions(corpus.prompts_with_tests(spark, sf_dir))
+    return h.select("prompt_id", F.md5("test_file").alias("harness_md5"), F.length("test_file").alias("chars"))
+
+
+@register("x23_name_bucket")
+def x23_name_bucket(spark, sf_dir):
+    """Stable colour bucket per model name (document sources + seeded names)."""
+    names = corpus.doc_solutions(spark, sf_dir).select(F.col("model").alias("name")).distinct() \
+        .unionByName(G.seed_registry(spark).select("name")).distinct()
+    return names.select("name", TX.name_bucket(F.col("name")).alias("bucket"))
+
+
+@register("x24_token_profile")
+def x24_token_profile(spark, sf_dir):
+    """Token-class counts per document."""
+    d = corpus.doc_solutions(spark, sf_dir)
+    return d.select("solution_id", TX.token_profile(F.col("code")).alias("p")).select("solution_id", "p.*")
+
+
+@register("a14_lint")
+def a14_lint(spark, sf_dir):
+    """A14 + X6: line-rule violations per document, total and density."""
+    d = corpus.doc_solutions(spark, sf_dir)
+    c = d.select("solution_id", LN.lint_counts(F.col("code")).alias("c"),
+                 TX.nonblank_line_count(F.col("code")).alias("nb"))
+    total = LN.violation_total(F.col("c"))
+    return c.select("solution_id", "c.*", total.alias("violations"),
+                    LN.violation_density(total, F.col("nb")).alias("density"))
+
+
+@register("x7_style_score")
+def x7_style_score(spark, sf_dir):
+    """X7 + A13 + A14: style score of the code corpus (E999 from the parse)."""
+    sol = corpus.code_solutions(spark, sf_dir).select("solution_id", "code")
+    lint = sol.select("solution_id", LN.lint_counts(F.col("code")).alias("c"))
+    facts = code_analysis(spark, sf_dir).select("solution_id", "parse_error", "lines_of_code",
+                                                "docstring_coverage")
+    j = facts.join(lint, "solution_id")
+    total = LN.violation_total(F.col("c"), F.col("parse_error"))
+    dens = LN.violation_density(total, F.col("lines_of_code"))
+    return j.select("solution_id", total.alias("pep8_violations"), "docstring_coverage",
+                    LN.style_score(dens, F.col("docstring_coverage")).alias("style_score"))

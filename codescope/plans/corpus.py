@@ -143,3 +143,41 @@ def prompts_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = read_table(spark, sf_dir, "benchmark")
     return b.select(F.col("item_id").alias("id"), F.expr("item_id div 5").alias("experiment_id"),
                     F.col("text").alias("problem_statement"), F.lit("python").alias("language"))
+
+
+def execution_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw sandbox reports derived from ``events``: JSON report text (NULL for
+    error events), stdout/stderr, timeout flag and wall time."""
+    e = read_table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    total, passed = k % 5, F.least(k % 3, k % 5)
+    dur = F.when(k % 4 == 0, F.lit("")).otherwise(F.concat(F.lit(', "duration": '), F.col("value").cast("string")))
+    report = F.concat(F.lit('{"summary": {"total": '), total.cast("string"), F.lit(', "passed": '),
+                      passed.cast("string"), F.lit("}"), dur, F.lit("}"))
+    stderr = (F.when(k % 6 == 0, F.lit("Traceback (most recent call last):\nValueError: bad"))
+               .when(k % 6 == 1, F.lit("SyntaxError: invalid syntax"))
+               .when(k % 6 == 2, F.lit("MemoryError"))
+               .when(k % 6 == 3, F.lit("sandbox infrastructure error"))
+               .otherwise(F.lit("")))
+    return e.select(
+        F.col("event_id").alias("solution_id"),
+        F.when(F.col("event_type") == "error", F.lit(None).cast("string")).otherwise(report).alias("report_json"),
+        F.lit("").alias("stdout"), stderr.alias("stderr"),
+        ((F.col("event_type") == "error") & (k % 2 == 0)).alias("timed_out"),
+        (F.col("value") + 0.5).alias("wall_time_seconds"))
+
+
+def prompts_with_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts carrying reference tests: 1 + item_id % 3 cases per benchmark item,
+    expected outputs as JSON text (int, bool, string or list)."""
+    b = read_table(spark, sf_dir, "benchmark")
+    cases = F.transform(
+        F.sequence(F.lit(0), (F.col("item_id") % 3).cast("int")),
+        lambda i: F.struct(
+            F.format_string("f_%d(%d)", F.col("item_id"), i).alias("call"),
+            F.when(i % 4 == 0, (F.col("item_id") * 10 + i).cast("string"))
+             .when(i % 4 == 1, F.when(F.col("item_id") % 2 == 0, "true").otherwise("false"))
+             .when(i % 4 == 2, F.concat(F.lit('"w'), F.col("item_id").cast("string"), F.lit('"')))
+             .otherwise(F.concat(F.lit("[1, "), F.col("item_id").cast("string"), F.lit("]")))
+             .alias("expected_output")))
+    return b.select(F.col("item_id").alias("prompt_id"), cases.alias("reference_tests"))

@@ -110,8 +110,10 @@ def _template_facts(src: str) -> dict:
         return total
 
     blocks = [n for n in nodes if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))]
+    fns = [n for n in nodes if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]
     return {
         "ok": True,
+        "cov": (sum(bool(ast.get_docstring(f)) for f in fns) / len(fns)) if fns else 1.0,
         "cc": (sum(block_cc(b) for b in blocks) / len(blocks)) if blocks else 1.0,
         "loops": sum(isinstance(n, (ast.For, ast.While)) for n in nodes),
         "nest": loop_nest(tree), "rec": bool(fnames & calls), "depth": depth(tree),
@@ -222,8 +224,10 @@ def template_values() -> str:
     for i, t in enumerate(CODE_TEMPLATES):
         f = _template_facts(t.replace("KEY", "1"))
         cc = "NULL" if not f["ok"] else repr(f["cc"])
-        rows.append(f"({i}, '{_big_o(f)}', {cc})")
-    return "(VALUES " + ", ".join(rows) + ") AS tv(tmpl, big_o, cc)"
+        cov = repr(f["cov"]) if f["ok"] else "0.0"
+        ok = "true" if f["ok"] else "false"
+        rows.append(f"({i}, '{_big_o(f)}', {cc}, {ok}, {cov})")
+    return "(VALUES " + ", ".join(rows) + ") AS tv(tmpl, big_o, cc, ok, cov)"
 
 
 @sql("p1_point_lookup")
@@ -472,4 +476,5 @@ def _w1():
 
 
 def oracle_sql() -> dict[str, str]:
+    from codescope.plans import oracle_text  # noqa: F401  (registers the text-layer oracles)
     return {name: fn() for name, fn in ORACLE.items()}
