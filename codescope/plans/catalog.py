@@ -400,3 +400,63 @@ def x7_style_score(spark, sf_dir):
     dens = LN.violation_density(total, F.col("lines_of_code"))
     return j.select("solution_id", total.alias("pep8_violations"), "docstring_coverage",
                     LN.style_score(dens, F.col("docstring_coverage")).alias("style_score"))
+
+
+# ------------------------------------------------------------------ code facts
+from codescope.operators.codefacts import node_counts_map, node_histogram, node_table  # noqa: E402,F401
+
+
+def _code_nodes(spark, sf_dir):
+    return node_table(corpus.code_solutions(spark, sf_dir).select("solution_id", "code"))
+
+
+@register("x1_node_table")
+def x1_node_table(spark, sf_dir):
+    """AST node table of the code corpus (parse failures → one flagged row)."""
+    n = _code_nodes(spark, sf_dir)
+    return n.select("solution_id", "node_id", "parent_id", "depth", "loop_depth", "node_type",
+                    F.col("parse_error").isNotNull().alias("parse_failed"))
+
+
+@register("a9_node_histogram")
+def a9_node_histogram(spark, sf_dir):
+    """Node-type histogram per solution (long form)."""
+    return node_histogram(_code_nodes(spark, sf_dir))
+
+
+@register("a10_ast_shape")
+def a10_ast_shape(spark, sf_dir):
+    """A10: depth, functions, loops, loop nesting, branches, node count."""
+    return code_analysis(spark, sf_dir).select("solution_id", "n_nodes", "max_depth", "function_count",
+                                               "loop_count", "loop_nesting_depth", "branch_count")
+
+
+@register("a11_recursion")
+def a11_recursion(spark, sf_dir):
+    """Plain-name call to a function defined in the same source."""
+    return code_analysis(spark, sf_dir).select("solution_id", "recursion_detected")
+
+
+@register("a12_cyclomatic")
+def a12_cyclomatic(spark, sf_dir):
+    """Mean cyclomatic complexity over blocks (NULL when unparsable)."""
+    return code_analysis(spark, sf_dir).select("solution_id", "cyclomatic_complexity")
+
+
+@register("a13_docstring_coverage")
+def a13_docstring_coverage(spark, sf_dir):
+    """Documented functions / functions (1.0 without functions, 0.0 unparsable)."""
+    return code_analysis(spark, sf_dir).select("solution_id", "docstring_coverage")
+
+
+@register("x3_big_o")
+def x3_big_o(spark, sf_dir):
+    """Big-O label per solution."""
+    return code_analysis(spark, sf_dir).select("solution_id", "big_o_estimate")
+
+
+@register("x4_complexity_row")
+def x4_complexity_row(spark, sf_dir):
+    """X4 + X5: lines of code, cyclomatic, maintainability index, Big-O."""
+    return code_analysis(spark, sf_dir).select("solution_id", "lines_of_code", "cyclomatic_complexity",
+                                               "maintainability_index", "big_o_estimate")

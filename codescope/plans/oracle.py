@@ -223,8 +223,8 @@ def template_values() -> str:
     rows = []
     for i, t in enumerate(CODE_TEMPLATES):
         f = _template_facts(t.replace("KEY", "1"))
-        cc = "NULL" if not f["ok"] else repr(f["cc"])
-        cov = repr(f["cov"]) if f["ok"] else "0.0"
+        cc = "CAST(NULL AS DOUBLE)" if not f["ok"] else f"CAST({f['cc']!r} AS DOUBLE)"
+        cov = f"CAST({f['cov']!r} AS DOUBLE)" if f["ok"] else "CAST(0.0 AS DOUBLE)"
         ok = "true" if f["ok"] else "false"
         rows.append(f"({i}, '{_big_o(f)}', {cc}, {ok}, {cov})")
     return "(VALUES " + ", ".join(rows) + ") AS tv(tmpl, big_o, cc, ok, cov)"
@@ -469,12 +469,12 @@ def _a8():
 
 @sql("w1_average_rank")
 def _w1():
-    return ("SELECT l_orderkey, l_linenumber, l_returnflag, round(l_extendedprice, 6) AS l_extendedprice, "
+    return ("SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_returnflag, round(l_extendedprice, 6) AS l_extendedprice, "
             "round(rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) "
             "+ (count(*) OVER (PARTITION BY l_returnflag, l_extendedprice) - 1) / 2.0, 6) AS avg_rank "
             "FROM lineitem")
 
 
 def oracle_sql() -> dict[str, str]:
-    from codescope.plans import oracle_text  # noqa: F401  (registers the text-layer oracles)
+    from codescope.plans import oracle_code, oracle_text  # noqa: F401  (register their oracles)
     return {name: fn() for name, fn in ORACLE.items()}
