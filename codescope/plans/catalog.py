@@ -460,3 +460,62 @@ def x4_complexity_row(spark, sf_dir):
     """X4 + X5: lines of code, cyclomatic, maintainability index, Big-O."""
     return code_analysis(spark, sf_dir).select("solution_id", "lines_of_code", "cyclomatic_complexity",
                                                "maintainability_index", "big_o_estimate")
+
+
+# ------------------------------------------------------------------ similarity
+from codescope.operators import similarity as SIM  # noqa: E402
+
+
+def _code_hist_and_facts(spark, sf_dir):
+    sol = corpus.code_solutions(spark, sf_dir).select("solution_id", "code")
+    nodes = node_table(sol)
+    hist = node_histogram(nodes)
+    facts = nodes.groupBy("solution_id").agg(F.max("parse_error").alias("parse_error"))
+    return hist, facts
+
+
+@register("j3_model_pair_similarity")
+def j3_model_pair_similarity(spark, sf_dir):
+    """J3 + X12 + X13 exact means per (prompt, model pair) over all solution pairs, no pair expansion."""
+    sol = corpus.code_solutions(spark, sf_dir).select("solution_id", "prompt_id", "model")
+    hist, _ = _code_hist_and_facts(spark, sf_dir)
+    vec = corpus.solution_embeddings(spark, sf_dir).select("solution_id", "vector")
+    return SIM.model_pair_similarity(sol, hist, vec)
+
+
+@register("j7_ast_pair_similarity")
+def j7_ast_pair_similarity(spark, sf_dir):
+    """J7 + X12 + E3: AST cosine of representative pairs (code corpus)."""
+    sol = corpus.code_solutions(spark, sf_dir).select("solution_id", "prompt_id", "model")
+    hist, facts = _code_hist_and_facts(spark, sf_dir)
+    return SIM.pair_ast_similarity(SIM.representative_pairs(sol), hist, facts)
+
+
+@register("x13_embedding_similarity")
+def x13_embedding_similarity(spark, sf_dir):
+    """Embedding cosine of representative pairs (document corpus; NULL without both vectors)."""
+    pairs = SIM.representative_pairs(corpus.doc_solutions(spark, sf_dir))
+    vec = corpus.solution_embeddings(spark, sf_dir).select("solution_id", "vector")
+    va = vec.select(F.col("solution_id").alias("solution_a"), F.col("vector").alias("va"))
+    vb = vec.select(F.col("solution_id").alias("solution_b"), F.col("vector").alias("vb"))
+    return (pairs.join(va, "solution_a", "left").join(vb, "solution_b", "left")
+                 .select("prompt_id", "solution_a", "solution_b", "model_a", "model_b",
+                         SIM.embedding_similarity(F.col("va"), F.col("vb")).alias("embedding_similarity")))
+
+
+@register("x11_token_similarity")
+def x11_token_similarity(spark, sf_dir):
+    """X11: character ratio of normalised whole texts for representative pairs (documents)."""
+    docs = corpus.doc_solutions(spark, sf_dir)
+    pairs = SIM.representative_pairs(docs)
+    return SIM.similarity_report(pairs, docs.select("solution_id", "code"), None, None, None)
+
+
+@register("x14_similarity_report")
+def x14_similarity_report(spark, sf_dir):
+    """Token, AST and embedding similarity of representative pairs (code corpus)."""
+    sol = corpus.code_solutions(spark, sf_dir)
+    hist, facts = _code_hist_and_facts(spark, sf_dir)
+    vec = corpus.solution_embeddings(spark, sf_dir).select("solution_id", "vector")
+    return SIM.similarity_report(SIM.representative_pairs(sol), sol.select("solution_id", "code"),
+                                 hist, facts, vec)

@@ -162,3 +162,79 @@ def _x4():
                          "AS lines_of_code, round(CAST(cc AS DOUBLE), 6) AS cyclomatic_complexity, "
                          "round(CAST(mi AS DOUBLE), 6) AS maintainability_index, "
                          "big_o AS big_o_estimate")
+
+
+# ------------------------------------------------------------------ similarity (brute-force pairs)
+def hist_values() -> str:
+    rows = []
+    for i in range(len(CODE_TEMPLATES)):
+        try:
+            tree = ast.parse(_src(i))
+        except SyntaxError:
+            continue
+        counts = {}
+        for n in ast.walk(tree):
+            counts[type(n).__name__] = counts.get(type(n).__name__, 0) + 1
+        rows += [f"({i}, '{t}', {c})" for t, c in counts.items()]
+    return "(VALUES " + ", ".join(rows) + ") AS hv(tmpl, node_type, n)"
+
+
+def _ast_pairs_sql(pairs: str) -> str:
+    """AST cosine for a pairs relation (prompt_id, solution_a, solution_b, model_a, model_b)."""
+    return f"""
+WITH pr AS ({pairs}),
+h AS (SELECT s.solution_id, node_type, n FROM ({CODE_SOL}) s JOIN {hist_values()} USING (tmpl)),
+nr AS (SELECT solution_id, sqrt(sum(n * n)) AS norm FROM h GROUP BY 1),
+d AS (SELECT pr.solution_a, pr.solution_b, sum(ha.n * hb.n) AS dot FROM pr
+      JOIN h ha ON ha.solution_id = pr.solution_a JOIN h hb ON hb.solution_id = pr.solution_b
+      AND hb.node_type = ha.node_type GROUP BY 1, 2)
+SELECT pr.*, CASE WHEN na.norm IS NULL OR nb.norm IS NULL THEN 0.0
+       ELSE least(1.0, greatest(0.0, coalesce(d.dot, 0) / (na.norm * nb.norm))) END AS sim
+FROM pr LEFT JOIN d USING (solution_a, solution_b)
+LEFT JOIN nr na ON na.solution_id = pr.solution_a LEFT JOIN nr nb ON nb.solution_id = pr.solution_b"""
+
+
+def _rep_pairs_sql(sol: str) -> str:
+    return (f"WITH reps AS (SELECT prompt_id, model, min(solution_id) AS solution_id FROM ({sol}) GROUP BY 1, 2) "
+            "SELECT a.prompt_id, a.solution_id AS solution_a, b.solution_id AS solution_b, a.model AS model_a, "
+            "b.model AS model_b FROM reps a JOIN reps b ON a.prompt_id = b.prompt_id "
+            "AND a.solution_id < b.solution_id")
+
+
+@sql("j7_ast_pair_similarity")
+def _j7():
+    return (f"SELECT prompt_id, solution_a, solution_b, model_a, model_b, round(sim, 6) AS ast_similarity "
+            f"FROM ({_ast_pairs_sql(_rep_pairs_sql(CODE_SOL))})")
+
+
+EMB = "SELECT vec_id AS solution_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
+
+
+def _cos_sql(a: str, b: str) -> str:
+    na, nb = f"sqrt(list_dot_product({a}, {a}))", f"sqrt(list_dot_product({b}, {b}))"
+    return (f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL WHEN {na} = 0 OR {nb} = 0 THEN 0.0 "
+            f"ELSE least(1.0, greatest(-1.0, list_dot_product({a}, {b}) / ({na} * {nb}))) END")
+
+
+@sql("x13_embedding_similarity")
+def _x13():
+    doc = "SELECT doc_id AS solution_id, doc_id // 20 AS prompt_id, source AS model FROM documents"
+    return (f"SELECT p.*, round({_cos_sql('ea.v', 'eb.v')}, 6) AS embedding_similarity "
+            f"FROM ({_rep_pairs_sql(doc)}) p LEFT JOIN ({EMB}) ea ON ea.solution_id = p.solution_a "
+            f"LEFT JOIN ({EMB}) eb ON eb.solution_id = p.solution_b")
+
+
+@sql("j3_model_pair_similarity")
+def _j3():
+    # brute force: every solution pair i<j inside a prompt, then averaged per unordered model pair
+    allpairs = (f"SELECT a.prompt_id, a.solution_id AS solution_a, b.solution_id AS solution_b, "
+                f"least(a.model, b.model) AS model_a, greatest(a.model, b.model) AS model_b "
+                f"FROM ({CODE_SOL}) a JOIN ({CODE_SOL}) b ON a.prompt_id = b.prompt_id "
+                "AND a.solution_id < b.solution_id")
+    return f"""
+WITH ap AS ({_ast_pairs_sql(allpairs)})
+SELECT prompt_id, model_a, model_b, CAST(count(*) AS BIGINT) AS n_pairs, round(avg(sim), 6) AS ast_similarity_mean,
+       CAST(count(es) AS BIGINT) AS n_embedding_pairs, round(avg(es), 6) AS embedding_similarity_mean
+FROM (SELECT ap.*, {_cos_sql('ea.v', 'eb.v')} AS es FROM ap
+      LEFT JOIN ({EMB}) ea ON ea.solution_id = ap.solution_a LEFT JOIN ({EMB}) eb ON eb.solution_id = ap.solution_b)
+GROUP BY 1, 2, 3"""
