@@ -36,8 +36,9 @@ NODE_FIELDS = [
     ("loop_depth", T.IntegerType()), ("block_id", T.IntegerType()), ("node_type", T.StringType()),
     ("name", T.StringType()), ("call_name", T.StringType()), ("cc_weight", T.IntegerType()),
     ("has_docstring", T.BooleanType()), ("is_stmt", T.BooleanType()),
-    ("string_lines", T.IntegerType()), ("hal_ops", T.ArrayType(T.StringType())),
-    ("hal_operands", T.ArrayType(T.StringType())), ("parse_error", T.StringType()),
+    ("string_lines", T.IntegerType()), ("calls_local", T.BooleanType()),
+    ("n_ops", T.IntegerType()), ("n_operands", T.IntegerType()),
+    ("new_ops", T.IntegerType()), ("new_operands", T.IntegerType()), ("parse_error", T.StringType()),
 ]
 _ARROW = {T.IntegerType(): pa.int32(), T.StringType(): pa.string(), T.BooleanType(): pa.bool_(),
           T.ArrayType(T.StringType()): pa.list_(pa.string())}
@@ -76,70 +77,148 @@ def _halstead(node: ast.AST) -> tuple[list[str] | None, list[str] | None]:
     return None, None
 
 
-def parse_facts(code: str | None) -> list[tuple]:
-    """Rows of NODE_FIELDS for one source; one error row when it does not parse."""
+_N_FIELDS = len(NODE_FIELDS)
+# per AST class: (name, is_loop, is_block, is_func, is_stmt, is_call, is_expr, has_weight, is_halstead)
+_CLASS_INFO: dict[type, tuple] = {}
+_WEIGHTED = (ast.If, ast.IfExp, ast.Assert, ast.ExceptHandler, ast.For, ast.AsyncFor, ast.While, ast.Try,
+             ast.comprehension, ast.BoolOp) + ((ast.TryStar,) if hasattr(ast, "TryStar") else ())
+_HALSTEAD = (ast.BinOp, ast.UnaryOp, ast.BoolOp, ast.AugAssign, ast.Compare)
+
+
+def _info(cls: type) -> tuple:
+    info = _CLASS_INFO.get(cls)
+    if info is None:
+        info = (cls.__name__, issubclass(cls, _LOOPS), issubclass(cls, _BLOCKS), issubclass(cls, _FUNCS),
+                issubclass(cls, ast.stmt), cls is ast.Call, cls is ast.Expr, issubclass(cls, _WEIGHTED),
+                issubclass(cls, _HALSTEAD))
+        _CLASS_INFO[cls] = info
+    return info
+
+
+def emit_facts(code: str | None, cols: list[list]) -> int:
+    """Append the NODE_FIELDS columns of one source to ``cols``; returns the row count.
+
+    Parse failures (any exception: SyntaxError, ValueError, RecursionError…)
+    give one row with only ``parse_error`` set.
+    """
     try:
         tree = ast.parse(code if code is not None else "")
-    except Exception as exc:  # SyntaxError, ValueError, RecursionError, MemoryError …
-        return [(None, None, 0, 0, -1, None, None, None, 0, None, None, 0, None, None,
-                 f"{type(exc).__name__}: {exc}")]
-    rows: list[tuple] = []
-    # iterative pre-order walk: (node, parent_id, depth, loop_depth, block_id)
-    stack = [(tree, -1, 1, 0, -1)]
-    next_id = 0
+    except Exception as exc:
+        row = (None, None, 0, 0, -1, None, None, None, 0, None, None, 0, None, 0, 0, 0, 0,
+               f"{type(exc).__name__}: {exc}")
+        for j in range(_N_FIELDS):
+            cols[j].append(row[j])
+        return 1
+    (c_id, c_parent, c_depth, c_loop, c_block, c_type, c_name, c_call, c_w, c_doc, c_stmt,
+     c_str, c_local, c_nops, c_nopnds, c_newops, c_newopnds, c_err) = cols
+    start = len(c_id)
+    fn_names: set[str] = set()
+    call_rows: list[tuple[int, str]] = []
+    seen_ops: set[str] = set()
+    seen_opnds: set[str] = set()
+    stack = [(tree, -1, 1, 0, -1)]          # iterative pre-order: no recursion limit
+    nid = 0
+    iter_children = ast.iter_child_nodes
     while stack:
         node, parent, depth, loops, block = stack.pop()
-        nid = next_id
-        next_id += 1
-        loop_depth = loops + (1 if isinstance(node, _LOOPS) else 0)
-        own_block = nid if isinstance(node, _BLOCKS) else block
-        name = node.name if isinstance(node, _BLOCKS) else None
-        call = node.func.id if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) else None
-        doc = bool(ast.get_docstring(node)) if isinstance(node, _FUNCS) else None
-        is_stmt = isinstance(node, ast.stmt)
-        str_lines = 0
-        if (isinstance(node, ast.Expr) and isinstance(node.value, ast.Constant)
-                and isinstance(node.value.value, str)):
-            str_lines = (node.end_lineno or node.lineno) - node.lineno + 1
-        ops, operands = _halstead(node)
-        rows.append((nid, parent, depth, loop_depth, block, type(node).__name__, name, call,
-                     _weight(node), doc, is_stmt, str_lines, ops, operands, None))
-        children = list(ast.iter_child_nodes(node))
+        name, is_loop, is_block, is_func, is_stmt, is_call, is_expr, weighted, hal = _info(type(node))
+        loop_depth = loops + 1 if is_loop else loops
+        c_id.append(nid)
+        c_parent.append(parent)
+        c_depth.append(depth)
+        c_loop.append(loop_depth)
+        c_block.append(block)
+        c_type.append(name)
+        c_name.append(node.name if is_block else None)
+        if is_func:
+            fn_names.add(node.name)
+        call = node.func.id if is_call and type(node.func) is ast.Name else None
+        c_call.append(call)
+        if call is not None:
+            call_rows.append((start + nid, call))
+        c_w.append(_weight(node) if weighted else 0)
+        c_doc.append(bool(ast.get_docstring(node)) if is_func else None)
+        c_stmt.append(is_stmt)
+        if is_expr and type(node.value) is ast.Constant and isinstance(node.value.value, str):
+            c_str.append((node.end_lineno or node.lineno) - node.lineno + 1)
+        else:
+            c_str.append(0)
+        c_local.append(False if is_call else None)
+        if hal:
+            ops, operands = _halstead(node)
+            c_nops.append(len(ops))
+            c_nopnds.append(len(operands))
+            new_o = {o for o in ops if o not in seen_ops}
+            new_d = {o for o in operands if o not in seen_opnds}
+            seen_ops |= new_o
+            seen_opnds |= new_d
+            c_newops.append(len(new_o))
+            c_newopnds.append(len(new_d))
+        else:
+            c_nops.append(0)
+            c_nopnds.append(0)
+            c_newops.append(0)
+            c_newopnds.append(0)
+        c_err.append(None)
+        own_block = nid if is_block else block
+        children = list(iter_children(node))
         for child in reversed(children):
             stack.append((child, nid, depth + 1, loop_depth, own_block))
-    return rows
+        nid += 1
+    for row, call in call_rows:          # a plain-name call to a function defined in this source
+        if call in fn_names:
+            c_local[row] = True
+    return nid
+
+
+def parse_facts(code: str | None) -> list[tuple]:
+    """Rows of NODE_FIELDS for one source (row form of ``emit_facts``)."""
+    cols: list[list] = [[] for _ in range(_N_FIELDS)]
+    emit_facts(code, cols)
+    return list(zip(*cols))
+
+
+def spread(df: DataFrame, id_col: str) -> DataFrame:
+    """Hash-partition by id when the input has fewer partitions than cores.
+
+    CPU-heavy per-row work (parsing, regex line splits) must not run in one
+    task just because the source is one small file; a large scan keeps its
+    own partitions and pays no extra shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, id_col)
+    return df
 
 
 def node_table(df: DataFrame, id_col: str = "solution_id", code_col: str = "code",
                carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, carried columns…, NODE_FIELDS…) via Arrow batches; never fails a job."""
+    """(id, carried columns…, NODE_FIELDS…) via Arrow batches; never fails a job.
+
+    The parse is CPU-bound Python, so the input must be spread over tasks: a
+    scan that yields fewer partitions than the cluster has cores (one small
+    file, one row group) is hash-partitioned by id first; a large scan keeps
+    its own partitions and pays no extra shuffle.
+    """
+    src = spread(df.select(id_col, code_col, *carry), id_col)
     id_type = df.schema[id_col].dataType
     carry_fields = [df.schema[c] for c in carry]
     out_schema = T.StructType([T.StructField(id_col, id_type)] + carry_fields
                               + [T.StructField(n, t) for n, t in NODE_FIELDS])
-    arrow_schema = pa.schema(
-        [pa.field(f.name, pa.int64() if isinstance(f.dataType, T.LongType) else
-                  pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.string())
-         for f in [out_schema[id_col]] + carry_fields]
-        + [pa.field(n, _ARROW[t]) for n, t in NODE_FIELDS])
-    width = 1 + len(carry)
+    node_arrow = [pa.field(n, _ARROW[t]) for n, t in NODE_FIELDS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
         for batch in batches:
-            ids = batch.column(id_col).to_pylist()
             codes = batch.column(code_col).to_pylist()
-            extra = [batch.column(c).to_pylist() for c in carry]
-            cols: list[list] = [[] for _ in range(width + len(NODE_FIELDS))]
-            for i, code in enumerate(codes):
-                head = (ids[i],) + tuple(e[i] for e in extra)
-                for row in parse_facts(code):
-                    for j, v in enumerate(head + row):
-                        cols[j].append(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, type=arrow_schema.field(k).type) for k, c in enumerate(cols)],
-                schema=arrow_schema)
+            cols: list[list] = [[] for _ in range(_N_FIELDS)]
+            counts = np.fromiter((emit_facts(c, cols) for c in codes), dtype=np.int64, count=len(codes))
+            take = pa.array(np.repeat(np.arange(len(codes)), counts))
+            head = [batch.column(c).take(take) for c in [id_col, *carry]]
+            body = [pa.array(c, type=f.type) for c, f in zip(cols, node_arrow)]
+            yield pa.RecordBatch.from_arrays(head + body, names=[id_col, *carry] + [f.name for f in node_arrow])
 
-    return df.select(id_col, code_col, *carry).mapInArrow(run, out_schema)
+    return src.mapInArrow(run, out_schema)
 
 
 def _is(node_types: tuple[str, ...]) -> Column:
@@ -152,7 +231,8 @@ def code_facts(df: DataFrame, id_col: str = "solution_id", code_col: str = "code
     Line counts are JVM expressions on the source, carried through X1 on
     every row and taken back with ``max`` (no join with the source table).
     """
-    src = df.select(id_col, code_col,
+    src = spread(df.select(id_col, code_col), id_col).select(
+                    id_col, code_col,
                     line_count(F.col(code_col)).alias("code_length"),
                     nonblank_line_count(F.col(code_col)).alias("lines_of_code"))
     nodes = node_table(src, id_col, code_col, carry=("code_length", "lines_of_code"))
@@ -168,21 +248,20 @@ def code_facts(df: DataFrame, id_col: str = "solution_id", code_col: str = "code
         F.count_if(_is(("For", "While"))).cast("int").alias("loop_count"),
         F.max("loop_depth").alias("loop_nesting_depth"),
         F.count_if(F.col("node_type") == "If").cast("int").alias("branch_count"),
-        F.collect_set(F.when(is_fn, F.col("name"))).alias("_fn_names"),
-        F.collect_set("call_name").alias("_calls"),
+        F.max("calls_local").alias("_recursive"),
         F.count_if(is_fn & F.col("has_docstring")).alias("_documented"),
         F.count_if(is_block).alias("_blocks"),
         F.sum(F.when(F.col("block_id") >= 0, F.col("cc_weight")).otherwise(0)).alias("_block_w"),
         F.sum("cc_weight").alias("_all_w"),
-        F.sum(F.size(F.coalesce("hal_ops", F.array().cast("array<string>")))).alias("_tot_ops"),
-        F.sum(F.size(F.coalesce("hal_operands", F.array().cast("array<string>")))).alias("_tot_opnds"),
-        F.array_distinct(F.flatten(F.collect_list("hal_ops"))).alias("_ops"),
-        F.array_distinct(F.flatten(F.collect_list("hal_operands"))).alias("_opnds"),
+        F.sum("n_ops").alias("_tot_ops"),
+        F.sum("n_operands").alias("_tot_opnds"),
+        F.sum("new_ops").alias("_uniq_ops"),
+        F.sum("new_operands").alias("_uniq_opnds"),
         F.count_if(F.col("is_stmt")).alias("_stmts"),
         F.sum("string_lines").alias("_str_lines"),
     )
     err = F.col("parse_error").isNotNull()
-    recursive = F.when(err, F.lit(False)).otherwise(F.arrays_overlap("_fn_names", "_calls"))
+    recursive = F.when(err, F.lit(False)).otherwise(F.coalesce("_recursive", F.lit(False)))
     out = agg.select(
         id_col, "code_length", "lines_of_code", "parse_error", "n_nodes",
         F.coalesce("max_depth", F.lit(0)).alias("max_depth"), "function_count", "loop_count",
@@ -194,7 +273,7 @@ def code_facts(df: DataFrame, id_col: str = "solution_id", code_col: str = "code
          .otherwise((F.col("_blocks") + F.col("_block_w")) / F.col("_blocks"))
          .alias("cyclomatic_complexity"),
         (F.col("_blocks") + F.col("_all_w")).alias("_G"),
-        "_tot_ops", "_tot_opnds", F.size("_ops").alias("_uniq_ops"), F.size("_opnds").alias("_uniq_opnds"),
+        "_tot_ops", "_tot_opnds", "_uniq_ops", "_uniq_opnds",
         "_stmts", "_str_lines",
     )
     out = out.withColumn("big_o_estimate", big_o(F.col("parse_error"), F.col("loop_count"),

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codescope.operators.describe import average_rank, class_balance
+from codescope.session import ensure_checkpoint_dir
 
 
 def stratified_folds(df: DataFrame, id_col: str, label_col: str, folds: int = 5,
@@ -25,8 +26,8 @@ def stratified_folds(df: DataFrame, id_col: str, label_col: str, folds: int = 5,
     return ranked.withColumn(fold_col, ((F.floor(F.col("_r")) - 1) % folds).cast("int")).drop("_h", "_r")
 
 
-def fingerprint(df: DataFrame, feature_cols: list[str], label_col: str, seed: int = 42,
-                num_trees: int = 100) -> DataFrame:
+def fingerprint(df: DataFrame, feature_cols: list[str], label_col: str, id_col: str = "solution_id",
+                seed: int = 42, num_trees: int = 100) -> DataFrame:
     """M6: cross-validated accuracy of predicting the model from code features.
 
     Returns one row: cv_accuracy, cv_accuracy_std (population), n_samples,
@@ -46,17 +47,22 @@ def fingerprint(df: DataFrame, feature_cols: list[str], label_col: str, seed: in
                baseline_accuracy=float(bal["baseline_accuracy"] or 0.0),
                sufficient_data=bool(bal["sufficient_data"]), cv_accuracy=None, cv_accuracy_std=None)
     if row["sufficient_data"]:
-        data = stratified_folds(df.select(*feature_cols, label_col, F.monotonically_increasing_id().alias("_id")),
-                                "_id", label_col, folds=n_folds, seed=seed)
+        data = stratified_folds(df.select(id_col, *feature_cols, label_col),
+                                id_col, label_col, folds=n_folds, seed=seed)
         data = data.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in feature_cols],
                            label_col, "fold")
+        # Each fold fit re-reads its input many times: cut the lineage once
+        # (reliable checkpoint in the shared spark.checkpoint.dir).
+        ensure_checkpoint_dir(spark)
+        data = data.checkpoint(eager=True)
+        data = StringIndexer(inputCol=label_col, outputCol="_y").fit(data).transform(data).checkpoint(eager=True)
         rf = RandomForestClassifier(labelCol="_y", featuresCol="_x", numTrees=num_trees, seed=seed,
                                     maxDepth=30, featureSubsetStrategy="sqrt")
-        pipe = Pipeline(stages=[StringIndexer(inputCol=label_col, outputCol="_y"),
-                                VectorAssembler(inputCols=feature_cols, outputCol="_x"), rf])
+        pipe = Pipeline(stages=[VectorAssembler(inputCols=feature_cols, outputCol="_x"), rf])
         ev = MulticlassClassificationEvaluator(labelCol="_y", predictionCol="prediction", metricName="accuracy")
         cv = CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev,
-                            foldCol="fold", seed=seed)
+                            numFolds=n_folds, foldCol="fold", seed=seed,
+                            parallelism=n_folds)
         model = cv.fit(data)
         row["cv_accuracy"] = float(model.avgMetrics[0])
         row["cv_accuracy_std"] = float(model.stdMetrics[0]) if model.stdMetrics else None

@@ -519,3 +519,89 @@ def x14_similarity_report(spark, sf_dir):
     vec = corpus.solution_embeddings(spark, sf_dir).select("solution_id", "vector")
     return SIM.similarity_report(SIM.representative_pairs(sol), sol.select("solution_id", "code"),
                                  hist, facts, vec)
+
+
+# ------------------------------------------------------------------ machine learning
+from codescope.operators import clustering as CL  # noqa: E402
+from codescope.operators.fingerprint import fingerprint  # noqa: E402
+
+
+@register("m1_kmeans")
+def m1_kmeans(spark, sf_dir):
+    """M1: KMeans (k=3, 10 restarts from seed 42) over the embeddings, canonical labels."""
+    vec = corpus.solution_embeddings(spark, sf_dir).select("solution_id", "vector")
+    return CL.kmeans_labels(vec, k=3)
+
+
+@register("m3_pca")
+def m3_pca(spark, sf_dir):
+    """M3: 2-D PCA of the embeddings (centred, canonical signs)."""
+    vec = corpus.solution_embeddings(spark, sf_dir).select("solution_id", "vector")
+    return CL.pca_2d(vec)
+
+
+@register("m5_embed")
+def m5_embed(spark, sf_dir):
+    """M5: 384-wide hashed TF-IDF embedding of every whole document."""
+    e = CL.embed_texts(corpus.doc_solutions(spark, sf_dir), "solution_id", "code")
+    return e.select("solution_id", F.size("vector").alias("dim"),
+                    F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v)).alias("norm"))
+
+
+@register("m6_fingerprint")
+def m6_fingerprint(spark, sf_dir):
+    """M6 (+A7, W2): can the model be told from (line count, complexity)? Code corpus."""
+    facts = code_analysis(spark, sf_dir).select("solution_id", "code_length", "cyclomatic_complexity")
+    data = corpus.code_solutions(spark, sf_dir).select("solution_id", "model").join(facts, "solution_id")
+    return fingerprint(data, ["code_length", "cyclomatic_complexity"], "model", num_trees=20)
+
+
+@register("m7_cluster_map")
+def m7_cluster_map(spark, sf_dir):
+    """M7 (+M4 pca): solution, model, prompt, x, y, cluster for embedded documents."""
+    sol = corpus.doc_solutions(spark, sf_dir).select("solution_id", "model", "prompt_id")
+    vec = corpus.solution_embeddings(spark, sf_dir).select("solution_id", "vector")
+    return CL.cluster_map(sol, vec, method="pca")
+
+
+# ------------------------------------------------------------------ streaming
+from codescope.schema import TESTDATA  # noqa: E402
+from codescope.streaming import analysis as ST  # noqa: E402
+
+
+def _orders_stream(spark, sf_dir):
+    s = spark.readStream.schema(TESTDATA["orders"]).option("pathGlobFilter", "orders.parquet") \
+        .parquet(sf_dir)
+    return s.select(F.col("o_orderkey").alias("solution_id"),
+                    F.col("o_orderpriority").alias("model"),
+                    F.col("o_orderdate").alias("created_at"),
+                    corpus.template_code("o_orderkey").alias("code"))
+
+
+@register("st1_analyse_on_arrival")
+def st1_analyse_on_arrival(spark, sf_dir):
+    """ST1: code facts computed per arriving micro-batch (equals the batch X4 table)."""
+    out = ST.stream_folder(spark, "st1")
+    ST.analyse_on_arrival(_orders_stream(spark, sf_dir), out, event_time="created_at")
+    return spark.read.parquet(f"{out}/data").select("solution_id", "lines_of_code", "cyclomatic_complexity",
+                                                    "maintainability_index", "big_o_estimate")
+
+
+@register("st2_live_leaderboard")
+def st2_live_leaderboard(spark, sf_dir):
+    """ST2: streaming per-model state, mean and t interval derived on read."""
+    out = ST.stream_folder(spark, "st2")
+    exe = corpus.executions(spark, sf_dir).select("solution_id", "pass_rate", "runtime_seconds")
+    ST.live_leaderboard_state(_orders_stream(spark, sf_dir), exe, out)
+    return ST.read_leaderboard(spark, out)
+
+
+@register("st3_rate_breaches")
+def st3_rate_breaches(spark, sf_dir):
+    """ST3: users with more than 5 events in a day (watermarked tumbling windows)."""
+    out = ST.stream_folder(spark, "st3")
+    ev = spark.readStream.schema(TESTDATA["events"]).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    ST.run_rate_breaches(ST.rate_breaches(ev, ["user_id"], "ts", limit=5, window="1 day", watermark="1 day"), out)
+    return spark.read.parquet(f"{out}/state").withColumn(
+        "window_start", F.col("window_start").cast("timestamp_ntz")).withColumn(
+        "window_end", F.col("window_end").cast("timestamp_ntz"))

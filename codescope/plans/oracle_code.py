@@ -238,3 +238,30 @@ SELECT prompt_id, model_a, model_b, CAST(count(*) AS BIGINT) AS n_pairs, round(a
 FROM (SELECT ap.*, {_cos_sql('ea.v', 'eb.v')} AS es FROM ap
       LEFT JOIN ({EMB}) ea ON ea.solution_id = ap.solution_a LEFT JOIN ({EMB}) eb ON eb.solution_id = ap.solution_b)
 GROUP BY 1, 2, 3"""
+
+
+# ------------------------------------------------------------------ streaming twins
+@sql("st1_analyse_on_arrival")
+def _st1():
+    from codescope.plans.oracle_code import _x4
+    return _x4()
+
+
+@sql("st2_live_leaderboard")
+def _st2():
+    from codescope.plans.oracle import EXEC, t975_sql
+    return f"""
+WITH f AS (SELECT s.solution_id, s.model, x.pass_rate, x.runtime_seconds FROM ({CODE_SOL}) s
+           LEFT JOIN ({EXEC}) x USING (solution_id)),
+a AS (SELECT model, avg(pass_rate) AS m, stddev_samp(pass_rate) AS sd, count(pass_rate) AS n,
+             avg(runtime_seconds) AS rt, count(*) AS n_solutions FROM f GROUP BY model)
+SELECT model, round(m, 6) AS correctness,
+  round(CASE WHEN n = 1 THEN m WHEN n >= 2 THEN m - {t975_sql('a.n - 1')} * sd / sqrt(n) END, 6) AS correctness_ci_low,
+  round(CASE WHEN n = 1 THEN m WHEN n >= 2 THEN m + {t975_sql('a.n - 1')} * sd / sqrt(n) END, 6) AS correctness_ci_high,
+  round(rt, 6) AS avg_runtime_s, CAST(n_solutions AS BIGINT) AS n_solutions FROM a"""
+
+
+@sql("st3_rate_breaches")
+def _st3():
+    return ("SELECT user_id, date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, "
+            "CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 5")

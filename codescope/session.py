@@ -20,6 +20,7 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "50000",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
