@@ -185,9 +185,13 @@ def spread(df: DataFrame, id_col: str) -> DataFrame:
     task just because the source is one small file; a large scan keeps its
     own partitions and pays no extra shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, id_col)
+        # the shuffle-partition count when it covers the cores, so a later
+        # join/aggregation on the same id reuses this hash partitioning
+        n = max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        return df.repartition(n, id_col)
     return df
 
 

@@ -605,3 +605,113 @@ def st3_rate_breaches(spark, sf_dir):
     return spark.read.parquet(f"{out}/state").withColumn(
         "window_start", F.col("window_start").cast("timestamp_ntz")).withColumn(
         "window_end", F.col("window_end").cast("timestamp_ntz"))
+
+
+# ------------------------------------------------------------------ store maintenance
+from codescope.sources import store as S  # noqa: E402
+
+
+def _exec_batches(spark, sf_dir):
+    """Execution rows plus a re-run batch for toxic-labelled solutions (1 hour later)."""
+    lab = read_table(spark, sf_dir, "labels")
+    ev = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "ts")
+    base = lab.join(ev, "doc_id", "left")
+    first = base.select(F.col("doc_id").alias("solution_id"), F.col("quality").cast("double").alias("pass_rate"),
+                        F.col("ts").alias("executed_at"))
+    rerun = base.where(F.col("toxic") == 1).select(
+        F.col("doc_id").alias("solution_id"), (1 - F.col("quality")).cast("double").alias("pass_rate"),
+        (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("executed_at"))
+    return first.unionByName(rerun)
+
+
+@register("s3_append_executions")
+def s3_append_executions(spark, sf_dir):
+    """S3: bulk append with defaults and generated ids to a table in the shared folder."""
+    out = ST.stream_folder(spark, "s3-executions")
+    rows = read_table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("solution_id"), F.col("quality").cast("double").alias("pass_rate"))
+    S.append_rows(rows, out, defaults={"passed_tests": 0, "total_tests": 0}, key_cols=["solution_id"])
+    return spark.read.parquet(out).select("id", "solution_id", "pass_rate", "passed_tests", "total_tests")
+
+
+@register("s4_unique_executions")
+def s4_unique_executions(spark, sf_dir):
+    """One execution per solution; a re-run replaces the earlier row (latest wins)."""
+    return S.enforce_unique(_exec_batches(spark, sf_dir), None, "solution_id", mode="replace",
+                            order_col="executed_at")
+
+
+@register("s5_create_experiments")
+def s5_create_experiments(spark, sf_dir):
+    """Experiment requests (five prompts each) exploded into prompt rows with defaults."""
+    b = read_table(spark, sf_dir, "benchmark")
+    prompt = F.struct(
+        F.when(F.col("item_id") % 7 == 0, F.lit("   ")).otherwise(F.col("text")).alias("problem_statement"),
+        F.when(F.col("item_id") % 2 == 0, F.lit(None).cast("string")).otherwise(F.lit("python3")).alias("language"),
+        F.lit("easy").alias("difficulty"), F.lit("custom").alias("source_dataset"))
+    req = (b.groupBy(F.expr("item_id div 5").alias("id"))
+            .agg(F.array_sort(F.collect_list(F.struct(F.col("item_id").alias("k"), prompt.alias("p")))).alias("ps"))
+            .select("id", F.lit(0).alias("owner_id"), F.concat(F.lit("exp-"), F.col("id").cast("string")).alias("name"),
+                    F.lit(None).cast("string").alias("description"), F.array().cast("array<string>").alias("selected_models"),
+                    F.lit(None).cast("timestamp_ntz").alias("created_at"),
+                    F.transform("ps", lambda x: x["p"]).alias("prompts")))
+    _, prompts = S.create_experiments(req)
+    return prompts.select("id", "experiment_id", F.md5("problem_statement").alias("statement_md5"), "language")
+
+
+@register("s6_registry_upsert")
+def s6_registry_upsert(spark, sf_dir):
+    """Idempotent registration of incoming model names (first one wins)."""
+    reg = corpus.model_registry(spark, sf_dir)
+    inc = (read_table(spark, sf_dir, "conversations")
+           .select(F.concat(F.lit("src"), (F.col("conv_id") % corpus.N_MODEL_NAMES).cast("string")).alias("name"))
+           .select(F.concat(F.lit("m-"), F.col("name")).alias("id"), "name", F.lit("incoming").alias("provider"),
+                   F.lit(None).cast("string").alias("version"), F.lit(None).cast("int").alias("context_window"),
+                   F.lit(True).alias("is_active")))
+    return S.upsert_registry(reg, inc).select("name", "provider")
+
+
+@register("s8_status_update")
+def s8_status_update(spark, sf_dir):
+    """Status transitions; completed_at only for completed/failed."""
+    ex = corpus.experiments_table(spark, sf_dir)
+    changes = ex.select("id", F.when(F.col("id") % 3 == 0, "completed").when(F.col("id") % 3 == 1, "running")
+                        .otherwise("failed").alias("status")).where(F.col("id") % 5 != 4)
+    now = F.lit("2025-01-01 00:00:00").cast("timestamp_ntz")
+    return S.update_status(ex, changes, now=now).select("id", "status", "completed_at")
+
+
+@register("s9_cascade_delete")
+def s9_cascade_delete(spark, sf_dir):
+    """Delete owner 3's experiments and everything under them; remaining rows per table."""
+    ex = corpus.experiments_table(spark, sf_dir)
+    tables = {
+        "experiments": ex,
+        "prompts": corpus.prompts_table(spark, sf_dir).select("id", "experiment_id"),
+        "generated_solutions": corpus.doc_solutions(spark, sf_dir).select(F.col("solution_id").alias("id"), "prompt_id"),
+        "execution_results": corpus.executions(spark, sf_dir).select("solution_id"),
+        "embeddings": corpus.solution_embeddings(spark, sf_dir).select("solution_id"),
+    }
+    left = S.cascade_delete(ex.where(F.col("owner_id") == 3), tables)
+    parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n")
+             for name, df in left.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("s10_results_document")
+def s10_results_document(spark, sf_dir):
+    """Nested JSON leaderboard document per experiment (code corpus)."""
+    sol = corpus.code_solutions(spark, sf_dir).select("solution_id", "experiment_id", "model")
+    exe = corpus.executions(spark, sf_dir).select("solution_id", "pass_rate", "runtime_seconds")
+    facts = fact_load(sol, exe)
+    per = facts.groupBy("experiment_id", "model").agg(
+        F.avg("pass_rate").alias("correctness"), F.count(F.lit(1)).alias("n_solutions"))
+    ranked = per.withColumn("position", F.row_number().over(
+        Window.partitionBy("experiment_id").orderBy(F.col("correctness").desc_nulls_last(), "model")))
+    return S.results_document(ranked, "experiment_id")
+
+
+from pyspark.sql.window import Window  # noqa: E402

@@ -51,8 +51,10 @@ def template_code(key) -> F.Column:
 
 
 def doc_solutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole document texts as solutions, spread over the cores (see ``spread``)."""
+    from codescope.operators.codefacts import spread
     d = read_table(spark, sf_dir, "documents")
-    return d.select(
+    return spread(d, "doc_id").select(
         F.col("doc_id").alias("solution_id"),
         F.expr(f"doc_id div {PROMPT_SIZE}").alias("prompt_id"),
         F.expr(f"doc_id div {EXPERIMENT_SIZE}").alias("experiment_id"),

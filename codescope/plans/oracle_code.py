@@ -265,3 +265,56 @@ SELECT model, round(m, 6) AS correctness,
 def _st3():
     return ("SELECT user_id, date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, "
             "CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 5")
+
+
+# ------------------------------------------------------------------ store maintenance twins
+@sql("s3_append_executions")
+def _s3():
+    return ("SELECT sha256(CAST(doc_id AS VARCHAR)) AS id, doc_id AS solution_id, "
+            "CAST(quality AS DOUBLE) AS pass_rate, CAST(0 AS BIGINT) AS passed_tests, "
+            "CAST(0 AS BIGINT) AS total_tests FROM labels")
+
+
+@sql("s4_unique_executions")
+def _s4():
+    return ("SELECT l.doc_id AS solution_id, CAST(CASE WHEN toxic = 1 THEN 1 - quality ELSE quality END AS DOUBLE) "
+            "AS pass_rate, CASE WHEN toxic = 1 THEN e.ts + INTERVAL 1 HOUR ELSE e.ts END AS executed_at "
+            "FROM labels l LEFT JOIN events e ON e.event_id = l.doc_id")
+
+
+@sql("s5_create_experiments")
+def _s5():
+    return ("SELECT sha256((item_id // 5) || ':' || (item_id % 5)) AS id, item_id // 5 AS experiment_id, "
+            "md5(text) AS statement_md5, CASE WHEN item_id % 2 = 0 THEN 'python' ELSE 'python3' END AS language "
+            "FROM benchmark WHERE item_id % 7 <> 0 AND trim(text) <> ''")
+
+
+@sql("s6_registry_upsert")
+def _s6():
+    from codescope.plans.oracle import REG
+    return (f"SELECT name, provider FROM ({REG}) UNION ALL "
+            f"SELECT DISTINCT 'src' || (conv_id % 23) AS name, 'incoming' AS provider FROM conversations "
+            f"WHERE 'src' || (conv_id % 23) NOT IN (SELECT name FROM ({REG}))")
+
+
+@sql("s8_status_update")
+def _s8():
+    from codescope.plans.oracle import EXPS
+    return (f"SELECT id, CASE WHEN id % 5 = 4 THEN status WHEN id % 3 = 0 THEN 'completed' "
+            "WHEN id % 3 = 1 THEN 'running' ELSE 'failed' END AS status, "
+            "CASE WHEN id % 5 <> 4 AND id % 3 <> 1 THEN TIMESTAMP '2025-01-01 00:00:00' ELSE completed_at END "
+            f"AS completed_at FROM ({EXPS})")
+
+
+@sql("s9_cascade_delete")
+def _s9():
+    from codescope.plans.oracle import EXEC, EXPS, PROMPTS
+    doomed_e = f"(SELECT id FROM ({EXPS}) WHERE owner_id = 3)"
+    doomed_p = f"(SELECT id FROM ({PROMPTS}) WHERE experiment_id IN {doomed_e})"
+    doomed_s = f"(SELECT doc_id FROM documents WHERE doc_id // 20 IN {doomed_p})"
+    return f"""
+SELECT 'experiments' AS table_name, CAST(count(*) AS BIGINT) AS n FROM ({EXPS}) WHERE id NOT IN {doomed_e}
+UNION ALL SELECT 'prompts', count(*) FROM ({PROMPTS}) WHERE experiment_id NOT IN {doomed_e}
+UNION ALL SELECT 'generated_solutions', count(*) FROM documents WHERE doc_id // 20 NOT IN {doomed_p}
+UNION ALL SELECT 'execution_results', count(*) FROM ({EXEC}) WHERE solution_id NOT IN {doomed_s}
+UNION ALL SELECT 'embeddings', count(*) FROM embeddings WHERE vec_id NOT IN {doomed_s}"""
