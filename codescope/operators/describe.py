@@ -72,19 +72,21 @@ def pearson_aggs(x: Column, y: Column, prefix: str = "") -> list[Column]:
         F.covar_pop(xx, yy).alias(f"{prefix}_cov"),
         F.stddev_pop(xx).alias(f"{prefix}_sx"),
         F.stddev_pop(yy).alias(f"{prefix}_sy"),
+        # exact constant-column test (rounding can leave a tiny non-zero variance)
+        ((F.min(xx) == F.max(xx)) | (F.min(yy) == F.max(yy))).alias(f"{prefix}_const"),
     ]
 
 
 def _r_and_p(df: DataFrame, prefix: str, r_name: str, p_name: str) -> DataFrame:
     n = F.col(f"{prefix}n")
     r = F.try_divide(F.col(f"{prefix}_cov"), F.col(f"{prefix}_sx") * F.col(f"{prefix}_sy"))
-    r = F.when(n >= 3, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)))
+    r = F.when((n >= 3) & ~F.col(f"{prefix}_const"), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)))
     df = df.withColumn(r_name, r)
     rc = F.col(r_name)
     tstat = rc * F.sqrt(F.try_divide((n - 2).cast("double"), 1.0 - rc * rc))
     p = F.when(F.abs(rc) >= 1.0, F.lit(0.0)).otherwise(t_two_sided_pvalue(tstat, n - 2))
     return (df.withColumn(p_name, F.when(rc.isNotNull(), p))
-              .drop(f"{prefix}_cov", f"{prefix}_sx", f"{prefix}_sy"))
+              .drop(f"{prefix}_cov", f"{prefix}_sx", f"{prefix}_sy", f"{prefix}_const"))
 
 
 def finish_pearson(df: DataFrame, prefix: str = "") -> DataFrame:
