@@ -715,3 +715,11 @@ def s10_results_document(spark, sf_dir):
 
 
 from pyspark.sql.window import Window  # noqa: E402
+
+
+@register("m2_dbscan")
+def m2_dbscan(spark, sf_dir):
+    """M2: DBSCAN (cosine, eps 0.7, min_samples 2) over the embeddings; exact neighbour join."""
+    from codescope.operators.dbscan import dbscan
+    vec = corpus.solution_embeddings(spark, sf_dir).select("solution_id", "vector")
+    return dbscan(vec, eps=0.7, min_samples=2)

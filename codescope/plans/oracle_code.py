@@ -318,3 +318,27 @@ UNION ALL SELECT 'prompts', count(*) FROM ({PROMPTS}) WHERE experiment_id NOT IN
 UNION ALL SELECT 'generated_solutions', count(*) FROM documents WHERE doc_id // 20 NOT IN {doomed_p}
 UNION ALL SELECT 'execution_results', count(*) FROM ({EXEC}) WHERE solution_id NOT IN {doomed_s}
 UNION ALL SELECT 'embeddings', count(*) FROM embeddings WHERE vec_id NOT IN {doomed_s}"""
+
+
+@sql("m2_dbscan")
+def _m2():
+    # brute force: every pair, transitive closure of the core graph by a recursive CTE
+    return """
+WITH RECURSIVE
+u AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+nrm AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS w FROM u
+        WHERE list_dot_product(v, v) > 0),
+pairs AS (SELECT a.id AS a, b.id AS b FROM nrm a JOIN nrm b ON a.id < b.id
+          WHERE 1 - list_dot_product(a.w, b.w) <= 0.7),
+nb AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+deg AS (SELECT a, count(*) AS k FROM nb GROUP BY a),
+core AS (SELECT u.id FROM u LEFT JOIN deg ON deg.a = u.id WHERE coalesce(k, 0) + 1 >= 2),
+edges AS (SELECT a, b FROM nb WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+reach(src, dst) AS (SELECT id, id FROM core UNION SELECT r.src, e.b FROM reach r JOIN edges e ON e.a = r.dst),
+comp AS (SELECT src AS id, min(dst) AS label FROM reach GROUP BY src),
+num AS (SELECT label, dense_rank() OVER (ORDER BY label) - 1 AS cluster FROM (SELECT DISTINCT label FROM comp)),
+core_cl AS (SELECT comp.id, num.cluster FROM comp JOIN num USING (label)),
+border AS (SELECT nb.a AS id, min(cc.cluster) AS cluster FROM nb JOIN core_cl cc ON cc.id = nb.b
+           WHERE nb.a NOT IN (SELECT id FROM core) GROUP BY nb.a)
+SELECT u.id AS solution_id, CAST(coalesce(core_cl.cluster, border.cluster, -1) AS BIGINT) AS cluster
+FROM u LEFT JOIN core_cl ON core_cl.id = u.id LEFT JOIN border ON border.id = u.id"""

@@ -94,3 +94,40 @@ def test_st3_rate_breaches_equal_batch(spark):
             ev.groupBy("user_id", F.date_trunc("day", "ts").alias("d")).agg(F.count(F.lit(1)).alias("n"))
               .where("n > 5").collect()}
     assert got == want
+
+
+def test_dbscan_fixture(spark):
+    from codescope.operators.dbscan import dbscan
+    df = _vecs(spark, [(1, .05), (1.05, 0), (.95, .02), (0, 1)])
+    got = {r["solution_id"]: r["cluster"] for r in dbscan(df, eps=0.05, min_samples=2).collect()}
+    assert got[0] == got[1] == got[2] == 0 and got[3] == -1
+    assert [r["cluster"] for r in dbscan(_vecs(spark, [(1, 0)]), eps=0.5, min_samples=2).collect()] == [-1]
+
+
+def test_dbscan_matches_bruteforce(spark):
+    import random
+    from codescope.operators.dbscan import dbscan
+    rnd = random.Random(3)
+    pts = [[rnd.gauss(c, 0.3) for c in centre] for centre in ([1, 0, 0], [0, 1, 0], [0, 0, 1]) for _ in range(12)]
+    pts += [[rnd.uniform(-1, 1) for _ in range(3)] for _ in range(6)]
+    got = {r["solution_id"]: r["cluster"] for r in dbscan(_vecs(spark, pts), eps=0.08, min_samples=3).collect()}
+
+    import math
+    unit = [[x / math.sqrt(sum(y * y for y in p)) for x in p] for p in pts]
+    n = len(pts)
+    nb = [[j for j in range(n) if 1 - sum(a * b for a, b in zip(unit[i], unit[j])) <= 0.08] for i in range(n)]
+    core = [len(nb[i]) >= 3 for i in range(n)]
+    label, c = [-1] * n, 0
+    for i in range(n):                      # sklearn-style expansion in index order
+        if not core[i] or label[i] != -1:
+            continue
+        stack, label[i] = [i], c
+        while stack:
+            p = stack.pop()
+            for q in nb[p]:
+                if label[q] == -1:
+                    label[q] = c
+                    if core[q]:
+                        stack.append(q)
+        c += 1
+    assert [got[i] for i in range(n)] == label
