@@ -403,7 +403,9 @@ def x7_style_score(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ code facts
-from codescope.operators.codefacts import node_counts_map, node_histogram, node_table  # noqa: E402,F401
+from codescope.operators.codefacts import (  # noqa: E402,F401
+    node_counts_map, node_histogram, node_table, node_type_table,
+)
 
 
 def _code_nodes(spark, sf_dir):
@@ -421,7 +423,8 @@ def x1_node_table(spark, sf_dir):
 @register("a9_node_histogram")
 def a9_node_histogram(spark, sf_dir):
     """Node-type histogram per solution (long form)."""
-    return node_histogram(_code_nodes(spark, sf_dir))
+    sol = corpus.code_solutions(spark, sf_dir).select("solution_id", "code")
+    return node_histogram(node_type_table(sol))
 
 
 @register("a10_ast_shape")
@@ -467,10 +470,13 @@ from codescope.operators import similarity as SIM  # noqa: E402
 
 
 def _code_hist_and_facts(spark, sf_dir):
+    """Histogram and parse errors from ONE parse pass: both are filters of the
+    same (solution_id, node_type) count, whose exchange Spark reuses; an
+    unparsable source is the single row with a NULL node_type."""
     sol = corpus.code_solutions(spark, sf_dir).select("solution_id", "code")
-    nodes = node_table(sol)
-    hist = node_histogram(nodes)
-    facts = nodes.groupBy("solution_id").agg(F.max("parse_error").alias("parse_error"))
+    raw = node_type_table(sol).groupBy("solution_id", "node_type").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    hist = raw.where(F.col("node_type").isNotNull())
+    facts = raw.where(F.col("node_type").isNull()).select("solution_id", F.lit("parse error").alias("parse_error"))
     return hist, facts
 
 
