@@ -362,3 +362,23 @@ def node_counts_map(nodes: DataFrame, id_col: str = "solution_id") -> DataFrame:
     hist = node_histogram(nodes, id_col)
     return (hist.groupBy(id_col)
                 .agg(F.map_from_entries(F.collect_list(F.struct("node_type", "n"))).alias("node_counts")))
+
+
+def register_ast_udtf(spark, name: str = "ast_nodes") -> None:
+    """X1 as a Python UDTF for SQL: ``SELECT … FROM t, LATERAL ast_nodes(t.code)``.
+
+    Same facts as ``node_table`` (id columns come from the lateral side).
+    ``mapInArrow`` stays the bulk path; the UDTF serves SQL users.
+    """
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="node_id int, parent_id int, depth int, loop_depth int, node_type string, "
+                     "name string, call_name string, parse_error string")
+    class AstNodes:
+        def eval(self, code: str | None):
+            cols: list[list] = [[] for _ in range(_N_FIELDS)]
+            emit_facts(code, cols)
+            for r in zip(*cols):
+                yield r[0], r[1], r[2], r[3], r[5], r[6], r[7], r[-1]
+
+    spark.udtf.register(name, AstNodes)

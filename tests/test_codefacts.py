@@ -83,3 +83,13 @@ def test_deep_nesting_loop_depth(spark):
     code = "def f(a):\n    for x in a:\n        for y in x:\n            for z in y:\n                while z:\n                    z -= 1\n"
     r = code_facts(spark.createDataFrame([(1, code)], "solution_id long, code string")).first()
     assert (r["loop_count"], r["loop_nesting_depth"], r["big_o_estimate"]) == (4, 4, "O(n^3)")
+
+
+def test_ast_udtf_lateral(spark):
+    from codescope.operators.codefacts import register_ast_udtf
+    register_ast_udtf(spark)
+    spark.createDataFrame(list(enumerate(SOURCES)), "solution_id long, code string").createOrReplaceTempView("srcs")
+    got = {r["solution_id"]: r["n"] for r in spark.sql(
+        "SELECT s.solution_id, count(n.node_type) AS n FROM srcs s, LATERAL ast_nodes(s.code) n "
+        "GROUP BY s.solution_id").collect()}
+    assert [got[i] for i in range(8)] == [e[0] for e in EXPECTED]
