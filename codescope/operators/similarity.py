@@ -205,3 +205,28 @@ def model_pair_similarity(solutions: DataFrame, hist: DataFrame, vectors: DataFr
                               F.when(F.col("n_embedding_pairs") > 0, esum / F.col("n_embedding_pairs"))))
         cols += ["n_embedding_pairs", "embedding_similarity_mean"]
     return out.select(*cols)
+
+
+# ------------------------------------------------------------------ native alternatives to X11
+SHINGLE = 3
+
+
+def levenshtein_ratio(a: Column, b: Column) -> Column:
+    """JVM-side alternative to the character ratio: 1 - edit distance / longer length."""
+    longest = F.greatest(F.length(a), F.length(b))
+    return F.when(longest == 0, F.lit(1.0)).otherwise(1.0 - F.levenshtein(a, b) / longest)
+
+
+def shingles(text: Column, k: int = SHINGLE) -> Column:
+    """Distinct character k-grams (texts shorter than k give themselves)."""
+    n = F.length(text)
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))),
+                        lambda i: F.substring(text, i, k))
+    return F.array_distinct(grams)
+
+
+def shingle_jaccard(a: Column, b: Column, k: int = SHINGLE) -> Column:
+    """JVM-side alternative: Jaccard of character k-gram sets (two empty texts → 1.0)."""
+    sa, sb = shingles(a, k), shingles(b, k)
+    union = F.size(F.array_union(sa, sb))
+    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(sa, sb)) / union)

@@ -117,3 +117,26 @@ def test_representative_pairs_plan_has_no_cartesian(spark):
 def test_difflib_orientation_matches_stdlib():
     a, b = "x" * 250 + "abc", "abc" + "x" * 250
     assert SIM._ratio(a, b) == difflib.SequenceMatcher(None, a, b).ratio()
+
+
+def test_native_alternatives(spark):
+    df = spark.createDataFrame([("kitten", "sitting"), ("", ""), ("abcd", "abcd"), ("abcd", "xyz")], "a string, b string")
+    got = df.select(SIM.levenshtein_ratio(F.col("a"), F.col("b")).alias("l"),
+                    SIM.shingle_jaccard(F.col("a"), F.col("b")).alias("j")).collect()
+    assert got[0]["l"] == pytest.approx(1 - 3 / 7) and got[1]["l"] == 1.0 and got[2]["j"] == 1.0
+    assert got[3]["j"] == 0.0
+    # kitten/sitting trigrams: {kit,itt,tte,ten} vs {sit,itt,tti,tin,ing} → 1 shared of 8
+    assert got[0]["j"] == pytest.approx(1 / 8)
+
+
+def test_embed_with_seam(spark):
+    from codescope.operators.clustering import embed_with
+    calls = []
+
+    def load():
+        calls.append(1)
+        return lambda texts: [[float(len(t)), 1.0] for t in texts]
+
+    df = spark.createDataFrame([(1, "ab"), (2, None)], "id long, t string")
+    out = {r["id"]: r["vector"] for r in embed_with(df, "id", "t", load, 2).collect()}
+    assert out == {1: [2.0, 1.0], 2: [0.0, 1.0]}
