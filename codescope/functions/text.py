@@ -109,18 +109,36 @@ TOKEN_RE_ASCII_B = ("(#[^" + JS_EOL + "]*)"
                     "|(\\b[A-Za-z_][A-Za-z0-9_]*\\b)"
                     "|([^" + JS_WS + "])")
 # … and for the JVM, whose \b is Unicode-aware on Java 17: the ASCII boundary spelled out.
-ASCII_WORD_BOUNDARY = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
-TOKEN_RE = TOKEN_RE_ASCII_B.replace("\\b", ASCII_WORD_BOUNDARY)
+# Before a digit or letter a boundary just means "no word character before"; after a maximal
+# word run it always holds; after a number it depends on whether the number ends in '.'.
+_W = "[A-Za-z0-9_]"
+TOKEN_RE = ("(#[^" + JS_EOL + "]*)"
+            "|('(?:[^'\\\\]|\\\\[^" + JS_EOL + "])*'|\"(?:[^\"\\\\]|\\\\[^" + JS_EOL + "])*\")"
+            "|((?<!" + _W + ")[0-9]+\\.?[0-9]*(?:(?<=[0-9])(?!" + _W + ")|(?<=\\.)(?=" + _W + ")))"
+            "|((?<!" + _W + ")[A-Za-z_][A-Za-z0-9_]*)"
+            "|([^" + JS_WS + "])")
 
 
 def token_profile(text: Column) -> Column:
-    """Counts per token class: comment, string, number, keyword, name, punct."""
+    """Counts per token class: comment, string, number, keyword, name, punct.
+
+    Three regex passes (all tokens, number group, word group) instead of one
+    per class: a token starting with '#' can only be a comment and one
+    starting with a quote and longer than one character only a string, so
+    those two classes are read off the full matches; single characters are
+    ambiguous between classes, so numbers and words come from their groups;
+    punctuation is the remainder.
+    """
     def grp(i: int) -> Column:
         return F.filter(F.regexp_extract_all(text, F.lit(TOKEN_RE), i), lambda s: s != "")
+    tokens = F.regexp_extract_all(text, F.lit(TOKEN_RE), 0)
+    n_comment = F.size(F.filter(tokens, lambda t: t.startswith("#")))
+    n_string = F.size(F.filter(tokens, lambda t: (t.startswith("'") | t.startswith('"')) & (F.length(t) > 1)))
+    n_number = F.size(grp(3))
     words = grp(4)
     kw = F.array(*[F.lit(k) for k in PY_KEYWORDS])
     n_kw = F.size(F.filter(words, lambda w: F.array_contains(kw, w)))
     return F.struct(
-        F.size(grp(1)).alias("comments"), F.size(grp(2)).alias("strings"),
-        F.size(grp(3)).alias("numbers"), n_kw.alias("keywords"),
-        (F.size(words) - n_kw).alias("names"), F.size(grp(5)).alias("punct"))
+        n_comment.alias("comments"), n_string.alias("strings"), n_number.alias("numbers"),
+        n_kw.alias("keywords"), (F.size(words) - n_kw).alias("names"),
+        (F.size(tokens) - n_comment - n_string - n_number - F.size(words)).alias("punct"))
