@@ -52,3 +52,59 @@ def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
 def keyed_texts(docs: DataFrame) -> DataFrame:
     """The two columns the text operators read: ``doc_id`` and ``text`` (null text: empty)."""
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+class WordRows:
+    """A row of numbers per distinct word, kept between texts; forgets everything beyond ``limit`` words."""
+
+    def __init__(self, width: int, compute, limit: int):
+        import numpy as np
+        self.compute, self.limit = compute, limit
+        self.known: dict[str, int] = {}
+        self.rows = np.zeros((1024, width), np.float32)
+
+    def index(self, words: list[str]):
+        """Row numbers of ``words``; valid until the next call."""
+        import numpy as np
+        known = self.known
+        at = [known.get(w, -1) for w in words]
+        if -1 in at:
+            if len(known) + len(words) > self.limit:
+                known.clear()
+            new = list(dict.fromkeys(w for w in words if w not in known))
+            n = len(known)
+            while n + len(new) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[n:n + len(new)] = self.compute(new)
+            known.update(zip(new, range(n, n + len(new))))
+            at = [known[w] for w in words]
+        return np.array(at, np.int64)
+
+
+def byte_matrix(words: list[str], width: int):
+    """Words as rows of UTF-8 bytes between ``<`` and ``>``, zero-padded; longer words keep their first bytes."""
+    import numpy as np
+    rows = [b"<" + w.encode("utf-8", "surrogatepass") + b">" for w in words]
+    return np.array(rows, dtype=f"S{width}").view(np.uint8).reshape(len(rows), width)
+
+
+def gram_buckets(m, k: int, buckets: int):
+    """Bucket of every run of ``k`` bytes of each row of a byte matrix; -1 where the row has ended."""
+    import numpy as np
+    n = m.shape[1] - k + 1
+    h = np.full((len(m), n), k, np.uint32)
+    for j in range(k):
+        h = (h ^ m[:, j:j + n]) * np.uint32(16777619)
+    h ^= h >> np.uint32(15)
+    return np.where(m[:, k - 1:] != 0, (h % np.uint32(buckets)).astype(np.int32), -1)
+
+
+_kept: dict = {}
+
+
+def kept(key: str, make):
+    """One object per worker process for ``key``, so its lookups outlive a task; a new key replaces it."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]

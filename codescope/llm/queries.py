@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from codescope.llm import chat, licenses, packing
+from codescope.llm import chat, fingerprints, langid, licenses, packing, toxicity
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op2_license_scan": licenses.op2_license_scan,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_language_id": langid.op9_language_id,
+    "op10_fingerprints": fingerprints.op10_fingerprints,
 }
 
 
@@ -15,4 +18,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_formatting": chat.op1_sql(),
         "op2_license_scan": licenses.op2_sql(),
+        "op10_fingerprints": fingerprints.op10_sql(),
     }
