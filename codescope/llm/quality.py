@@ -34,9 +34,9 @@ MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 UNIT = 1 << 14
 SHARE_NUM, SHARE_DEN = 3, 4
 STEPS = 3
-CUTOFF = 40.0
+CUTOFF = 36.0
 #: Least standard deviation of each transformed statistic.
-FLOOR = (0.08, 0.06, 0.08, 0.08)
+FLOOR = (0.08, 0.08, 0.13, 0.13)
 BIN = 32
 
 
@@ -92,9 +92,8 @@ def verdict_sql(stats: str, tag: str = "", cutoff: float = CUTOFF,
     """
     d, v = len(FLOOR), range(len(FLOOR))
     pairs = [(i, j) for i in v for j in v if j <= i]
-    over = "NULLIF(word_chars, 0)"
     values = ["ln(CAST(NULLIF(word_chars, 0) AS DOUBLE) / NULLIF(n_words, 0))",
-              f"sqrt(CAST(n_symbols AS DOUBLE) / {over})",
+              "sqrt(CAST(n_symbols AS DOUBLE) / NULLIF(n_words, 0))",
               "sqrt(CAST(n_dup_lines AS DOUBLE) / NULLIF(n_lines, 0))",
               "sqrt(CAST(n_repeat_words AS DOUBLE) / NULLIF(n_words, 0))"]
     T = tag
