@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from codescope.llm import chat, fingerprints, langid, licenses, packing, quality, toxicity
+from codescope.llm import chat, fingerprints, jaccard_join, langid, licenses, packing, quality, toxicity
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op2_license_scan": licenses.op2_license_scan,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_ngram_jaccard_join": jaccard_join.op7_ngram_jaccard_join,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_language_id": langid.op9_language_id,
     "op10_fingerprints": fingerprints.op10_fingerprints,
@@ -20,5 +21,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_chat_formatting": chat.op1_sql(),
         "op2_license_scan": licenses.op2_sql(),
         "op6_quality_rules": quality.op6_sql(),
+        "op7_ngram_jaccard_join": jaccard_join.op7_sql(),
         "op10_fingerprints": fingerprints.op10_sql(),
     }
