@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from codescope.llm import chat, fingerprints, jaccard_join, langid, licenses, packing, quality, toxicity
+from codescope.llm import chat, fingerprints, jaccard_join, langid, licenses, packing, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op2_license_scan": licenses.op2_license_scan,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_ngram_jaccard_join": jaccard_join.op7_ngram_jaccard_join,
