@@ -303,3 +303,13 @@ e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r(doc_id, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id WHERE r.c < e.b)
 SELECT doc_id, n.n::BIGINT AS n_shingles, min(r.c) AS component_id
 FROM n JOIN r USING (doc_id) GROUP BY doc_id, n.n"""
+
+
+def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` whose document is the smallest of its component; of repeated ids one row stays."""
+    found, _ = similarity_components(docs, percent)
+    gone = materialise(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    kept = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from codescope.llm import chat, fingerprints, jaccard_join, langid, licenses, packing, quality, suffix_dedup, toxicity
+from codescope.llm import chat, fingerprints, jaccard_join, langid, licenses, mixing, packing, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op2_license_scan": licenses.op2_license_scan,
+    "op3_mixing": mixing.op3_mixing,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality_rules": quality.op6_quality_rules,
@@ -21,6 +22,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_formatting": chat.op1_sql(),
         "op2_license_scan": licenses.op2_sql(),
+        "op3_mixing": mixing.op3_sql(),
         "op6_quality_rules": quality.op6_sql(),
         "op7_ngram_jaccard_join": jaccard_join.op7_sql(),
         "op10_fingerprints": fingerprints.op10_sql(),

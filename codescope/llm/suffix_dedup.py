@@ -401,3 +401,27 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changed.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
                           ).unionByName(same).withColumn(
         "doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated bytes cut out of ``text`` (a code point cut in two goes as a whole) and ``n_chars`` anew.
+
+    Rows without marks are passed on as they are; all rows stay, empty ones too.
+    """
+    changed, ids = dedup(docs)
+
+    def run(batches):
+        for b in batches:
+            yield {"__id": b.column(0), "__text": [k.as_py().decode("utf-8", "ignore") for k in b.column(1)]}
+
+    new = map_batches(changed.select("doc_id", "kept"), run, "__id bigint, __text string")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    key = F.coalesce("doc_id", F.lit(NO_ID))
+    marked = ids.select(F.col("doc_id").alias("__marked"))
+    columns = {"text": F.col("__text")} | ({"n_chars": F.char_length("__text").cast(dict(docs.dtypes)["n_chars"])}
+                                      if "n_chars" in docs.columns else {})
+    touched = docs.drop("text").withColumn("__key", key).join(marked, F.col("__key") == F.col("__marked"), "left_semi")
+    touched = touched.join(new, F.col("__key") == F.col("__id")).select(
+        *(columns.get(c, F.col(c)).alias(c) for c in docs.columns))
+    same = docs.join(marked, key == F.col("__marked"), "left_anti")
+    return same.unionByName(touched)
