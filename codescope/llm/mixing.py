@@ -50,6 +50,8 @@ def domain_sql(regex_number: str) -> str:
 
 def weight_sql(level: str, weights: dict) -> str:
     listed, default = weights[level]
+    if not listed:
+        return str(default)
     return f"CASE {level} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in listed.items()) + f" ELSE {default} END"
 
 

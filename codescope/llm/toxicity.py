@@ -37,7 +37,7 @@ WORD_BUCKETS, CHAR_BUCKETS, DIM = 1 << 14, 1 << 12, 12
 HIDDEN = 8
 PER_CLASS = 1500
 SLICE = 20_000
-ROUNDS, EPOCHS, BATCH, RATE = 2, 4, 128, 0.01
+ROUNDS, EPOCHS, BATCH, RATE = 3, 3, 128, 0.01
 #: Share of toxic training documents without evidence (likely mislabelled) left out, and of words hidden in training.
 TRIM, HIDE = 0.1, 0.25
 CACHE = 200_000
@@ -267,7 +267,7 @@ def train(texts: list[str], labels: list[int], prior: float, seed: int = 11) ->
             if label and r.max() < floor:
                 continue
             order = np.argsort(-r, kind="stable")
-            rows = order[:1] if label else np.unique(np.r_[order[:1], rng.integers(0, len(a), 2)])
+            rows = order[:1] if label else np.unique(np.r_[order[:2], rng.integers(0, len(a), 2)])
             pick.append(a[rows])
             y += [int(label)] * len(rows)
         pick, y = np.concatenate(pick), np.array(y, np.float32)
