@@ -20,9 +20,10 @@ ERROR_SYNTAX = ("SyntaxError", "syntax_error")
 ERROR_MEMORY = ("MemoryError", "memory_error")
 ERROR_EXCEPTION_MARKERS = ("Traceback", "Error")
 ERROR_EXCEPTION = "exception"
+# ------------------------------------------------------------------------------------
+
 HARNESS_HEADER = ('"""Generated test harness."""\n'
                   "import json\nfrom solution import *  # noqa: F401,F403\n\n")
-# ------------------------------------------------------------------------------------
 
 
 def classify_error(stderr: Column, timed_out: Column) -> Column:
@@ -39,12 +40,13 @@ def parse_report(report_json: Column, stdout: Column, stderr: Column, timed_out:
                  wall_time: Column) -> Column:
     """A struct matching the execution row.
 
-    Timeout or missing report → zeros and runtime = wall time; otherwise
+    Timeout, missing or malformed report → zeros and runtime = wall time; otherwise
     counts from the report summary, runtime = duration or wall time, error
     NULL when passed = total. ``report_missing`` tells 0-of-0 rows apart.
     """
     rep = F.from_json(report_json, TEST_REPORT)
-    missing = timed_out.eqNullSafe(True) | report_json.isNull()
+    # text that is no JSON is a missing report, too (permissive parsing would read it as 0 of 0, passed)
+    missing = timed_out.eqNullSafe(True) | F.try_parse_json(report_json).isNull()
     total = F.coalesce(rep["summary"]["total"], F.lit(0))
     passed = F.coalesce(rep["summary"]["passed"], F.lit(0))
     rate = F.coalesce(F.try_divide(passed.cast("double"), total.cast("double")), F.lit(0.0))

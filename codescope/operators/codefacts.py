@@ -1,10 +1,9 @@
-"""X1 code → AST node table; A9–A13, X3–X5 as native aggregates over it.
+"""X1 code → AST node table; A9–A13, X3–X5 as expressions over per-source node types.
 
-The only Python is the parse itself (stdlib ``ast``) inside ``mapInArrow``:
-it turns each source into flat fact rows in Arrow batches. Every metric is
-then one ``groupBy(solution_id)`` whose partial aggregation runs in the same
-task that produced the nodes (all nodes of a solution come from one task),
-so the shuffle carries one row per solution, not one per node.
+The only Python is the parse itself (stdlib ``ast``) inside ``mapInArrow``. ``node_table``
+gives a row per node; ``source_facts`` gives a row per source with the same rows already
+summed by node type, from which every metric is a native expression. One parse serves the histogram, the
+error and the metrics, and nothing is shuffled for them.
 
 Metric definitions (ours, pinned by unit tests; see README):
 - depth counts the module as 1; context nodes (Load/Store) are counted;
@@ -62,19 +61,39 @@ def _weight(node: ast.AST) -> int:
     return 0
 
 
-def _halstead(node: ast.AST) -> tuple[list[str] | None, list[str] | None]:
+def _structure_ids(order: list[ast.AST]) -> dict[int, int]:
+    """One number per node (by ``id``), equal for nodes of equal structure.
+
+    ``order`` is a pre-order, so children come first in reverse: each node's key is its class
+    and its children's numbers, which is linear and needs no recursion.
+    """
+    known: dict[tuple, int] = {}
+    ids: dict[int, int] = {}
+    for node in reversed(order):
+        key: list = [type(node)]
+        for field in node._fields:
+            value = getattr(node, field, None)
+            if isinstance(value, ast.AST):
+                key.append(ids[id(value)])
+            elif isinstance(value, list):
+                key.append(tuple(ids[id(v)] if isinstance(v, ast.AST) else repr(v) for v in value))
+            else:
+                key.append(repr(value))
+        ids[id(node)] = known.setdefault(tuple(key), len(known))
+    return ids
+
+
+def _halstead(node: ast.AST, ids: dict[int, int]) -> tuple[list[str], list[int]]:
+    """Operators and operands (by structure) of one expression node."""
     if isinstance(node, ast.BinOp):
-        return [type(node.op).__name__], [ast.dump(node.left), ast.dump(node.right)]
+        return [type(node.op).__name__], [ids[id(node.left)], ids[id(node.right)]]
     if isinstance(node, ast.UnaryOp):
-        return [type(node.op).__name__], [ast.dump(node.operand)]
+        return [type(node.op).__name__], [ids[id(node.operand)]]
     if isinstance(node, ast.BoolOp):
-        return [type(node.op).__name__] * (len(node.values) - 1), [ast.dump(v) for v in node.values]
+        return [type(node.op).__name__] * (len(node.values) - 1), [ids[id(v)] for v in node.values]
     if isinstance(node, ast.AugAssign):
-        return [type(node.op).__name__], [ast.dump(node.target), ast.dump(node.value)]
-    if isinstance(node, ast.Compare):
-        return ([type(o).__name__ for o in node.ops],
-                [ast.dump(node.left)] + [ast.dump(c) for c in node.comparators])
-    return None, None
+        return [type(node.op).__name__], [ids[id(node.target)], ids[id(node.value)]]
+    return [type(o).__name__ for o in node.ops], [ids[id(node.left)]] + [ids[id(c)] for c in node.comparators]
 
 
 _N_FIELDS = len(NODE_FIELDS)
@@ -95,221 +114,221 @@ def _info(cls: type) -> tuple:
     return info
 
 
-def emit_facts(code: str | None, cols: list[list]) -> int:
-    """Append the NODE_FIELDS columns of one source to ``cols``; returns the row count.
+def _error_row(exc: BaseException) -> tuple:
+    return (None, None, 0, 0, -1, None, None, None, 0, None, None, 0, None, 0, 0, 0, 0, f"{type(exc).__name__}: {exc}")
 
-    Parse failures (any exception: SyntaxError, ValueError, RecursionError…)
-    give one row with only ``parse_error`` set.
-    """
-    try:
-        tree = ast.parse(code if code is not None else "")
-    except Exception as exc:
-        row = (None, None, 0, 0, -1, None, None, None, 0, None, None, 0, None, 0, 0, 0, 0,
-               f"{type(exc).__name__}: {exc}")
-        for j in range(_N_FIELDS):
-            cols[j].append(row[j])
-        return 1
-    (c_id, c_parent, c_depth, c_loop, c_block, c_type, c_name, c_call, c_w, c_doc, c_stmt,
-     c_str, c_local, c_nops, c_nopnds, c_newops, c_newopnds, c_err) = cols
-    start = len(c_id)
-    fn_names: set[str] = set()
-    call_rows: list[tuple[int, str]] = []
-    seen_ops: set[str] = set()
-    seen_opnds: set[str] = set()
-    stack = [(tree, -1, 1, 0, -1)]          # iterative pre-order: no recursion limit
-    nid = 0
-    iter_children = ast.iter_child_nodes
+
+def node_rows(code: str | None) -> Iterator[tuple]:
+    """The NODE_FIELDS of every node of one source in pre-order (no recursion over the tree)."""
+    tree = ast.parse(code if code is not None else "")
+    order: list[tuple] = []
+    nodes: list[ast.AST] = []
+    stack = [(tree, -1, 1, 0, -1)]
+    functions: set[str] = set()
+    any_hal = False
     while stack:
         node, parent, depth, loops, block = stack.pop()
-        name, is_loop, is_block, is_func, is_stmt, is_call, is_expr, weighted, hal = _info(type(node))
-        loop_depth = loops + 1 if is_loop else loops
-        c_id.append(nid)
-        c_parent.append(parent)
-        c_depth.append(depth)
-        c_loop.append(loop_depth)
-        c_block.append(block)
-        c_type.append(name)
-        c_name.append(node.name if is_block else None)
-        if is_func:
-            fn_names.add(node.name)
+        info = _info(type(node))
+        nid = len(order)
+        loop_depth = loops + 1 if info[1] else loops
+        if info[3]:
+            functions.add(node.name)
+        any_hal = any_hal or info[8]
+        order.append((nid, parent, depth, loop_depth, block, info))
+        nodes.append(node)
+        own = nid if info[2] else block
+        for child in reversed(list(ast.iter_child_nodes(node))):
+            stack.append((child, nid, depth + 1, loop_depth, own))
+    ids = _structure_ids(nodes) if any_hal else {}
+    seen_ops: set[str] = set()
+    seen_operands: set[int] = set()
+    for node, (nid, parent, depth, loop_depth, block, info) in zip(nodes, order):
+        name, _, is_block, is_func, is_stmt, is_call, is_expr, weighted, hal = info
         call = node.func.id if is_call and type(node.func) is ast.Name else None
-        c_call.append(call)
-        if call is not None:
-            call_rows.append((start + nid, call))
-        c_w.append(_weight(node) if weighted else 0)
-        c_doc.append(bool(ast.get_docstring(node)) if is_func else None)
-        c_stmt.append(is_stmt)
+        text = 0
         if is_expr and type(node.value) is ast.Constant and isinstance(node.value.value, str):
-            c_str.append((node.end_lineno or node.lineno) - node.lineno + 1)
-        else:
-            c_str.append(0)
-        c_local.append(False if is_call else None)
+            text = (node.end_lineno or node.lineno) - node.lineno + 1
+        n_ops = n_operands = new_ops = new_operands = 0
         if hal:
-            ops, operands = _halstead(node)
-            c_nops.append(len(ops))
-            c_nopnds.append(len(operands))
-            new_o = {o for o in ops if o not in seen_ops}
-            new_d = {o for o in operands if o not in seen_opnds}
-            seen_ops |= new_o
-            seen_opnds |= new_d
-            c_newops.append(len(new_o))
-            c_newopnds.append(len(new_d))
-        else:
-            c_nops.append(0)
-            c_nopnds.append(0)
-            c_newops.append(0)
-            c_newopnds.append(0)
-        c_err.append(None)
-        own_block = nid if is_block else block
-        children = list(iter_children(node))
-        for child in reversed(children):
-            stack.append((child, nid, depth + 1, loop_depth, own_block))
-        nid += 1
-    for row, call in call_rows:          # a plain-name call to a function defined in this source
-        if call in fn_names:
-            c_local[row] = True
-    return nid
+            ops, operands = _halstead(node, ids)
+            n_ops, n_operands = len(ops), len(operands)
+            before = len(seen_ops), len(seen_operands)
+            seen_ops.update(ops)
+            seen_operands.update(operands)
+            new_ops, new_operands = len(seen_ops) - before[0], len(seen_operands) - before[1]
+        yield (nid, parent, depth, loop_depth, block, name, node.name if is_block else None, call,
+               _weight(node) if weighted else 0, bool(ast.get_docstring(node, clean=False)) if is_func else None, is_stmt,
+               text, (call in functions) if is_call else None, n_ops, n_operands, new_ops, new_operands, None)
+
+
+def guarded_rows(code: str | None) -> list[tuple]:
+    """All rows of one source, or the one error row if anything fails on it (also after the parse)."""
+    try:
+        return list(node_rows(code))
+    except Exception as exc:
+        return [_error_row(exc)]
 
 
 def parse_facts(code: str | None) -> list[tuple]:
-    """Rows of NODE_FIELDS for one source (row form of ``emit_facts``)."""
-    cols: list[list] = [[] for _ in range(_N_FIELDS)]
-    emit_facts(code, cols)
-    return list(zip(*cols))
+    """Rows of NODE_FIELDS for one source."""
+    return guarded_rows(code)
 
 
 def spread(df: DataFrame, id_col: str) -> DataFrame:
-    """Hash-partition by id when the input has fewer partitions than cores.
+    """Hash-partition by id when the input has fewer files than the cluster has cores.
 
     CPU-heavy per-row work (parsing, regex line splits) must not run in one
-    task just because the source is one small file; a large scan keeps its
-    own partitions and pays no extra shuffle.
+    task just because the source is one small file; a scan of many files keeps its
+    own partitions and pays no shuffle. Only the file listing is looked at: no job runs.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    if len(df.inputFiles()) < cores:
         # the shuffle-partition count when it covers the cores, so a later
         # join/aggregation on the same id reuses this hash partitioning
-        n = max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        return df.repartition(n, id_col)
+        return df.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), id_col)
     return df
 
 
+OUT_ROWS = 65_536
+
+
 def node_table(df: DataFrame, id_col: str = "solution_id", code_col: str = "code",
                carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, carried columns…, NODE_FIELDS…) via Arrow batches; never fails a job.
 
-    The parse is CPU-bound Python, so the input must be spread over tasks: a
-    scan that yields fewer partitions than the cluster has cores (one small
-    file, one row group) is hash-partitioned by id first; a large scan keeps
-    its own partitions and pays no extra shuffle.
+    Output batches hold about ``OUT_ROWS`` nodes, however many sources an input batch has.
     """
     src = spread(df.select(id_col, code_col, *carry), id_col)
-    id_type = df.schema[id_col].dataType
-    carry_fields = [df.schema[c] for c in carry]
-    out_schema = T.StructType([T.StructField(id_col, id_type)] + carry_fields
-                              + [T.StructField(n, t) for n, t in NODE_FIELDS])
+    out_schema = T.StructType([df.schema[c] for c in (id_col, *carry)] + [T.StructField(n, t) for n, t in NODE_FIELDS])
     node_arrow = [pa.field(n, _ARROW[t]) for n, t in NODE_FIELDS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
         for batch in batches:
-            codes = batch.column(code_col).to_pylist()
-            cols: list[list] = [[] for _ in range(_N_FIELDS)]
-            counts = np.fromiter((emit_facts(c, cols) for c in codes), dtype=np.int64, count=len(codes))
-            take = pa.array(np.repeat(np.arange(len(codes)), counts))
-            head = [batch.column(c).take(take) for c in [id_col, *carry]]
-            body = [pa.array(c, type=f.type) for c, f in zip(cols, node_arrow)]
-            yield pa.RecordBatch.from_arrays(head + body, names=[id_col, *carry] + [f.name for f in node_arrow])
+            rows: list[tuple] = []
+            take: list[int] = []
+
+            def flush():
+                head = [batch.column(c).take(pa.array(take, pa.int64())) for c in (id_col, *carry)]
+                body = [pa.array(c, type=f.type) for c, f in zip(zip(*rows), node_arrow)]
+                return pa.RecordBatch.from_arrays(head + body, names=[id_col, *carry] + [f.name for f in node_arrow])
+
+            for i, code in enumerate(batch.column(code_col)):
+                got = guarded_rows(code.as_py())
+                rows += got
+                take += [i] * len(got)
+                if len(rows) >= OUT_ROWS:
+                    yield flush()
+                    rows.clear()
+                    take.clear()
+            if rows:
+                yield flush()
 
     return src.mapInArrow(run, out_schema)
 
 
-def node_type_table(df: DataFrame, id_col: str = "solution_id", code_col: str = "code") -> DataFrame:
-    """X1, lean form: (id, node_type, parse_error) — one row per node, node_type only.
+TYPE_FIELDS = ("n", "max_depth", "max_loop", "weight", "block_weight", "documented", "stmts", "string_lines",
+               "calls_local", "n_ops", "n_operands", "new_ops", "new_operands")
+TYPE_STRUCT = "struct<node_type:string," + ",".join(f"{f}:int" for f in TYPE_FIELDS) + ">"
+
+
+def type_counts(code: str | None) -> tuple[str | None, dict[str, list[int]]]:
+    """(parse error, per node type the TYPE_FIELDS) of one source: X1's rows summed while they are walked."""
+    out: dict[str, list[int]] = {}
+    try:
+        for (_, _, depth, loop, block, name, _, _, weight, doc, stmt, text, local, ops, operands, new_ops,
+             new_operands, _) in node_rows(code):
+            t = out.get(name)
+            if t is None:
+                t = out[name] = [0] * len(TYPE_FIELDS)
+            t[0] += 1
+            t[1] = max(t[1], depth)
+            t[2] = max(t[2], loop)
+            if weight:
+                t[3] += weight
+                if block >= 0:
+                    t[4] += weight
+            t[5] += bool(doc)
+            t[6] += stmt
+            t[7] += text
+            t[8] += bool(local)
+            if ops:
+                t[9] += ops
+                t[10] += operands
+                t[11] += new_ops
+                t[12] += new_operands
+    except Exception as exc:
+        return f"{type(exc).__name__}: {exc}", {}
+    return None, out
+
 
-    For consumers that need the histogram alone (A9, J3, J7, X12): the same
-    parse and the same node set as ``node_table``, a fraction of the columns.
+def source_facts(df: DataFrame, id_col: str = "solution_id", code_col: str = "code",
+                 carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, carried columns…, parse_error, types): one parse, one row per source.
+
+    ``types`` holds a TYPE_STRUCT per node type, some tens at most. Histogram, error and every
+    metric come from this row by expressions, without a shuffle.
     """
-    src = spread(df.select(id_col, code_col), id_col)
-    id_type = df.schema[id_col].dataType
-    out_schema = T.StructType([T.StructField(id_col, id_type), T.StructField("node_type", T.StringType()),
-                               T.StructField("parse_error", T.StringType())])
+    src = spread(df.select(id_col, code_col, *carry), id_col)
+    out_schema = T.StructType([df.schema[c] for c in (id_col, *carry)]).add("parse_error", "string").add(
+        "types", T._parse_datatype_string(f"array<{TYPE_STRUCT}>"))
+    item = pa.struct([("node_type", pa.string())] + [(f, pa.int32()) for f in TYPE_FIELDS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-        walk = ast.walk
         for batch in batches:
-            codes = batch.column(code_col).to_pylist()
-            types: list = []
-            errors: list = []
-            counts = np.zeros(len(codes), dtype=np.int64)
-            for i, code in enumerate(codes):
-                try:
-                    tree = ast.parse(code if code is not None else "")
-                except Exception as exc:
-                    types.append(None)
-                    errors.append(f"{type(exc).__name__}: {exc}")
-                    counts[i] = 1
-                    continue
-                before = len(types)
-                types.extend(type(n).__name__ for n in walk(tree))
-                counts[i] = len(types) - before
-                errors.extend([None] * int(counts[i]))
-            take = pa.array(np.repeat(np.arange(len(codes)), counts))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(id_col).take(take), pa.array(types, pa.string()), pa.array(errors, pa.string())],
-                names=[id_col, "node_type", "parse_error"])
+            for k in range(0, batch.num_rows, 4096):
+                part = batch.slice(k, 4096)
+                errors, cut, names, values = [], [0], [], []
+                for code in part.column(code_col):
+                    error, types = type_counts(code.as_py())
+                    errors.append(error)
+                    names += types
+                    values += types.values()
+                    cut.append(len(names))
+                columns = zip(*values) if values else [()] * len(TYPE_FIELDS)
+                flat = pa.StructArray.from_arrays(
+                    [pa.array(names, pa.string())] + [pa.array(c, pa.int32()) for c in columns], fields=list(item))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(c) for c in (id_col, *carry)]
+                    + [pa.array(errors, pa.string()), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), flat)],
+                    names=[id_col, *carry, "parse_error", "types"])
 
     return src.mapInArrow(run, out_schema)
 
 
-def _is(node_types: tuple[str, ...]) -> Column:
-    return F.col("node_type").isin(*node_types)
+def _total(field: str, *node_types: str) -> Column:
+    """Sum of one TYPE_FIELD over all node types, or over the given ones."""
+    return F.aggregate("types", F.lit(0), lambda a, t: a + (
+        F.when(t["node_type"].isin(*node_types), t[field]).otherwise(0) if node_types else t[field]))
+
+
+def _highest(field: str) -> Column:
+    return F.aggregate("types", F.lit(0), lambda a, t: F.greatest(a, t[field]))
 
 
 def code_facts(df: DataFrame, id_col: str = "solution_id", code_col: str = "code") -> DataFrame:
-    """A9–A13 + A15 + X3 + X5 per solution in one aggregation over X1.
+    """A9–A13 + A15 + X3 + X5 per solution, as expressions over the source's node types.
 
-    Line counts are JVM expressions on the source, carried through X1 on
-    every row and taken back with ``max`` (no join with the source table).
+    Line counts are JVM expressions on the source, computed before the parse and carried along.
     """
-    src = spread(df.select(id_col, code_col), id_col).select(
-                    id_col, code_col,
-                    line_count(F.col(code_col)).alias("code_length"),
+    src = df.select(id_col, code_col, line_count(F.col(code_col)).alias("code_length"),
                     nonblank_line_count(F.col(code_col)).alias("lines_of_code"))
-    nodes = node_table(src, id_col, code_col, carry=("code_length", "lines_of_code"))
-    is_fn = _is(("FunctionDef", "AsyncFunctionDef"))
-    is_block = _is(("FunctionDef", "AsyncFunctionDef", "ClassDef"))
-    agg = nodes.groupBy(id_col).agg(
-        F.max("code_length").alias("code_length"),
-        F.max("lines_of_code").alias("lines_of_code"),
-        F.max("parse_error").alias("parse_error"),
-        F.count("node_type").cast("int").alias("n_nodes"),
-        F.max("depth").alias("max_depth"),
-        F.count_if(is_fn).cast("int").alias("function_count"),
-        F.count_if(_is(("For", "While"))).cast("int").alias("loop_count"),
-        F.max("loop_depth").alias("loop_nesting_depth"),
-        F.count_if(F.col("node_type") == "If").cast("int").alias("branch_count"),
-        F.max("calls_local").alias("_recursive"),
-        F.count_if(is_fn & F.col("has_docstring")).alias("_documented"),
-        F.count_if(is_block).alias("_blocks"),
-        F.sum(F.when(F.col("block_id") >= 0, F.col("cc_weight")).otherwise(0)).alias("_block_w"),
-        F.sum("cc_weight").alias("_all_w"),
-        F.sum("n_ops").alias("_tot_ops"),
-        F.sum("n_operands").alias("_tot_opnds"),
-        F.sum("new_ops").alias("_uniq_ops"),
-        F.sum("new_operands").alias("_uniq_opnds"),
-        F.count_if(F.col("is_stmt")).alias("_stmts"),
-        F.sum("string_lines").alias("_str_lines"),
-    )
+    src = source_facts(src, id_col, code_col, carry=("code_length", "lines_of_code"))
+    functions = ("FunctionDef", "AsyncFunctionDef")
+    agg = src.select(
+        id_col, "code_length", "lines_of_code", "parse_error", _total("n").alias("n_nodes"),
+        _highest("max_depth").alias("max_depth"), _total("n", *functions).alias("function_count"),
+        _total("n", "For", "While").alias("loop_count"), _highest("max_loop").alias("loop_nesting_depth"),
+        _total("n", "If").alias("branch_count"), (_total("calls_local") > 0).alias("recursion_detected"),
+        _total("documented").alias("_documented"), _total("n", *functions, "ClassDef").alias("_blocks"),
+        _total("block_weight").alias("_block_w"), _total("weight").alias("_all_w"),
+        _total("n_ops").alias("_tot_ops"), _total("n_operands").alias("_tot_opnds"),
+        _total("new_ops").alias("_uniq_ops"), _total("new_operands").alias("_uniq_opnds"),
+        _total("stmts").alias("_stmts"), _total("string_lines").alias("_str_lines"))
     err = F.col("parse_error").isNotNull()
-    recursive = F.when(err, F.lit(False)).otherwise(F.coalesce("_recursive", F.lit(False)))
     out = agg.select(
-        id_col, "code_length", "lines_of_code", "parse_error", "n_nodes",
-        F.coalesce("max_depth", F.lit(0)).alias("max_depth"), "function_count", "loop_count",
-        F.coalesce("loop_nesting_depth", F.lit(0)).alias("loop_nesting_depth"), "branch_count",
-        F.coalesce(recursive, F.lit(False)).alias("recursion_detected"),
+        id_col, "code_length", "lines_of_code", "parse_error", "n_nodes", "max_depth", "function_count", "loop_count",
+        "loop_nesting_depth", "branch_count", "recursion_detected",
         F.when(err, F.lit(0.0)).when(F.col("function_count") == 0, F.lit(1.0))
          .otherwise(F.col("_documented") / F.col("function_count")).alias("docstring_coverage"),
         F.when(err, F.lit(None).cast("double")).when(F.col("_blocks") == 0, F.lit(1.0))
@@ -351,17 +370,15 @@ def _maintainability(err: Column) -> Column:
              .otherwise(mi))
 
 
-def node_histogram(nodes: DataFrame, id_col: str = "solution_id") -> DataFrame:
-    """A9 long form: (id, node_type, n)."""
-    return (nodes.where(F.col("node_type").isNotNull())
-                 .groupBy(id_col, "node_type").agg(F.count(F.lit(1)).cast("int").alias("n")))
+def node_histogram(facts: DataFrame, id_col: str = "solution_id") -> DataFrame:
+    """A9 long form: (id, node_type, n) from ``source_facts``."""
+    return facts.select(id_col, F.explode("types").alias("t")).select(id_col, "t.node_type", "t.n")
 
 
-def node_counts_map(nodes: DataFrame, id_col: str = "solution_id") -> DataFrame:
+def node_counts_map(facts: DataFrame, id_col: str = "solution_id") -> DataFrame:
     """A9 map form: (id, node_counts MAP<STRING,INT>); parse errors give an empty map."""
-    hist = node_histogram(nodes, id_col)
-    return (hist.groupBy(id_col)
-                .agg(F.map_from_entries(F.collect_list(F.struct("node_type", "n"))).alias("node_counts")))
+    return facts.select(id_col, F.map_from_entries(F.transform(
+        "types", lambda t: F.struct(t["node_type"], t["n"]))).alias("node_counts"))
 
 
 def register_ast_udtf(spark, name: str = "ast_nodes") -> None:
@@ -376,9 +393,7 @@ def register_ast_udtf(spark, name: str = "ast_nodes") -> None:
                      "name string, call_name string, parse_error string")
     class AstNodes:
         def eval(self, code: str | None):
-            cols: list[list] = [[] for _ in range(_N_FIELDS)]
-            emit_facts(code, cols)
-            for r in zip(*cols):
+            for r in guarded_rows(code):
                 yield r[0], r[1], r[2], r[3], r[5], r[6], r[7], r[-1]
 
     spark.udtf.register(name, AstNodes)

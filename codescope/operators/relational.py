@@ -1,8 +1,8 @@
 """Projections, lookups, joins, set logic and paging over the entity tables.
 
 P1–P8, J2, J4–J6, J8, E1–E4, O1–O2. Small dimensions (model registry, rate
-table) are broadcast only after their row count is checked against a bound;
-fact-to-fact joins stay shuffled (sort-merge / AQE skew-split).
+table) carry no hint: the planner and AQE broadcast a side whose bytes are under
+the session's threshold and shuffle otherwise, and no job runs while a plan is built.
 """
 
 from __future__ import annotations
@@ -11,17 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PAGE_DEFAULT, PAGE_CEILING = 50, 100
-BROADCAST_ROW_LIMIT = 1_000_000
-
-
-def small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast-hint a dimension only when its size is proven below ``limit`` rows.
-
-    The check is a bounded count (``limit + 1`` rows at most are scanned);
-    beyond it the plain DataFrame is returned and the planner shuffles.
-    """
-    n = df.limit(limit + 1).count()
-    return F.broadcast(df) if n <= limit else df
 
 
 # ---------------------------------------------------------------- P: lookups
@@ -50,7 +39,7 @@ def solution_summary(solutions: DataFrame, prompts: DataFrame, models: DataFrame
     """Solution + problem statement + model name (J1 shape, projected)."""
     return (solutions.join(prompts.select(F.col("id").alias("prompt_id"), "problem_statement"),
                            "prompt_id", "left")
-                     .join(small(models.select(F.col("id").alias("model_id"),
+                     .join((models.select(F.col("id").alias("model_id"),
                                                F.col("name").alias("model_name"))), "model_id", "left")
                      .select("solution_id", "prompt_id", "problem_statement", "model_name"))
 
@@ -87,7 +76,7 @@ def selection_violations(experiments: DataFrame, models: DataFrame) -> DataFrame
     """
     picked = experiments.select(F.col("id").alias("experiment_id"),
                                 F.explode_outer("selected_models").alias("model_name"))
-    reg = small(models.select(F.col("name").alias("model_name"), "is_active",
+    reg = (models.select(F.col("name").alias("model_name"), "is_active",
                               F.lit(True).alias("_registered")))
     joined = picked.join(reg, "model_name", "left")
     reason = (F.when(F.col("model_name").isNull(), "no_models")
@@ -102,7 +91,7 @@ def selected_registered(experiments: DataFrame, models: DataFrame) -> DataFrame:
     """Selected ∩ active registry (only these are run)."""
     picked = experiments.select(F.col("id").alias("experiment_id"),
                                 F.explode("selected_models").alias("name"))
-    return picked.join(small(active_only(models).select("name", F.col("id").alias("model_id"))),
+    return picked.join((active_only(models).select("name", F.col("id").alias("model_id"))),
                        "name", "inner")
 
 
@@ -117,7 +106,7 @@ def generation_plan(experiments: DataFrame, prompts: DataFrame, models: DataFram
 
 def attach_model_id(results: DataFrame, models: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Resolve registered model names; returns (resolved, unresolved)."""
-    reg = small(models.select(F.col("name").alias("model_name"), F.col("id").alias("model_id")))
+    reg = (models.select(F.col("name").alias("model_name"), F.col("id").alias("model_id")))
     return results.join(reg, "model_name", "inner"), results.join(reg, "model_name", "left_anti")
 
 
@@ -139,8 +128,8 @@ def all_outcomes(successes: DataFrame, errors: DataFrame) -> DataFrame:
 
 
 def with_rate(df: DataFrame, rates: DataFrame, default_rate: float = 0.03) -> DataFrame:
-    """Left join a per-model rate table (broadcast after its size check), default rate."""
-    r = small(rates.select("model_name", F.col("rate_per_1k").alias("_rate")))
+    """Left join a per-model rate table (a dimension join), default rate."""
+    r = (rates.select("model_name", F.col("rate_per_1k").alias("_rate")))
     return df.join(r, "model_name", "left").withColumn(
         "rate_per_1k", F.coalesce(F.col("_rate"), F.lit(default_rate))).drop("_rate")
 

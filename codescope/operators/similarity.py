@@ -10,45 +10,52 @@ Two shapes, neither of which expands all solution pairs of a prompt:
   table, so its size is bounded by #models² per prompt, however many
   solutions a prompt holds (a hot prompt with a third of the data included).
 
-* ``representative_pairs`` + scorers — pairwise scores (character ratio,
-  AST cosine, embedding cosine) between the first-appearing solution of each
-  model in a prompt. Pair count per prompt ≤ #models²; when a prompt has one
-  solution per model (the normal run) this is exactly every solution pair.
+* ``coverage_pairs`` + scorers — pairwise scores (token overlap, AST cosine,
+  embedding cosine) between every solution and the first-appearing solution of
+  each model of its prompt: at most n × #models rows, and every solution appears. When a prompt
+  has one solution per model (the normal run) this is exactly every solution pair.
 
 Orientation: solution_a < solution_b (the reference fetches without order).
 """
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from codescope.functions.text import normalize_code
 
 
 # ------------------------------------------------------------------ scalars
-def _ratio(a: str | None, b: str | None) -> float | None:
-    if a is None or b is None:
-        return None
-    return difflib.SequenceMatcher(None, a, b).ratio()
-
+def token_counts(code: DataFrame) -> DataFrame:
+    """(solution_id, word, n) of the normalised sources (X8 runs JVM-side first)."""
+    words = F.split(normalize_code(F.col("code")), r"\s+")
+    return (code.select("solution_id", F.explode(words).alias("word")).where("word <> ''")
+                .groupBy("solution_id", "word").agg(F.count(F.lit(1)).alias("n")))
 
-@F.pandas_udf(T.DoubleType())
-def char_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """X11 scorer: Ratcliff–Obershelp ratio (stdlib difflib, autojunk on), Arrow-batched."""
-    return pd.Series([_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
+def token_similarity(pairs: DataFrame, code: DataFrame) -> DataFrame:
+    """X11: 2·Σ min(n_a, n_b) / (|a| + |b|) over the words of the normalised sources, per pair.
 
-def token_similarity(code_a: Column, code_b: Column) -> Column:
-    """X11: character ratio of the normalised sources (X8 runs JVM-side first)."""
-    return char_ratio(normalize_code(code_a), normalize_code(code_b))
+    The share of matching tokens, as an equi join on (solution, word) and a partial sum;
+    two sources without words are equal (1.0). Adds ``token_similarity``.
+    """
+    counts = token_counts(code)
+    size = counts.groupBy("solution_id").agg(F.sum("n").alias("size"))
+    a = counts.select(F.col("solution_id").alias("solution_a"), "word", F.col("n").alias("na"))
+    b = counts.select(F.col("solution_id").alias("solution_b"), "word", F.col("n").alias("nb"))
+    same = (pairs.select("solution_a", "solution_b").join(a, "solution_a").join(b, ["solution_b", "word"])
+            .groupBy("solution_a", "solution_b").agg(F.sum(F.least("na", "nb")).alias("_m")))
+    out = pairs.join(same, ["solution_a", "solution_b"], "left")
+    for side in ("a", "b"):
+        out = out.join(size.select(F.col("solution_id").alias(f"solution_{side}"), F.col("size").alias(f"_{side}")),
+                       f"solution_{side}", "left")
+    total = F.coalesce("_a", F.lit(0)) + F.coalesce("_b", F.lit(0))
+    return out.withColumn("token_similarity", F.when(total == 0, F.lit(1.0)).otherwise(
+        2.0 * F.coalesce("_m", F.lit(0)) / total)).drop("_m", "_a", "_b")
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -70,40 +77,38 @@ def embedding_similarity(va: Column, vb: Column) -> Column:
 
 
 # ------------------------------------------------------------------ AST histograms
-def histogram_norms(hist: DataFrame, id_col: str = "solution_id") -> DataFrame:
-    """Per solution: Euclidean norm of its node histogram."""
-    return hist.groupBy(id_col).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+def _counts(types: Column) -> Column:
+    return F.map_from_entries(F.transform(types, lambda t: F.struct(t["node_type"], t["n"])))
 
 
-def pair_ast_similarity(pairs: DataFrame, hist: DataFrame, facts: DataFrame) -> DataFrame:
-    """J7 + X12: cosine of node histograms for (solution_a, solution_b) pairs.
+def ast_cosine(types_a: Column, error_a: Column, types_b: Column, error_b: Column) -> Column:
+    """Cosine of two node histograms, clamped to [0, 1]; a parse error on either side gives 0.0.
 
-    Only node types present on both sides add to the dot product, so the
-    histogram join is an inner equi join on (solution, node_type); pairs
-    with nothing in common get 0 by the final left join. A parse error on
-    either side gives 0.0; the cosine is clamped to [0, 1].
-    ``facts`` carries (solution_id, parse_error).
+    The union of node types (E3) needs no rows: types of one side only add nothing to the product.
     """
-    ha = hist.select(F.col("solution_id").alias("solution_a"), "node_type", F.col("n").alias("na"))
-    hb = hist.select(F.col("solution_id").alias("solution_b"), "node_type", F.col("n").alias("nb"))
-    keys = pairs.select("solution_a", "solution_b")
-    dots = (keys.join(ha, "solution_a").join(hb, ["solution_b", "node_type"])
-                .groupBy("solution_a", "solution_b").agg(F.sum(F.col("na") * F.col("nb")).alias("dot")))
-    norms = histogram_norms(hist)
-    fa = facts.select(F.col("solution_id").alias("solution_a"), F.col("parse_error").alias("err_a"))
-    fb = facts.select(F.col("solution_id").alias("solution_b"), F.col("parse_error").alias("err_b"))
-    out = (pairs.join(dots, ["solution_a", "solution_b"], "left")
-                .join(norms.select(F.col("solution_id").alias("solution_a"), F.col("norm").alias("norm_a")),
-                      "solution_a", "left")
-                .join(norms.select(F.col("solution_id").alias("solution_b"), F.col("norm").alias("norm_b")),
-                      "solution_b", "left")
-                .join(fa, "solution_a", "left").join(fb, "solution_b", "left"))
-    cos = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(F.coalesce("dot", F.lit(0)).cast("double"),
-                                                                    F.col("norm_a") * F.col("norm_b"))))
-    sim = (F.when(F.col("err_a").isNotNull() | F.col("err_b").isNotNull(), F.lit(0.0))
-            .when(F.col("norm_a").isNull() & F.col("norm_b").isNull(), F.lit(1.0))
-            .otherwise(F.coalesce(cos, F.lit(0.0))))
-    return out.withColumn("ast_similarity", sim).drop("dot", "norm_a", "norm_b", "err_a", "err_b")
+    mb = _counts(types_b)
+    dot = F.aggregate(types_a, F.lit(0).cast("long"),
+                      lambda acc, t: acc + t["n"] * F.coalesce(F.try_element_at(mb, t["node_type"]), F.lit(0)))
+    norm = lambda x: F.sqrt(F.aggregate(x, F.lit(0).cast("long"), lambda acc, t: acc + t["n"] * t["n"]))
+    cos = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(dot.cast("double"), norm(types_a) * norm(types_b))))
+    return (F.when(error_a.isNotNull() | error_b.isNotNull(), F.lit(0.0))
+             .when((F.size(types_a) == 0) & (F.size(types_b) == 0), F.lit(1.0))
+             .otherwise(F.coalesce(cos, F.lit(0.0))))
+
+
+def pair_ast_similarity(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """J7 + X12: adds ``ast_similarity`` to (solution_a, solution_b) pairs.
+
+    ``facts`` is ``codefacts.source_facts``: both sides join the same exchange of it, so it is parsed once.
+    """
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = facts.select("solution_id", "types", "parse_error").repartition(parts, "solution_id")
+    for side in ("a", "b"):
+        pairs = pairs.join(keyed.select(F.col("solution_id").alias(f"solution_{side}"), F.col("types").alias(f"_t{side}"),
+                                        F.col("parse_error").alias(f"_e{side}")), f"solution_{side}", "left")
+    none = F.array().cast(dict(facts.dtypes)["types"])
+    return pairs.withColumn("ast_similarity", ast_cosine(
+        F.coalesce("_ta", none), F.col("_ea"), F.coalesce("_tb", none), F.col("_eb"))).drop("_ta", "_tb", "_ea", "_eb")
 
 
 # ------------------------------------------------------------------ pair shapes
@@ -113,36 +118,32 @@ def representatives(solutions: DataFrame) -> DataFrame:
                      .agg(F.min("solution_id").alias("solution_id")))
 
 
-def representative_pairs(solutions: DataFrame) -> DataFrame:
-    """J3 (bounded): pairs of per-model representatives inside each prompt.
+def coverage_pairs(solutions: DataFrame) -> DataFrame:
+    """J3 (linear): every solution with the representative of each model of its prompt.
 
-    Equi join on prompt_id plus ``a < b`` — a sort-merge/hash join, never a
-    nested loop; at most #models² rows per prompt.
+    Equi join on prompt_id with at most #models representatives; a pair of two representatives appears once.
     """
-    reps = representatives(solutions)
-    a = reps.select("prompt_id", F.col("model").alias("model_a"), F.col("solution_id").alias("solution_a"))
-    b = reps.select("prompt_id", F.col("model").alias("model_b"), F.col("solution_id").alias("solution_b"))
-    return a.join(b, "prompt_id").where(F.col("solution_a") < F.col("solution_b"))
-
-
-def similarity_report(pairs: DataFrame, code: DataFrame, hist: DataFrame | None, facts: DataFrame | None,
+    reps = representatives(solutions).select("prompt_id", F.col("model").alias("_rm"), F.col("solution_id").alias("_r"))
+    own = reps.select(F.col("_r").alias("solution_id"), F.lit(True).alias("_is_rep"))
+    rows = (solutions.select("prompt_id", "solution_id", "model").join(own, "solution_id", "left").join(reps, "prompt_id")
+            .where((F.col("solution_id") < F.col("_r")) | ((F.col("solution_id") > F.col("_r")) & F.col("_is_rep").isNull())))
+    first = F.col("solution_id") < F.col("_r")
+    return rows.select(
+        "prompt_id", F.least("solution_id", "_r").alias("solution_a"), F.greatest("solution_id", "_r").alias("solution_b"),
+        F.when(first, F.col("model")).otherwise(F.col("_rm")).alias("model_a"),
+        F.when(first, F.col("_rm")).otherwise(F.col("model")).alias("model_b"))
+
+
+def similarity_report(pairs: DataFrame, code: DataFrame, facts: DataFrame | None,
                       vectors: DataFrame | None) -> DataFrame:
     """Token, AST and embedding similarity per pair.
 
-    ``code``: (solution_id, code); ``vectors``: (solution_id, vector). The
-    embedding column is NULL unless both sides have a vector. The pair rows
-    are spread by a hash of the pair before the Python scorer so long texts
-    do not pile up in one task.
+    ``code``: (solution_id, code); ``facts``: ``source_facts``; ``vectors``: (solution_id, vector). The
+    embedding column is NULL unless both sides have a vector.
     """
-    ca = code.select(F.col("solution_id").alias("solution_a"), F.col("code").alias("code_a"))
-    cb = code.select(F.col("solution_id").alias("solution_b"), F.col("code").alias("code_b"))
-    out = pairs.join(ca, "solution_a", "left").join(cb, "solution_b", "left")
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = out.repartition(parts, F.xxhash64("solution_a", "solution_b"))
-    out = out.withColumn("token_similarity", token_similarity(F.col("code_a"), F.col("code_b"))) \
-             .drop("code_a", "code_b")
-    if hist is not None and facts is not None:
-        out = pair_ast_similarity(out, hist, facts)
+    out = token_similarity(pairs, code)
+    if facts is not None:
+        out = pair_ast_similarity(out, facts)
     if vectors is not None:
         va = vectors.select(F.col("solution_id").alias("solution_a"), F.col("vector").alias("va"))
         vb = vectors.select(F.col("solution_id").alias("solution_b"), F.col("vector").alias("vb"))
@@ -152,34 +153,38 @@ def similarity_report(pairs: DataFrame, code: DataFrame, hist: DataFrame | None,
     return out
 
 
-def model_pair_similarity(solutions: DataFrame, hist: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+def model_pair_similarity(solutions: DataFrame, facts: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
     """J3 exact aggregate: mean AST / embedding cosine per (prompt, model_a ≤ model_b).
 
-    ``solutions``: (solution_id, prompt_id, model); ``hist``: (solution_id,
-    node_type, n), empty for unparsable sources (their cosine is 0 with
-    everything, matching the per-pair rule).
+    ``solutions``: (solution_id, prompt_id, model); ``facts``: ``codefacts.source_facts``, whose unparsable
+    sources have no node types (their cosine is 0 with everything, matching the per-pair rule).
     """
     sol = solutions.select("solution_id", "prompt_id", "model")
     counts = sol.groupBy("prompt_id", "model").agg(F.count(F.lit(1)).alias("n"))
-    # unit histograms, summed per (prompt, model, node_type)
-    w = Window.partitionBy("solution_id")
-    unit = hist.withColumn("u", F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(w))).drop("n")
-    s = (unit.join(sol, "solution_id")
-             .groupBy("prompt_id", "model", "node_type").agg(F.sum("u").alias("s")))
-    q = (unit.select("solution_id").distinct().join(sol, "solution_id")
-             .groupBy("prompt_id", "model").agg(F.count(F.lit(1)).alias("q")))
-    sa = s.select("prompt_id", F.col("model").alias("model_a"), "node_type", F.col("s").alias("s_a"))
-    sb = s.select("prompt_id", F.col("model").alias("model_b"), "node_type", F.col("s").alias("s_b"))
-    dots = (sa.join(sb, ["prompt_id", "node_type"]).where(F.col("model_a") <= F.col("model_b"))
-              .groupBy("prompt_id", "model_a", "model_b").agg(F.sum(F.col("s_a") * F.col("s_b")).alias("dot")))
+    # unit histograms, summed per (prompt, model, node_type); the pseudo type '' counts the parsed sources
+    norm = F.sqrt(F.aggregate("types", F.lit(0).cast("long"), lambda acc, t: acc + t["n"] * t["n"]))
+    unit = facts.where(F.size("types") > 0).select("solution_id", F.explode(F.concat(
+        F.array(F.struct(F.lit("").alias("node_type"), F.lit(1.0).alias("u"))),
+        F.transform("types", lambda t: F.struct(t["node_type"].alias("node_type"), (t["n"] / norm).alias("u"))))
+    ).alias("x")).select("solution_id", "x.node_type", "x.u")
+    parts = int(solutions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # one row per (prompt, model) with its summed vector, some tens of node types long
+    v = (unit.join(sol, "solution_id").groupBy("prompt_id", "model", "node_type").agg(F.sum("u").alias("s"))
+             .groupBy("prompt_id", "model").agg(F.map_from_entries(F.collect_list(F.struct("node_type", "s"))).alias("v"))
+             .repartition(parts, "prompt_id"))
+    va = v.select("prompt_id", F.col("model").alias("model_a"), F.col("v").alias("v_a"))
+    vb = v.select("prompt_id", F.col("model").alias("model_b"), F.col("v").alias("v_b"))
+    dots = (va.join(vb, "prompt_id").where(F.col("model_a") <= F.col("model_b"))
+              .select("prompt_id", "model_a", "model_b", F.try_element_at("v_a", F.lit("")).cast("long").alias("q_a"),
+                      F.aggregate(F.filter(F.map_entries("v_a"), lambda e: e["key"] != ""), F.lit(0.0),
+                                  lambda acc, e: acc + e["value"] * F.coalesce(
+                                      F.try_element_at(F.col("v_b"), e["key"]), F.lit(0.0))).alias("dot")))
     ca = counts.select("prompt_id", F.col("model").alias("model_a"), F.col("n").alias("n_a"))
     cb = counts.select("prompt_id", F.col("model").alias("model_b"), F.col("n").alias("n_b"))
     pairs = ca.join(cb, "prompt_id").where(F.col("model_a") <= F.col("model_b"))
     same = F.col("model_a") == F.col("model_b")
     n_pairs = F.when(same, F.col("n_a") * (F.col("n_a") - 1) / 2).otherwise(F.col("n_a") * F.col("n_b"))
-    qa = q.select("prompt_id", F.col("model").alias("model_a"), F.col("q").alias("q_a"))
     out = (pairs.join(dots, ["prompt_id", "model_a", "model_b"], "left")
-                .join(qa, ["prompt_id", "model_a"], "left")
                 .withColumn("n_pairs", n_pairs.cast("long"))
                 .where(F.col("n_pairs") > 0))
     pair_sum = F.when(same, (F.coalesce("dot", F.lit(0.0)) - F.coalesce("q_a", F.lit(0))) / 2) \

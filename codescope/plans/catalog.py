@@ -93,9 +93,10 @@ def p4_solution_summary(spark, sf_dir):
 @register("p5_solution_card")
 def p5_solution_card(spark, sf_dir):
     """P5: one code-corpus solution with its execution and analysis (left joins)."""
-    sol = corpus.code_solutions(spark, sf_dir).select("solution_id", "model", "code")
+    sol = corpus.code_solutions(spark, sf_dir).select("solution_id", "model", "code").where("solution_id = 3")
     exe = corpus.executions(spark, sf_dir).select("solution_id", "pass_rate", "runtime_seconds")
-    ana = code_analysis(spark, sf_dir).select("solution_id", "big_o_estimate", "lines_of_code")
+    # only the card's own source is parsed: an opaque Python node lets no filter through
+    ana = code_facts(sol).select("solution_id", "big_o_estimate", "lines_of_code")
     return R.solution_card(sol, exe, ana, 3).drop("code")
 
 
@@ -125,7 +126,7 @@ def j2_solution_chain(spark, sf_dir):
     pr = corpus.prompts_table(spark, sf_dir).select(F.col("id").alias("prompt_id"),
                                                      F.col("experiment_id").alias("prompt_experiment_id"))
     ex = corpus.experiments_table(spark, sf_dir).select(F.col("id").alias("prompt_experiment_id"), "owner_id")
-    reg = R.small(corpus.model_registry(spark, sf_dir).select(F.col("id").alias("model_id"),
+    reg = (corpus.model_registry(spark, sf_dir).select(F.col("id").alias("model_id"),
                                                              F.col("name").alias("model_name")))
     exe = corpus.executions(spark, sf_dir).select("solution_id", "pass_rate")
     return (sol.join(pr, "prompt_id", "left").join(ex, "prompt_experiment_id", "left")
@@ -319,7 +320,7 @@ def x17_generation_cost(spark, sf_dir):
     names = F.element_at(F.array(*[F.lit(m[0]) for m in G.SEED_MODELS]), (F.col("conv_id") % 4 + 1).cast("int"))
     gens = corpus.raw_responses(spark, sf_dir).select(
         names.alias("model_name"), TX.word_count(F.col("raw_response")).alias("tokens"))
-    priced = R.with_rate(gens.join(R.small(reg), "model_name", "left"), G.rate_table(spark))
+    priced = R.with_rate(gens.join((reg), "model_name", "left"), G.rate_table(spark))
     cost = G.generation_cost(F.col("tokens"), F.col("rate_per_1k"), F.col("provider"))
     return priced.groupBy("model_name").agg(F.count(F.lit(1)).alias("n_generations"),
                                             F.sum("tokens").alias("tokens"), F.sum(cost).alias("cost_usd"))
@@ -404,7 +405,7 @@ def x7_style_score(spark, sf_dir):
 
 # ------------------------------------------------------------------ code facts
 from codescope.operators.codefacts import (  # noqa: E402,F401
-    node_counts_map, node_histogram, node_table, node_type_table,
+    node_counts_map, node_histogram, node_table, source_facts,
 )
 
 
@@ -424,7 +425,7 @@ def x1_node_table(spark, sf_dir):
 def a9_node_histogram(spark, sf_dir):
     """Node-type histogram per solution (long form)."""
     sol = corpus.code_solutions(spark, sf_dir).select("solution_id", "code")
-    return node_histogram(node_type_table(sol))
+    return node_histogram(source_facts(sol))
 
 
 @register("a10_ast_shape")
@@ -469,38 +470,30 @@ def x4_complexity_row(spark, sf_dir):
 from codescope.operators import similarity as SIM  # noqa: E402
 
 
-def _code_hist_and_facts(spark, sf_dir):
-    """Histogram and parse errors from ONE parse pass: both are filters of the
-    same (solution_id, node_type) count, whose exchange Spark reuses; an
-    unparsable source is the single row with a NULL node_type."""
-    sol = corpus.code_solutions(spark, sf_dir).select("solution_id", "code")
-    raw = node_type_table(sol).groupBy("solution_id", "node_type").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    hist = raw.where(F.col("node_type").isNotNull())
-    facts = raw.where(F.col("node_type").isNull()).select("solution_id", F.lit("parse error").alias("parse_error"))
-    return hist, facts
+def _source_facts(spark, sf_dir):
+    """One parse per source: its node types (histogram) and its parse error in one row."""
+    return source_facts(corpus.code_solutions(spark, sf_dir).select("solution_id", "code"))
 
 
 @register("j3_model_pair_similarity")
 def j3_model_pair_similarity(spark, sf_dir):
     """J3 + X12 + X13 exact means per (prompt, model pair) over all solution pairs, no pair expansion."""
     sol = corpus.code_solutions(spark, sf_dir).select("solution_id", "prompt_id", "model")
-    hist, _ = _code_hist_and_facts(spark, sf_dir)
     vec = corpus.solution_embeddings(spark, sf_dir).select("solution_id", "vector")
-    return SIM.model_pair_similarity(sol, hist, vec)
+    return SIM.model_pair_similarity(sol, _source_facts(spark, sf_dir), vec)
 
 
 @register("j7_ast_pair_similarity")
 def j7_ast_pair_similarity(spark, sf_dir):
-    """J7 + X12 + E3: AST cosine of representative pairs (code corpus)."""
+    """J7 + X12 + E3: AST cosine of every solution with its prompt's representatives (code corpus)."""
     sol = corpus.code_solutions(spark, sf_dir).select("solution_id", "prompt_id", "model")
-    hist, facts = _code_hist_and_facts(spark, sf_dir)
-    return SIM.pair_ast_similarity(SIM.representative_pairs(sol), hist, facts)
+    return SIM.pair_ast_similarity(SIM.coverage_pairs(sol), _source_facts(spark, sf_dir))
 
 
 @register("x13_embedding_similarity")
 def x13_embedding_similarity(spark, sf_dir):
-    """Embedding cosine of representative pairs (document corpus; NULL without both vectors)."""
-    pairs = SIM.representative_pairs(corpus.doc_solutions(spark, sf_dir))
+    """Embedding cosine of coverage pairs (document corpus; NULL without both vectors)."""
+    pairs = SIM.coverage_pairs(corpus.doc_solutions(spark, sf_dir))
     vec = corpus.solution_embeddings(spark, sf_dir).select("solution_id", "vector")
     va = vec.select(F.col("solution_id").alias("solution_a"), F.col("vector").alias("va"))
     vb = vec.select(F.col("solution_id").alias("solution_b"), F.col("vector").alias("vb"))
@@ -511,20 +504,19 @@ def x13_embedding_similarity(spark, sf_dir):
 
 @register("x11_token_similarity")
 def x11_token_similarity(spark, sf_dir):
-    """X11: character ratio of normalised whole texts for representative pairs (documents)."""
+    """X11: token overlap of normalised whole texts, every document with its prompt's representatives."""
     docs = corpus.doc_solutions(spark, sf_dir)
-    pairs = SIM.representative_pairs(docs)
-    return SIM.similarity_report(pairs, docs.select("solution_id", "code"), None, None, None)
+    pairs = SIM.coverage_pairs(docs)
+    return SIM.token_similarity(pairs, docs.select("solution_id", "code"))
 
 
 @register("x14_similarity_report")
 def x14_similarity_report(spark, sf_dir):
-    """Token, AST and embedding similarity of representative pairs (code corpus)."""
+    """Token, AST and embedding similarity, every solution with its prompt's representatives (code corpus)."""
     sol = corpus.code_solutions(spark, sf_dir)
-    hist, facts = _code_hist_and_facts(spark, sf_dir)
     vec = corpus.solution_embeddings(spark, sf_dir).select("solution_id", "vector")
-    return SIM.similarity_report(SIM.representative_pairs(sol), sol.select("solution_id", "code"),
-                                 hist, facts, vec)
+    return SIM.similarity_report(SIM.coverage_pairs(sol), sol.select("solution_id", "code"),
+                                 _source_facts(spark, sf_dir), vec)
 
 
 # ------------------------------------------------------------------ machine learning
@@ -559,7 +551,7 @@ def m6_fingerprint(spark, sf_dir):
     """M6 (+A7, W2): can the model be told from (line count, complexity)? Code corpus."""
     facts = code_analysis(spark, sf_dir).select("solution_id", "code_length", "cyclomatic_complexity")
     data = corpus.code_solutions(spark, sf_dir).select("solution_id", "model").join(facts, "solution_id")
-    return fingerprint(data, ["code_length", "cyclomatic_complexity"], "model", num_trees=20)
+    return fingerprint(data, ["code_length", "cyclomatic_complexity"], "model")
 
 
 @register("m7_cluster_map")

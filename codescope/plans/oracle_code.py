@@ -165,46 +165,44 @@ def _x4():
 
 
 # ------------------------------------------------------------------ similarity (brute-force pairs)
-def hist_values() -> str:
-    rows = []
+def template_cosines() -> str:
+    """AST cosine of every template pair, by brute force over the node counts."""
+    counts = []
     for i in range(len(CODE_TEMPLATES)):
         try:
-            tree = ast.parse(_src(i))
+            c = {}
+            for n in ast.walk(ast.parse(_src(i))):
+                c[type(n).__name__] = c.get(type(n).__name__, 0) + 1
+            counts.append(c)
         except SyntaxError:
-            continue
-        counts = {}
-        for n in ast.walk(tree):
-            counts[type(n).__name__] = counts.get(type(n).__name__, 0) + 1
-        rows += [f"({i}, '{t}', {c})" for t, c in counts.items()]
-    return "(VALUES " + ", ".join(rows) + ") AS hv(tmpl, node_type, n)"
-
-
-def _ast_pairs_sql(pairs: str) -> str:
-    """AST cosine for a pairs relation (prompt_id, solution_a, solution_b, model_a, model_b)."""
+            counts.append(None)
+    rows = []
+    for i, x in enumerate(counts):
+        for j, y in enumerate(counts):
+            cos = 0.0
+            if x and y:
+                dot = sum(n * y.get(t, 0) for t, n in x.items())
+                cos = min(1.0, dot / math.sqrt(sum(n * n for n in x.values()) * sum(n * n for n in y.values())))
+            rows.append(f"({i}, {j}, CAST({cos!r} AS DOUBLE))")
+    return "(VALUES " + ", ".join(rows) + ") AS tc(ta, tb, sim)"
+
+
+def _coverage_sql(sol: str, extra: str = "") -> str:
+    """Every solution with the first solution of each model of its prompt; pairs of two firsts once."""
+    cols = "".join(f", least_.{c} AS {c}_a, most_.{c} AS {c}_b" for c in extra.split())
     return f"""
-WITH pr AS ({pairs}),
-h AS (SELECT s.solution_id, node_type, n FROM ({CODE_SOL}) s JOIN {hist_values()} USING (tmpl)),
-nr AS (SELECT solution_id, sqrt(sum(n * n)) AS norm FROM h GROUP BY 1),
-d AS (SELECT pr.solution_a, pr.solution_b, sum(ha.n * hb.n) AS dot FROM pr
-      JOIN h ha ON ha.solution_id = pr.solution_a JOIN h hb ON hb.solution_id = pr.solution_b
-      AND hb.node_type = ha.node_type GROUP BY 1, 2)
-SELECT pr.*, CASE WHEN na.norm IS NULL OR nb.norm IS NULL THEN 0.0
-       ELSE least(1.0, greatest(0.0, coalesce(d.dot, 0) / (na.norm * nb.norm))) END AS sim
-FROM pr LEFT JOIN d USING (solution_a, solution_b)
-LEFT JOIN nr na ON na.solution_id = pr.solution_a LEFT JOIN nr nb ON nb.solution_id = pr.solution_b"""
-
-
-def _rep_pairs_sql(sol: str) -> str:
-    return (f"WITH reps AS (SELECT prompt_id, model, min(solution_id) AS solution_id FROM ({sol}) GROUP BY 1, 2) "
-            "SELECT a.prompt_id, a.solution_id AS solution_a, b.solution_id AS solution_b, a.model AS model_a, "
-            "b.model AS model_b FROM reps a JOIN reps b ON a.prompt_id = b.prompt_id "
-            "AND a.solution_id < b.solution_id")
+SELECT p.prompt_id, p.solution_a, p.solution_b, least_.model AS model_a, most_.model AS model_b{cols} FROM (
+  SELECT DISTINCT s.prompt_id, least(s.solution_id, r.solution_id) AS solution_a,
+    greatest(s.solution_id, r.solution_id) AS solution_b
+  FROM ({sol}) s JOIN (SELECT prompt_id, model, min(solution_id) AS solution_id FROM ({sol}) GROUP BY 1, 2) r
+    ON s.prompt_id = r.prompt_id AND s.solution_id <> r.solution_id) p
+JOIN ({sol}) least_ ON least_.solution_id = p.solution_a JOIN ({sol}) most_ ON most_.solution_id = p.solution_b"""
 
 
 @sql("j7_ast_pair_similarity")
 def _j7():
     return (f"SELECT prompt_id, solution_a, solution_b, model_a, model_b, round(sim, 6) AS ast_similarity "
-            f"FROM ({_ast_pairs_sql(_rep_pairs_sql(CODE_SOL))})")
+            f"FROM ({_coverage_sql(CODE_SOL, 'tmpl')}) JOIN {template_cosines()} ON ta = tmpl_a AND tb = tmpl_b")
 
 
 EMB = "SELECT vec_id AS solution_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
@@ -220,24 +218,61 @@ def _cos_sql(a: str, b: str) -> str:
 def _x13():
     doc = "SELECT doc_id AS solution_id, doc_id // 20 AS prompt_id, source AS model FROM documents"
     return (f"SELECT p.*, round({_cos_sql('ea.v', 'eb.v')}, 6) AS embedding_similarity "
-            f"FROM ({_rep_pairs_sql(doc)}) p LEFT JOIN ({EMB}) ea ON ea.solution_id = p.solution_a "
+            f"FROM ({_coverage_sql(doc)}) p LEFT JOIN ({EMB}) ea ON ea.solution_id = p.solution_a "
             f"LEFT JOIN ({EMB}) eb ON eb.solution_id = p.solution_b")
 
 
 @sql("j3_model_pair_similarity")
 def _j3():
     # brute force: every solution pair i<j inside a prompt, then averaged per unordered model pair
-    allpairs = (f"SELECT a.prompt_id, a.solution_id AS solution_a, b.solution_id AS solution_b, "
-                f"least(a.model, b.model) AS model_a, greatest(a.model, b.model) AS model_b "
-                f"FROM ({CODE_SOL}) a JOIN ({CODE_SOL}) b ON a.prompt_id = b.prompt_id "
-                "AND a.solution_id < b.solution_id")
     return f"""
-WITH ap AS ({_ast_pairs_sql(allpairs)})
+WITH ap AS (SELECT a.prompt_id, a.solution_id AS solution_a, b.solution_id AS solution_b,
+    least(a.model, b.model) AS model_a, greatest(a.model, b.model) AS model_b, tc.sim
+  FROM ({CODE_SOL}) a JOIN ({CODE_SOL}) b ON a.prompt_id = b.prompt_id AND a.solution_id < b.solution_id
+  JOIN {template_cosines()} ON ta = a.tmpl AND tb = b.tmpl),
+es AS (SELECT ap.solution_a, ap.solution_b, {_cos_sql('ea.v', 'eb.v')} AS es FROM ap
+  JOIN ({EMB}) ea ON ea.solution_id = ap.solution_a JOIN ({EMB}) eb ON eb.solution_id = ap.solution_b)
 SELECT prompt_id, model_a, model_b, CAST(count(*) AS BIGINT) AS n_pairs, round(avg(sim), 6) AS ast_similarity_mean,
        CAST(count(es) AS BIGINT) AS n_embedding_pairs, round(avg(es), 6) AS embedding_similarity_mean
-FROM (SELECT ap.*, {_cos_sql('ea.v', 'eb.v')} AS es FROM ap
-      LEFT JOIN ({EMB}) ea ON ea.solution_id = ap.solution_a LEFT JOIN ({EMB}) eb ON eb.solution_id = ap.solution_b)
-GROUP BY 1, 2, 3"""
+FROM ap LEFT JOIN es USING (solution_a, solution_b) GROUP BY 1, 2, 3"""
+
+
+def _token_similarity_ctes(code: str, pairs: str) -> str:
+    """CTEs ``pr`` (the pairs) and ``ts`` (solution_a, solution_b, sim): overlap of word multisets of normalised text."""
+    from codescope.plans.oracle_text import sql_normalized
+    return f"""
+pr AS MATERIALIZED ({pairs}),
+cd AS MATERIALIZED ({code}),
+nm AS MATERIALIZED (SELECT solution_id, {sql_normalized('code')} AS norm FROM cd),
+wd AS (SELECT solution_id, unnest(regexp_split_to_array(norm, '\\s+')) AS word FROM nm),
+wc AS MATERIALIZED (SELECT solution_id, word, count(*) AS n FROM wd WHERE word <> '' GROUP BY 1, 2),
+wn AS (SELECT solution_id, sum(n) AS size FROM wc GROUP BY 1),
+wa AS MATERIALIZED (SELECT pr.solution_a, pr.solution_b, a.word, a.n FROM pr JOIN wc a ON a.solution_id = pr.solution_a),
+wm AS (SELECT solution_a, solution_b, sum(least(wa.n, b.n)) AS m FROM wa
+  JOIN wc b ON b.solution_id = wa.solution_b AND b.word = wa.word GROUP BY 1, 2),
+ts AS (SELECT pr.solution_a, pr.solution_b, CASE WHEN coalesce(x.size, 0) + coalesce(y.size, 0) = 0 THEN 1.0::DOUBLE ELSE
+    2.0::DOUBLE * coalesce(m, 0) / (coalesce(x.size, 0) + coalesce(y.size, 0)) END AS sim
+  FROM pr LEFT JOIN wm USING (solution_a, solution_b)
+  LEFT JOIN wn x ON x.solution_id = pr.solution_a LEFT JOIN wn y ON y.solution_id = pr.solution_b)"""
+
+
+@sql("x11_token_similarity")
+def _x11():
+    doc = "SELECT doc_id AS solution_id, doc_id // 20 AS prompt_id, source AS model FROM documents"
+    code = "SELECT doc_id AS solution_id, text AS code FROM documents"
+    return (f"WITH {_token_similarity_ctes(code, _coverage_sql(doc))} SELECT pr.*, round(sim, 6) AS token_similarity "
+            "FROM pr JOIN ts USING (solution_a, solution_b)")
+
+
+@sql("x14_similarity_report")
+def _x14():
+    code = f"SELECT solution_id, {sql_code('solution_id')} AS code FROM ({CODE_SOL})"
+    return (f"WITH {_token_similarity_ctes(code, _coverage_sql(CODE_SOL, 'tmpl'))} "
+            "SELECT pr.prompt_id, pr.solution_a, pr.solution_b, model_a, model_b, round(ts.sim, 6) AS token_similarity, "
+            f"round(tc.sim, 6) AS ast_similarity, round({_cos_sql('ea.v', 'eb.v')}, 6) AS embedding_similarity "
+            f"FROM pr JOIN ts USING (solution_a, solution_b) JOIN {template_cosines()} ON ta = tmpl_a AND tb = tmpl_b "
+            f"LEFT JOIN ({EMB}) ea ON ea.solution_id = pr.solution_a "
+            f"LEFT JOIN ({EMB}) eb ON eb.solution_id = pr.solution_b")
 
 
 # ------------------------------------------------------------------ streaming twins

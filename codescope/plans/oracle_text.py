@@ -45,11 +45,15 @@ def _a15():
             "FROM documents")
 
 
+def sql_normalized(code: str) -> str:
+    cut = (f"list_transform({sql_lines(code)}, lambda x: regexp_replace(split_part(x, '#', 1), "
+           f"{q(TXT.RSTRIP_RE)}, ''))")
+    return f"array_to_string(list_filter({cut}, lambda x: {sql_nonblank('x')}), chr(10))"
+
+
 @sql("x8_normalize")
 def _x8():
-    cut = (f"list_transform({sql_lines('text')}, lambda x: regexp_replace(split_part(x, '#', 1), "
-           f"{q(TXT.RSTRIP_RE)}, ''))")
-    norm = f"array_to_string(list_filter({cut}, lambda x: {sql_nonblank('x')}), chr(10))"
+    norm = sql_normalized("text")
     return (f"SELECT doc_id AS solution_id, md5({norm}) AS normalized_md5, "
             f"CAST(length({norm}) AS BIGINT) AS normalized_chars FROM documents")
 

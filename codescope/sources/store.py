@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codescope.operators.relational import small
 from codescope.schema import PROBLEM_FILE
 
 # ---- fixed values ----
@@ -62,13 +61,13 @@ def enforce_unique(incoming: DataFrame, target: DataFrame | None, key: str, mode
 
     mode 'fail'    → raise DuplicateKeyError listing keys that repeat within
                      the batch or already exist in ``target``;
-    mode 'skip'    → keep the first row per key (by ``order_col``) not already in target;
-    mode 'replace' → latest row per key wins (``order_col`` descending), replacing target rows.
+    mode 'skip'    → keep the first row per key (by ``order_col``, NULL first) not already in target;
+    mode 'replace' → latest row per key wins (``order_col``, NULL last to win), replacing target rows.
+    Ties, and all rows where there is no ``order_col``, are decided by the other columns' values.
     Returns the rows to write (for 'replace': the whole new table version).
     """
     if mode not in ("fail", "skip", "replace"):
         raise ValueError("mode must be 'fail', 'skip' or 'replace'")
-    order = F.col(order_col) if order_col else F.lit(0)
     if mode == "fail":
         dup_in = incoming.groupBy(key).count().where(F.col("count") > 1).select(key)
         dup = dup_in
@@ -82,6 +81,8 @@ def enforce_unique(incoming: DataFrame, target: DataFrame | None, key: str, mode
     # is reduced map-side, never sorted inside one task.
     others = [c for c in incoming.columns if c != key]
     row = F.struct(*others)
+    # a struct is never NULL itself, so a row whose order value is NULL still counts (it sorts first)
+    order = F.struct(*([F.col(order_col)] if order_col else []), *[F.col(c) for c in others if c != order_col])
     if mode == "skip":
         first = incoming.groupBy(key).agg(F.min_by(row, order).alias("_r")).select(key, "_r.*")
         return first if target is None else first.join(target.select(key), key, "left_anti")
@@ -112,9 +113,12 @@ def create_experiments(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     return exps, prompts
 
 
-def upsert_registry(registry: DataFrame, incoming: DataFrame) -> DataFrame:
-    """First registration of a name wins; later ones (in or across batches) are no-ops."""
-    first = incoming.dropDuplicates(["name"])
+def upsert_registry(registry: DataFrame, incoming: DataFrame, order_col: str | None = None) -> DataFrame:
+    """First registration of a name wins; later ones (in or across batches) are no-ops.
+
+    First by ``order_col`` (NULL first); ties, or no order column, go to the smallest row by its values.
+    """
+    first = enforce_unique(incoming, None, "name", mode="skip", order_col=order_col)
     new = first.join(registry.select("name"), "name", "left_anti")
     return registry.unionByName(new.select(*registry.columns))
 
@@ -125,7 +129,7 @@ def update_status(experiments: DataFrame, changes: DataFrame, now: Column | None
     Unknown ids in ``changes`` are no-ops (left join from the experiments).
     """
     now = now if now is not None else F.current_timestamp().cast("timestamp_ntz")
-    ch = small(changes.select("id", F.col("status").alias("_new")))
+    ch = (changes.select("id", F.col("status").alias("_new")))
     j = experiments.join(ch, "id", "left")
     status = F.coalesce(F.col("_new"), F.col("status"))
     completed = F.when(F.col("_new").isin(*FINAL_STATUSES), now).otherwise(F.col("completed_at"))
@@ -138,15 +142,15 @@ def cascade_delete(doomed_experiments: DataFrame, tables: dict[str, DataFrame])
 
     experiments → prompts → generated_solutions → execution/analysis/embedding
     rows, plus similarity pairs touching a removed solution. Each level is a
-    ``left_anti`` against the doomed key set of the level above; key sets are
-    broadcast only after their size check.
+    ``left_anti`` against the doomed key set of the level above; the planner
+    broadcasts a key set whose bytes are under its threshold.
     """
     ex_ids = doomed_experiments.select(F.col("id").alias("experiment_id")).distinct()
     out = dict(tables)
     out["experiments"] = tables["experiments"].join(ex_ids.withColumnRenamed("experiment_id", "id"), "id", "left_anti")
     pr = tables["prompts"]
-    doomed_prompts = pr.join(small(ex_ids), "experiment_id", "left_semi").select(F.col("id").alias("prompt_id"))
-    out["prompts"] = pr.join(small(ex_ids), "experiment_id", "left_anti")
+    doomed_prompts = pr.join((ex_ids), "experiment_id", "left_semi").select(F.col("id").alias("prompt_id"))
+    out["prompts"] = pr.join((ex_ids), "experiment_id", "left_anti")
     sol = tables["generated_solutions"]
     doomed_sol = sol.join(doomed_prompts, "prompt_id", "left_semi").select(F.col("id").alias("solution_id"))
     out["generated_solutions"] = sol.join(doomed_prompts, "prompt_id", "left_anti")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from codescope.operators.codefacts import code_facts, node_counts_map, node_table, parse_facts
+from codescope.operators.codefacts import code_facts, node_counts_map, node_table, parse_facts, source_facts
 from codescope.plans.corpus import CODE_TEMPLATES
 
 SOURCES = [t.replace("_KEY", "") for t in CODE_TEMPLATES]
@@ -43,7 +43,7 @@ def test_template_facts(facts, i):
 def test_histograms(spark):
     df = spark.createDataFrame([(0, SOURCES[0]), (2, SOURCES[2]), (3, SOURCES[3]), (7, SOURCES[7])],
                                "solution_id long, code string")
-    maps = {r["solution_id"]: dict(r["node_counts"]) for r in node_counts_map(node_table(df)).collect()}
+    maps = {r["solution_id"]: dict(r["node_counts"]) for r in node_counts_map(source_facts(df)).collect()}
     assert maps[0] == {"Add": 1, "BinOp": 1, "FunctionDef": 1, "Load": 2, "Module": 1, "Name": 2,
                        "Return": 1, "arg": 2, "arguments": 1}
     assert maps[2] == {"Add": 1, "Assign": 1, "AugAssign": 1, "Constant": 1, "For": 1, "FunctionDef": 1,
@@ -51,7 +51,7 @@ def test_histograms(spark):
     assert maps[3] == {"Add": 1, "BinOp": 1, "Call": 1, "Constant": 3, "FunctionDef": 1, "If": 1, "Load": 6,
                        "Module": 1, "Name": 4, "Not": 1, "Return": 2, "Slice": 1, "Subscript": 2, "UnaryOp": 1,
                        "arg": 1, "arguments": 1}
-    assert 7 not in maps   # unparsable: no histogram rows
+    assert maps[7] == {}   # unparsable: no histogram
 
 
 def test_recursion_rules():
@@ -69,6 +69,57 @@ def test_parse_never_raises():
     assert parse_facts("def (")[0][-1].startswith("SyntaxError")
 
 
+def test_long_expression_is_a_row_not_a_failed_job(spark):
+    long = "x = " + "+".join(["a"] * 2000)
+    deep = "x = " + "(" * 60 + "a" + ")" * 60
+    df = spark.createDataFrame([(1, long), (2, deep), (3, "def ("), (4, "y = 1")], "solution_id long, code string")
+    got = {r["solution_id"]: r for r in code_facts(df).collect()}
+    assert set(got) == {1, 2, 3, 4} and got[3]["parse_error"] is not None
+    assert all(got[i]["parse_error"] is None for i in (2, 4))
+    assert got[1]["n_nodes"] > 4000 or got[1]["parse_error"] is not None
+    assert node_table(df).where("solution_id = 4").count() == got[4]["n_nodes"]
+
+
+def test_a_failure_after_the_parse_leaves_one_error_row(monkeypatch):
+    from codescope.operators import codefacts
+
+    def broken(node, ids):
+        raise RecursionError("too deep")
+
+    monkeypatch.setattr(codefacts, "_halstead", broken)
+    rows = parse_facts("y = 1\nx = a + b\n")
+    assert len(rows) == 1 and rows[0][-1].startswith("RecursionError")
+
+
+def test_node_batches_are_bounded(spark, monkeypatch):
+    from codescope.operators import codefacts
+    monkeypatch.setattr(codefacts, "OUT_ROWS", 10)
+    df = spark.createDataFrame([(i, SOURCES[i % 8]) for i in range(40)], "solution_id long, code string")
+    n = {r["solution_id"]: r["n"] for r in node_table(df).groupBy("solution_id").agg(F.count("node_type").alias("n")).collect()}
+    assert n == {i: EXPECTED[i % 8][0] for i in range(40)}
+
+
+RICH = [
+    "class K(Base):\n    \"\"\"Doc.\"\"\"\n    def a(self):\n        try:\n            return 1\n        except ValueError:\n            pass\n        else:\n            assert 1\n",
+    "async def g(xs):\n    async for x in xs:\n        if x > 0 and x < 9 or not x:\n            yield x\n        elif x == 4:\n            pass\n    else:\n        pass\n",
+    "def outer(n):\n    def inner(m):\n        return [i * 2 for i in m if i if i > 1]\n    while n:\n        n -= 1\n    else:\n        n = -n\n    return inner(n) if n else {k: v for k, v in n}\n",
+    "x = 1\nx += x ** 2\ny = x if x != 1 else ~x\n",
+]
+
+
+@pytest.mark.parametrize("i", range(len(RICH)))
+def test_rich_sources_match_a_direct_walk(spark, i):
+    """Classes, try, comprehensions, boolean operators, elif, async, loop else, nested functions: against the oracle's walk."""
+    from codescope.plans import oracle, oracle_code
+    r = code_facts(spark.createDataFrame([(1, RICH[i])], "solution_id long, code string")).first()
+    f = oracle._template_facts(RICH[i])
+    assert (r["n_nodes"], r["max_depth"], r["function_count"], r["loop_count"], r["loop_nesting_depth"], r["branch_count"]) == (
+        f["nodes"], f["depth"], f["funcs"], f["loops"], f["nest"], f["ifs"])
+    assert r["recursion_detected"] is f["rec"] and r["docstring_coverage"] == f["cov"]
+    assert r["cyclomatic_complexity"] == pytest.approx(f["cc"])
+    assert r["maintainability_index"] == pytest.approx(oracle_code._maintainability(RICH[i]))
+
+
 def test_cyclomatic_and_maintainability(spark):
     code = ("class K:\n    def m(self, x):\n        if x and x > 1 or x < -1:\n            return [i for i in x if i]\n"
             "        for i in x:\n            pass\n        else:\n            pass\n        return 0\n")

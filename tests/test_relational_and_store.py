@@ -149,3 +149,15 @@ def test_results_document(spark):
     lb = spark.createDataFrame([(1, "b", 0.5, 2), (1, "a", 0.9, 1)], "experiment_id int, model string, correctness double, position int")
     doc = json.loads(S.results_document(lb).first()["document"])
     assert [m["model"] for m in doc["models"]] == ["a", "b"]
+
+
+def test_unique_keeps_rows_without_order_value(spark):
+    from codescope.sources.store import enforce_unique, upsert_registry
+    rows = [(1, 1.0, None), (2, 0.25, None), (2, 0.5, 3), (3, 0.1, 1), (3, 0.2, 1)]
+    df = spark.createDataFrame(rows, "solution_id long, pass_rate double, t int")
+    latest = {r["solution_id"]: r["pass_rate"] for r in enforce_unique(df, None, "solution_id", "replace", "t").collect()}
+    first = {r["solution_id"]: r["pass_rate"] for r in enforce_unique(df, None, "solution_id", "skip", "t").collect()}
+    assert latest == {1: 1.0, 2: 0.5, 3: 0.2} and first == {1: 1.0, 2: 0.25, 3: 0.1}
+    reg = spark.createDataFrame([("a", "x", 0)], "name string, provider string, at int")
+    inc = spark.createDataFrame([("b", "late", 9), ("b", "early", 2), ("a", "z", 1)], "name string, provider string, at int")
+    assert {r["name"]: r["provider"] for r in upsert_registry(reg, inc, "at").collect()} == {"a": "x", "b": "early"}

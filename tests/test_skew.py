@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from codescope.operators import describe as D
 from codescope.operators import similarity as SIM
-from codescope.operators.codefacts import node_histogram, node_type_table
+from codescope.operators.codefacts import source_facts
 from codescope.plans.corpus import CODE_TEMPLATES
 from codescope.sources import store as S
 
@@ -23,11 +23,9 @@ def _skewed(spark):
 def test_pairs_bounded_by_models(spark):
     sol = _skewed(spark)
     models = sol.select("model").distinct().count()
-    pairs = SIM.representative_pairs(sol)
-    per_prompt = pairs.groupBy("prompt_id").count().agg(F.max("count")).first()[0]
-    assert per_prompt <= models * (models - 1) // 2
-    hist = node_histogram(node_type_table(sol.select("solution_id", "code")))
-    agg = SIM.model_pair_similarity(sol, hist)
+    pairs = SIM.coverage_pairs(sol)
+    assert pairs.count() <= N * models
+    agg = SIM.model_pair_similarity(sol, source_facts(sol.select("solution_id", "code")))
     hot = agg.where("prompt_id = 0").collect()
     assert len(hot) <= models * (models + 1) // 2
     n_hot = sol.where("prompt_id = 0").count()

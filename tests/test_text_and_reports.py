@@ -120,3 +120,14 @@ def test_pass_rate_from_tests(spark):
     got = {r["solution_id"]: (r["passed_tests"], r["total_tests"], r["pass_rate"])
            for r in RP.pass_rate_from_tests(sols, tests).collect()}
     assert got[1] == (2, 3, pytest.approx(2 / 3)) and got[2] == (0, 0, 0.0)
+
+
+def test_malformed_report_is_missing(spark):
+    from codescope.functions.report import parse_report
+    df = spark.createDataFrame([("{bad", "Traceback (most recent call last)", False), ("{}", "", False), (None, "", True)],
+                               "report string, stderr string, timed_out boolean")
+    got = [r["x"] for r in df.select(parse_report(F.col("report"), F.lit(""), F.col("stderr"), F.col("timed_out"),
+                                                  F.lit(2.5)).alias("x")).collect()]
+    assert (got[0]["report_missing"], got[0]["error_type"], got[0]["runtime_seconds"]) == (True, "exception", 2.5)
+    assert (got[1]["report_missing"], got[1]["error_type"]) == (False, None)
+    assert (got[2]["report_missing"], got[2]["error_type"]) == (True, "timeout")
