@@ -580,16 +580,22 @@ def _orders_stream(spark, sf_dir):
 def st1_analyse_on_arrival(spark, sf_dir):
     """ST1: code facts computed per arriving micro-batch (equals the batch X4 table)."""
     out = ST.stream_folder(spark, "st1")
-    ST.analyse_on_arrival(_orders_stream(spark, sf_dir), out, event_time="created_at")
+    ST.analyse_on_arrival(_orders_stream(spark, sf_dir), out)
     return spark.read.parquet(f"{out}/data").select("solution_id", "lines_of_code", "cyclomatic_complexity",
-                                                    "maintainability_index", "big_o_estimate")
+                                                    "maintainability_index", "big_o_estimate", "pep8_violations",
+                                                    "style_score")
 
 
 @register("st2_live_leaderboard")
 def st2_live_leaderboard(spark, sf_dir):
     """ST2: streaming per-model state, mean and t interval derived on read."""
     out = ST.stream_folder(spark, "st2")
-    exe = corpus.executions(spark, sf_dir).select("solution_id", "pass_rate", "runtime_seconds")
+    names = corpus.code_solutions(spark, sf_dir).select("solution_id", "model")
+    runtimes = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("solution_id"),
+                                                          F.col("value").alias("runtime_seconds"))
+    labels = spark.readStream.schema(TESTDATA["labels"]).option("pathGlobFilter", "labels.parquet").parquet(sf_dir)
+    exe = (labels.select(F.col("doc_id").alias("solution_id"), F.col("quality").cast("double").alias("pass_rate"))
+           .join(runtimes, "solution_id", "left").join(names, "solution_id"))
     ST.live_leaderboard_state(_orders_stream(spark, sf_dir), exe, out)
     return ST.read_leaderboard(spark, out)
 
@@ -600,7 +606,7 @@ def st3_rate_breaches(spark, sf_dir):
     out = ST.stream_folder(spark, "st3")
     ev = spark.readStream.schema(TESTDATA["events"]).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     ST.run_rate_breaches(ST.rate_breaches(ev, ["user_id"], "ts", limit=5, window="1 day", watermark="1 day"), out)
-    return spark.read.parquet(f"{out}/state").withColumn(
+    return ST.read_breaches(spark, out, ["user_id"]).withColumn(
         "window_start", F.col("window_start").cast("timestamp_ntz")).withColumn(
         "window_end", F.col("window_end").cast("timestamp_ntz"))
 

@@ -278,8 +278,8 @@ def _x14():
 # ------------------------------------------------------------------ streaming twins
 @sql("st1_analyse_on_arrival")
 def _st1():
-    from codescope.plans.oracle_code import _x4
-    return _x4()
+    from codescope.plans.oracle_text import _x7
+    return (f"SELECT x.*, y.pep8_violations, y.style_score FROM ({_x4()}) x JOIN ({_x7()}) y USING (solution_id)")
 
 
 @sql("st2_live_leaderboard")

@@ -3,9 +3,9 @@
 Every stream writes to a folder under the cluster's shared checkpoint
 directory (``spark.checkpoint.dir``, read from the session) with a
 checkpoint location next to it, so a restarted driver or lost executor
-resumes from the last committed batch. Batch writes in ``foreachBatch`` go
-to ``…/batch=<epoch>`` with overwrite, which makes a replayed epoch
-idempotent.
+resumes from the last committed batch. Each micro-batch writes
+``…/batch=<epoch>`` with overwrite, which makes a replayed epoch
+idempotent and never replaces what a reader has open.
 """
 
 from __future__ import annotations
@@ -15,15 +15,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codescope.functions.lint import lint_counts, style_score, violation_density, violation_total
 from codescope.functions.tdist import t_quantile
 from codescope.operators.codefacts import code_facts
 from codescope.session import ensure_checkpoint_dir
 
-# ---- fixed values: request limits per minute ----
-RATE_LIMITS = {"register": 5, "login": 10, "generate": 10}
-# --------------------------------------------------
-
-
 def stream_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for one stream's output + checkpoint in the shared checkpoint dir."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
@@ -37,73 +33,103 @@ def _run(writer, available_now: bool = True):
     return q
 
 
+def _written(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
+    """The batches written so far, or None before the first one (Spark's own file listing decides)."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p):
+        return None
+    return (spark.read.schema(schema) if schema else spark.read).option("basePath", path).parquet(path)
+
+
 def analyse_on_arrival(stream: DataFrame, out_dir: str, id_col: str = "solution_id",
-                       code_col: str = "code", event_time: str | None = None,
-                       available_now: bool = True):
-    """ST1: each arriving micro-batch of solutions → code facts, appended to ``out_dir``.
-
-    S4 within the stream: ``dropDuplicatesWithinWatermark`` on the id when an
-    event-time column is given (state bounded by the watermark), else a
-    per-batch ``dropDuplicates``. A source that does not parse yields an
-    error row (X1 never raises), so one bad solution cannot stop the run.
+                       code_col: str = "code", available_now: bool = True):
+    """ST1: each arriving micro-batch of solutions → code facts and style columns, appended to ``out_dir``.
+
+    S4 within the stream: an id is analysed once. A batch drops its own repeats and the ids that
+    earlier batches have written (an anti join on the id column of the output), so a solution counts whenever
+    it arrives, however old it is. A source that does not parse yields an error row (X1 never raises),
+    so one bad solution cannot stop the run.
     """
-    src = stream.select(id_col, code_col, *([event_time] if event_time else []))
-    if event_time:
-        src = (src.withColumn("_et", F.col(event_time).cast("timestamp"))
-                  .withWatermark("_et", "1 day").dropDuplicatesWithinWatermark([id_col]))
+    src = stream.select(id_col, code_col)
+    data = f"{out_dir}/data"
 
     def per_batch(df: DataFrame, epoch: int):
-        facts = code_facts(df.select(id_col, code_col).dropDuplicates([id_col]), id_col, code_col)
-        facts.write.mode("overwrite").parquet(f"{out_dir}/data/batch={epoch}")
+        new = df.groupBy(id_col).agg(F.min(code_col).alias(code_col))
+        done = _written(df.sparkSession, data)
+        if done is not None:  # a replayed epoch does not count itself as done
+            new = new.join(done.where(F.col("batch") < epoch).select(id_col), id_col, "left_anti")
+        style_facts(new, id_col, code_col).write.mode("overwrite").parquet(f"{data}/batch={epoch}")
 
     w = (src.writeStream.foreachBatch(per_batch)
             .option("checkpointLocation", f"{out_dir}/_checkpoint"))
     return _run(w, available_now)
 
 
-def live_leaderboard_state(stream: DataFrame, executions: DataFrame, out_dir: str,
+def style_facts(df: DataFrame, id_col: str = "solution_id", code_col: str = "code") -> DataFrame:
+    """Code facts with ``pep8_violations`` and ``style_score`` (X7), as one row per solution."""
+    counted = df.select(id_col, code_col, lint_counts(F.col(code_col)).alias("_lint"))
+    facts = code_facts(df, id_col, code_col).join(counted.select(id_col, "_lint"), id_col)
+    total = violation_total(F.col("_lint"), F.col("parse_error"))
+    return (facts.withColumn("pep8_violations", total)
+                 .withColumn("style_score", style_score(violation_density(total, F.col("lines_of_code")),
+                                                        F.col("docstring_coverage"))).drop("_lint"))
+
+
+STATE = ("n_solutions", "n_exec", "c_mean", "c_m2", "rt_sum", "rt_n")
+
+
+def live_leaderboard_state(solutions: DataFrame, executions: DataFrame, out_dir: str,
                            available_now: bool = True):
-    """ST2: running per-model sums (stream ⋈ static executions), complete mode.
+    """ST2: per-model parts of the leaderboard from two streams, one partial row per model and micro-batch.
 
-    The state is n, Σx, Σx² of the pass rate, Σ runtime, counts — all
-    mergeable; mean and interval are derived on read by ``read_leaderboard``
-    (median and mode stay batch-only).
+    ``solutions`` (solution_id, model) and ``executions`` (solution_id, model, pass_rate,
+    runtime_seconds) arrive in any order: an execution names its model, so it counts when it arrives.
+    A batch writes count, mean and squared deviations (never a difference of large sums), which
+    ``read_leaderboard`` merges; no state is kept in memory and nothing written is replaced.
     """
-    j = stream.select("solution_id", "model").join(executions, "solution_id", "left")
-    agg = j.groupBy("model").agg(
-        F.count(F.lit(1)).alias("n_solutions"), F.count("pass_rate").alias("n_exec"),
-        F.sum("pass_rate").alias("s1"), F.sum(F.col("pass_rate") * F.col("pass_rate")).alias("s2"),
-        F.sum("runtime_seconds").alias("rt_sum"), F.count("runtime_seconds").alias("rt_n"),
-        F.min("solution_id").alias("first_seen"))
+    none = F.lit(None).cast("double")
+    rows = solutions.select("model", F.lit(1).alias("sol"), none.alias("pass_rate"), none.alias("runtime_seconds")).unionByName(
+        executions.select("model", F.lit(0).alias("sol"), "pass_rate", "runtime_seconds"))
 
     def per_batch(df: DataFrame, epoch: int):
-        df.write.mode("overwrite").parquet(f"{out_dir}/state")
-
-    w = (agg.writeStream.outputMode("complete").foreachBatch(per_batch)
-            .option("checkpointLocation", f"{out_dir}/_checkpoint"))
+        df.groupBy("model").agg(
+            F.sum("sol").alias("n_solutions"), F.count("pass_rate").alias("n_exec"),
+            F.avg("pass_rate").alias("c_mean"),
+            (F.var_pop("pass_rate") * F.count("pass_rate")).alias("c_m2"),
+            F.sum("runtime_seconds").alias("rt_sum"), F.count("runtime_seconds").alias("rt_n"),
+        ).write.mode("overwrite").parquet(f"{out_dir}/state/batch={epoch}")
+
+    w = rows.writeStream.foreachBatch(per_batch).option("checkpointLocation", f"{out_dir}/_checkpoint")
     return _run(w, available_now)
 
 
 def read_leaderboard(spark: SparkSession, out_dir: str) -> DataFrame:
-    s = spark.read.parquet(f"{out_dir}/state")
-    n, s1, s2 = F.col("n_exec"), F.col("s1"), F.col("s2")
-    mean = s1 / n
-    var = F.when(n >= 2, (s2 - s1 * s1 / n) / (n - 1))
-    sd = F.sqrt(F.greatest(var, F.lit(0.0)))
+    """Merge the parts: means weighted by count, squared deviations by the parallel variance rule."""
+    parts = spark.read.parquet(f"{out_dir}/state")
+    total = parts.groupBy("model").agg(
+        F.sum("n_solutions").alias("n_solutions"), F.sum("n_exec").alias("n"),
+        F.try_divide(F.sum(F.col("c_mean") * F.col("n_exec")), F.sum("n_exec")).alias("m"),
+        F.sum("rt_sum").alias("rt_sum"), F.sum("rt_n").alias("rt_n"))
+    spread = (parts.join(total.select("model", "m"), "model").groupBy("model").agg(
+        F.sum(F.col("c_m2") + F.col("n_exec") * (F.col("c_mean") - F.col("m")) ** 2).alias("m2")))
+    s = total.join(spread, "model")
+    n, mean = F.col("n"), F.col("m")
+    sd = F.sqrt(F.try_divide(F.col("m2"), n - 1))
     margin = t_quantile(0.975, n - 1) * sd / F.sqrt(n.cast("double"))
     return s.select(
         "model", mean.alias("correctness"),
         F.when(n == 1, mean).when(n >= 2, mean - margin).alias("correctness_ci_low"),
         F.when(n == 1, mean).when(n >= 2, mean + margin).alias("correctness_ci_high"),
-        (F.col("rt_sum") / F.col("rt_n")).alias("avg_runtime_s"), "n_solutions")
+        F.try_divide(F.col("rt_sum"), F.col("rt_n")).alias("avg_runtime_s"), "n_solutions")
 
 
 def rate_breaches(stream: DataFrame, key_cols: list[str], ts_col: str, limit: int,
                   window: str = "1 minute", watermark: str = "1 minute") -> DataFrame:
     """ST3: more than ``limit`` requests per key in a tumbling ``window``.
 
-    The event time is cast to TIMESTAMP (session zone UTC; the watermark
-    refuses TIMESTAMP_NTZ). Late rows beyond the watermark are dropped.
+    The event time is cast to TIMESTAMP (session zone UTC; the watermark refuses TIMESTAMP_NTZ).
+    A row later than the watermark belongs to a window already closed.
     """
     ev = stream.withColumn("_ts", F.col(ts_col).cast("timestamp")).withWatermark("_ts", watermark)
     counts = ev.groupBy(F.window("_ts", window).alias("w"), *key_cols).agg(F.count(F.lit(1)).alias("n"))
@@ -112,11 +138,19 @@ def rate_breaches(stream: DataFrame, key_cols: list[str], ts_col: str, limit: in
 
 
 def run_rate_breaches(breaches: DataFrame, out_dir: str, available_now: bool = True):
-    """Sink for ST3: complete mode into ``out_dir/state`` (available-now leaves
-    the last windows open in append mode; complete mode reports them)."""
+    """Sink for ST3: update mode, one folder per epoch, state purged behind the watermark.
+
+    A window that grows is written again in a later epoch; ``read_breaches`` takes its latest count.
+    """
     def per_batch(df: DataFrame, epoch: int):
-        df.write.mode("overwrite").parquet(f"{out_dir}/state")
+        df.write.mode("overwrite").parquet(f"{out_dir}/state/batch={epoch}")
 
-    w = (breaches.writeStream.outputMode("complete").foreachBatch(per_batch)
+    w = (breaches.writeStream.outputMode("update").foreachBatch(per_batch)
             .option("checkpointLocation", f"{out_dir}/_checkpoint"))
     return _run(w, available_now)
+
+
+def read_breaches(spark: SparkSession, out_dir: str, key_cols: list[str]) -> DataFrame:
+    """The breaches known so far: the largest (latest) count of each key and window."""
+    return spark.read.parquet(f"{out_dir}/state").groupBy(*key_cols, "window_start", "window_end").agg(
+        F.max("n").alias("n"))

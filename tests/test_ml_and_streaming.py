@@ -1,5 +1,7 @@
 """M1, M3–M7 (FIXTURES.md §6) and ST1–ST3 against their batch twins."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,10 +71,58 @@ def test_st1_equals_batch(spark):
     from tests.conftest import SF001
     stream = catalog.QUERIES["st1_analyse_on_arrival"](spark, SF001)
     batch = catalog.QUERIES["x4_complexity_row"](spark, SF001)
+    stream = stream.select(*batch.columns)
     assert stream.count() == batch.count()
     assert stream.exceptAll(batch).count() == 0 and batch.exceptAll(stream).count() == 0
 
 
+def _files(spark, path, parts, schema):
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{path}/part={k}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
+
+
+def test_st1_late_and_repeated_solutions_over_four_batches(spark, tmp_path):
+    from codescope.streaming import analysis as ST
+    days = ["2024-03-01", "2020-01-01", "2023-05-05", "2019-12-31"]
+    parts = [[(5 * k + i, f"def f{k}_{i}():\n    return {i}\n", day) for i in range(5)] for k, day in enumerate(days)]
+    parts[2].append((0, "def f0_0():\n    return 0\n", days[2]))      # arrived before
+    parts[3] += [(19, "def f3_4():\n    return 4\n", days[3])] * 2     # repeated within its batch
+    stream = _files(spark, str(tmp_path / "in"), parts, "solution_id long, code string, created_at string")
+    out = ST.stream_folder(spark, "st1-test")
+    ST.analyse_on_arrival(stream, out)
+    got = spark.read.parquet(f"{out}/data").collect()
+    assert sorted(r["solution_id"] for r in got) == list(range(20))
+    assert len({r["batch"] for r in got}) == 4 and all(r["style_score"] is not None for r in got)
+
+
+def test_st2_executions_may_arrive_before_and_after_their_solutions(spark, tmp_path):
+    from codescope.streaming import analysis as ST
+    sols = _files(spark, str(tmp_path / "s"), [[(1, "a")], [(2, "a"), (3, "b")], [(4, "b")]], "solution_id long, model string")
+    exe = _files(spark, str(tmp_path / "e"), [[(4, "b", 1.0, None)], [(1, "a", 0.5, 2.0)], [(2, "a", 1.0, 4.0)]],
+                 "solution_id long, model string, pass_rate double, runtime_seconds double")
+    out = ST.stream_folder(spark, "st2-test")
+    ST.live_leaderboard_state(sols, exe, out)
+    got = {r["model"]: r for r in ST.read_leaderboard(spark, out).collect()}
+    assert (got["a"]["n_solutions"], got["a"]["correctness"], got["a"]["avg_runtime_s"]) == (2, 0.75, 3.0)
+    assert (got["b"]["n_solutions"], got["b"]["correctness"], got["b"]["avg_runtime_s"]) == (2, 1.0, None)
+    half = 12.706204736174746 * math.sqrt(0.125) / math.sqrt(2)
+    assert got["a"]["correctness_ci_high"] == pytest.approx(0.75 + half)
+
+
+def test_st3_keeps_the_latest_count_and_no_closed_window_in_memory(spark, tmp_path):
+    from codescope.streaming import analysis as ST
+    t = "2024-01-0{} 00:00:{:02d}"
+    parts = [[(1, t.format(1, i)) for i in range(4)], [(1, t.format(1, 10 + i)) for i in range(3)],
+             [(1, t.format(5, i)) for i in range(2)], [(2, t.format(8, 0))]]
+    stream = _files(spark, str(tmp_path / "e"), parts, "user_id long, ts string")
+    out = ST.stream_folder(spark, "st3-test")
+    q = ST.run_rate_breaches(ST.rate_breaches(stream, ["user_id"], "ts", limit=2), out)
+    got = [(r["user_id"], r["n"]) for r in ST.read_breaches(spark, out, ["user_id"]).collect()]
+    assert got == [(1, 7)]
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2
+
+
 def test_st2_equals_batch_leaderboard(spark):
     from codescope.plans import catalog
     from tests.conftest import SF001
