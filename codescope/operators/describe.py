@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codescope.functions.tdist import t_quantile, t_two_sided_pvalue
+from codescope.session import ensure_checkpoint_dir
 
 
 def _cols(group_cols: Sequence[str] | str | None) -> list[str]:
@@ -20,21 +21,61 @@ def _cols(group_cols: Sequence[str] | str | None) -> list[str]:
     return [group_cols] if isinstance(group_cols, str) else list(group_cols)
 
 
-def describe_aggs(value: Column, prefix: str = "", exact_median: bool = True) -> list[Column]:
-    """Partial-aggregate expressions for A1 (finished by ``finish_describe``).
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on ``keys`` where NULL equals NULL; the right side's keys go."""
+    right = right.select(*[F.col(k).alias(f"__{k}") if k in keys else F.col(k) for k in right.columns])
+    on = F.lit(True)
+    for k in keys:
+        on = on & left[k].eqNullSafe(right[f"__{k}"])
+    return left.join(right, on, how).drop(*[f"__{k}" for k in keys])
 
-    The exact median keeps a value→count map per group (cheap for rates and
-    labels); ``exact_median=False`` switches to the mergeable quantile sketch
-    for continuous metrics in very large groups.
-    """
+
+def describe_aggs(value: Column, prefix: str = "") -> list[Column]:
+    """Partial-aggregate expressions for A1 (finished by ``finish_describe``); the median is ``medians``."""
     v = value.cast("double")
-    med = F.median(v) if exact_median else F.percentile_approx(v, 0.5, 10000).cast("double")
-    return [
-        F.avg(v).alias(f"{prefix}mean"),
-        med.alias(f"{prefix}median"),
-        F.stddev_samp(v).alias(f"{prefix}_sd"),
-        F.count(v).alias(f"{prefix}n"),
-    ]
+    return [F.avg(v).alias(f"{prefix}mean"), F.stddev_samp(v).alias(f"{prefix}_sd"), F.count(v).alias(f"{prefix}n")]
+
+
+def _placed_counts(counts: DataFrame, group_cols: list[str], value_col: str, partitions: int | None = None) -> DataFrame:
+    """(groups, value, _c) → the same with ``_below``, the rows of smaller values in the group.
+
+    The counts are range-partitioned and written once (reliable checkpoint), because two reads of a range
+    partitioning may get different bounds; then rows below = totals of the group's earlier
+    partitions + counts before the value in its own. No group is one task's work.
+    """
+    spark = counts.sparkSession
+    ensure_checkpoint_dir(spark)
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*group_cols, value_col]
+    placed = (counts.repartitionByRange(parts, *keys).withColumn("_pid", F.spark_partition_id())
+                    .checkpoint(eager=True))
+    totals = placed.groupBy("_pid", *group_cols).agg(F.sum("_c").alias("_pt"))
+    before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("_off", F.coalesce(F.sum("_pt").over(before), F.lit(0))).drop("_pt")
+    inside = Window.partitionBy("_pid", *group_cols).orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
+    own = placed.withColumn("_in", F.coalesce(F.sum("_c").over(inside), F.lit(0)))
+    return same_keys(own, offsets, ["_pid", *group_cols], "inner").withColumn(
+        "_below", F.col("_off") + F.col("_in")).drop("_pid", "_off", "_in")
+
+
+def medians(df: DataFrame, values: dict[str, Column], group_cols=None) -> DataFrame:
+    """Exact median of each of ``values`` (name → column) per group, by distributed selection.
+
+    Value counts (a partial aggregate), rows below each value, and the one or two values that hold
+    the middle rows; no buffer ever holds a group.
+    """
+    g = _cols(group_cols)
+    long = df.select(*g, F.explode(F.array(*[F.struct(F.lit(k).alias("m"), v.cast("double").alias("v"))
+                                             for k, v in values.items()])).alias("_x"))
+    counts = (long.select(*g, F.col("_x.m").alias("_m"), F.col("_x.v").alias("_v")).where("_v IS NOT NULL")
+                  .groupBy(*g, "_m", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    placed = _placed_counts(counts, [*g, "_m"], "_v")
+    n = placed.groupBy(*g, "_m").agg(F.sum("_c").alias("_n"))
+    middle = same_keys(placed, n, [*g, "_m"], "inner").where(
+        "(_below < (_n + 1) div 2 AND _below + _c >= (_n + 1) div 2) OR (_below < _n div 2 + 1 AND _below + _c >= _n div 2 + 1)")
+    per = middle.groupBy(*g, "_m").agg(((F.min("_v") + F.max("_v")) / 2).alias("_med"))
+    out = per.groupBy(*g) if g else per.groupBy()
+    return out.agg(*[F.max(F.when(F.col("_m") == k, F.col("_med"))).alias(k) for k in values])
 
 
 def finish_describe(df: DataFrame, prefix: str = "") -> DataFrame:
@@ -50,11 +91,12 @@ def finish_describe(df: DataFrame, prefix: str = "") -> DataFrame:
               .drop(f"{prefix}_sd"))
 
 
-def describe(df: DataFrame, value_col: str, group_cols=None, exact_median: bool = True) -> DataFrame:
+def describe(df: DataFrame, value_col: str, group_cols=None) -> DataFrame:
     """A1: mean, median, stdev (ddof 1), 95 % t interval and n over non-null values."""
     g = _cols(group_cols)
-    aggs = describe_aggs(F.col(value_col), exact_median=exact_median)
-    out = df.groupBy(*g).agg(*aggs) if g else df.agg(*aggs)
+    out = df.groupBy(*g).agg(*describe_aggs(F.col(value_col)))
+    med = medians(df, {"median": F.col(value_col)}, g)
+    out = same_keys(out, med, g) if g else out.join(med, how="cross")  # one row each
     return finish_describe(out).select(*g, "mean", "median", "stdev", "ci_95_low", "ci_95_high", "n")
 
 
@@ -106,36 +148,17 @@ def pearson(df: DataFrame, x: str, y: str, group_cols=None) -> DataFrame:
 
 def average_rank(df: DataFrame, value_col: str, group_cols=None, rank_col: str = "rank",
                  partitions: int | None = None) -> DataFrame:
-    """Average rank with ties, 1-based, within each group.
-
-    Works on the distinct-value table and a distributed prefix sum, so no
-    group (however hot) is sorted inside one task:
-      1. count rows per (group, value);
-      2. range-partition that table by (group, value) and take per-partition
-         totals (tiny: one row per partition and group);
-      3. offset of a partition = sum of earlier partitions' totals in the group;
-      4. rank = offset + rows before the value inside its partition + (c+1)/2.
-    The result is joined back to the rows on (group, value).
+    """Average rank with ties, 1-based, within each group (a NULL group is a group).
+
+    Value counts, then rows below each value (``_placed_counts``): rank = below + (count + 1) / 2,
+    joined back to the rows on (group, value).
     """
     g = _cols(group_cols)
     keys = g + [value_col]
-    spark = df.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = (df.where(F.col(value_col).isNotNull())
-                .groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
-                .repartitionByRange(parts, *keys)
-                .withColumn("_pid", F.spark_partition_id()))
-    totals = counts.groupBy("_pid", *g).agg(F.sum("_c").alias("_pt"))
-    w_off = (Window.partitionBy(*g).orderBy("_pid")
-             .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.withColumn("_off", F.coalesce(F.sum("_pt").over(w_off), F.lit(0))).drop("_pt")
-    w_in = (Window.partitionBy("_pid", *g).orderBy(value_col)
-            .rowsBetween(Window.unboundedPreceding, -1))
-    ranked = (counts.withColumn("_before", F.coalesce(F.sum("_c").over(w_in), F.lit(0)))
-                    .join(offsets, ["_pid", *g])
-                    .select(*keys, (F.col("_off") + F.col("_before")
-                                    + (F.col("_c") + 1) / 2.0).alias(rank_col)))
-    return df.join(ranked, keys, "left")
+    counts = df.where(F.col(value_col).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = _placed_counts(counts, g, value_col, partitions).select(
+        *keys, (F.col("_below") + (F.col("_c") + 1) / 2.0).alias(rank_col))
+    return same_keys(df, ranked, keys)
 
 
 def spearman(df: DataFrame, x: str, y: str, group_cols=None) -> DataFrame:
@@ -155,7 +178,7 @@ def correlation(df: DataFrame, x: str, y: str, group_cols=None) -> DataFrame:
     s = spearman(df, x, y, g).drop("n")
     if not g:  # both sides are single-row aggregates: join on a constant key
         p, s, g = p.withColumn("_one", F.lit(1)), s.withColumn("_one", F.lit(1)), ["_one"]
-    out = p.join(s, g, "left")
+    out = same_keys(p, s, g)
     return out.select(*[c for c in g if c != "_one"],
                       "pearson_r", "pearson_p", "spearman_r", "spearman_p", "n")
 

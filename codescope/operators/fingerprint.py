@@ -21,7 +21,7 @@ def stratified_folds(df: DataFrame, id_col: str, label_col: str, folds: int = 5,
     The per-label order comes from the distributed rank (``average_rank``),
     so a label holding a third of all rows is not sorted inside one task.
     """
-    keyed = df.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed)))
+    keyed = df.withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col)).cast("binary")))
     ranked = average_rank(keyed, "_h", label_col, "_r")
     return ranked.withColumn(fold_col, ((F.floor(F.col("_r")) - 1) % folds).cast("int")).drop("_h", "_r")
 

@@ -13,9 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codescope.functions.text import line_count
 from codescope.operators.describe import (
-    describe_aggs, finish_describe, finish_pearson, most_frequent, pearson_aggs,
+    describe_aggs, finish_describe, finish_pearson, medians, most_frequent, pearson_aggs, same_keys, spearman,
 )
 
 
@@ -29,14 +28,16 @@ def fact_load(solutions: DataFrame, executions: DataFrame | None = None,
     return out
 
 
-def leaderboard(facts: DataFrame, model_col: str = "model") -> DataFrame:
-    """A2: one row per model, ordered by correctness (NULL last), then first appearance.
+def leaderboard(facts: DataFrame, model_col: str = "model", group_cols=None) -> DataFrame:
+    """A2: one row per model (and group), ordered by correctness (NULL last), then first appearance.
 
     correctness = mean pass rate over executed solutions with its 95 % t
     interval; avg_runtime_s over non-null runtimes; complexity = most frequent
-    non-empty Big-O label; n_solutions counts every solution.
+    non-empty Big-O label; n_solutions counts every solution. ``group_cols`` gives a leaderboard
+    for each group, such as each experiment, in one pass.
     """
-    agg = facts.groupBy(model_col).agg(
+    g = [group_cols] if isinstance(group_cols, str) else list(group_cols or [])
+    agg = facts.groupBy(*g, model_col).agg(
         *describe_aggs(F.col("pass_rate"), prefix="c_"),
         F.avg("runtime_seconds").alias("avg_runtime_s"),
         most_frequent(F.col("big_o_estimate")).alias("complexity"),
@@ -44,10 +45,10 @@ def leaderboard(facts: DataFrame, model_col: str = "model") -> DataFrame:
         F.min("solution_id").alias("first_seen"),
     )
     agg = finish_describe(agg, prefix="c_")
-    # O3 over at most #models rows: a single-partition window is fine here.
-    order = Window.orderBy(F.col("c_mean").desc_nulls_last(), F.col("first_seen"))
+    # O3 over at most #models rows of a group: a window without further split is fine here.
+    order = Window.partitionBy(*g).orderBy(F.col("c_mean").desc_nulls_last(), F.col("first_seen"))
     return agg.select(
-        F.col(model_col).alias("model"),
+        *g, F.col(model_col).alias("model"),
         F.col("c_mean").alias("correctness"),
         F.col("c_ci_95_low").alias("correctness_ci_low"),
         F.col("c_ci_95_high").alias("correctness_ci_high"),
@@ -57,17 +58,23 @@ def leaderboard(facts: DataFrame, model_col: str = "model") -> DataFrame:
 
 
 def experiment_summary(facts: DataFrame, group_col: str = "experiment_id") -> DataFrame:
-    """A4: per experiment n_solutions, describe(code length / pass rate /
-    complexity) and the code-length vs pass-rate Pearson correlation, flattened."""
-    length = line_count(F.col("code"))
+    """A4: per experiment n_solutions, describe(code length / pass rate / complexity) and the
+    code-length vs pass-rate Pearson and Spearman correlations, flattened.
+
+    ``facts`` has ``code_length`` (from the analysis), so no source text travels here.
+    """
+    length = F.col("code_length")
     executed = F.col("pass_rate").isNotNull()
+    values = {"len_": length, "pass_": F.col("pass_rate"), "cc_": F.col("cyclomatic_complexity")}
     agg = facts.groupBy(group_col).agg(
         F.count(F.lit(1)).alias("n_solutions"),
-        *describe_aggs(length, prefix="len_"),
-        *describe_aggs(F.col("pass_rate"), prefix="pass_"),
-        *describe_aggs(F.col("cyclomatic_complexity"), prefix="cc_"),
+        *[c for p, v in values.items() for c in describe_aggs(v, prefix=p)],
         *pearson_aggs(F.when(executed, length), F.col("pass_rate"), prefix="corr_"),
     )
-    for p in ("len_", "pass_", "cc_"):
+    for p in values:
         agg = finish_describe(agg, prefix=p)
-    return finish_pearson(agg, prefix="corr_")
+    out = finish_pearson(agg, prefix="corr_")
+    med = medians(facts, {f"{p}median": v for p, v in values.items()}, group_col)
+    rho = spearman(facts, "code_length", "pass_rate", group_col).select(
+        group_col, F.col("spearman_r").alias("corr_spearman_r"), F.col("spearman_p").alias("corr_spearman_p"))
+    return same_keys(same_keys(out, med, [group_col]), rho, [group_col])

@@ -53,6 +53,19 @@ def a2_leaderboard(spark, sf_dir):
     return leaderboard(fact_load(sol, exe, ana))
 
 
+@register("a2_leaderboard_by_experiment")
+def a2_leaderboard_by_experiment(spark, sf_dir):
+    """A2 per experiment: every experiment's model leaderboard in one pass."""
+    return leaderboard(_experiment_facts(spark, sf_dir), group_cols="experiment_id")
+
+
+def _experiment_facts(spark, sf_dir):
+    sol = corpus.code_solutions(spark, sf_dir).select("solution_id", "experiment_id", "model")
+    exe = corpus.executions(spark, sf_dir).select("solution_id", "pass_rate", "runtime_seconds")
+    ana = code_analysis(spark, sf_dir).select("solution_id", "big_o_estimate")
+    return fact_load(sol, exe, ana)
+
+
 # ------------------------------------------------------------------ relational layer
 from codescope.functions.text import line_count, word_count  # noqa: E402
 from codescope.operators import relational as R  # noqa: E402
@@ -217,9 +230,9 @@ def a1_describe(spark, sf_dir):
 @register("a4_experiment_summary")
 def a4_experiment_summary(spark, sf_dir):
     """A4 (+A1, A5, A15, X10): per-experiment analytics of the code corpus."""
-    sol = corpus.code_solutions(spark, sf_dir).select("solution_id", "experiment_id", "code")
+    sol = corpus.code_solutions(spark, sf_dir).select("solution_id", "experiment_id")
     exe = corpus.executions(spark, sf_dir).select("solution_id", "pass_rate")
-    ana = code_analysis(spark, sf_dir).select("solution_id", "cyclomatic_complexity")
+    ana = code_analysis(spark, sf_dir).select("solution_id", "code_length", "cyclomatic_complexity")
     return experiment_summary(fact_load(sol, exe, ana))
 
 

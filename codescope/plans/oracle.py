@@ -149,36 +149,48 @@ EXEC = ("SELECT l.doc_id AS solution_id, l.quality AS passed_tests, 1 AS total_t
         "FROM labels l LEFT JOIN events e ON e.event_id = l.doc_id")
 
 
-@sql("a2_leaderboard")
-def _a2():
+def _leaderboard_sql(keys: list[str]) -> str:
+    k = "".join(f"{c}, " for c in keys)
+    on = " AND ".join(f"mo.{c} = ci.{c}" for c in [*keys, "model"])
+    part = f"PARTITION BY {', '.join('ci.' + c for c in keys)} " if keys else ""
     return f"""
 WITH sol AS ({CODE_SOL}),
 exe AS ({EXEC}),
 facts AS (
-  SELECT s.solution_id, s.model, x.pass_rate, x.runtime_seconds, tb.big_o
+  SELECT {''.join('s.' + c + ', ' for c in keys)}s.solution_id, s.model, x.pass_rate, x.runtime_seconds, tb.big_o
   FROM sol s LEFT JOIN exe x USING (solution_id) LEFT JOIN {template_big_o_values()} USING (tmpl)),
 modes AS (
-  SELECT model, big_o,
-         row_number() OVER (PARTITION BY model ORDER BY count(*) DESC, big_o) AS rk
-  FROM facts WHERE big_o IS NOT NULL AND big_o <> '' GROUP BY model, big_o),
+  SELECT {k}model, big_o,
+         row_number() OVER (PARTITION BY {k}model ORDER BY count(*) DESC, big_o) AS rk
+  FROM facts WHERE big_o IS NOT NULL AND big_o <> '' GROUP BY {k}model, big_o),
 agg AS (
-  SELECT model, avg(pass_rate) AS m, stddev_samp(pass_rate) AS sd, count(pass_rate) AS n,
+  SELECT {k}model, avg(pass_rate) AS m, stddev_samp(pass_rate) AS sd, count(pass_rate) AS n,
          avg(runtime_seconds) AS avg_runtime_s, count(*) AS n_solutions, min(solution_id) AS first_seen
-  FROM facts GROUP BY model),
+  FROM facts GROUP BY {k}model),
 ci AS (
   SELECT a.*, CASE WHEN n >= 2 THEN {t975_sql('a.n - 1')} * sd / sqrt(n) END AS margin FROM agg a)
-SELECT ci.model,
+SELECT {''.join('ci.' + c + ', ' for c in keys)}ci.model,
        round(m, 6) AS correctness,
        round(CASE WHEN n = 1 THEN m WHEN n >= 2 THEN m - margin END, 6) AS correctness_ci_low,
        round(CASE WHEN n = 1 THEN m WHEN n >= 2 THEN m + margin END, 6) AS correctness_ci_high,
        round(avg_runtime_s, 6) AS avg_runtime_s,
        mo.big_o AS complexity,
        CAST(n_solutions AS BIGINT) AS n_solutions,
-       CAST(row_number() OVER (ORDER BY m DESC NULLS LAST, first_seen) AS BIGINT) AS position
-FROM ci LEFT JOIN modes mo ON mo.model = ci.model AND mo.rk = 1
+       CAST(row_number() OVER ({part}ORDER BY m DESC NULLS LAST, first_seen) AS BIGINT) AS position
+FROM ci LEFT JOIN modes mo ON {on} AND mo.rk = 1
 """
 
 
+@sql("a2_leaderboard")
+def _a2():
+    return _leaderboard_sql([])
+
+
+@sql("a2_leaderboard_by_experiment")
+def _a2_by_experiment():
+    return _leaderboard_sql(["experiment_id"])
+
+
 # ------------------------------------------------------------------ relational layer
 from codescope.functions.text import LINE_SPLIT_RE, NONBLANK_RE  # noqa: E402
 
@@ -442,12 +454,20 @@ a AS (
          count(*) FILTER (WHERE pass_rate IS NOT NULL) AS n,
          covar_pop(len, pass_rate) / (stddev_pop(CASE WHEN pass_rate IS NOT NULL THEN len END) * stddev_pop(pass_rate)) AS r
   FROM f GROUP BY experiment_id),
-{pvalue_ctes('a', ['experiment_id'], 'pa')}
+rk AS (SELECT experiment_id,
+    rank() OVER (PARTITION BY experiment_id ORDER BY len) + (count(*) OVER (PARTITION BY experiment_id, len) - 1) / 2.0 AS rx,
+    rank() OVER (PARTITION BY experiment_id ORDER BY pass_rate)
+      + (count(*) OVER (PARTITION BY experiment_id, pass_rate) - 1) / 2.0 AS ry
+  FROM f WHERE pass_rate IS NOT NULL),
+sr AS (SELECT experiment_id, count(*) AS n, covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)) AS r FROM rk GROUP BY 1),
+{pvalue_ctes('a', ['experiment_id'], 'pa')},
+{pvalue_ctes('sr', ['experiment_id'], 'ps')}
 SELECT experiment_id, CAST(n_solutions AS BIGINT) AS n_solutions,
        {describe_finish_sql('l', 'len_')}, {describe_finish_sql('p', 'pass_')}, {describe_finish_sql('c', 'cc_')},
-       CAST(n AS BIGINT) AS corr_n, round({r_sql('r', 'n')}, 6) AS corr_pearson_r,
-       round({p_sql('r', 'n', 'pa')}, 6) AS corr_pearson_p
-FROM a LEFT JOIN pa_pv USING (experiment_id)"""
+       CAST(a.n AS BIGINT) AS corr_n, round({r_sql('a.r', 'a.n')}, 6) AS corr_pearson_r,
+       round({p_sql('a.r', 'a.n', 'pa')}, 6) AS corr_pearson_p,
+       round({r_sql('sr.r', 'sr.n')}, 6) AS corr_spearman_r, round({p_sql('sr.r', 'sr.n', 'ps')}, 6) AS corr_spearman_p
+FROM a LEFT JOIN sr USING (experiment_id) LEFT JOIN pa_pv USING (experiment_id) LEFT JOIN ps_pv USING (experiment_id)"""
 
 
 @sql("a7_class_balance")
@@ -475,6 +495,12 @@ def _w1():
             "FROM lineitem")
 
 
+@sql("w2_fold_assignment")
+def _w2():
+    return (f"SELECT solution_id, model, CAST((row_number() OVER (PARTITION BY model ORDER BY md5('42:' || solution_id)) - 1) % 5 "
+            f"AS BIGINT) AS fold FROM ({CODE_SOL})")
+
+
 def oracle_sql() -> dict[str, str]:
     from codescope.plans import oracle_code, oracle_text  # noqa: F401  (register their oracles)
     return {name: fn() for name, fn in ORACLE.items()}

@@ -46,12 +46,25 @@ def test_describe_empty_nulls_single(spark):
     assert (one["stdev"], one["ci_95_low"], one["ci_95_high"], one["median"]) == (0.0, 7.0, 7.0, 7.0)
 
 
-def test_describe_grouped_and_approx_median(spark):
+def test_describe_grouped(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 5.0), ("a", 4.0)], "g string, v double")
     out = {r["g"]: r for r in D.describe(df, "v", "g").collect()}
     assert out["a"]["median"] == 2.0 and out["b"]["n"] == 1
-    approx = {r["g"]: r for r in D.describe(df, "v", "g", exact_median=False).collect()}
-    assert approx["a"]["median"] == 2.0
+
+
+def test_medians_by_selection(spark):
+    import random
+    import statistics
+    rnd = random.Random(3)
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([None, float(rnd.randrange(40)), rnd.random()]), float(i)) for i in range(700)]
+    df = spark.createDataFrame(rows, "g string, v double, w double")
+    got = {r["g"]: r for r in D.medians(df, {"v": F.col("v"), "w": F.col("w")}, "g").collect()}
+    for g in ("a", "b", None):
+        assert got[g]["v"] == statistics.median([r[1] for r in rows if r[0] == g and r[1] is not None])
+        assert got[g]["w"] == statistics.median([r[2] for r in rows if r[0] == g])
+    assert D.describe(df.where("g = 'a'"), "w").first()["median"] == got["a"]["w"]
+    plan = D.describe(df, "v", "g")._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan and "median(" not in plan
 
 
 def _xy(spark, pairs):
@@ -89,6 +102,38 @@ def test_average_rank_ties_matches_bruteforce(spark):
         assert got[i] == less + (eq + 1) / 2
 
 
+def _brute_rank(rows):
+    out = {}
+    for i, g, v in rows:
+        if v is not None:
+            same = [w for _, h, w in rows if h == g and w is not None]
+            out[i] = sum(w < v for w in same) + (sum(w == v for w in same) + 1) / 2
+    return out
+
+
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_average_rank_without_exchange_reuse_null_group_and_hot_value(spark, reuse):
+    import random
+    rnd = random.Random(8)
+    rows = [(i, rnd.choice(["a", "b", None]), 7.0 if i % 3 == 0 else rnd.choice([None, rnd.random() * 20])) for i in range(900)]
+    df = spark.createDataFrame(rows, "i int, g string, v double")
+    old = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        got = {r["i"]: r["rank"] for r in D.average_rank(df, "v", "g", partitions=16).collect()}
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", old)
+    want = _brute_rank(rows)
+    assert got == {i: want.get(i) for i, _, _ in rows}
+
+
+def test_correlation_of_a_null_group(spark):
+    rows = [(None, float(x), float(x * x)) for x in range(6)] + [("a", float(x), float(-x)) for x in range(5)]
+    got = {r["g"]: r for r in D.correlation(spark.createDataFrame(rows, "g string, x double, y double"), "x", "y", "g").collect()}
+    assert got[None]["spearman_r"] == pytest.approx(1.0) and got["a"]["spearman_r"] == pytest.approx(-1.0)
+    assert got[None]["n"] == 6 and got[None]["pearson_r"] > 0.9
+
+
 def test_class_balance(spark):
     one = spark.createDataFrame([("a",)], "label string")
     r = D.class_balance(one, "label").first()
