@@ -1,17 +1,17 @@
 """M2: DBSCAN with cosine distance as DataFrame jobs.
 
 1. Unit-normalise; cosine distance d(u, v) = 1 - u·v ≤ eps  ⇔  |u - v| ≤ r = sqrt(2·eps).
-2. Exact candidate pairs: project onto p orthonormal directions (seeded QR);
+2. Exact candidate pairs, as ids: project onto p orthonormal directions (seeded QR);
    a projection is 1-Lipschitz, so true neighbours lie in the same or an
    adjacent grid cell of side r in every projected coordinate. Each point
-   probes its 3^p neighbouring cells through an equi-join on the cell key;
-   candidates are then verified with the exact dot product. No pair is
-   missed; how many non-neighbours are checked depends on the data (points
-   packed into one cell are all compared, as they may all be neighbours).
+   probes its 3^p neighbouring cells through an equi-join on the cell key. Distances to ``PIVOTS``
+   points, which differ by at most r between neighbours, rule out more candidates inside that join.
+   Vectors are joined to what is left, and the dot product decides. No pair is missed.
+   How many non-neighbours are checked depends on the data: for unit vectors a cell cannot prune once
+   r ≥ 2 / (cells wanted), so at eps of 0.5 and more most points may have to be compared.
 3. Core points: neighbourhood size (self included) ≥ min_samples.
-4. Clusters: connected components of the core graph by iterative
-   min-label propagation (join + groupBy min) until no label changes; the
-   lineage is cut with ``checkpoint()`` into the shared spark.checkpoint.dir.
+4. Clusters: connected components of the core graph by star contraction (rounds grow with the
+   logarithm of a component's size), each round a written table.
 5. Numbering: clusters ordered by their smallest core id (0, 1, …), ranked
    with the distributed prefix-sum rank, not a one-partition window.
 6. Border points take the smallest-numbered adjacent cluster; others -1.
@@ -25,8 +25,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codescope.operators.components import components
 from codescope.operators.describe import average_rank
-from codescope.session import ensure_checkpoint_dir
+from codescope.sources.scratch import materialise
+
+PIVOTS = 4
 
 
 def _directions(dim: int, p: int, seed: int) -> np.ndarray:
@@ -38,7 +41,6 @@ def _directions(dim: int, p: int, seed: int) -> np.ndarray:
 def neighbour_pairs(df: DataFrame, id_col: str, vec_col: str, eps: float, proj_dims: int = 3,
                     seed: int = 42) -> DataFrame:
     """All (a, b) with a < b and cosine distance ≤ eps (exact)."""
-    spark = df.sparkSession
     first = df.select(F.size(vec_col).alias("d")).where("d is not null").first()
     dim = int(first["d"]) if first else 0
     p = max(1, min(proj_dims, dim))
@@ -48,50 +50,49 @@ def neighbour_pairs(df: DataFrame, id_col: str, vec_col: str, eps: float, proj_d
     pts = df.select(F.col(id_col).alias("id"),
                     F.when(norm > 0, F.transform(vec_col, lambda v: v / norm)).alias("u"))
     pts = pts.where(F.col("u").isNotNull())           # zero vectors: no neighbours but themselves
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
     for j in range(p):
         w = F.array(*[F.lit(float(x)) for x in q[:, j]])
-        proj = F.aggregate(F.zip_with("u", w, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-        pts = pts.withColumn(f"c{j}", F.floor(proj / r).cast("long"))
+        pts = pts.withColumn(f"c{j}", F.floor(dot("u", w) / r).cast("long"))
+    # pivots are seeded directions of the space, so none has to be fetched
+    pivots = np.random.default_rng(seed + 1).standard_normal((PIVOTS, max(1, dim)))
+    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
+    far = [F.sqrt(F.greatest(F.lit(0.0), 2.0 - 2.0 * dot("u", F.array(*[F.lit(float(x)) for x in v])))) for v in pivots]
+    pts = materialise(pts.withColumn("far", F.array(*far)), "dbscan-points")
     cells = [F.col(f"c{j}") for j in range(p)]
-    home = pts.select(F.col("id").alias("b"), F.col("u").alias("ub"), F.array(*cells).alias("cell"))
+    home = pts.select(F.col("id").alias("b"), F.col("far").alias("fb"), F.array(*cells).alias("cell"))
     offsets = [list(o) for o in itertools.product((-1, 0, 1), repeat=p)]
     off = F.array(*[F.array(*[F.lit(x) for x in o]) for o in offsets])
-    probes = pts.select(F.col("id").alias("a"), F.col("u").alias("ua"),
+    probes = pts.select(F.col("id").alias("a"), F.col("far").alias("fa"),
                         F.explode(F.transform(off, lambda o: F.zip_with(F.array(*cells), o, lambda c, d: c + d)))
                         .alias("cell"))
-    cand = probes.join(home, "cell").where(F.col("a") < F.col("b"))
-    dot = F.aggregate(F.zip_with("ua", "ub", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-    return cand.where(1.0 - dot <= eps).select("a", "b")
+    near = F.lit(True)
+    for j in range(PIVOTS):  # a hair of slack for rounding: the dot product decides
+        near = near & (F.abs(F.col("fa")[j] - F.col("fb")[j]) <= r + 1e-9)
+    cand = probes.join(home, "cell").where((F.col("a") < F.col("b")) & near).select("a", "b")
+    cand = cand.join(pts.select(F.col("id").alias("a"), F.col("u").alias("ua")), "a").join(
+        pts.select(F.col("id").alias("b"), F.col("u").alias("ub")), "b")
+    return cand.where(1.0 - dot("ua", "ub") <= eps).select("a", "b")
 
 
 def dbscan(df: DataFrame, id_col: str = "solution_id", vec_col: str = "vector", eps: float = 0.5,
            min_samples: int = 2, proj_dims: int = 3, seed: int = 42) -> DataFrame:
     """(id, cluster) with -1 for noise. Fewer points than min_samples → all -1."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     ids = df.select(F.col(id_col).alias("id"))
     n = ids.count()
     if n < min_samples:
         return ids.select(F.col("id").alias(id_col), F.lit(-1).alias("cluster"))
-    pairs = neighbour_pairs(df, id_col, vec_col, eps, proj_dims, seed).checkpoint(eager=True)
+    pairs = materialise(neighbour_pairs(df, id_col, vec_col, eps, proj_dims, seed), "dbscan-pairs")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     deg = both.groupBy("a").agg(F.count(F.lit(1)).alias("k"))
-    core = (ids.join(deg, ids["id"] == deg["a"], "left")
-               .select("id", ((F.coalesce("k", F.lit(0)) + 1) >= min_samples).alias("is_core")))
-    core = core.checkpoint(eager=True)
+    core = materialise(ids.join(deg, ids["id"] == deg["a"], "left")
+                       .select("id", ((F.coalesce("k", F.lit(0)) + 1) >= min_samples).alias("is_core")), "dbscan-core")
     core_ids = core.where("is_core").select("id")
-    edges = (both.join(core_ids.withColumnRenamed("id", "a"), "a", "left_semi")
-                 .join(core_ids.withColumnRenamed("id", "b"), "b", "left_semi")).checkpoint(eager=True)
-    labels = core_ids.select("id", F.col("id").alias("label"))
-    while True:
-        cand = (edges.join(labels.withColumnRenamed("id", "b").withColumnRenamed("label", "lb"), "b")
-                     .groupBy("a").agg(F.min("lb").alias("m")))
-        new = (labels.join(cand, labels["id"] == cand["a"], "left")
-                     .select("id", F.least("label", F.coalesce("m", "label")).alias("label"))).checkpoint(eager=True)
-        changed = new.join(labels.withColumnRenamed("label", "old"), "id").where("label <> old").limit(1).count()
-        labels = new
-        if changed == 0:
-            break
+    edges = (pairs.join(core_ids.withColumnRenamed("id", "a"), "a", "left_semi")
+                  .join(core_ids.withColumnRenamed("id", "b"), "b", "left_semi"))
+    linked = components(edges).withColumnRenamed("node", "id")
+    labels = materialise(core_ids.join(linked, "id", "left").select("id", F.coalesce("label", "id").alias("label")),
+                         "dbscan-labels")
     roots = labels.select("label").distinct()
     numbered = average_rank(roots, "label", None, "_r").select(
         "label", (F.col("_r") - 1).cast("int").alias("cluster"))

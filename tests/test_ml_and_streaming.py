@@ -181,3 +181,18 @@ def test_dbscan_matches_bruteforce(spark):
                         stack.append(q)
         c += 1
     assert [got[i] for i in range(n)] == label
+
+
+def test_dbscan_chain_and_spread_points(spark):
+    from codescope.operators import components as CC
+    from codescope.operators.dbscan import dbscan
+    chain = [(math.cos(i * 0.02), math.sin(i * 0.02)) for i in range(120)] + [(-1.0, 0.0)]
+    rounds = []
+    keep = CC.materialise
+    CC.materialise = lambda df, label: rounds.append(label) or keep(df, label)
+    try:
+        got = [r["cluster"] for r in dbscan(_vecs(spark, chain), eps=0.0003, min_samples=2).orderBy("solution_id").collect()]
+    finally:
+        CC.materialise = keep
+    assert got == [0] * 120 + [-1]
+    assert len(rounds) <= 14          # a chain of 120 links
