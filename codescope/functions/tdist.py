@@ -150,22 +150,22 @@ def cornish_fisher_t975_sql(df: str) -> str:
     return "(" + " + ".join(terms) + ")"
 
 
+def _per_distinct(fn, x: pd.Series, df: pd.Series) -> pd.Series:
+    """``fn(x, df)`` once per distinct argument pair; groups share their degrees of freedom far more often than not."""
+    pairs = pd.DataFrame({"x": x.to_numpy(dtype="float64", na_value=np.nan), "df": df.to_numpy(dtype="float64", na_value=np.nan)})
+    code, distinct = pd.factorize(pd.MultiIndex.from_frame(pairs))
+    values = np.array([fn(a, d) if a == a and d == d and d > 0 else np.nan for a, d in distinct], dtype="float64")
+    return pd.Series(np.where(code >= 0, values[code] if len(values) else np.nan, np.nan))
+
+
 @F.pandas_udf(T.DoubleType())
 def _t_ppf_udf(p: pd.Series, df: pd.Series) -> pd.Series:
-    out = np.full(len(p), np.nan)
-    for i, (pp, dd) in enumerate(zip(p.to_numpy(), df.to_numpy())):
-        if pd.notna(pp) and pd.notna(dd) and dd > 0:
-            out[i] = t_ppf(float(pp), float(dd))
-    return pd.Series(out)
+    return _per_distinct(t_ppf, p, df)
 
 
 @F.pandas_udf(T.DoubleType())
 def _t_p_udf(t: pd.Series, df: pd.Series) -> pd.Series:
-    out = np.full(len(t), np.nan)
-    for i, (tt, dd) in enumerate(zip(t.to_numpy(), df.to_numpy())):
-        if pd.notna(tt) and pd.notna(dd) and dd > 0:
-            out[i] = t_two_sided_p(float(tt), float(dd))
-    return pd.Series(out)
+    return _per_distinct(t_two_sided_p, t, df)
 
 
 def t_quantile(p: Column | float, df: Column) -> Column:
