@@ -163,8 +163,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learned from documents whose crc32(doc_id) mod 3 is not 1."""
     docs = table(spark, sf_dir, "documents")
-    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
-    model = train(*training_rows(docs.where(part != 1)))
-    return identify(docs, model).select(
-        "doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1).alias("held_out"),
-        "lang_pred", "score", "accepted")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    model = train(*training_rows(docs.where(~held & F.col("doc_id").isNotNull())))
+    return identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "accepted")

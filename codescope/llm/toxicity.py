@@ -52,7 +52,7 @@ def word_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for j in range(WIDTH):
         w = w * np.uint32(31) + m[:, j]
     return ((w % np.uint32(WORD_BUCKETS)).astype(np.int64),
-            np.concatenate([gram_buckets(m, k, CHAR_BUCKETS) for k in (3, 4)], 1))
+            np.concatenate([gram_buckets(m, k, CHAR_BUCKETS).astype(np.int16) for k in (3, 4)], 1))
 
 
 def sigmoid(x):
@@ -239,11 +239,14 @@ def train(texts: list[str], labels: list[int], prior: float, seed: int = 11) ->
     if not len(labels) or not labels.any() or labels.all():
         return Network(None)
     rng = np.random.default_rng(seed)
-    docs = [WORD.findall(t.lower()) for t in texts]
-    vocab = {w: i for i, w in enumerate(dict.fromkeys(w for d in docs for w in d))}
-    w, c = word_ids(list(vocab))
-    ids = [np.array([vocab[x] for x in d], np.int64) for d in docs]
-    at = [np.where((k := windows(len(d))) >= 0, d[np.maximum(k, 0)], -1) if len(d) else np.zeros((0, STEPS), np.int64)
+    vocab: dict[str, int] = {}
+    ids = []
+    for t in texts:  # words become numbers text by text: word lists of all texts would crowd the driver
+        ids.append(np.array([vocab.setdefault(x, len(vocab)) for x in WORD.findall(t.lower())], np.int32))
+    spelled = list(vocab)
+    parts = [word_ids(spelled[k:k + 50_000]) for k in range(0, len(spelled), 50_000)]
+    w, c = (np.concatenate([q[i] for q in parts]) for i in (0, 1))
+    at = [np.where((k := windows(len(d))) >= 0, d[np.maximum(k, 0)], -1).astype(np.int32) if len(d) else np.zeros((0, STEPS), np.int32)
           for d in ids]
     # first ranking of windows: how much more often their most typical word is in toxic documents
     toxic, clean = Counter(), Counter()
@@ -251,6 +254,7 @@ def train(texts: list[str], labels: list[int], prior: float, seed: int = 11) ->
         (toxic if y else clean).update(set(d.tolist()))
     n1, n0 = labels.sum(), (1 - labels).sum()
     typical = np.zeros(len(vocab) + 1)
+    del vocab, spelled, parts
     for x, k in toxic.items():
         typical[x] = (k / n1 - clean[x] / n0) / np.sqrt(k / n1 + clean[x] / n0 + 2 / n1)
     rank = [typical[a].max(1) if len(a) else np.zeros(0) for a in at]
@@ -311,11 +315,13 @@ def training_rows(docs: DataFrame, labels: DataFrame,
                   per_class: int = PER_CLASS) -> tuple[list[str], list[int], float]:
     """At most ``per_class`` labelled documents of each class, by a hash of the id, and the share of toxic labels."""
     y = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = keyed_texts(docs).where("text <> ''").join(y, "doc_id").select(
-        "doc_id", "toxic", F.substring("text", 1, SLICE).alias("text"))
-    out = []
-    for label in (0, 1):  # each a top-k, kept small in every task
-        out += rows.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()
+    # the ids first, so that no text is shuffled: each class a top-k, kept small in every task
+    ids = [r for label in (0, 1) for r in y.where(F.col("toxic") == label).orderBy(
+        F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()]
+    chosen = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in ids], "doc_id bigint, toxic int")
+    out = (keyed_texts(docs).where("text <> ''").join(F.broadcast(chosen), "doc_id").select(
+        "doc_id", "toxic", F.substring("text", 1, SLICE).alias("text")).collect())
+    out.sort(key=lambda r: (r.toxic, r.doc_id, r.text))
     share = y.agg(F.avg("toxic")).first()[0]
     return [r.text for r in out], [r.toxic for r in out], share or 0.0
 
@@ -336,7 +342,8 @@ def score_documents(docs: DataFrame, net: Network) -> DataFrame:
 
 
 def held_out() -> F.Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    """Rows kept from training; a row without id is not one of them."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def learn(spark: SparkSession, sf_dir: str) -> Network:
