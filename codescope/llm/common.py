@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codescope.session import ensure_checkpoint_dir
+from codescope.sources.scratch import materialise  # noqa: F401  (general helper, used by the operators)
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
@@ -21,18 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder (``spark.checkpoint.dir``) and read it back.
-
-    Cuts the lineage like ``checkpoint()`` but computes the plan once and stores
-    compressed columns. Any executor can read the files, so a lost one costs nothing.
-    """
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/llm-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
     """``mapInArrow`` where ``fn(batches)`` yields dicts of columns; empty input yields nothing."""
     arrow = None
@@ -54,6 +41,23 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+#: Stands for a missing id inside operators that need one: it sorts first.
+NO_ID = -(1 << 63)
+
+
+def unique_ids(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` with one row for each id: of rows that repeat one, the smallest text."""
+    d = keyed_texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
+    if d.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        d = d.groupBy("doc_id").agg(F.min("text").alias("text"))
+    return d
+
+
+def outer_id(name: str):
+    """The id column ``name`` with ``NO_ID`` as null again."""
+    return F.when(F.col(name) != NO_ID, F.col(name)).alias(name)
+
+
 class WordRows:
     """A row of numbers per distinct word, kept between texts; forgets everything beyond ``limit`` words."""
 

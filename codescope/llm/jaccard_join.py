@@ -13,18 +13,21 @@ universe is cut into segments, more of them in higher size bands; both sets are
 
 Allocation is by cost. Exact segments cost a quarter of the set in signatures, the
 neighbourhoods more than all of it, but match far fewer unlike sets. So the
-neighbourhoods are spent where lists are short or where exact segments prove too
+neighbourhoods are spent where sets are small or where exact segments prove too
 common: sets in a signature list of more than ``LONG`` members that
 is not yet settled are indexed again, among themselves, by neighbourhoods.
 
 Lists are never expanded into all pairs. Each member is checked against the list's
 first member; verified links make components; a list whose members all share a
-component is settled. Only members of different components are paired, in
-unsettled lists.  Equal sets are one node from the start, and the members of a
+component is settled. Only members of different components are compared, in
+unsettled lists. Before any set travels, a pair has to pass an exact bound: both sets are
+counted over equal parts of the universe (a byte each, about eight members a part), and their
+difference is no less than the sum of the counts' differences. Equal sets are one node from the start, and the members of a
 list that one task sees itself are folded there before the shuffle.
 
 Defined results: null, empty and blank texts have no shingle and link with nothing; fewer
-than five words are one shingle; repeated ids keep their rows; ties go to the
+than five words are one shingle; of rows that repeat an id the one with the
+smallest text counts, and a missing id sorts first; ties go to the
 smaller id; an empty table gives empty frames; extra columns are ignored.
 """
 
@@ -35,15 +38,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codescope.llm.common import keyed_texts, map_batches, materialise, table
-from codescope.llm.components import components
+from codescope.llm.common import keyed_texts, map_batches, materialise, outer_id, table, unique_ids
+from codescope.operators.components import components
 from codescope.llm.hashing import U, mix, shingles, word_hashes
 
 SMALL = 64          # bands up to this size use neighbourhoods at once
-LONG = 32
+LONG = 1000
+LEAST_PARTS = 64
 SPARE = 1.35        # segments per needed segment
 BROADCAST_ROWS = 2_000_000
-FOLD_ROWS = 4_000_000
+FOLD_ROWS = 1_000_000   # 16 bytes each, and some copies of them, in a worker
+PAIRS = 200_000      # pairs compared at a time
 
 
 def bands(n: int) -> list[int]:
@@ -80,28 +85,60 @@ def signatures(s: np.ndarray, neighbourhoods: bool = False) -> np.ndarray:
     return np.unique(np.concatenate(out)).view(np.int64)
 
 
+def counts(s: np.ndarray) -> bytes:
+    """Members of ``s`` in each part of the universe, at most 255; a power of two of parts, an eighth of the set's size."""
+    bits = max(LEAST_PARTS.bit_length() - 1, len(s).bit_length() - 3)
+    part = (mix(s ^ U(0xA0761D6478BD642F)) >> U(64 - bits)).astype(np.int64)
+    return np.minimum(np.bincount(part, minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def apart(sketches: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Least difference of the sets ``x[i]`` and ``y[i]`` (row numbers); a finer sketch is folded to the coarser."""
+    sizes = np.array([len(k) for k in sketches])
+    width = np.minimum(sizes[x], sizes[y])
+    out = np.zeros(len(x), np.int64)
+    for w in np.unique(width):
+        p = np.flatnonzero(width == w)
+        rows, at = np.unique(np.concatenate([x[p], y[p]]), return_inverse=True)
+        m = np.stack([np.frombuffer(sketches[r], np.uint8).reshape(w, -1).sum(1, dtype=np.int16) for r in rows])
+        a, b, step = at[:len(p)], at[len(p):], max(1, (1 << 22) // int(w))
+        for k in range(0, len(p), step):
+            out[p[k:k + step]] = np.abs(m[a[k:k + step]] - m[b[k:k + step]]).sum(1, dtype=np.int64)
+    return out
+
+
+def may_link(na, nb, apart, percent: int):
+    """Whether sets of sizes ``na`` and ``nb`` that differ in ``apart`` members at least can reach ``percent``."""
+    # similarity = (u - d) / u with u = (na + nb + d) / 2, and it falls as the difference d grows
+    return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (
+        100 * (na + nb - apart) >= percent * (na + nb + apart))
+
+
 def text_set(text: str) -> np.ndarray:
     return shingles(word_hashes(text))
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, d1, d2, sigs``: size, a 128-bit digest of the set, and its first-tier signatures."""
+    """``doc_id, n_shingles, d1, d2, sketch, sigs``: size, 128-bit digest, counts by part and first-tier signatures."""
 
     def run(batches):
-        for b in batches:
-            n, d1, d2, sigs = [], [], [], []
-            for text in b.column(1):
-                s = text_set(text.as_py())
-                n.append(len(s))
-                d1.append(s.sum(dtype=U).view(np.int64))
-                d2.append(mix(s + U(0xD6E8FEB86659FD93)).sum(dtype=U).view(np.int64))
-                sigs.append(signatures(s))
-            cut = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
-            yield {"doc_id": b.column(0), "n_shingles": n, "d1": np.array(d1), "d2": np.array(d2),
-                   "sigs": pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(sigs or [np.zeros(0, np.int64)])))}
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1000):
+                b = whole.slice(k, 1000)
+                n, d1, d2, sketch, sigs = [], [], [], [], []
+                for text in b.column(1):
+                    s = text_set(text.as_py())
+                    n.append(len(s))
+                    d1.append(s.sum(dtype=U).view(np.int64))
+                    d2.append(mix(s + U(0xD6E8FEB86659FD93)).sum(dtype=U).view(np.int64))
+                    sketch.append(counts(s))
+                    sigs.append(signatures(s))
+                cut = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
+                yield {"doc_id": b.column(0), "n_shingles": n, "d1": np.array(d1), "d2": np.array(d2), "sketch": sketch,
+                       "sigs": pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(sigs)))}
 
     return map_batches(keyed_texts(docs), run,
-                       "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, sigs array<bigint>")
+                       "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, sketch binary, sigs array<bigint>")
 
 
 def _fold(sig: np.ndarray, doc: np.ndarray) -> dict:
@@ -183,7 +220,7 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``node, n, items`` (ascending shingle hashes) of the documents in ``wanted(doc_id)``."""
-    keep = keyed_texts(docs).join(small(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    keep = keyed_texts(docs).join(small(wanted), "doc_id", "left_semi")
 
     def run(batches):
         for b in batches:
@@ -195,14 +232,30 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_batches(keep, run, "node bigint, n bigint, items array<bigint>")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets have at least ``percent`` / 100 Jaccard similarity; exact."""
-    size = sets.select("node", "n")
-    for x in ("a", "b"):  # unlike sizes go first, by two numbers a row
-        pairs = pairs.join(size.select(F.col("node").alias(x), F.col("n").alias(f"n{x}")), x)
+def likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` that sizes and sketches (``node, n, sketch``) do not rule out."""
+    for x in ("a", "b"):
+        pairs = pairs.join(sketches.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"),
+                                           F.col("sketch").alias(f"s{x}")), x)
     pairs = pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+
+    def run(batches):
+        for b in batches:
+            at = np.arange(b.num_rows)
+            least = apart(b.column(4).to_pylist() + b.column(5).to_pylist(), at, at + b.num_rows)
+            keep = may_link(b.column(2).to_numpy(), b.column(3).to_numpy(), least, percent)
+            yield {"a": b.column(0).to_numpy()[keep], "b": b.column(1).to_numpy()[keep]}
+
+    return map_batches(pairs.select("a", "b", "na", "nb", "sa", "sb"), run, "a bigint, b bigint")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)``, a written table, whose sets have ``percent`` / 100 Jaccard similarity; exact."""
+    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+    sets = materialise(sets_of(docs, wanted), "sets")
     for x in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("node").alias(x), F.col("items").alias(f"s{x}")), x)
+        pairs = pairs.join(sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"),
+                                       F.col("items").alias(f"s{x}")), x)
     both = F.size(F.array_intersect("sa", "sb"))
     return pairs.withColumn("i", both).where(f"100 * i >= {percent} * (na + nb - i)").select("a", "b")
 
@@ -216,12 +269,50 @@ def unsettled(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(open_, "sig")
 
 
-def cross_pairs(open_lists: DataFrame) -> DataFrame:
-    """Pairs of members of different components within a list that were not checked against its pivot."""
-    m = open_lists.select("sig", "doc", "label", "pivot").distinct()
-    a = m.select("sig", F.col("doc").alias("a"), F.col("label").alias("la"), F.col("pivot").alias("pa"))
-    b = m.select("sig", F.col("doc").alias("b"), F.col("label").alias("lb"), F.col("pivot").alias("pb"))
-    return a.join(b, "sig").where("a < b AND la <> lb AND pa <> b AND pb <> a").select("a", "b").distinct()
+def cross_pairs(open_lists: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Likely pairs of members of different components within a list, but for those checked against its pivot.
+
+    Lists have at most ``LONG`` members in the first tier; a list is read in blocks of rows.
+    """
+    m = open_lists.select("sig", "doc", "label", "pivot").distinct().join(
+        sketches.select(F.col("node").alias("doc"), "n", "sketch"), "doc")
+    parts = int(m.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = m.select("sig", "doc", "label", "pivot", "n", "sketch").repartition(parts, "sig").sortWithinPartitions("sig", "doc")
+
+    def pairs_of(sig, doc, label, pivot, n, sketch):
+        """Pairs within runs of ``sig``, some rows at a time: each row with the rows of its run that follow it."""
+        last = np.searchsorted(sig, sig, "right")
+        after = last - np.arange(len(sig)) - 1
+        out = [np.zeros((2, 0), np.int64)]
+        upto = np.cumsum(after)
+        k = 0
+        while k < len(sig):
+            j = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + PAIRS, "right")))
+            m = after[k:j]
+            x = np.repeat(np.arange(k, j), m)
+            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m)
+            keep = (label[x] != label[y]) & (pivot[x] != doc[y]) & (pivot[y] != doc[x]) & (doc[x] != doc[y])
+            x, y = x[keep], y[keep]
+            x, y = (z[100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])] for z in (x, y))
+            keep = may_link(n[x], n[y], apart(sketch, x, y), percent) if len(x) else np.zeros(0, bool)
+            out.append(np.stack([np.minimum(doc[x[keep]], doc[y[keep]]), np.maximum(doc[x[keep]], doc[y[keep]])]))
+            k = j
+        return np.unique(np.concatenate(out, 1), axis=1)
+
+    def run(batches):
+        held = None
+        for b in batches:
+            now = [b.column(i).to_numpy() for i in range(5)]
+            held = now + [b.column(5).to_pylist()] if held is None else [
+                *(np.concatenate([x, y]) for x, y in zip(held, now)), held[5] + b.column(5).to_pylist()]
+            k = int(np.searchsorted(held[0], held[0][-1]))  # the last list may go on in the next batch
+            if k:
+                yield dict(zip("ab", pairs_of(*(x[:k] for x in held))))
+                held = [x[k:] for x in held]
+        if held is not None:
+            yield dict(zip("ab", pairs_of(*held)))
+
+    return map_batches(dealt, run, "a bigint, b bigint").distinct()
 
 
 def star_pairs(lists: DataFrame) -> DataFrame:
@@ -233,8 +324,10 @@ def star_pairs(lists: DataFrame) -> DataFrame:
 def similarity_components(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """``(doc_id, n_shingles, component_id)`` for every document, and the verified links ``(a, b)``.
 
-    Links join representatives: the smallest document of each distinct set.
+    Links join representatives: the smallest document of each distinct set. A missing id is ``NO_ID``
+    here and in the result.
     """
+    docs = unique_ids(docs)
     prof = materialise(profiles(docs), "profiles")
     rep = prof.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
@@ -242,28 +335,32 @@ def similarity_components(docs: DataFrame, percent: int = 80) -> tuple[DataFrame
         rep.where("copies > 1"), ["n_shingles", "d1", "d2"]).where("doc_id <> rep").select("doc_id", "rep").distinct(),
         "copies")
     nodes = prof.join(small(copies.select("doc_id")), "doc_id", "left_anti")
+    sketches = prof.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch")
     lists = materialise(shared_lists(signature_rows(nodes)), "lists")
-    wanted = materialise(lists.select(F.col("doc").alias("doc_id")).distinct(), "wanted")
-    sets = materialise(sets_of(docs, wanted), "sets")
-    links = materialise(verify(star_pairs(lists), sets, percent), "links")
+
+    def check(pairs: DataFrame) -> DataFrame:
+        return materialise(verify(materialise(pairs, "likely"), docs, percent), "links")
+
+    def merge(labels: DataFrame, found: DataFrame) -> DataFrame:
+        if not found.limit(1).count():
+            return labels
+        return materialise(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+                                      .unionByName(found)), "labels")
+
+    links = check(likely(star_pairs(lists), sketches, percent))
     labels = materialise(components(links), "labels")
-    # exact segments that proved too common: their sets again, by one-deletion neighbourhoods
     open_ = materialise(unsettled(lists, labels), "open")
-    again = open_.where(f"c > {LONG}").select(F.col("doc").alias("node")).distinct()
-    near = materialise(shared_lists(signature_rows(map_batches(
-        sets.join(again, "node", "left_semi").select("node", "items"), _near_signatures,
-        "doc_id bigint, sigs array<bigint>"))), "near")
-    more = star_pairs(near).unionByName(cross_pairs(open_.where(f"c <= {LONG}"))).distinct()
-    found = materialise(verify(more, sets, percent), "links")
-    links = links.unionByName(found)
-    if found.limit(1).count():
-        labels = materialise(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-                                        .unionByName(found)), "labels")
-    rest = materialise(verify(cross_pairs(unsettled(near, labels)), sets, percent), "links")
-    if rest.limit(1).count():
-        links = links.unionByName(rest)
-        labels = materialise(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-                                        .unionByName(rest)), "labels")
+    found = check(cross_pairs(open_.where(f"c <= {LONG}"), sketches, percent))
+    links, labels = links.unionByName(found), merge(labels, found)
+    # exact segments that proved too common: their sets again, by one-deletion neighbourhoods
+    again = materialise(open_.where(f"c > {LONG}").select(F.col("doc").alias("doc_id")).distinct(), "again")
+    if again.limit(1).count():
+        near = materialise(shared_lists(signature_rows(map_batches(
+            sets_of(docs, again).select("node", "items"), _near_signatures, "doc_id bigint, sigs array<bigint>"))), "near")
+        found = check(likely(star_pairs(near), sketches, percent))
+        links, labels = links.unionByName(found), merge(labels, found)
+        found = check(cross_pairs(unsettled(near, labels), sketches, percent))
+        links, labels = links.unionByName(found), merge(labels, found)
     out = (prof.select("doc_id", "n_shingles").join(copies, "doc_id", "left")
            .withColumn("node", F.coalesce("rep", "doc_id")).join(labels, "node", "left")
            .select("doc_id", "n_shingles", F.coalesce("label", "node").alias("component_id")))
@@ -282,7 +379,8 @@ def _near_signatures(batches):
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle-set size and component of every document under links of similarity 0.8 or more."""
-    return similarity_components(table(spark, sf_dir, "documents"))[0]
+    found, _ = similarity_components(table(spark, sf_dir, "documents"))
+    return found.select(outer_id("doc_id"), "n_shingles", outer_id("component_id"))
 
 
 def op7_sql() -> str:

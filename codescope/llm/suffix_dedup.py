@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codescope.llm.common import keyed_texts, map_batches, materialise, table
+from codescope.llm.common import NO_ID, map_batches, materialise, outer_id, table, unique_ids
 from codescope.llm.hashing import M_INV, U, mix, powers, prefix, spans
 
 LENGTH = 100
@@ -42,7 +42,6 @@ HEAVY = 3 << 20
 CHUNK = 1 << 19
 LOW = U((1 << 20) - 1)
 BROADCAST_ROWS = 2_000_000
-NO_ID = -(1 << 63)
 
 
 def _slide(h: np.ndarray, w: int) -> np.ndarray:
@@ -334,14 +333,6 @@ def window_marks(rows: DataFrame) -> DataFrame:
         "doc", (F.col("start") * 256 + 1).alias("at")).distinct()
 
 
-def unique_ids(docs: DataFrame) -> DataFrame:
-    """``doc_id, text`` with one row for each id."""
-    d = keyed_texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
-    if d.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        d = d.groupBy("doc_id").agg(F.min("text").alias("text"))
-    return d
-
-
 def repeat_marks(texts: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """``(doc, at)``: every byte from start to start + windows + ``LENGTH`` - 2 occurs earlier in a long string."""
     folded = materialise(fold(piece_rows(texts)), "folded")
@@ -398,9 +389,9 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     same = unique_ids(docs).join(ids, "doc_id", "left_anti").select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
         F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
-    return changed.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
-                          ).unionByName(same).withColumn(
-        "doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    out = changed.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+                         ).unionByName(same)
+    return out.withColumn("doc_id", outer_id("doc_id"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

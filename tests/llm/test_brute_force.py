@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from codescope.llm import chat, common, fingerprints, jaccard_join, langid, licenses, mixing, packing, quality
 from codescope.llm import suffix_dedup as sd
 from codescope.llm import toxicity
-from codescope.llm.components import components
+from codescope.operators.components import components
 from tests.llm.conftest import SCHEMA, SF01, odd_documents, prose
 
 
@@ -69,7 +69,7 @@ def test_interval_expansion_groups_equal_windows(alphabet, length):
 
 
 def test_heavy_anchors_give_the_same_marks(spark, odd_dir):
-    texts = sd.unique_ids(common.table(spark, odd_dir, "documents"))
+    texts = common.unique_ids(common.table(spark, odd_dir, "documents"))
 
     def covered(marks):
         out = set()
