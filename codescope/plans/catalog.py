@@ -555,8 +555,8 @@ def m3_pca(spark, sf_dir):
 def m5_embed(spark, sf_dir):
     """M5: 384-wide hashed TF-IDF embedding of every whole document."""
     e = CL.embed_texts(corpus.doc_solutions(spark, sf_dir), "solution_id", "code")
-    return e.select("solution_id", F.size("vector").alias("dim"),
-                    F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v)).alias("norm"))
+    return e.select("solution_id", F.transform("vector", lambda v: F.round(v, 6)).alias("vector"),
+                    F.size("vector").alias("dim"), F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v)).alias("norm"))
 
 
 @register("m6_fingerprint")
@@ -720,18 +720,9 @@ def s9_cascade_delete(spark, sf_dir):
 
 @register("s10_results_document")
 def s10_results_document(spark, sf_dir):
-    """Nested JSON leaderboard document per experiment (code corpus)."""
-    sol = corpus.code_solutions(spark, sf_dir).select("solution_id", "experiment_id", "model")
-    exe = corpus.executions(spark, sf_dir).select("solution_id", "pass_rate", "runtime_seconds")
-    facts = fact_load(sol, exe)
-    per = facts.groupBy("experiment_id", "model").agg(
-        F.avg("pass_rate").alias("correctness"), F.count(F.lit(1)).alias("n_solutions"))
-    ranked = per.withColumn("position", F.row_number().over(
-        Window.partitionBy("experiment_id").orderBy(F.col("correctness").desc_nulls_last(), "model")))
-    return S.results_document(ranked, "experiment_id")
-
-
-from pyspark.sql.window import Window  # noqa: E402
+    """Nested JSON document per experiment: its leaderboard rows in order and its analytics (code corpus)."""
+    board = normalize(leaderboard(_experiment_facts(spark, sf_dir), group_cols="experiment_id"))
+    return S.results_document(board, "experiment_id", normalize(a4_experiment_summary(spark, sf_dir)))
 
 
 @register("m2_dbscan")

@@ -166,14 +166,19 @@ def cascade_delete(doomed_experiments: DataFrame, tables: dict[str, DataFrame])
     return out
 
 
-def results_document(leaderboard: DataFrame, group_col: str = "experiment_id") -> DataFrame:
-    """Nested JSON per experiment: {experiment_id, models: [leaderboard rows in order]}.
+def results_document(leaderboard: DataFrame, group_col: str = "experiment_id",
+                     summary: DataFrame | None = None) -> DataFrame:
+    """Nested JSON per experiment: {experiment_id, models: [leaderboard rows in order], analytics: {…}}.
 
-    The per-experiment list is bounded by the number of models.
+    The per-experiment list is bounded by the number of models; ``summary`` (A4) has one row per experiment.
     """
     rows = leaderboard.groupBy(group_col).agg(
         F.array_sort(F.collect_list(F.struct("position", F.struct(*[c for c in leaderboard.columns
                                                                        if c != group_col]).alias("row"))))
          .alias("_r"))
-    doc = F.struct(F.col(group_col), F.transform("_r", lambda x: x["row"]).alias("models"))
-    return rows.select(group_col, F.to_json(doc).alias("document"))
+    parts = [F.col(group_col), F.transform("_r", lambda x: x["row"]).alias("models")]
+    if summary is not None:
+        rows = rows.join(summary.select(group_col, F.struct(*[c for c in summary.columns if c != group_col])
+                                        .alias("analytics")), group_col, "left")
+        parts.append(F.col("analytics"))
+    return rows.select(group_col, F.to_json(F.struct(*parts)).alias("document"))
