@@ -153,14 +153,21 @@ def _fold(sig: np.ndarray, doc: np.ndarray) -> dict:
             "pivot": pa.concat_arrays([pa.nulls(int(first.sum()), pa.int64()), pa.array(pivot[many])])}
 
 
-def signature_rows(profiled: DataFrame) -> DataFrame:
-    """``(sig, doc, pivot)`` of all signatures, each task's repeats already folded."""
+def signature_rows(rows: DataFrame, neighbourhoods: bool = False) -> DataFrame:
+    """``(sig, doc, pivot)`` of all signatures, each task's repeats already folded.
+
+    ``rows`` are (doc, signatures), or (doc, members) for the neighbourhoods of the second tier; a written table, so
+    that a task needs one Python worker.
+    """
 
     def run(batches):
         sigs, docs, size = [], [], 0
         for b in batches:
             lists = b.column(1)
             flat, cut = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            if neighbourhoods:
+                found = [signatures(x.view(U), True) for x in np.split(flat, np.cumsum(cut)[:-1])]
+                flat, cut = np.concatenate(found), np.array([len(x) for x in found])
             sigs.append(flat)
             docs.append(np.repeat(b.column(0).to_numpy(), cut))
             size += len(flat)
@@ -170,7 +177,7 @@ def signature_rows(profiled: DataFrame) -> DataFrame:
         if size:
             yield _fold(np.concatenate(sigs), np.concatenate(docs))
 
-    return map_batches(profiled.select("doc_id", "sigs"), run, "sig bigint, doc bigint, pivot bigint")
+    return map_batches(rows, run, "sig bigint, doc bigint, pivot bigint")
 
 
 def shared_lists(rows: DataFrame) -> DataFrame:
@@ -336,7 +343,7 @@ def similarity_components(docs: DataFrame, percent: int = 80) -> tuple[DataFrame
         "copies")
     nodes = prof.join(small(copies.select("doc_id")), "doc_id", "left_anti")
     sketches = prof.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch")
-    lists = materialise(shared_lists(signature_rows(nodes)), "lists")
+    lists = materialise(shared_lists(signature_rows(nodes.select("doc_id", "sigs"))), "lists")
 
     def check(pairs: DataFrame) -> DataFrame:
         return materialise(verify(materialise(pairs, "likely"), docs, percent), "links")
@@ -355,8 +362,8 @@ def similarity_components(docs: DataFrame, percent: int = 80) -> tuple[DataFrame
     # exact segments that proved too common: their sets again, by one-deletion neighbourhoods
     again = materialise(open_.where(f"c > {LONG}").select(F.col("doc").alias("doc_id")).distinct(), "again")
     if again.limit(1).count():
-        near = materialise(shared_lists(signature_rows(map_batches(
-            sets_of(docs, again).select("node", "items"), _near_signatures, "doc_id bigint, sigs array<bigint>"))), "near")
+        common = materialise(sets_of(docs, again), "sets")
+        near = materialise(shared_lists(signature_rows(common.select("node", "items"), True)), "near")
         found = check(likely(star_pairs(near), sketches, percent))
         links, labels = links.unionByName(found), merge(labels, found)
         found = check(cross_pairs(unsettled(near, labels), sketches, percent))
@@ -367,16 +374,6 @@ def similarity_components(docs: DataFrame, percent: int = 80) -> tuple[DataFrame
     return out, links
 
 
-def _near_signatures(batches):
-    for b in batches:
-        lists = b.column(1)
-        flat, cut = lists.flatten().to_numpy().view(U), lists.offsets.to_numpy()
-        sigs = [signatures(flat[i - cut[0]:j - cut[0]], True) for i, j in zip(cut[:-1], cut[1:])]
-        at = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
-        yield {"doc_id": b.column(0), "sigs": pa.ListArray.from_arrays(
-            pa.array(at), pa.array(np.concatenate(sigs or [np.zeros(0, np.int64)])))}
-
-
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle-set size and component of every document under links of similarity 0.8 or more."""
     found, _ = similarity_components(table(spark, sf_dir, "documents"))
