@@ -20,11 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``mapInArrow`` where ``fn(batches)`` yields dicts of columns; empty input yields nothing."""
+def map_batches(df: DataFrame, fn, schema: str, keeps: bool = False) -> DataFrame:
+    """``mapInArrow`` where ``fn(batches)`` yields dicts of columns; empty input yields nothing.
+
+    Unless ``fn`` ``keeps`` an object (see :func:`kept`), the one its worker process holds is given up first.
+    """
     arrow = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            forget()
         for cols in fn(batches):
             yield pa.RecordBatch.from_pydict(cols, schema=arrow)
 
@@ -112,3 +117,8 @@ def kept(key: str, make):
         _kept.clear()
         _kept[key] = make()
     return _kept[key]
+
+
+def forget() -> None:
+    """Give up the object that :func:`kept` holds in this process."""
+    _kept.clear()

@@ -157,7 +157,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                    "accepted": [g[2] for g in got]}
 
     return map_batches(docs.select("doc_id", "text"), run,
-                       "doc_id bigint, lang_pred string, score double, accepted boolean")
+                       "doc_id bigint, lang_pred string, score double, accepted boolean", keeps=True)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

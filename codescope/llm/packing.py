@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codescope.llm.common import keyed_texts, map_batches, materialise, table
+from codescope.llm.common import kept, keyed_texts, map_batches, materialise, table
 
 MAX_LEN = 4096
 END_ID = 1
@@ -96,24 +96,13 @@ class Chunks:
         return got
 
 
-_chunks: dict[str, Chunks] = {}
-
-
-def chunks_of(path: str) -> Chunks:
-    """One lookup per worker process, kept between its tasks."""
-    if path not in _chunks:
-        _chunks.clear()
-        _chunks[path] = Chunks(path)
-    return _chunks[path]
-
-
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID, max_len: int = MAX_LEN,
              keep_ids: bool = False) -> DataFrame:
     """Pieces ``(doc_id, piece, start, length, ids_crc32[, ids])`` of at most ``max_len`` tokens."""
     tail = array("I", [end_id]).tobytes()
 
     def run(batches):
-        chunks = chunks_of(tokenizer)
+        chunks = kept(f"chunks {tokenizer}", lambda: Chunks(tokenizer))
         for b in batches:
             out = defaultdict(list)
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -131,7 +120,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID, max_len: int
                 yield out
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-    return map_batches(keyed_texts(docs), run, schema + (", ids binary" if keep_ids else ""))
+    return map_batches(keyed_texts(docs), run, schema + (", ids binary" if keep_ids else ""), keeps=True)
 
 
 class OpenBins:

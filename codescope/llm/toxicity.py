@@ -338,7 +338,7 @@ def score_documents(docs: DataFrame, net: Network) -> DataFrame:
                 part = b.slice(k, 256)
                 yield {"doc_id": part.column(0), "score": model.scores(part.column(1).to_pylist())}
 
-    return map_batches(keyed_texts(docs), run, "doc_id bigint, score double")
+    return map_batches(keyed_texts(docs), run, "doc_id bigint, score double", keeps=True)
 
 
 def held_out() -> F.Column:
