@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codescope.sources.scratch import materialise  # noqa: F401  (general helper, used by the operators)
@@ -58,6 +58,35 @@ def unique_ids(docs: DataFrame) -> DataFrame:
     return d
 
 
+#: The column of :func:`with_keys`.
+KEY = "__key"
+
+
+def with_keys(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``docs`` with ``KEY``, a whole number for each distinct (doc_id, text), and whether any id repeats.
+
+    Where none repeats the key is the id (a missing one: ``NO_ID``). Else it is the place of the pair in the order of
+    ids (missing first) and digests of the texts, whatever the partitioning; the rows are then written with it.
+    """
+    own = F.coalesce("doc_id", F.lit(NO_ID))
+    if not docs.groupBy(own.alias("doc_id")).count().where("count > 1").limit(1).count():
+        return docs.withColumn(KEY, own), False
+    pairs = docs.select("doc_id", F.sha2("text", 256).alias("digest")).distinct()
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a range partition of few bytes a row; written, as two reads of it may sample different bounds
+    at = F.monotonically_increasing_id()
+    placed = materialise(pairs.repartitionByRange(parts, "doc_id", "digest").sortWithinPartitions("doc_id", "digest")
+                         .select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), at.alias("at")), "placed")
+    part = F.shiftright("at", 33).alias("part")
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.groupBy(part).count().withColumn(  # a row for each partition
+        "before", F.coalesce(F.sum("count").over(upto), F.lit(0)))
+    keys = placed.withColumn("part", part).join(F.broadcast(before), "part").select(
+        "__id", "__digest", (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias(KEY))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.sha2("text", 256).eqNullSafe(F.col("__digest"))
+    return materialise(docs.join(keys, same).select(*docs.columns, KEY), "keyed"), True
+
+
 def outer_id(name: str):
     """The id column ``name`` with ``NO_ID`` as null again."""
     return F.when(F.col(name) != NO_ID, F.col(name)).alias(name)

@@ -38,7 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codescope.llm.common import keyed_texts, map_batches, materialise, outer_id, table, unique_ids
+from codescope.llm.common import (KEY, keyed_texts, map_batches, materialise, outer_id, table, unique_ids,
+                                  with_keys)
 from codescope.operators.components import components
 from codescope.llm.hashing import U, mix, shingles, word_hashes
 
@@ -401,10 +402,12 @@ FROM n JOIN r USING (doc_id) GROUP BY doc_id, n.n"""
 
 
 def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose document is the smallest of its component; of repeated ids one row stays."""
-    found, _ = similarity_components(docs, percent)
-    gone = materialise(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    kept = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
-    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept
+    """The rows of ``docs`` whose document is the smallest of its component.
+
+    Rows that share an id (or have none) and differ in text are documents of their own; of rows alike in both one stays.
+    """
+    keyed, repeated = with_keys(docs)
+    found, _ = similarity_components(keyed.select(F.col(KEY).alias("doc_id"), "text"), percent)
+    gone = materialise(found.where("component_id <> doc_id").select(F.col("doc_id").alias(KEY)).distinct(), "gone")
+    kept = keyed.join(small(gone), KEY, "left_anti")
+    return (kept.dropDuplicates([KEY]) if repeated else kept).select(*docs.columns)

@@ -157,7 +157,7 @@ class OpenBins:
         return b
 
 
-def best_fit(items: DataFrame, key: str, size: int, open_bins: int, tasks: int) -> DataFrame:
+def best_fit(items: DataFrame, key: F.Column | str, size: int, open_bins: int, tasks: int) -> DataFrame:
     """Pack rows ``(key, length, ...)`` by task: adds ``task, bin, offset, used`` (``used``: the bin's tokens)."""
     cols = items.columns
     dealt = items.repartition(tasks, F.xxhash64(key)).sortWithinPartitions(*[c for c in cols])
@@ -187,7 +187,8 @@ def pack(pieces: DataFrame, size: int = MAX_LEN, open_bins: int = OPEN_BINS,
     """
     n = pieces.count()
     tasks = max(1, math.ceil(n / per_task))
-    first = materialise(best_fit(pieces, "doc_id", size, open_bins, tasks), "pack1")
+    deal = F.coalesce("doc_id", "ids_crc32") if "ids_crc32" in pieces.columns else F.col("doc_id")  # null ids: by content
+    first = materialise(best_fit(pieces, deal, size, open_bins, tasks), "pack1")
     bins = first.groupBy("task", "bin").agg(F.sum("length").alias("length"))
     short = bins.where(F.col("length") < int(done_fill * size)).select(
         F.col("task").alias("s_task"), F.col("bin").alias("s_bin"), "length")

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codescope.llm.common import NO_ID, map_batches, materialise, outer_id, table, unique_ids
+from codescope.llm.common import KEY, map_batches, materialise, outer_id, table, unique_ids, with_keys
 from codescope.llm.hashing import M_INV, U, mix, powers, prefix, spans
 
 LENGTH = 100
@@ -397,9 +397,11 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated bytes cut out of ``text`` (a code point cut in two goes as a whole) and ``n_chars`` anew.
 
-    Rows without marks are passed on as they are; all rows stay, empty ones too.
+    Rows without marks are passed on as they are; all rows stay, empty ones too. Rows that share an id (or have none)
+    and differ in text are documents of their own, in the order of :func:`with_keys`.
     """
-    changed, ids = dedup(docs)
+    keyed, _ = with_keys(docs)
+    changed, ids = dedup(keyed.select(F.col(KEY).alias("doc_id"), "text"))
 
     def run(batches):
         for b in batches:
@@ -407,12 +409,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     new = map_batches(changed.select("doc_id", "kept"), run, "__id bigint, __text string")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    key = F.coalesce("doc_id", F.lit(NO_ID))
     marked = ids.select(F.col("doc_id").alias("__marked"))
     columns = {"text": F.col("__text")} | ({"n_chars": F.char_length("__text").cast(dict(docs.dtypes)["n_chars"])}
                                       if "n_chars" in docs.columns else {})
-    touched = docs.drop("text").withColumn("__key", key).join(marked, F.col("__key") == F.col("__marked"), "left_semi")
-    touched = touched.join(new, F.col("__key") == F.col("__id")).select(
+    touched = keyed.drop("text").join(marked, F.col(KEY) == F.col("__marked"), "left_semi")
+    touched = touched.join(new, F.col(KEY) == F.col("__id")).select(
         *(columns.get(c, F.col(c)).alias(c) for c in docs.columns))
-    same = docs.join(marked, key == F.col("__marked"), "left_anti")
+    same = keyed.join(marked, F.col(KEY) == F.col("__marked"), "left_anti").select(*docs.columns)
     return same.unionByName(touched)
