@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -95,6 +96,9 @@ def outer_id(name: str):
 class WordRows:
     """A row of numbers per distinct word, kept between texts; forgets everything beyond ``limit`` words."""
 
+    #: Words computed at a time: rows of bytes are as wide as the longest of them.
+    STEP = 8192
+
     def __init__(self, width: int, compute, limit: int):
         import numpy as np
         self.compute, self.limit = compute, limit
@@ -113,19 +117,51 @@ class WordRows:
             n = len(known)
             while n + len(new) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[n:n + len(new)] = self.compute(new)
+            for k in range(0, len(new), self.STEP):
+                part = new[k:k + self.STEP]
+                self.rows[n + k:n + k + len(part)] = self.compute(part)
             known.update(zip(new, range(n, n + len(new))))
             at = [known[w] for w in words]
         return np.array(at, np.int64)
 
 
+WORD = re.compile(r"[^\W\d_]+")
+#: Letters of a word that enter as one, and what neighbouring pieces of a longer run share; fewer where a run has more
+#: than ``WIDE_LONGEST`` letters in a row of three bytes or more, as in scripts without spaces.
+LONGEST, SHARED = 22, 6
+WIDE_LONGEST, WIDE_SHARED = 8, 3
+WIDE = re.compile("[\u0800-\U0010ffff]{%d}" % (WIDE_LONGEST + 1))
+
+
+def words_of(text: str) -> list[str]:
+    """The words of ``text``; a long run of letters as overlapping pieces that cover all of it."""
+    words = WORD.findall(text)
+    if max(map(len, words), default=0) <= LONGEST and (text.isascii() or not WIDE.search(text)):
+        return words
+    out = []
+    for w in words:
+        size, shared = (WIDE_LONGEST, WIDE_SHARED) if WIDE.search(w) else (LONGEST, SHARED)
+        out += [w] if len(w) <= size else [w[k:k + size] for k in range(0, len(w) - shared, size - shared)]
+    return out
+
+
 def byte_matrix(words: list[str], width: int):
-    """Words as rows of UTF-8 bytes between ``<`` and ``>``, zero-padded; longer words keep their first bytes."""
+    """Words as rows of UTF-8 bytes between ``<`` and ``>``, zero-padded to ``width`` or the longest word, whole."""
     import numpy as np
     rows = [b"<" + w.encode("utf-8", "surrogatepass") + b">" for w in words]
+    width = max(width, max(map(len, rows), default=0))
     return np.array(rows, dtype=f"S{width}").view(np.uint8).reshape(len(rows), width)
 
 
+def byte_hash(m, width: int):
+    """Hash of all bytes of each row of a byte matrix; the same however far beyond ``width`` the rows are padded."""
+    import numpy as np
+    h = np.zeros(len(m), np.uint32)
+    for j in range(m.shape[1]):
+        h = np.where((j < width) | (m[:, j] != 0), h * np.uint32(31) + m[:, j], h)
+    return h
+
+
 def gram_buckets(m, k: int, buckets: int):
     """Bucket of every run of ``k`` bytes of each row of a byte matrix; -1 where the row has ended."""
     import numpy as np

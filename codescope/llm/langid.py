@@ -6,7 +6,8 @@ all its words; a linear softmax gives the languages. Training is plain
 stochastic gradient descent on a bounded sample of labelled rows (at most
 ``PER_LANG`` documents of each language, chosen by a hash of the id). Because the
 softmax input is a mean, each word contributes a fixed row of language scores, which
-workers keep per distinct word, so a text costs one lookup and one sum per word.
+workers keep per distinct word, so a text costs one lookup and one sum per word. All bytes of a
+word count; a long run of letters enters as overlapping pieces.
 
 Rejection is calibrated: a temperature is fitted on documents held back from
 training, and the threshold is the largest that still accepts ``ACCEPT`` of them.
@@ -18,7 +19,6 @@ without rows predicts ``und``; repeated rows and extra columns do not matter.
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from collections import Counter
@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codescope.llm.common import WordRows, byte_matrix, gram_buckets, kept, map_batches, table
+from codescope.llm.common import WordRows, byte_hash, byte_matrix, gram_buckets, kept, map_batches, table, words_of
 
 BUCKETS = 1 << 16
 DIM = 16
@@ -39,16 +39,12 @@ RATE = 0.5
 ACCEPT = 0.98
 CACHE = 600_000
 WIDTH = 24
-WORD = re.compile(r"[^\W\d_]+")
 
 
 def features(words: list[str]) -> np.ndarray:
     """Buckets of each word and of its 2- to 4-byte grams with edge marks; -1: none."""
     m = byte_matrix([w.lower() for w in words], WIDTH)
-    whole = np.zeros(len(m), np.uint32)
-    for j in range(WIDTH):
-        whole = whole * np.uint32(31) + m[:, j]
-    return np.concatenate([(whole % np.uint32(BUCKETS)).astype(np.int32)[:, None],
+    return np.concatenate([(byte_hash(m, WIDTH) % np.uint32(BUCKETS)).astype(np.int32)[:, None],
                            *(gram_buckets(m, k, BUCKETS) for k in (2, 3, 4))], 1)
 
 
@@ -65,7 +61,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """``(language, calibrated probability, accepted)``; the whole text counts."""
-        words = WORD.findall(text) if text and self.langs else []
+        words = words_of(text) if text and self.langs else []
         if not words:
             return "und", 0.0, False
         total = np.zeros(len(self.langs) + 1)
@@ -90,7 +86,7 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
     samples = []
     for text, lang in zip(texts, labels):
-        words = WORD.findall(text)
+        words = words_of(text)
         held = zlib.crc32(text[:4096].encode("utf-8", "surrogatepass")) % 5 == 0
         # short and long slices, so that short texts are seen in training as well
         for n in (TRAIN_WORDS, 12, 3):

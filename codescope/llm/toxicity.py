@@ -1,7 +1,8 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 Each word enters as its hashed word embedding beside the mean of its hashed
-character gram embeddings. Gated recurrent units read a window of ``STEPS``
+character gram embeddings, over all its bytes; a long run of letters
+enters as overlapping pieces, each a word. Gated recurrent units read a window of ``STEPS``
 words in both directions, attention pools their states, and a logistic unit
 scores the window. Windows overlap by a third and cover the whole text; a document's
 score is its highest window, calibrated on training documents.
@@ -19,7 +20,6 @@ rows count once, toxic if any says so; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections import Counter
 
@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codescope.llm.common import WordRows, byte_matrix, gram_buckets, kept, keyed_texts, map_batches, table
+from codescope.llm.common import (WordRows, byte_hash, byte_matrix, gram_buckets, kept, keyed_texts, map_batches, table,
+                                  words_of)
 
-WORD = re.compile(r"[^\W\d_]+")
 STEPS = 24
 STRIDE = 16
 WORD_BUCKETS, CHAR_BUCKETS, DIM = 1 << 14, 1 << 12, 12
@@ -48,13 +48,18 @@ WIDTH = 24
 def word_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Word bucket, and buckets of the 3- and 4-byte grams (-1: none) of each word with edge marks."""
     m = byte_matrix([w.lower() for w in words], WIDTH)
-    w = np.zeros(len(m), np.uint32)
-    for j in range(WIDTH):
-        w = w * np.uint32(31) + m[:, j]
-    return ((w % np.uint32(WORD_BUCKETS)).astype(np.int64),
+    return ((byte_hash(m, WIDTH) % np.uint32(WORD_BUCKETS)).astype(np.int64),
             np.concatenate([gram_buckets(m, k, CHAR_BUCKETS).astype(np.int16) for k in (3, 4)], 1))
 
 
+def spellings(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`word_ids` of many words, some at a time; rows of grams are as wide as the longest word needs."""
+    parts = [word_ids(words[k:k + 50_000]) for k in range(0, len(words), 50_000)] or [word_ids([])]
+    wide = max(c.shape[1] for _, c in parts)
+    return (np.concatenate([w for w, _ in parts]),
+            np.concatenate([np.pad(c, ((0, 0), (0, wide - c.shape[1])), constant_values=-1) for _, c in parts]))
+
+
 def sigmoid(x):
     with np.errstate(over="ignore"):
         return 1 / (1 + np.exp(-x))
@@ -209,7 +214,7 @@ class Network:
             todo, words, size = [], [], 0
 
         for i, text in enumerate(texts):
-            found = WORD.findall(text)
+            found = words_of(text)
             # long texts in slices that overlap by a window, so that no window is lost
             for k in range(0, len(found), SLICE_WORDS):
                 part = found[k:k + SLICE_WORDS + STEPS]
@@ -242,10 +247,9 @@ def train(texts: list[str], labels: list[int], prior: float, seed: int = 11) ->
     vocab: dict[str, int] = {}
     ids = []
     for t in texts:  # words become numbers text by text: word lists of all texts would crowd the driver
-        ids.append(np.array([vocab.setdefault(x, len(vocab)) for x in WORD.findall(t.lower())], np.int32))
+        ids.append(np.array([vocab.setdefault(x.lower(), len(vocab)) for x in words_of(t)], np.int32))
     spelled = list(vocab)
-    parts = [word_ids(spelled[k:k + 50_000]) for k in range(0, len(spelled), 50_000)]
-    w, c = (np.concatenate([q[i] for q in parts]) for i in (0, 1))
+    w, c = spellings(spelled)
     at = [np.where((k := windows(len(d))) >= 0, d[np.maximum(k, 0)], -1).astype(np.int32) if len(d) else np.zeros((0, STEPS), np.int32)
           for d in ids]
     # first ranking of windows: how much more often their most typical word is in toxic documents
@@ -254,7 +258,7 @@ def train(texts: list[str], labels: list[int], prior: float, seed: int = 11) ->
         (toxic if y else clean).update(set(d.tolist()))
     n1, n0 = labels.sum(), (1 - labels).sum()
     typical = np.zeros(len(vocab) + 1)
-    del vocab, spelled, parts
+    del vocab, spelled
     for x, k in toxic.items():
         typical[x] = (k / n1 - clean[x] / n0) / np.sqrt(k / n1 + clean[x] / n0 + 2 / n1)
     rank = [typical[a].max(1) if len(a) else np.zeros(0) for a in at]
