@@ -88,6 +88,42 @@ def with_keys(docs: DataFrame) -> tuple[DataFrame, bool]:
     return materialise(docs.join(keys, same).select(*docs.columns, KEY), "keyed"), True
 
 
+def placed(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """``rows`` with ``pos``, the place within ``group`` (no nulls) by ``order``; written and read again.
+
+    No group is sorted in one task: places are counted within partitions of a range partitioning, and between them.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [group, *order, "at"]
+    # the row number of a written table splits rows that are alike over partitions
+    ranged = (rows.withColumn("at", F.monotonically_increasing_id()).repartitionByRange(parts, *keys)
+              .sortWithinPartitions(*keys).drop("at").withColumn("seq", F.monotonically_increasing_id()))
+    # written, as two reads of a range partitioning may sample different bounds
+    written = materialise(ranged, "ordered").withColumn("part", F.shiftright("seq", 33))
+    runs = written.groupBy("part", group).agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+    upto = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    runs = runs.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).drop("n")
+    return written.join(runs, ["part", group]).withColumn("pos", F.col("seq") - F.col("first") + F.col("before")).drop(
+        "part", "seq", "first", "before")
+
+
+#: A key held by more than one row in so many is joined by broadcast.
+HOT = 1000
+
+
+def join_copies(rows: DataFrame, distinct: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` (``total`` of them) joined with ``distinct``, one row for each value of the array ``key``, held by ``copies`` rows.
+
+    At most ``HOT`` values are held by more than ``total / HOT`` rows; they are broadcast. The others are shuffled by a hash.
+    """
+    h = F.xxhash64(key)
+    rows, distinct = rows.withColumn("_h", h), distinct.withColumn("_h", h)
+    hot = F.col("copies") * HOT > total
+    many = materialise(distinct.where(hot), "hot")
+    rest = rows.join(F.broadcast(many.select("_h", key)), ["_h", key], "left_anti").join(distinct.where(~hot), ["_h", key])
+    return rest.unionByName(rows.join(F.broadcast(many), ["_h", key])).drop("_h")
+
+
 def outer_id(name: str):
     """The id column ``name`` with ``NO_ID`` as null again."""
     return F.when(F.col(name) != NO_ID, F.col(name)).alias(name)
