@@ -33,6 +33,8 @@ from codescope.llm.common import materialise, placed, table
 FANOUT = 3
 #: Levels within one aligned partition: 729 leaves.
 HEIGHT = 6
+#: Rows of a written table of partitions that share a file.
+FILE_ROWS = 20_000
 
 PATH = "array<struct<left: string, right: string>>"
 
@@ -87,7 +89,8 @@ def butterfly(blocks: DataFrame, fanout: int) -> DataFrame:
     """``tree, block, path, root`` from the subtree roots ``tree, block, digest`` of aligned partitions."""
     blocks = materialise(blocks, "blocks")
     counts = blocks.groupBy("tree").agg((F.max("block") + 1).alias("n"))
-    most = counts.agg(F.max("n")).first()[0] or 0
+    most, total = counts.agg(F.max("n"), F.sum("n")).first()
+    most, files = most or 0, 1 + (total or 0) // FILE_ROWS
     state = blocks.join(counts, "tree").withColumn("path", F.array().cast(PATH))
     span = 1  # partitions below each known ancestor
     while span < most:
@@ -114,7 +117,7 @@ def butterfly(blocks: DataFrame, fanout: int) -> DataFrame:
             F.when(F.col("open"), F.concat("me.path", F.array(F.struct(beside(True).alias("left"), beside(False).alias("right")))))
             .otherwise(F.col("me.path")).alias("path"))
         span *= fanout
-    return state.select("tree", "block", "path", F.col("digest").alias("root"))
+    return materialise(state.select("tree", "block", "path", F.col("digest").alias("root")).coalesce(files), "upper")
 
 
 def completed(leaves: DataFrame, blocks: DataFrame, fanout: int, height: int) -> DataFrame:
@@ -148,8 +151,8 @@ def completed(leaves: DataFrame, blocks: DataFrame, fanout: int, height: int) ->
 
 def forest(nodes: DataFrame, order: list[str], fanout: int = FANOUT, height: int = HEIGHT) -> tuple[DataFrame, DataFrame]:
     """The placed leaves (with ``block``) of ``nodes`` (``tree, digest, ...``) and the upper ``path, root`` of each block."""
-    leaves = materialise(placed(nodes, "tree", order).withColumn("block", F.floor(F.col("pos") / fanout ** height)), "leaves")
-    return leaves, materialise(butterfly(subtree_roots(leaves, fanout, height), fanout), "upper")
+    leaves = placed(nodes, "tree", order).withColumn("block", F.floor(F.col("pos") / fanout ** height))
+    return leaves, butterfly(subtree_roots(leaves, fanout, height), fanout)
 
 
 def manifest(rows: DataFrame, order: list[str], fanout: int = FANOUT, height: int = HEIGHT) -> DataFrame:
