@@ -496,6 +496,42 @@ def j3_model_pair_similarity(spark, sf_dir):
     return SIM.model_pair_similarity(sol, _source_facts(spark, sf_dir), vec)
 
 
+from codescope.operators import threshold_pairs as TP  # noqa: E402
+
+
+def _ast_entries(spark, sf_dir):
+    sol = corpus.code_solutions(spark, sf_dir).select("solution_id", "prompt_id")
+    return TP.ast_entries(sol, _source_facts(spark, sf_dir))
+
+
+@register("j3_similar_pairs")
+def j3_similar_pairs(spark, sf_dir):
+    """J3 + X12: every pair of solutions of a prompt with an AST cosine of 0.9 or more, by classes of equal histograms."""
+    return TP.cosine_pairs(TP.histogram_classes(_ast_entries(spark, sf_dir)), 0.9)
+
+
+@register("j3_link_counts")
+def j3_link_counts(spark, sf_dir):
+    """J3 + X12: for every solution its histogram class and how many solutions of its prompt reach an AST cosine of 0.9."""
+    rows = _ast_entries(spark, sf_dir)
+    return TP.link_counts(rows, TP.cosine_pairs(TP.histogram_classes(rows), 0.9))
+
+
+@register("j3_similar_texts")
+def j3_similar_texts(spark, sf_dir):
+    """J3 over words: pairs of whole documents of a prompt whose normalised word counts have a cosine of 0.8 or more."""
+    docs = corpus.doc_solutions(spark, sf_dir)
+    rows = TP.word_entries(docs, SIM.token_counts(docs.select("solution_id", "code")))
+    return TP.cosine_pairs(TP.histogram_classes(rows), 0.8)
+
+
+@register("j3_similar_embeddings")
+def j3_similar_embeddings(spark, sf_dir):
+    """J3 + X13: pairs of documents of a prompt whose embeddings have a cosine of 0.25 or more."""
+    rows = TP.vector_entries(corpus.doc_solutions(spark, sf_dir), corpus.solution_embeddings(spark, sf_dir).select("solution_id", "vector"))
+    return TP.cosine_pairs(TP.histogram_classes(rows), 0.25)
+
+
 @register("j7_ast_pair_similarity")
 def j7_ast_pair_similarity(spark, sf_dir):
     """J7 + X12 + E3: AST cosine of every solution with its prompt's representatives (code corpus)."""
@@ -575,6 +611,47 @@ def m7_cluster_map(spark, sf_dir):
     return CL.cluster_map(sol, vec, method="pca")
 
 
+from codescope.operators import keyed as K  # noqa: E402
+from codescope.operators import neighbours as NB  # noqa: E402
+
+
+def _embedded(spark, sf_dir):
+    """(experiment_id, solution_id, vector) of the document corpus."""
+    sol = corpus.doc_solutions(spark, sf_dir).select("experiment_id", "solution_id")
+    return sol.join(corpus.solution_embeddings(spark, sf_dir).select("solution_id", "vector"), "solution_id")
+
+
+@register("m1_kmeans_by_experiment")
+def m1_kmeans_by_experiment(spark, sf_dir):
+    """M1: k-means (k=3, 10 seeded restarts) of every experiment's embeddings at once."""
+    return K.kmeans_by(_embedded(spark, sf_dir))
+
+
+@register("m3_pca_by_experiment")
+def m3_pca_by_experiment(spark, sf_dir):
+    """M3: 2-D principal components of every experiment's embeddings at once."""
+    return K.pca_by(_embedded(spark, sf_dir))
+
+
+@register("m4_neighbours")
+def m4_neighbours(spark, sf_dir):
+    """M4 knn: the min(15, n - 1) nearest embeddings of every solution within its experiment, exact."""
+    return NB.nearest(_embedded(spark, sf_dir))
+
+
+@register("m4_neighbour_descent")
+def m4_neighbour_descent(spark, sf_dir):
+    """M4 knn over all embeddings by neighbour descent: the nearest 15 of every vector (approximate)."""
+    return NB.descend(corpus.solution_embeddings(spark, sf_dir).select("solution_id", "vector"))
+
+
+@register("m7_cluster_maps")
+def m7_cluster_maps(spark, sf_dir):
+    """M7 (+M1, M3) for every experiment: solution, model, prompt, x, y, cluster."""
+    sol = corpus.doc_solutions(spark, sf_dir).select("experiment_id", "solution_id", "model", "prompt_id")
+    return K.cluster_maps(sol, corpus.solution_embeddings(spark, sf_dir).select("solution_id", "vector"))
+
+
 # ------------------------------------------------------------------ streaming
 from codescope.schema import TESTDATA  # noqa: E402
 from codescope.streaming import analysis as ST  # noqa: E402

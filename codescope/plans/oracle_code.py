@@ -237,6 +237,75 @@ SELECT prompt_id, model_a, model_b, CAST(count(*) AS BIGINT) AS n_pairs, round(a
 FROM ap LEFT JOIN es USING (solution_a, solution_b) GROUP BY 1, 2, 3"""
 
 
+def _histogram_classes_sql() -> str:
+    """(tmpl, hist): templates with one node histogram share a number; those that do not parse have none."""
+    seen, rows = {}, []
+    for i in range(len(CODE_TEMPLATES)):
+        try:
+            names = tuple(sorted(type(n).__name__ for n in ast.walk(ast.parse(_src(i)))))
+            rows.append(f"({i}, {seen.setdefault(names, i)})")
+        except SyntaxError:
+            pass
+    return "(VALUES " + ", ".join(rows) + ") AS hc(tmpl, hist)"
+
+
+def _class_pairs_sql(classes: str, cosine: str) -> str:
+    """Classes (prompt_id, class_id, n, …) of each prompt against each other, and with themselves."""
+    return f"""
+SELECT a.prompt_id, a.class_id AS class_a, b.class_id AS class_b, a.n AS n_a, b.n AS n_b,
+  CASE WHEN a.class_id = b.class_id THEN a.n * (a.n - 1) // 2 ELSE a.n * b.n END AS n_links,
+  round(CASE WHEN a.class_id = b.class_id THEN 1.0 ELSE {cosine} END, 6)::DOUBLE AS similarity
+FROM {classes} a JOIN {classes} b ON a.prompt_id = b.prompt_id AND a.class_id <= b.class_id"""
+
+
+def _ast_classes_sql() -> str:
+    return (f"SELECT s.prompt_id, hist, min(s.solution_id) AS class_id, count(*)::BIGINT AS n FROM ({CODE_SOL}) s "
+            f"JOIN {_histogram_classes_sql()} USING (tmpl) GROUP BY 1, 2")
+
+
+@sql("j3_similar_pairs")
+def _j3_pairs():
+    cosine = f"(SELECT sim FROM {template_cosines()} WHERE ta = a.hist AND tb = b.hist)"
+    return (f"WITH c AS ({_ast_classes_sql()}) SELECT * FROM ({_class_pairs_sql('c', cosine)}) "
+            "WHERE n_links > 0 AND similarity >= 0.9")
+
+
+@sql("j3_link_counts")
+def _j3_links():
+    return f"""
+WITH s AS (SELECT x.*, hist FROM ({CODE_SOL}) x LEFT JOIN {_histogram_classes_sql()} USING (tmpl)),
+p AS (SELECT a.solution_id, count(*) AS k FROM s a JOIN s b ON a.prompt_id = b.prompt_id AND a.solution_id <> b.solution_id
+  JOIN {template_cosines()} ON ta = a.tmpl AND tb = b.tmpl WHERE sim >= 0.9 GROUP BY 1),
+c AS ({_ast_classes_sql()})
+SELECT s.prompt_id, s.solution_id, c.class_id, coalesce(k, 0)::BIGINT AS n_links
+FROM s LEFT JOIN p USING (solution_id) LEFT JOIN c ON c.prompt_id = s.prompt_id AND c.hist = s.hist"""
+
+
+@sql("j3_similar_texts")
+def _j3_texts():
+    from codescope.plans.oracle_text import sql_normalized
+    return f"""
+WITH nm AS MATERIALIZED (SELECT doc_id AS solution_id, doc_id // 20 AS prompt_id, {sql_normalized('text')} AS norm FROM documents),
+wc AS MATERIALIZED (SELECT prompt_id, solution_id, word, count(*)::DOUBLE AS n FROM (
+  SELECT prompt_id, solution_id, unnest(regexp_split_to_array(norm, '\\s+')) AS word FROM nm) WHERE word <> '' GROUP BY ALL),
+bag AS (SELECT prompt_id, solution_id, md5(string_agg(word || ' ' || n, chr(10) ORDER BY word)) AS bag, sum(n * n) AS sq FROM wc GROUP BY ALL),
+c AS (SELECT prompt_id, bag, min(solution_id) AS class_id, count(*)::BIGINT AS n, any_value(sq) AS sq FROM bag GROUP BY ALL),
+d AS MATERIALIZED (SELECT a.solution_id AS a, b.solution_id AS b, sum(a.n * b.n) AS dot FROM wc a JOIN wc b
+  ON a.prompt_id = b.prompt_id AND a.word = b.word AND a.solution_id < b.solution_id
+  WHERE a.solution_id IN (SELECT class_id FROM c) AND b.solution_id IN (SELECT class_id FROM c) GROUP BY ALL)
+SELECT x.prompt_id, x.class_id AS class_a, y.class_id AS class_b, x.n AS n_a, y.n AS n_b, x.n * y.n AS n_links,
+  round(least(1.0, dot / (sqrt(x.sq) * sqrt(y.sq))), 6) AS similarity
+FROM d JOIN c x ON x.class_id = a JOIN c y ON y.class_id = b WHERE dot / (sqrt(x.sq) * sqrt(y.sq)) >= 0.8
+UNION ALL SELECT prompt_id, class_id, class_id, n, n, n * (n - 1) // 2, 1.0 FROM c WHERE n > 1"""
+
+
+@sql("j3_similar_embeddings")
+def _j3_embeddings():
+    c = (f"(SELECT doc_id // 20 AS prompt_id, min(doc_id) AS class_id, count(*)::BIGINT AS n, v FROM documents JOIN ({EMB}) "
+         "ON solution_id = doc_id GROUP BY 1, v)")
+    return f"SELECT * FROM ({_class_pairs_sql(c, _cos_sql('a.v', 'b.v'))}) WHERE n_links > 0 AND similarity >= 0.25"
+
+
 def _token_similarity_ctes(code: str, pairs: str) -> str:
     """CTEs ``pr`` (the pairs) and ``ts`` (solution_a, solution_b, sim): overlap of word multisets of normalised text."""
     from codescope.plans.oracle_text import sql_normalized
@@ -275,6 +344,82 @@ def _x14():
             f"LEFT JOIN ({EMB}) eb ON eb.solution_id = pr.solution_b")
 
 
+# ------------------------------------------------------------------ per-experiment clustering
+EMBEDDED = "SELECT doc_id // 100 AS g, doc_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM documents JOIN embeddings ON vec_id = doc_id"
+
+
+def _kmeans_ctes(k: int = 3, restarts: int = 10, seed: int = 42, rounds: int = 30) -> str:
+    """CTEs up to ``km`` (g, id, cluster): seeded farthest-first starts and unrolled Lloyd rounds."""
+    out = [f"p AS MATERIALIZED ({EMBEDDED})",
+           "pl AS MATERIALIZED (SELECT g, id, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM p)",
+           f"s0 AS MATERIALIZED (SELECT g, r, 0 AS c, arg_min(v, md5(({seed} + r) || ':' || id)) AS centre FROM p, range({restarts}) x(r) GROUP BY g, r)"]
+    for c in range(1, k):
+        out.append(f"s{c} AS MATERIALIZED (SELECT * FROM s{c - 1} UNION ALL (SELECT g, r, {c}, v FROM (SELECT p.g, r, id, any_value(v) AS v, "
+                   f"min(list_distance(v, centre)) AS d FROM p JOIN s{c - 1} t ON p.g = t.g GROUP BY p.g, r, id) "
+                   "QUALIFY row_number() OVER (PARTITION BY g, r ORDER BY d DESC, id) = 1))")
+    now = f"s{k - 1}"
+    for i in range(rounds + 1):
+        out.append(f"a{i} AS MATERIALIZED (SELECT p.g, r, id, arg_min(c, list_distance(v, centre)) AS c, min(list_distance(v, centre)) AS d "
+                   f"FROM p JOIN {now} t ON p.g = t.g GROUP BY p.g, r, id)")
+        out.append(f"t{i} AS MATERIALIZED (SELECT o.g, o.r, o.c, coalesce(m.centre, o.centre) AS centre FROM {now} o LEFT JOIN ("
+                   "SELECT g, r, c, list(x ORDER BY j) AS centre FROM (SELECT a.g, r, c, j, avg(x) AS x FROM "
+                   f"a{i} a JOIN pl ON a.g = pl.g AND a.id = pl.id GROUP BY ALL) GROUP BY g, r, c) m USING (g, r, c))")
+        now = f"t{i}"
+    out += [f"best AS (SELECT g, arg_min(r, cost) AS r FROM (SELECT g, r, round(sum(d * d), 9) AS cost FROM a{rounds} GROUP BY ALL ORDER BY g, r) GROUP BY g)",
+            f"own AS (SELECT g, id, c, min(id) OVER (PARTITION BY g, c) AS first FROM a{rounds} JOIN best USING (g, r))",
+            "km AS (SELECT g, id, dense_rank() OVER (PARTITION BY g ORDER BY first) - 1 AS cluster FROM own)"]
+    return ",\n".join(out)
+
+
+def _pca_ctes(squarings: int = 18) -> str:
+    """CTEs up to ``pc`` (g, id, x, y): covariance, its two main axes by squaring and deflation, scores."""
+    out = [f"q AS MATERIALIZED ({EMBEDDED})",
+           "ql AS MATERIALIZED (SELECT g, id, j, x - avg(x) OVER (PARTITION BY g, j) AS x FROM "
+           "(SELECT g, id, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM q))",
+           "c0 AS MATERIALIZED (SELECT a.g, a.j AS i, b.j, sum(a.x * b.x) AS v FROM ql a JOIN ql b ON a.g = b.g AND a.id = b.id GROUP BY ALL)"]
+    for axis in (0, 1):
+        m = f"c{axis}"
+        for k in range(squarings):
+            n = f"m{axis}_{k}"
+            out.append(f"{n} AS MATERIALIZED (WITH z AS (SELECT a.g, a.i, b.j, sum(a.v * b.v) AS v FROM {m} a JOIN {m} b ON a.g = b.g AND a.j = b.i GROUP BY ALL) "
+                       "SELECT g, i, j, v / (SELECT sum(v) FROM z t WHERE t.g = z.g AND t.i = t.j) AS v FROM z)")
+            m = n
+        out.append(f"w{axis} AS MATERIALIZED (WITH u AS (SELECT g, i, v FROM {m} WHERE (g, j) IN (SELECT (g, arg_max(i, v)) FROM {m} WHERE i = j GROUP BY g)), "
+                   "n AS (SELECT g, sqrt(sum(v * v)) * sign(arg_max(v, abs(v))) AS s FROM u GROUP BY g) SELECT u.g, i, v / s AS v FROM u JOIN n USING (g))")
+        if axis == 0:
+            out.append("c1 AS MATERIALIZED (WITH l AS (SELECT c.g, sum(a.v * c.v * b.v) AS l FROM c0 c JOIN w0 a ON a.g = c.g AND a.i = c.i "
+                       "JOIN w0 b ON b.g = c.g AND b.i = c.j GROUP BY c.g) SELECT c.g, c.i, c.j, c.v - l * a.v * b.v AS v FROM c0 c JOIN l USING (g) "
+                       "JOIN w0 a ON a.g = c.g AND a.i = c.i JOIN w0 b ON b.g = c.g AND b.i = c.j)")
+    out.append("pc AS (SELECT ql.g, ql.id, sum(x * a.v) AS x, sum(x * b.v) AS y FROM ql JOIN w0 a ON a.g = ql.g AND a.i = j "
+               "JOIN w1 b ON b.g = ql.g AND b.i = j GROUP BY ql.g, ql.id)")
+    return ",\n".join(out)
+
+
+@sql("m1_kmeans_by_experiment")
+def _m1_by():
+    return f"WITH {_kmeans_ctes()} SELECT g AS experiment_id, id AS solution_id, cluster FROM km"
+
+
+@sql("m3_pca_by_experiment")
+def _m3_by():
+    return f"WITH {_pca_ctes()} SELECT g AS experiment_id, id AS solution_id, round(x, 6) AS x, round(y, 6) AS y FROM pc"
+
+
+@sql("m7_cluster_maps")
+def _m7_by():
+    return (f"WITH {_kmeans_ctes()}, {_pca_ctes()} SELECT km.g AS experiment_id, km.id AS solution_id, source AS model, doc_id // 20 AS prompt_id, "
+            "round(x, 6) AS x, round(y, 6) AS y, cluster FROM km JOIN pc USING (g, id) JOIN documents ON doc_id = km.id")
+
+
+@sql("m4_neighbours")
+def _m4():
+    return f"""
+WITH p AS ({EMBEDDED}), n AS (SELECT g, count(*) AS n FROM p GROUP BY g),
+d AS (SELECT a.g, a.id, b.id AS nbr, list_distance(a.v, b.v) AS d FROM p a JOIN p b ON a.g = b.g AND a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, nbr) AS rank FROM d)
+SELECT g AS experiment_id, id AS solution_id, nbr AS neighbour, rank, round(d, 6) AS distance FROM r JOIN n USING (g) WHERE rank <= least(15, n - 1)"""
+
+
 # ------------------------------------------------------------------ streaming twins
 @sql("st1_analyse_on_arrival")
 def _st1():
