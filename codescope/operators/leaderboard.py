@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from codescope.operators.describe import (
     describe_aggs, finish_describe, finish_pearson, medians, most_frequent, pearson_aggs, same_keys, spearman,
 )
+from codescope.sources.scratch import materialise
 
 
 def fact_load(solutions: DataFrame, executions: DataFrame | None = None,
@@ -57,12 +58,15 @@ def leaderboard(facts: DataFrame, model_col: str = "model", group_cols=None) ->
     )
 
 
-def experiment_summary(facts: DataFrame, group_col: str = "experiment_id") -> DataFrame:
+def experiment_summary(facts: DataFrame, group_col: str = "experiment_id", fingerprints: DataFrame | None = None) -> DataFrame:
     """A4: per experiment n_solutions, describe(code length / pass rate / complexity) and the
     code-length vs pass-rate Pearson and Spearman correlations, flattened.
 
-    ``facts`` has ``code_length`` (from the analysis), so no source text travels here.
+    ``facts`` has ``code_length`` (from the analysis), so no source text travels here. Four numbers a row are
+    written first: every statistic reads them, and the sources are parsed once. ``fingerprints`` (M6 per group, see
+    ``forest.fingerprint_by``) adds the accuracy of telling models apart.
     """
+    facts = materialise(facts.select(group_col, "code_length", "pass_rate", "cyclomatic_complexity"), "facts")
     length = F.col("code_length")
     executed = F.col("pass_rate").isNotNull()
     values = {"len_": length, "pass_": F.col("pass_rate"), "cc_": F.col("cyclomatic_complexity")}
@@ -77,4 +81,8 @@ def experiment_summary(facts: DataFrame, group_col: str = "experiment_id") -> Da
     med = medians(facts, {f"{p}median": v for p, v in values.items()}, group_col)
     rho = spearman(facts, "code_length", "pass_rate", group_col).select(
         group_col, F.col("spearman_r").alias("corr_spearman_r"), F.col("spearman_p").alias("corr_spearman_p"))
-    return same_keys(same_keys(out, med, [group_col]), rho, [group_col])
+    out = same_keys(same_keys(out, med, [group_col]), rho, [group_col])
+    if fingerprints is not None:
+        named = fingerprints.select(group_col, *[F.col(c).alias(f"fingerprint_{c}") for c in fingerprints.columns if c != group_col])
+        out = same_keys(out, named, [group_col])
+    return out

@@ -81,19 +81,25 @@ def _counts(types: Column) -> Column:
     return F.map_from_entries(F.transform(types, lambda t: F.struct(t["node_type"], t["n"])))
 
 
+def _length(types: Column) -> Column:
+    return F.sqrt(F.aggregate(types, F.lit(0).cast("long"), lambda acc, t: acc + t["n"] * t["n"]))
+
+
+def _histogram_cosine(types_a: Column, norm_a: Column, error_a: Column, counts_b: Column, norm_b: Column, error_b: Column) -> Column:
+    dot = F.aggregate(types_a, F.lit(0).cast("long"),
+                      lambda acc, t: acc + t["n"] * F.coalesce(F.try_element_at(counts_b, t["node_type"]), F.lit(0)))
+    cos = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(dot.cast("double"), norm_a * norm_b)))
+    return (F.when(error_a.isNotNull() | error_b.isNotNull(), F.lit(0.0))
+             .when((F.size(types_a) == 0) & (F.size(counts_b) == 0), F.lit(1.0))
+             .otherwise(F.coalesce(cos, F.lit(0.0))))
+
+
 def ast_cosine(types_a: Column, error_a: Column, types_b: Column, error_b: Column) -> Column:
     """Cosine of two node histograms, clamped to [0, 1]; a parse error on either side gives 0.0.
 
     The union of node types (E3) needs no rows: types of one side only add nothing to the product.
     """
-    mb = _counts(types_b)
-    dot = F.aggregate(types_a, F.lit(0).cast("long"),
-                      lambda acc, t: acc + t["n"] * F.coalesce(F.try_element_at(mb, t["node_type"]), F.lit(0)))
-    norm = lambda x: F.sqrt(F.aggregate(x, F.lit(0).cast("long"), lambda acc, t: acc + t["n"] * t["n"]))
-    cos = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(dot.cast("double"), norm(types_a) * norm(types_b))))
-    return (F.when(error_a.isNotNull() | error_b.isNotNull(), F.lit(0.0))
-             .when((F.size(types_a) == 0) & (F.size(types_b) == 0), F.lit(1.0))
-             .otherwise(F.coalesce(cos, F.lit(0.0))))
+    return _histogram_cosine(types_a, _length(types_a), error_a, _counts(types_b), _length(types_b), error_b)
 
 
 def pair_ast_similarity(pairs: DataFrame, facts: DataFrame) -> DataFrame:
@@ -102,13 +108,16 @@ def pair_ast_similarity(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     ``facts`` is ``codefacts.source_facts``: both sides join the same exchange of it, so it is parsed once.
     """
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = facts.select("solution_id", "types", "parse_error").repartition(parts, "solution_id")
+    # only the counts travel, not all facts of a type; the lookup and the norm are made once a source
+    keyed = facts.select("solution_id", _counts(F.col("types")).alias("counts"), _length(F.col("types")).alias("norm"),
+                         "parse_error").repartition(parts, "solution_id")
     for side in ("a", "b"):
-        pairs = pairs.join(keyed.select(F.col("solution_id").alias(f"solution_{side}"), F.col("types").alias(f"_t{side}"),
+        pairs = pairs.join(keyed.select(F.col("solution_id").alias(f"solution_{side}"), F.col("counts").alias(f"_{side}"), F.col("norm").alias(f"_n{side}"),
                                         F.col("parse_error").alias(f"_e{side}")), f"solution_{side}", "left")
-    none = F.array().cast(dict(facts.dtypes)["types"])
-    return pairs.withColumn("ast_similarity", ast_cosine(
-        F.coalesce("_ta", none), F.col("_ea"), F.coalesce("_tb", none), F.col("_eb"))).drop("_ta", "_tb", "_ea", "_eb")
+    none = F.create_map().cast(dict(keyed.dtypes)["counts"])
+    entries = F.transform(F.map_entries(F.coalesce("_a", none)), lambda e: F.struct(e["key"].alias("node_type"), e["value"].alias("n")))
+    return pairs.withColumn("ast_similarity", _histogram_cosine(
+        entries, F.col("_na"), F.col("_ea"), F.coalesce("_b", none), F.col("_nb"), F.col("_eb"))).drop("_a", "_b", "_na", "_nb", "_ea", "_eb")
 
 
 # ------------------------------------------------------------------ pair shapes

@@ -571,6 +571,7 @@ def x14_similarity_report(spark, sf_dir):
 # ------------------------------------------------------------------ machine learning
 from codescope.operators import clustering as CL  # noqa: E402
 from codescope.operators.fingerprint import fingerprint  # noqa: E402
+from codescope.operators.forest import fingerprint_by  # noqa: E402
 
 
 @register("m1_kmeans")
@@ -603,6 +604,28 @@ def m6_fingerprint(spark, sf_dir):
     return fingerprint(data, ["code_length", "cyclomatic_complexity"], "model")
 
 
+def _model_features(spark, sf_dir):
+    """(experiment_id, solution_id, model, code_length, cyclomatic_complexity, pass_rate), parsed once and written."""
+    from codescope.sources.scratch import materialise
+    sol = corpus.code_solutions(spark, sf_dir).select("solution_id", "experiment_id", "model")
+    ana = code_analysis(spark, sf_dir).select("solution_id", "code_length", "cyclomatic_complexity")
+    exe = corpus.executions(spark, sf_dir).select("solution_id", "pass_rate")
+    return materialise(fact_load(sol, exe, ana), "features")
+
+
+@register("m6_fingerprint_by_experiment")
+def m6_fingerprint_by_experiment(spark, sf_dir):
+    """M6 of every experiment at once: can its models be told from (line count, complexity)? Forest of level-wise histograms."""
+    return fingerprint_by(_model_features(spark, sf_dir), ["code_length", "cyclomatic_complexity"], "model")
+
+
+@register("a4_summary_with_fingerprint")
+def a4_summary_with_fingerprint(spark, sf_dir):
+    """A4 whole: per-experiment analytics with the model fingerprint's fold accuracy."""
+    facts = _model_features(spark, sf_dir)
+    return experiment_summary(facts, fingerprints=fingerprint_by(facts, ["code_length", "cyclomatic_complexity"], "model"))
+
+
 @register("m7_cluster_map")
 def m7_cluster_map(spark, sf_dir):
     """M7 (+M4 pca): solution, model, prompt, x, y, cluster for embedded documents."""
