@@ -7,9 +7,12 @@ universe is cut into segments, more of them in higher size bands; both sets are
 * **exact segments** (larger bands): of ``n // 4 + 1`` non-empty segments one at least is
   equal. A set takes its first non-empty segments in a fixed order, empty ones are
   skipped by everybody, so two sets agree on what they skip;
-* **one-deletion neighbourhoods** (small bands, and the second tier): with
-  ``(n // 4) // 2 + 1`` segments one at least differs by at most one shingle, and
-  then the segment, or the segment less one shingle, is equal.
+* **one-deletion neighbourhoods** (small bands, and the second tier): a segment of three shingles or more that
+  differs by at most one is equal, or equal less one shingle. A segment of one or two counts only if it is
+  equal, an empty one not at all: no signature rests on fewer than one shingle, and no deletion leaves fewer than two, so unlike sets
+  share no constant. The larger of two similar sets differs in at most ``2 n / 9``; if its segments count for more (twice for three
+  shingles or more, once for one or two), one of them is found. The few **thin** sets whose segments do not are matched by
+  single shingles: a partner has one of any ``n // 5 + 1`` of theirs.
 
 Allocation is by cost. Exact segments cost a quarter of the set in signatures, the
 neighbourhoods more than all of it, but match far fewer unlike sets. So the
@@ -17,10 +20,10 @@ neighbourhoods are spent where sets are small or where exact segments prove too
 common: sets in a signature list of more than ``LONG`` members that
 is not yet settled are indexed again, among themselves, by neighbourhoods.
 
-Lists are never expanded into all pairs. Each member is checked against the list's
-first member; verified links make components; a list whose members all share a
+Lists are never expanded into all pairs. Each set is checked against the smallest first member
+of its lists; verified links make components; a list whose members all share a
 component is settled. Only members of different components are compared, in
-unsettled lists. Before any set travels, a pair has to pass an exact bound: both sets are
+unsettled lists. So the links that are returned connect each component; they are not all links in it. Before any set travels, a pair has to pass an exact bound: both sets are
 counted over equal parts of the universe (a byte each, about eight members a part), and their
 difference is no less than the sum of the counts' differences. Equal sets are one node from the start, and the members of a
 list that one task sees itself are folded there before the shuffle.
@@ -69,14 +72,14 @@ def signatures(s: np.ndarray, neighbourhoods: bool = False) -> np.ndarray:
     for b in bands(n):
         high = (2 << b) // 4 + 1
         near = neighbourhoods or 2 << b <= SMALL
-        m = (high - 1) // 2 + 1 if near else int(SPARE * high) + 1
+        m = near_segments(b) if near else int(SPARE * high) + 1
         seg = ((spread * U(m)) >> U(32)).astype(np.int64)
         salt = mix(np.arange(m, dtype=U) + U((b << 40) + (int(near) << 39)))
         if near:
-            total = np.zeros(m, U)
+            total, size = np.zeros(m, U), np.bincount(seg, minlength=m)
             np.add.at(total, seg, s)
-            out.append(mix(total ^ salt))
-            out.append(mix((total[seg] - s) ^ salt[seg]))
+            out.append(mix(total ^ salt)[size > 0])
+            out.append(mix((total[seg] - s) ^ salt[seg])[size[seg] > 2])
         else:
             order = np.argsort(seg, kind="stable")
             cut = seg[order]
@@ -86,6 +89,25 @@ def signatures(s: np.ndarray, neighbourhoods: bool = False) -> np.ndarray:
     return np.unique(np.concatenate(out)).view(np.int64)
 
 
+def near_segments(b: int) -> int:
+    """Segments of a band for neighbourhoods: some three to six shingles in each."""
+    return 1 if b < 3 else -(-(2 << b) // 6)
+
+
+def thin(s: np.ndarray, neighbourhoods: bool = False) -> bool:
+    """Whether neighbourhoods may miss a smaller set similar to ``s``: its segments count for too little."""
+    n = len(s)
+    if n < 4:
+        return False
+    b = n.bit_length() - 1
+    if not (neighbourhoods or 2 << b <= SMALL):
+        return False
+    m = near_segments(b)
+    spread = mix(s ^ U(0x5851F42D4C957F2D)) >> U(32)
+    size = np.bincount(((spread * U(m)) >> U(32)).astype(np.int64), minlength=m)
+    return 2 * int((size > 2).sum()) + int(((size == 1) | (size == 2)).sum()) <= 2 * n // 9
+
+
 def counts(s: np.ndarray) -> bytes:
     """Members of ``s`` in each part of the universe, at most 255; a power of two of parts, an eighth of the set's size."""
     bits = max(LEAST_PARTS.bit_length() - 1, len(s).bit_length() - 3)
@@ -120,26 +142,27 @@ def text_set(text: str) -> np.ndarray:
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, d1, d2, sketch, sigs``: size, 128-bit digest, counts by part and first-tier signatures."""
+    """``doc_id, n_shingles, d1, d2, sketch, thin, sigs``: size, 128-bit digest, counts by part and first-tier signatures."""
 
     def run(batches):
         for whole in batches:
             for k in range(0, whole.num_rows, 1000):
                 b = whole.slice(k, 1000)
-                n, d1, d2, sketch, sigs = [], [], [], [], []
+                n, d1, d2, sketch, slim, sigs = [], [], [], [], [], []
                 for text in b.column(1):
                     s = text_set(text.as_py())
                     n.append(len(s))
                     d1.append(s.sum(dtype=U).view(np.int64))
                     d2.append(mix(s + U(0xD6E8FEB86659FD93)).sum(dtype=U).view(np.int64))
                     sketch.append(counts(s))
+                    slim.append(thin(s))
                     sigs.append(signatures(s))
                 cut = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
                 yield {"doc_id": b.column(0), "n_shingles": n, "d1": np.array(d1), "d2": np.array(d2), "sketch": sketch,
-                       "sigs": pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(sigs)))}
+                       "thin": slim, "sigs": pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(sigs)))}
 
     return map_batches(keyed_texts(docs), run,
-                       "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, sketch binary, sigs array<bigint>")
+                       "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, sketch binary, thin boolean, sigs array<bigint>")
 
 
 def _fold(sig: np.ndarray, doc: np.ndarray) -> dict:
@@ -278,16 +301,16 @@ def unsettled(lists: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def cross_pairs(open_lists: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs of members of different components within a list, but for those checked against its pivot.
+    """Likely pairs of members of different components within a list.
 
     Lists have at most ``LONG`` members in the first tier; a list is read in blocks of rows.
     """
-    m = open_lists.select("sig", "doc", "label", "pivot").distinct().join(
+    m = open_lists.select("sig", "doc", "label").distinct().join(
         sketches.select(F.col("node").alias("doc"), "n", "sketch"), "doc")
     parts = int(m.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = m.select("sig", "doc", "label", "pivot", "n", "sketch").repartition(parts, "sig").sortWithinPartitions("sig", "doc")
+    dealt = m.select("sig", "doc", "label", "n", "sketch").repartition(parts, "sig").sortWithinPartitions("sig", "doc")
 
-    def pairs_of(sig, doc, label, pivot, n, sketch):
+    def pairs_of(sig, doc, label, n, sketch):
         """Pairs within runs of ``sig``, some rows at a time: each row with the rows of its run that follow it."""
         last = np.searchsorted(sig, sig, "right")
         after = last - np.arange(len(sig)) - 1
@@ -310,9 +333,9 @@ def cross_pairs(open_lists: DataFrame, sketches: DataFrame, percent: int) -> Dat
     def run(batches):
         held = None
         for b in batches:
-            now = [b.column(i).to_numpy() for i in range(5)]
-            held = now + [b.column(5).to_pylist()] if held is None else [
-                *(np.concatenate([x, y]) for x, y in zip(held, now)), held[5] + b.column(5).to_pylist()]
+            now = [b.column(i).to_numpy() for i in range(4)]
+            held = now + [b.column(4).to_pylist()] if held is None else [
+                *(np.concatenate([x, y]) for x, y in zip(held, now)), held[4] + b.column(4).to_pylist()]
             k = int(np.searchsorted(held[0], held[0][-1]))  # the last list may go on in the next batch
             if k:
                 yield dict(zip("ab", pairs_of(*(x[:k] for x in held))))
@@ -324,9 +347,28 @@ def cross_pairs(open_lists: DataFrame, sketches: DataFrame, percent: int) -> Dat
 
 
 def star_pairs(lists: DataFrame) -> DataFrame:
-    """Every member of a list against the list's first member, and firsts of tasks against the first of all."""
-    return lists.where("pivot <> doc").select(F.least("pivot", "doc").alias("a"), F.greatest("pivot", "doc").alias("b")
-                                              ).distinct()
+    """Every set against the smallest first member of its lists: a pair for each set, however many lists it shares."""
+    return lists.where("pivot <> doc").groupBy("doc").agg(F.min("pivot").alias("pivot")).select(
+        F.least("pivot", "doc").alias("a"), F.greatest("pivot", "doc").alias("b")).distinct()
+
+
+def thin_pairs(slim: DataFrame, others: DataFrame) -> DataFrame:
+    """Pairs of thin sets (``node, n, items``) and smaller sets that share one of the thin set's first shingles."""
+    some = slim.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.explode(F.expr("slice(items, 1, cast(n div 5 + 1 as int))")).alias("item"))
+    every = others.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.explode("items").alias("item"))
+    return some.join(every, "item").where("x <> y AND ny <= nx AND 5 * ny >= 4 * nx").select(
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def marked_thin(sets: DataFrame) -> DataFrame:
+    """The thin ones of ``node, n, items`` where all bands use neighbourhoods."""
+
+    def run(batches):
+        for b in batches:
+            keep = pa.array([thin(np.asarray(x.values).view(U), True) for x in b.column(2)], pa.bool_())
+            yield {k: b.column(i).filter(keep) for i, k in enumerate(("node", "n", "items"))}
+
+    return map_batches(sets, run, "node bigint, n bigint, items array<bigint>")
 
 
 def similarity_components(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -357,6 +399,14 @@ def similarity_components(docs: DataFrame, percent: int = 80) -> tuple[DataFrame
 
     links = check(likely(star_pairs(lists), sketches, percent))
     labels = materialise(components(links), "labels")
+    slim = materialise(nodes.where("thin").select("doc_id", "n_shingles"), "thin")
+    low, high = slim.agg(F.min("n_shingles"), F.max("n_shingles")).first()
+    if low is not None:
+        alike = materialise(nodes.where(F.col("n_shingles").between(4 * low // 5, high)).select("doc_id"), "alike")
+        sets = materialise(sets_of(docs, alike), "sets")
+        some = sets.join(small(slim.select(F.col("doc_id").alias("node"))), "node", "left_semi")
+        found = check(likely(thin_pairs(some, sets), sketches, percent))
+        links, labels = links.unionByName(found), merge(labels, found)
     open_ = materialise(unsettled(lists, labels), "open")
     found = check(cross_pairs(open_.where(f"c <= {LONG}"), sketches, percent))
     links, labels = links.unionByName(found), merge(labels, found)
@@ -367,7 +417,11 @@ def similarity_components(docs: DataFrame, percent: int = 80) -> tuple[DataFrame
         near = materialise(shared_lists(signature_rows(common.select("node", "items"), True)), "near")
         found = check(likely(star_pairs(near), sketches, percent))
         links, labels = links.unionByName(found), merge(labels, found)
-        found = check(cross_pairs(unsettled(near, labels), sketches, percent))
+        slim = materialise(marked_thin(common), "thin")
+        pairs = cross_pairs(unsettled(near, labels), sketches, percent)
+        if slim.limit(1).count():
+            pairs = pairs.unionByName(likely(thin_pairs(slim, common), sketches, percent)).distinct()
+        found = check(pairs)
         links, labels = links.unionByName(found), merge(labels, found)
     out = (prof.select("doc_id", "n_shingles").join(copies, "doc_id", "left")
            .withColumn("node", F.coalesce("rep", "doc_id")).join(labels, "node", "left")
