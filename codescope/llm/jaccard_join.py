@@ -322,7 +322,7 @@ def cross_pairs(open_lists: DataFrame, sketches: DataFrame, percent: int) -> Dat
             m = after[k:j]
             x = np.repeat(np.arange(k, j), m)
             y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m)
-            keep = (label[x] != label[y]) & (pivot[x] != doc[y]) & (pivot[y] != doc[x]) & (doc[x] != doc[y])
+            keep = (label[x] != label[y]) & (doc[x] != doc[y])
             x, y = x[keep], y[keep]
             x, y = (z[100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])] for z in (x, y))
             keep = may_link(n[x], n[y], apart(sketch, x, y), percent) if len(x) else np.zeros(0, bool)
