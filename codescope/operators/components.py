@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codescope.sources.scratch import materialise
+from codescope.sources.scratch import few_files, materialise
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -32,6 +32,6 @@ def components(links: DataFrame) -> DataFrame:
         # small star: neighbours below a node, and the node, go to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        edges = materialise(few_files(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), mark[0]), "edges")
     return edges.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label").unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -19,3 +19,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of numbers that share a file of a written table.
+FILE_ROWS = 50_000
+
+
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of about ``rows`` narrow rows at most, in as many partitions as its files should be."""
+    return df.coalesce(1 + rows // FILE_ROWS)
