@@ -21,7 +21,7 @@ common: sets in a signature list of more than ``LONG`` members that
 is not yet settled are indexed again, among themselves, by neighbourhoods.
 
 Lists are never expanded into all pairs. Each set is checked against the smallest first member
-of its lists; verified links make components; a list whose members all share a
+of its lists, then with a member of another component; verified links make components; a list whose members all share a
 component is settled. Only members of different components are compared, in
 unsettled lists. So the links that are returned connect each component; they are not all links in it. Before any set travels, a pair has to pass an exact bound: both sets are
 counted over equal parts of the universe (a byte each, about eight members a part), and their
@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 from codescope.llm.common import (KEY, keyed_texts, map_batches, materialise, outer_id, table, unique_ids,
                                   with_keys)
 from codescope.operators.components import components
+from codescope.sources.scratch import few_files
 from codescope.llm.hashing import U, mix, shingles, word_hashes
 
 SMALL = 64          # bands up to this size use neighbourhoods at once
@@ -53,6 +54,8 @@ SPARE = 1.35        # segments per needed segment
 BROADCAST_ROWS = 2_000_000
 FOLD_ROWS = 1_000_000   # 16 bytes each, and some copies of them, in a worker
 PAIRS = 200_000      # pairs compared at a time
+DEALT = 50_000       # rows of lists with one first member that go to a task
+KEPT_PAIRS = 500_000     # pairs that a task holds to send each once
 
 
 def bands(n: int) -> list[int]:
@@ -282,7 +285,10 @@ def likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
 def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)``, a written table, whose sets have ``percent`` / 100 Jaccard similarity; exact."""
-    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+    rows = pairs.count()
+    if not rows:
+        return pairs
+    wanted = materialise(few_files(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), rows), "wanted")
     sets = materialise(sets_of(docs, wanted), "sets")
     for x in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"),
@@ -292,12 +298,23 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
 
 def unsettled(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(sig, doc, pivot, label, c)`` of lists whose members are in several components (``c`` members)."""
+    """``(sig, doc, label, c, low, high)`` of lists whose members are in several components.
+
+    ``c`` members; ``low`` and ``high`` are the smallest and largest (label, doc).
+    """
     named = lists.join(labels.select(F.col("node").alias("doc"), "label"), "doc", "left").select(
-        "sig", "doc", "pivot", F.coalesce("label", "doc").alias("label"))
-    open_ = named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
-                                     F.count("*").alias("c")).where("lo <> hi").select("sig", "c")
-    return named.join(open_, "sig")
+        "sig", "doc", F.coalesce("label", "doc").alias("label"))
+    place = F.struct("label", "doc")
+    open_ = named.groupBy("sig").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("c")).where(
+        "low.label <> high.label")
+    return materialise(named.join(open_, "sig"), "open")
+
+
+def bridge_pairs(open_lists: DataFrame) -> DataFrame:
+    """A pair for each set: with the smallest first or last member of its lists that is in another component."""
+    other = F.when(F.col("label") != F.col("low.label"), F.col("low.doc")).otherwise(F.col("high.doc"))
+    return open_lists.select("doc", other.alias("other")).groupBy("doc").agg(F.min("other").alias("other")).select(
+        F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
 
 
 def cross_pairs(open_lists: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -305,14 +322,20 @@ def cross_pairs(open_lists: DataFrame, sketches: DataFrame, percent: int) -> Dat
 
     Lists have at most ``LONG`` members in the first tier; a list is read in blocks of rows.
     """
-    m = open_lists.select("sig", "doc", "label").distinct().join(
-        sketches.select(F.col("node").alias("doc"), "n", "sketch"), "doc")
+    # lists of one group share their first member as a rule: dealt by it, a pair that many lists hold goes out once; a first
+    # member of many rows is dealt to several tasks by signature
+    rows = open_lists.select("sig", "doc", "label", F.col("low.doc").alias("first")).distinct()
+    shares = rows.groupBy("first").agg(F.ceil(F.count("*") / DEALT).alias("shares")).where("shares > 1")
+    m = rows.join(shares, "first", "left").join(sketches.select(F.col("node").alias("doc"), "n", "sketch"), "doc")
     parts = int(m.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = m.select("sig", "doc", "label", "n", "sketch").repartition(parts, "sig").sortWithinPartitions("sig", "doc")
+    share = F.pmod("sig", F.coalesce("shares", F.lit(1)))
+    dealt = m.select("first", share.alias("share"), "sig", "doc", "label", "n", "sketch").repartition(parts, "first", "share").sortWithinPartitions(
+        "first", "share", "sig", "doc").select("sig", "doc", "label", "n", "sketch")
 
     def pairs_of(sig, doc, label, n, sketch):
         """Pairs within runs of ``sig``, some rows at a time: each row with the rows of its run that follow it."""
-        last = np.searchsorted(sig, sig, "right")
+        cut = np.append(np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])), len(sig))
+        last = np.repeat(cut[1:], np.diff(cut))
         after = last - np.arange(len(sig)) - 1
         out = [np.zeros((2, 0), np.int64)]
         upto = np.cumsum(after)
@@ -331,17 +354,23 @@ def cross_pairs(open_lists: DataFrame, sketches: DataFrame, percent: int) -> Dat
         return np.unique(np.concatenate(out, 1), axis=1)
 
     def run(batches):
-        held = None
+        held, found = None, [np.zeros((2, 0), np.int64)]
         for b in batches:
             now = [b.column(i).to_numpy() for i in range(4)]
             held = now + [b.column(4).to_pylist()] if held is None else [
                 *(np.concatenate([x, y]) for x, y in zip(held, now)), held[4] + b.column(4).to_pylist()]
-            k = int(np.searchsorted(held[0], held[0][-1]))  # the last list may go on in the next batch
+            k = len(held[0]) - int((held[0][::-1] != held[0][-1]).argmax() or len(held[0]))  # the last list may go on in the next batch
             if k:
-                yield dict(zip("ab", pairs_of(*(x[:k] for x in held))))
+                found.append(pairs_of(*(x[:k] for x in held)))
                 held = [x[k:] for x in held]
+            if sum(f.shape[1] for f in found) > KEPT_PAIRS:
+                found = [np.unique(np.concatenate(found, 1), axis=1)]
+                if found[0].shape[1] > KEPT_PAIRS // 2:
+                    yield dict(zip("ab", found[0]))
+                    found = [np.zeros((2, 0), np.int64)]
         if held is not None:
-            yield dict(zip("ab", pairs_of(*held)))
+            found.append(pairs_of(*held))
+        yield dict(zip("ab", np.unique(np.concatenate(found, 1), axis=1)))
 
     return map_batches(dealt, run, "a bigint, b bigint").distinct()
 
@@ -407,7 +436,9 @@ def similarity_components(docs: DataFrame, percent: int = 80) -> tuple[DataFrame
         some = sets.join(small(slim.select(F.col("doc_id").alias("node"))), "node", "left_semi")
         found = check(likely(thin_pairs(some, sets), sketches, percent))
         links, labels = links.unionByName(found), merge(labels, found)
-    open_ = materialise(unsettled(lists, labels), "open")
+    found = check(likely(bridge_pairs(unsettled(lists, labels)), sketches, percent))
+    links, labels = links.unionByName(found), merge(labels, found)
+    open_ = unsettled(lists, labels)
     found = check(cross_pairs(open_.where(f"c <= {LONG}"), sketches, percent))
     links, labels = links.unionByName(found), merge(labels, found)
     # exact segments that proved too common: their sets again, by one-deletion neighbourhoods
@@ -415,8 +446,9 @@ def similarity_components(docs: DataFrame, percent: int = 80) -> tuple[DataFrame
     if again.limit(1).count():
         common = materialise(sets_of(docs, again), "sets")
         near = materialise(shared_lists(signature_rows(common.select("node", "items"), True)), "near")
-        found = check(likely(star_pairs(near), sketches, percent))
-        links, labels = links.unionByName(found), merge(labels, found)
+        for pairs in (lambda: star_pairs(near), lambda: bridge_pairs(unsettled(near, labels))):
+            found = check(likely(pairs(), sketches, percent))
+            links, labels = links.unionByName(found), merge(labels, found)
         slim = materialise(marked_thin(common), "thin")
         pairs = cross_pairs(unsettled(near, labels), sketches, percent)
         if slim.limit(1).count():
