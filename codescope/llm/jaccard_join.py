@@ -55,6 +55,7 @@ BROADCAST_ROWS = 2_000_000
 FOLD_ROWS = 1_000_000   # 16 bytes each, and some copies of them, in a worker
 PAIRS = 200_000      # pairs compared at a time
 DEALT = 50_000       # rows of lists with one first member that go to a task
+BRIDGES = 3          # turns in which each set is checked against one member of another component
 KEPT_PAIRS = 500_000     # pairs that a task holds to send each once
 
 
@@ -310,10 +311,11 @@ def unsettled(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return materialise(named.join(open_, "sig"), "open")
 
 
-def bridge_pairs(open_lists: DataFrame) -> DataFrame:
-    """A pair for each set: with the smallest first or last member of its lists that is in another component."""
+def bridge_pairs(open_lists: DataFrame, turn: int = 0) -> DataFrame:
+    """A pair for each set: with the first or last member of one of its lists, by a hash for each turn, that is in another component."""
     other = F.when(F.col("label") != F.col("low.label"), F.col("low.doc")).otherwise(F.col("high.doc"))
-    return open_lists.select("doc", other.alias("other")).groupBy("doc").agg(F.min("other").alias("other")).select(
+    return open_lists.select("doc", "sig", other.alias("other")).groupBy("doc").agg(
+        F.min_by("other", F.struct(F.xxhash64("sig", F.lit(turn)), "other")).alias("other")).select(
         F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
 
 
@@ -436,9 +438,13 @@ def similarity_components(docs: DataFrame, percent: int = 80) -> tuple[DataFrame
         some = sets.join(small(slim.select(F.col("doc_id").alias("node"))), "node", "left_semi")
         found = check(likely(thin_pairs(some, sets), sketches, percent))
         links, labels = links.unionByName(found), merge(labels, found)
-    found = check(likely(bridge_pairs(unsettled(lists, labels)), sketches, percent))
-    links, labels = links.unionByName(found), merge(labels, found)
     open_ = unsettled(lists, labels)
+    for turn in range(BRIDGES):
+        found = check(likely(bridge_pairs(open_, turn), sketches, percent))
+        if not found.limit(1).count():
+            break
+        links, labels = links.unionByName(found), merge(labels, found)
+        open_ = unsettled(lists, labels)
     found = check(cross_pairs(open_.where(f"c <= {LONG}"), sketches, percent))
     links, labels = links.unionByName(found), merge(labels, found)
     # exact segments that proved too common: their sets again, by one-deletion neighbourhoods
