@@ -82,7 +82,10 @@ def pass_rate_from_tests(solutions: DataFrame, tests: DataFrame) -> DataFrame:
 def _py_literal(value_json: str | None) -> str:
     if value_json is None:
         return "None"
-    return repr(json.loads(value_json))
+    try:
+        return repr(json.loads(value_json))
+    except ValueError:  # a problem file's text output arrives without its quotes
+        return repr(value_json)
 
 
 @F.pandas_udf(T.StringType())

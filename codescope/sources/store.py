@@ -126,10 +126,11 @@ def upsert_registry(registry: DataFrame, incoming: DataFrame, order_col: str | N
 def update_status(experiments: DataFrame, changes: DataFrame, now: Column | None = None) -> DataFrame:
     """Apply (id, status) changes; completed_at set only for completed/failed.
 
-    Unknown ids in ``changes`` are no-ops (left join from the experiments).
+    Unknown ids in ``changes`` are no-ops (left join from the experiments); of several changes of one id
+    the last by its status name counts, so no experiment is repeated.
     """
     now = now if now is not None else F.current_timestamp().cast("timestamp_ntz")
-    ch = (changes.select("id", F.col("status").alias("_new")))
+    ch = changes.groupBy("id").agg(F.max("status").alias("_new"))
     j = experiments.join(ch, "id", "left")
     status = F.coalesce(F.col("_new"), F.col("status"))
     completed = F.when(F.col("_new").isin(*FINAL_STATUSES), now).otherwise(F.col("completed_at"))

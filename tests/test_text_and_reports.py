@@ -131,3 +131,20 @@ def test_malformed_report_is_missing(spark):
     assert (got[0]["report_missing"], got[0]["error_type"], got[0]["runtime_seconds"]) == (True, "exception", 2.5)
     assert (got[1]["report_missing"], got[1]["error_type"]) == (False, None)
     assert (got[2]["report_missing"], got[2]["error_type"]) == (True, "timeout")
+
+
+def test_text_outputs_of_a_problem_file_render(spark, tmp_path):
+    """S1 feeding X22: text, number, boolean, list and missing outputs."""
+    import json
+
+    from codescope.functions.report import HARNESS_HEADER, render_test_functions
+    from codescope.schema import PROBLEM_FILE
+    out = ["olleh", 3, True, [1, "a"], None, "it's"]
+    problems = [{"title": "t", "problem_statement": "p", "reference_tests": [{"call": f"f({i})", "expected_output": v} for i, v in enumerate(out)]}]
+    (tmp_path / "p.json").write_text(json.dumps(problems))
+    df = spark.read.schema(PROBLEM_FILE).option("multiLine", True).json(str(tmp_path / "p.json")).withColumn("prompt_id", F.lit(1))
+    (row,) = render_test_functions(df).collect()
+    names = {}
+    exec("def f(i):\n    return " + repr(out) + "[i]\n" + row.test_file.removeprefix(HARNESS_HEADER), names)
+    for i in range(len(out)):
+        names[f"test_case_{i}"]()
