@@ -54,8 +54,8 @@ SPARE = 1.35        # segments per needed segment
 BROADCAST_ROWS = 2_000_000
 FOLD_ROWS = 1_000_000   # 16 bytes each, and some copies of them, in a worker
 PAIRS = 200_000      # pairs compared at a time
-DEALT = 50_000       # rows of lists with one first member that go to a task
-BRIDGES = 3          # turns in which each set is checked against one member of another component
+DEALT = 200_000      # rows of lists with one first member that go to a task
+BRIDGES = 1          # turns in which each set is checked against one member of another component
 KEPT_PAIRS = 500_000     # pairs that a task holds to send each once
 
 
