@@ -43,8 +43,11 @@ TOKEN = "[^\\x20\\x09-\\x0D]+"
 
 
 def domain_sql(regex_number: str) -> str:
-    """Domain of a source by its number; ``regex_number`` is the engine's expression for the number, as a string."""
-    return (f"CASE WHEN {regex_number} = '' THEN 'web' ELSE CASE CAST({regex_number} AS BIGINT) % 4 "
+    """Domain of a source by its number modulo 4; ``regex_number`` is the engine's expression for the number, as a string.
+
+    Its last two digits decide, so a number of any length will do.
+    """
+    return (f"CASE WHEN {regex_number} = '' THEN 'web' ELSE CASE CAST(right({regex_number}, 2) AS BIGINT) % 4 "
             "WHEN 0 THEN 'web' WHEN 1 THEN 'books' WHEN 2 THEN 'code' ELSE 'forum' END END")
 
 

@@ -36,3 +36,10 @@ def test_mixing_selects_rows_with_odd_ids_and_chat_formats_a_null_row(spark, ids
     assert rows and all(r.take_tokens <= r.n_tokens for r in rows) and 7 not in {r.doc_id for r in rows}
     got = {r.conv_id: (r.n_turns, r.loss_chars) for r in Q.QUERIES["op1_chat_formatting"](spark, ids_dir).collect()}
     assert got == {None: (1, 0), -7: (2, 26)}
+
+
+def test_op3_numbers_of_any_length_in_source_names(spark):
+    from codescope.llm import mixing
+    names = {"src5": "books", "a12345678901234567890123": "forum", "b99999999999999999999999999996": "web", "plain": "web"}
+    df = spark.createDataFrame([(i, "one two", "en", s, 0) for i, s in enumerate(names)], SCHEMA)
+    assert {r.source: r.domain for r in mixing.with_tokens(df).collect()} == names
