@@ -14,10 +14,11 @@ rendered together. A conversation holding a third of all rows is therefore many
 blocks; only :func:`assemble` joins the blocks, because one output row per
 conversation has to hold its whole text.
 
-Defined results: null ``text`` and null ``role`` count as empty; null ``msg``
-sorts first; a null ``conv_id`` is a conversation of its own; events with equal
-``seq`` are applied in the order of kind, role and text; an empty log gives an
-empty frame. Extra columns are ignored.
+Defined results: null ``text``, ``role`` and ``kind`` count as empty (an unknown kind
+appends); null ``msg`` and ``seq`` sort first; a null ``conv_id`` is a conversation of
+its own; events with equal ``seq`` are applied in the order of kind, then of message,
+role and text; a message has its last role that is not empty, so deltas and edits need
+not repeat it; an empty log gives an empty frame. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -55,30 +56,34 @@ def unescape_text(c: Column) -> Column:
 def fold(events: DataFrame) -> DataFrame:
     """Fold the log into final messages ``(conv_id, msg, role, text)``, one row per surviving message."""
     e = events.select(
-        "conv_id", "msg", F.coalesce(F.col("seq"), F.lit(-(1 << 62))).alias("seq"), F.col("kind"),
-        F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"),
+        "conv_id", "msg", F.coalesce(F.col("seq"), F.lit(-(1 << 62))).alias("seq"),
+        *(F.coalesce(F.col(x), F.lit("")).alias(x) for x in ("kind", "role", "text")),
         F.floor(F.col("msg") / BLOCK).alias("block"))
+    regen = F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("regen")
     # the latest regeneration of each block, and of all blocks before it: (conversation, block) rows only
-    void = (e.groupBy("conv_id", "block").agg(F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("regen"))
+    void = (e.groupBy("conv_id", "block").agg(regen)
             .withColumn("void", F.max("regen").over(
                 W.partitionBy("conv_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)))
             .where(F.col("void").isNotNull())
             .select(F.col("conv_id").alias("v_conv"), F.col("block").alias("v_block"), "void"))
     per_msg = e.groupBy("conv_id", "block", "msg").agg(
-        F.max(F.when(F.col("kind").isin(*RESETS), F.col("seq"))).alias("reset"),
-        F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("regen"),
-        F.sort_array(F.collect_list(F.struct("seq", "kind", "role", "text"))).alias("log"))
+        regen, F.sort_array(F.collect_list(F.struct("seq", "kind", "role", "text"))).alias("log"))
     # within a block the running maximum covers at most BLOCK rows of one conversation
     running = W.partitionBy("conv_id", "block").orderBy("msg").rowsBetween(W.unboundedPreceding, -1)
     per_msg = per_msg.withColumn("void_in", F.max("regen").over(running))
     joined = per_msg.join(void, F.col("conv_id").eqNullSafe(F.col("v_conv"))
                           & F.col("block").eqNullSafe(F.col("v_block")), "left")
-    live = F.filter("log", lambda x: (F.col("reset").isNull() | (x["seq"] >= F.col("reset")))
-                    & (F.col("cut").isNull() | (x["seq"] > F.col("cut"))))
-    return (joined.withColumn("cut", F.greatest("void", "void_in")).withColumn("live", live)
-            .where(F.size("live") > 0)
-            .select("conv_id", "block", "msg", F.element_at("live", -1)["role"].alias("role"),
-                    F.array_join(F.transform("live", lambda x: x["text"]), "").alias("text")))
+    # an event stands unless it came before the regeneration, in the order of seq and kind
+    stands = F.filter("log", lambda x: F.col("cut").isNull() | (x["seq"] > F.col("cut"))
+                      | ((x["seq"] == F.col("cut")) & (x["kind"] == "regenerate")))
+    # what is written since the last reset, found by its place in the order, not by its seq
+    since = F.array_position(F.reverse(F.transform("log", lambda x: x["kind"].isin(*RESETS))), F.lit(True))
+    live = F.filter("log", lambda x, i: (F.col("since") == 0) | (i >= F.size("log") - F.col("since")))
+    roles = F.filter(F.transform("log", lambda x: x["role"]), lambda r: r != "")
+    return (joined.withColumn("cut", F.greatest("void", "void_in")).withColumn("log", stands)
+            .where(F.size("log") > 0).withColumn("since", since)
+            .select("conv_id", "block", "msg", F.coalesce(F.try_element_at(roles, F.lit(-1)), F.lit("")).alias("role"),
+                    F.array_join(F.transform(live, lambda x: x["text"]), "").alias("text")))
 
 
 def render(messages: DataFrame, trained_role: str = "assistant") -> DataFrame:

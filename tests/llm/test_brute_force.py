@@ -224,16 +224,24 @@ def test_chunks_equal_the_tokenizer_on_odd_text():
 # --- chat ----------------------------------------------------------------------------------------------------------
 
 def brute_fold(events):
+    """Events one by one, in order of seq, kind, message, role and text."""
     state = {}
-    for conv, msg, seq, kind, role, text in sorted(events, key=lambda e: (e[2], e[3], e[4], e[5])):
+    for seq, kind, msg, role, text, conv in sorted(
+            (e[2], e[3] or "", e[1], e[4] or "", e[5] or "", e[0]) for e in events):
         if kind == "regenerate":
             for key in [k for k in state if k[0] == conv and k[1] > msg]:
                 del state[key]
-        old = state.get((conv, msg), (role, ""))
-        state[conv, msg] = (role, (old[1] if kind == "delta" else "") + text)
+        old = state.get((conv, msg), ("", ""))
+        resets = kind in ("message", "edit", "regenerate")
+        state[conv, msg] = (role or old[0], ("" if resets else old[1]) + text)
     return state
 
 
+def folded(spark, events):
+    df = spark.createDataFrame(events, "conv_id bigint, msg bigint, seq bigint, kind string, role string, text string")
+    return {(x.conv_id, x.msg): (x.role, x.text) for x in chat.fold(df).collect()}
+
+
 def test_fold_of_deltas_edits_and_regenerations(spark):
     r = random.Random(9)
     events = []
@@ -241,9 +249,22 @@ def test_fold_of_deltas_edits_and_regenerations(spark):
         for seq in range(260):
             kind = r.choice(["message", "delta", "delta", "delta", "edit", "regenerate" if r.random() < 0.2 else "delta"])
             events.append((conv, r.randrange(0, 150), seq, kind, r.choice(["user", "assistant"]), f"<{seq}>\\"))
-    df = spark.createDataFrame(events, "conv_id bigint, msg bigint, seq bigint, kind string, role string, text string")
-    got = {(x.conv_id, x.msg): (x.role, x.text) for x in chat.fold(df).collect()}
-    assert got == brute_fold(events)
+    assert folded(spark, events) == brute_fold(events)
+
+
+def test_fold_of_ties_and_events_without_a_role(spark):
+    r = random.Random(10)
+    kinds = ["message", "delta", "delta", "edit", "regenerate", None]
+    events = [(r.randrange(40), r.randrange(0, 130, 13), r.randrange(6), r.choice(kinds),
+               r.choice([None, "", "user", "assistant"]), r.choice([None, "a", "b", "c"])) for _ in range(1500)]
+    assert folded(spark, events) == brute_fold(events)
+
+
+def test_a_delta_keeps_the_role_and_the_last_edit_of_a_seq_wins(spark):
+    got = folded(spark, [(1, 0, 1, "message", "assistant", "Hel"), (1, 0, 2, "delta", None, "lo"),
+                         (2, 0, 1, "delta", "user", "old"), (2, 0, 1, "edit", "user", "new"),
+                         (3, 0, 1, "edit", "user", "A"), (3, 0, 1, "edit", "user", "B")])
+    assert got == {(1, 0): ("assistant", "Hello"), (2, 0): ("user", "new"), (3, 0): ("user", "B")}
 
 
 def test_rendered_text_is_read_back(spark):
