@@ -59,17 +59,18 @@ def weight_sql(level: str, weights: dict) -> str:
 
 
 def budget_steps(docs: str, tag: str, share: tuple[int, int], max_epochs: int, weights: dict,
-                 div: str) -> list[tuple[str, str]]:
+                 div: str, wide: str) -> list[tuple[str, str]]:
     """Named queries over ``docs(doc_id, domain, lang, source, n_tokens)`` that end in ``{tag}leaf``.
 
-    ``div`` is the engine's whole-number division operator. The tables are as large as the tree.
+    ``div`` is the engine's whole-number division operator and ``wide`` a whole-number type of over 18 digits, for
+    products of tokens and weights. The tables are as large as the tree.
     """
     out = [(f"{tag}n3", f"SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, "
                         f"CAST(sum(n_tokens) * {max_epochs} AS BIGINT) AS cap FROM {docs} GROUP BY domain, lang, source")]
     for k in (2, 1):
         keys = ", ".join(LEVELS[:k])
         out.append((f"{tag}n{k}", f"SELECT {keys}, CAST(sum(cap) AS BIGINT) AS cap FROM {tag}n{k + 1} GROUP BY {keys}"))
-    out.append((f"{tag}b0", f"SELECT CAST(coalesce(sum(cap), 0) {div} {max_epochs} * {share[0]} {div} {share[1]} AS BIGINT)"
+    out.append((f"{tag}b0", f"SELECT CAST(CAST(coalesce(sum(cap), 0) {div} {max_epochs} AS {wide}) * {share[0]} {div} {share[1]} AS BIGINT)"
                             f" AS budget FROM {tag}n1"))
     for k, level in enumerate(LEVELS):
         up = ", ".join(LEVELS[:k])
@@ -81,11 +82,12 @@ def budget_steps(docs: str, tag: str, share: tuple[int, int], max_epochs: int, w
         # a child is full if its capacity is at most its share of what the children full before it leave
         out.append((f"{tag}b{k + 1}", f"""
 SELECT {names}, CAST(CASE WHEN w = 0 THEN 0 WHEN is_full THEN cap
-  ELSE rest * upto {div} w_rest - rest * (upto - w) {div} w_rest END AS BIGINT) AS budget
+  ELSE CAST(rest AS {wide}) * upto {div} w_rest - CAST(rest AS {wide}) * (upto - w) {div} w_rest END AS BIGINT) AS budget
 FROM (SELECT *, budget - coalesce(sum(CASE WHEN is_full THEN cap END) OVER ({part}), 0) AS rest,
     sum(CASE WHEN is_full THEN 0 ELSE w END) OVER ({part}) AS w_rest,
     sum(CASE WHEN is_full THEN 0 ELSE w END) OVER ({part}ORDER BY turn) AS upto
-  FROM (SELECT *, w > 0 AND cap * (w_all - w_before) <= (budget - cap_before) * w AS is_full
+  FROM (SELECT *, w > 0 AND CAST(cap AS {wide}) * (w_all - w_before)
+      <= CAST(budget - cap_before AS {wide}) * w AS is_full
     FROM (SELECT *, coalesce(sum(w) OVER ({part}ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
           AS w_before, sum(w) OVER ({part}) AS w_all,
         coalesce(sum(CASE WHEN w > 0 THEN cap END) OVER ({part}ORDER BY turn
@@ -117,7 +119,7 @@ def mix(counted: DataFrame, share: tuple[int, int] = BUDGET, max_epochs: int = M
     """
     spark, tag = counted.sparkSession, f"mix_{uuid.uuid4().hex}_"
     counted.createOrReplaceTempView(f"{tag}docs")
-    steps = budget_steps(f"{tag}docs", tag, share, max_epochs, weights, "div")
+    steps = budget_steps(f"{tag}docs", tag, share, max_epochs, weights, "div", "DECIMAL(38, 0)")
     for name, sql in steps[:-1]:
         df = spark.sql(sql)
         (materialise(df, "mix") if name == f"{tag}n3" else df).createOrReplaceTempView(name)
@@ -157,7 +159,7 @@ def op3_sql() -> str:
     docs = f"""d AS (SELECT doc_id, {domain_sql(number)} AS domain, coalesce(lang, '') AS lang,
   coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '{TOKEN}'))::BIGINT AS n_tokens
   FROM documents WHERE len(regexp_extract_all(coalesce(text, ''), '{TOKEN}')) > 0)"""
-    ctes = ", ".join(f"{n} AS ({q})" for n, q in budget_steps("d", "t_", BUDGET, MAX_EPOCHS, WEIGHTS, "//"))
+    ctes = ", ".join(f"{n} AS ({q})" for n, q in budget_steps("d", "t_", BUDGET, MAX_EPOCHS, WEIGHTS, "//", "HUGEINT"))
     return f"""
 WITH {docs}, {ctes},
 j AS (SELECT d.*, whole, rest, md5('{SEED}:' || whole || ':' || doc_id) AS place

@@ -362,6 +362,61 @@ def test_shortage_goes_to_siblings_before_ancestors(spark):
     assert got == {"s1": 291, "s2": 10, "s3": 301, "s4": 602}
 
 
+def poured(budget, children):
+    """Water filling by turns: ``children`` (name, capacity, weight) to shares; a child that can take less is filled first."""
+    got = {name: 0 for name, _, _ in children}
+    left = [c for c in children if c[2] > 0]
+    while True:
+        weight = sum(w for _, _, w in left)
+        full = [c for c in left if c[1] * weight <= budget * c[2]]
+        if not full:
+            break
+        first = min(full, key=lambda c: (c[1] / c[2], c[0]))
+        got[first[0]], budget = first[1], budget - first[1]
+        left.remove(first)
+    # the others in order of capacity by weight, each up to its whole-token mark
+    mark = 0
+    for name, _, w in sorted(left, key=lambda c: (c[1] / c[2], c[0])):
+        got[name] = budget * (mark + w) // weight - budget * mark // weight
+        mark += w
+    return got
+
+
+def brute_budgets(tokens, share, epochs, weights):
+    """Budget of each (domain, lang, source) by recursion down the tree."""
+    out = {}
+
+    def down(prefix, budget):
+        k = len(prefix)
+        if k == 3:
+            out[prefix] = budget
+            return
+        listed, default = weights[mixing.LEVELS[k]]
+        names = sorted({p[k] for p in tokens if p[:k] == prefix})
+        children = [(n, epochs * sum(v for p, v in tokens.items() if p[:k + 1] == (*prefix, n)), listed.get(n, default))
+                    for n in names]
+        for name, part in poured(budget, children).items():
+            down((*prefix, name), part)
+
+    down((), sum(tokens.values()) * share[0] // share[1])
+    return out
+
+
+@pytest.mark.parametrize("scale", [1, 10 ** 12])
+def test_budgets_equal_water_filling_one_child_at_a_time(spark, scale):
+    """The second scale has products of tokens and weights beyond 64 bits."""
+    r = random.Random(21)
+    weights = {"domain": ({"web": 4, "books": 3, "none": 0}, 1), "lang": ({"en": 5}, 2), "source": ({"s1": 3000}, 701)}
+    tokens = {(d, lang, s): r.choice([1, 3, 50, 400, 9000]) * scale for d in ("web", "books", "none", "code")
+              for lang in ("en", "de", "fr") for s in ("s1", "s2", "s3", "s4") if r.random() < 0.8}
+    spark.createDataFrame([(i, *k, n) for i, (k, n) in enumerate(tokens.items())],
+                          "doc_id bigint, domain string, lang string, source string, n_tokens bigint").createOrReplaceTempView("mixdocs")
+    for name, sql in mixing.budget_steps("mixdocs", "mixtest_", (7, 10), 2, weights, "div", "DECIMAL(38, 0)"):
+        spark.sql(sql).createOrReplaceTempView(name)
+    got = {(x.domain, x.lang, x.source): x.budget for x in spark.table("mixtest_leaf").collect()}
+    assert got == brute_budgets(tokens, (7, 10), 2, weights)
+
+
 def test_outliers_of_a_source_are_rejected(spark):
     texts = [prose(i, 80) for i in range(60)] + [" | ".join(prose(70 + i, 40).split()) for i in range(6)]
     got = {r.doc_id: r.kept for r in quality.quality(docs_frame(spark, texts)).collect()}
