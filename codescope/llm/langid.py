@@ -4,7 +4,8 @@ A word's features are the word itself and its character 2- to 4-grams with edge
 marks, hashed into ``DIM``-wide embeddings. A text is the mean over all features of
 all its words; a linear softmax gives the languages. Training is plain
 stochastic gradient descent on a bounded sample of labelled rows (at most
-``PER_LANG`` documents of each language, chosen by a hash of the id). Because the
+``PER_LANG`` documents of each language, chosen by a hash of the id): of each, three runs of words
+that lie anywhere in the whole text, cut out inside the tasks. Because the
 softmax input is a mean, each word contributes a fixed row of language scores, which
 workers keep per distinct word, so a text costs one lookup and one sum per word. All bytes of a
 word count; a long run of letters enters as overlapping pieces.
@@ -32,8 +33,8 @@ from codescope.llm.common import WordRows, byte_hash, byte_matrix, gram_buckets,
 BUCKETS = 1 << 16
 DIM = 16
 PER_LANG = 400
-TRAIN_WORDS = 60
-SLICE = 8192
+#: Words of the runs that training takes from a document: short ones as well, so that short texts are seen.
+RUNS = (60, 12, 3)
 EPOCHS = 6
 RATE = 0.5
 ACCEPT = 0.98
@@ -78,31 +79,40 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
+def excerpts(text: str) -> tuple[list[str], bool]:
+    """Runs of ``RUNS`` words from anywhere in the whole text, and whether the text is held back; both follow from it."""
+    crc = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    words, rng = words_of(text), np.random.default_rng(crc)
+    starts = [int(rng.integers(0, max(1, len(words) - n + 1))) for n in RUNS]
+    return [" ".join(words[k:k + n]) for k, n in zip(starts, RUNS)] if words else [], crc % 5 == 0
+
+
 def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
-    """Fit embeddings and softmax on slices of the texts, then temperature and threshold on a fifth held back."""
+    """:func:`fit` on excerpts of texts that are at hand."""
+    got = [excerpts(t) for t in texts]
+    return fit([g[0] for g in got], [g[1] for g in got], labels, seed)
+
+
+def fit(runs: list[list[str]], held_back: list[bool], labels: list[str], seed: int = 7) -> Model:
+    """Fit embeddings and softmax on runs of words of each document, then temperature and threshold on those held back."""
     langs = sorted(set(labels))
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32), 1.0, 1.0)
     rng = np.random.default_rng(seed)
     samples = []
-    for text, lang in zip(texts, labels):
-        words = words_of(text)
-        held = zlib.crc32(text[:4096].encode("utf-8", "surrogatepass")) % 5 == 0
-        # short and long slices, so that short texts are seen in training as well
-        for n in (TRAIN_WORDS, 12, 3):
-            if words:
-                k = int(rng.integers(0, max(1, len(words) - n + 1)))
-                f = features(words[k:k + n])
-                samples.append((f[f >= 0], langs.index(lang), held))
+    for parts, held, lang in zip(runs, held_back, labels):
+        for part in parts:
+            f = features(words_of(part))
+            samples.append((f[f >= 0], langs.index(lang), held))
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out = np.zeros((DIM, len(langs)), np.float32)
-    fit = [s for s in samples if not s[2]] or samples
-    weight = Counter(y for _, y, _ in fit)
-    steps, done = EPOCHS * len(fit), 0
+    used = [s for s in samples if not s[2]] or samples
+    weight = Counter(y for _, y, _ in used)
+    steps, done = EPOCHS * len(used), 0
     for _ in range(EPOCHS):
-        for i in rng.permutation(len(fit)):
-            f, y, _ = fit[i]
-            rate = RATE * (1 - done / steps) * min(4.0, len(fit) / (len(weight) * weight[y]))
+        for i in rng.permutation(len(used)):
+            f, y, _ = used[i]
+            rate = RATE * (1 - done / steps) * min(4.0, len(used) / (len(weight) * weight[y]))
             h = emb[f].mean(0)
             g = softmax(h @ out)
             g[y] -= 1
@@ -120,23 +130,33 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
     return Model(langs, (emb @ out).astype(np.float32), temperature, float(np.quantile(top, 1 - ACCEPT)))
 
 
-def training_rows(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[list[str], list[str]]:
-    """At most ``per_lang`` documents of each language by a hash of the id; collected, so bounded by the parameter.
+def training_rows(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[list[list[str]], list[bool], list[str]]:
+    """What :func:`fit` takes, of at most ``per_lang`` documents of each language by a hash of the id.
 
-    Only the first ``SLICE`` code points of a training text are fetched.
+    Whole texts are read and cut inside the tasks; what is collected is bounded by the parameter. Of rows that share
+    an id the first by language and excerpts counts.
     """
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang")
+    lettered = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     # one partial aggregate keeps the smallest hashes of each language
-    picked = (rows.groupBy("lang", F.pmod(F.xxhash64("doc_id"), F.lit(512)).alias("slot"))
+    picked = (lettered.groupBy("lang", F.pmod(F.xxhash64("doc_id"), F.lit(512)).alias("slot"))
               .agg(F.min("doc_id").alias("doc_id")).orderBy("lang", "slot"))
     ids: dict[str, list[int]] = {}
     for r in picked.collect():  # at most 512 rows a language
         ids.setdefault(r.lang, []).append(r.doc_id)
     want = [i for v in ids.values() for i in v[:per_lang]]
-    got = (docs.where(F.col("doc_id").isin(want) & F.col("lang").isNotNull()).select(
-        "doc_id", "lang", F.substring("text", 1, SLICE).alias("text")).dropDuplicates(["doc_id"])
-        .orderBy("doc_id").collect()) if want else []
-    return [r.text for r in got], [r.lang for r in got]
+    if not want:
+        return [], [], []
+
+    def run(batches):
+        for b in batches:
+            got = [excerpts(t.as_py()) for t in b.column(2)]
+            yield {"doc_id": b.column(0), "lang": b.column(1), "runs": [g[0] for g in got], "held": [g[1] for g in got]}
+
+    cut = map_batches(lettered.where(F.col("doc_id").isin(want)).select("doc_id", "lang", "text"), run,
+                      "doc_id bigint, lang string, runs array<string>, held boolean")
+    rows = cut.groupBy("doc_id").agg(F.min(F.struct("lang", "runs", "held")).alias("r")).orderBy("doc_id").collect()
+    rows = [r.r for r in rows if r.r.runs]
+    return [r.runs for r in rows], [r.held for r in rows], [r.lang for r in rows]
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -160,5 +180,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learned from documents whose crc32(doc_id) mod 3 is not 1."""
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    model = train(*training_rows(docs.where(~held & F.col("doc_id").isNotNull())))
+    model = fit(*training_rows(docs.where(~held & F.col("doc_id").isNotNull())))
     return identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "accepted")

@@ -10,8 +10,10 @@ score is its highest window, calibrated on training documents.
 Labels are per document, so training picks windows itself: first the windows
 holding the words most typical of toxic documents, then, in later rounds, those
 the network ranks highest (in clean documents too: the hardest negatives).
-Training uses at most ``PER_CLASS`` labelled documents of each class and
-``SLICE`` code points of each, chosen by a hash of the id.
+Training uses at most ``PER_CLASS`` labelled documents of each class, chosen by a
+hash of the id. Their whole texts are read: a text of more than ``MOST`` windows is
+ranked inside a task, and its ``BEST`` windows most typical of toxic documents and
+seeded others, ``MOST`` in all, are what the driver trains on.
 
 Defined results: null, empty and wordless texts score 0; without any positive
 training document all scores are 0; ties keep the first window; repeated label
@@ -21,6 +23,7 @@ rows count once, toxic if any says so; extra columns are ignored.
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -28,15 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codescope.llm.common import (WordRows, byte_hash, byte_matrix, gram_buckets, kept, keyed_texts, map_batches, table,
-                                  words_of)
+from codescope.llm.common import (WordRows, byte_hash, byte_matrix, gram_buckets, kept, keyed_texts, map_batches,
+                                  materialise, table, words_of)
 
 STEPS = 24
 STRIDE = 16
 WORD_BUCKETS, CHAR_BUCKETS, DIM = 1 << 14, 1 << 12, 12
 HIDDEN = 8
 PER_CLASS = 1500
-SLICE = 20_000
+#: Windows of a training document, and how many of them are its most typical ones; buckets of words that rank them.
+MOST, BEST = 192, 96
+RANK_BUCKETS = 1 << 16
 ROUNDS, EPOCHS, BATCH, RATE = 3, 3, 128, 0.01
 #: Share of toxic training documents without evidence (likely mislabelled) left out, and of words hidden in training.
 TRIM, HIDE = 0.1, 0.25
@@ -238,20 +243,47 @@ GROUP = 2048
 SLICE_WORDS = 256 * STRIDE
 
 
-def train(texts: list[str], labels: list[int], prior: float, seed: int = 11) -> Network:
-    """Fit the network on whole-document labels; ``prior`` is the share of toxic documents among all labelled."""
+def typical_words(toxic: np.ndarray, clean: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """How much more often words are in toxic documents, from the numbers of documents that hold them."""
+    return (toxic / n1 - clean / n0) / np.sqrt(toxic / n1 + clean / n0 + 2 / n1)
+
+
+def rank_bucket(word: str) -> int:
+    return zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % RANK_BUCKETS
+
+
+def excerpt(text: str, typical: np.ndarray) -> list[str]:
+    """The whole text as one run of words, or, beyond ``MOST`` windows, windows of it: the most typical and seeded others."""
+    words = words_of(text)
+    at = windows(len(words))
+    if len(at) <= MOST:
+        return [" ".join(words)] if words else []
+    value = np.append(np.array([typical[rank_bucket(x)] for x in words], np.float32), np.float32(-np.inf))
+    best = np.argsort(-value[at].max(1), kind="stable")
+    rng = np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+    chosen = np.sort(np.r_[best[:BEST], rng.choice(best[BEST:], MOST - BEST, replace=False)])
+    return [" ".join(words[k] for k in at[i] if k >= 0) for i in chosen]
+
+
+def train(texts: list, labels: list[int], prior: float, seed: int = 11) -> Network:
+    """Fit the network on whole-document labels; ``prior`` is the share of toxic documents among all labelled.
+
+    A document is a text of at most ``MOST`` windows, or a list of runs of words as :func:`excerpt` gives.
+    """
     labels = np.array(labels)
     if not len(labels) or not labels.any() or labels.all():
         return Network(None)
     rng = np.random.default_rng(seed)
+    docs = [[t] if isinstance(t, str) else t for t in texts]
     vocab: dict[str, int] = {}
-    ids = []
-    for t in texts:  # words become numbers text by text: word lists of all texts would crowd the driver
-        ids.append(np.array([vocab.setdefault(x.lower(), len(vocab)) for x in words_of(t)], np.int32))
+    ids, at = [], []
+    for runs in docs:  # words become numbers text by text: word lists of all texts would crowd the driver
+        found = [np.array([vocab.setdefault(x.lower(), len(vocab)) for x in words_of(t)], np.int32) for t in runs]
+        ids.append(np.concatenate([*found, np.zeros(0, np.int32)]))
+        at.append(np.concatenate([np.zeros((0, STEPS), np.int32)] + [
+            np.where((k := windows(len(d))) >= 0, d[np.maximum(k, 0)], -1).astype(np.int32) for d in found if len(d)]))
     spelled = list(vocab)
     w, c = spellings(spelled)
-    at = [np.where((k := windows(len(d))) >= 0, d[np.maximum(k, 0)], -1).astype(np.int32) if len(d) else np.zeros((0, STEPS), np.int32)
-          for d in ids]
     # first ranking of windows: how much more often their most typical word is in toxic documents
     toxic, clean = Counter(), Counter()
     for d, y in zip(ids, labels):
@@ -259,8 +291,8 @@ def train(texts: list[str], labels: list[int], prior: float, seed: int = 11) ->
     n1, n0 = labels.sum(), (1 - labels).sum()
     typical = np.zeros(len(vocab) + 1)
     del vocab, spelled
-    for x, k in toxic.items():
-        typical[x] = (k / n1 - clean[x] / n0) / np.sqrt(k / n1 + clean[x] / n0 + 2 / n1)
+    seen = np.array(list(toxic), np.int64)
+    typical[seen] = typical_words(np.array(list(toxic.values())), np.array([clean[x] for x in toxic]), n1, n0)
     rank = [typical[a].max(1) if len(a) else np.zeros(0) for a in at]
     p = init(seed)
     m = {k: np.zeros_like(v) for k, v in p.items()}
@@ -296,7 +328,9 @@ def train(texts: list[str], labels: list[int], prior: float, seed: int = 11) ->
                     p[name] -= (RATE * (m[name] / (1 - 0.9 ** t)) / (np.sqrt(s[name] / (1 - 0.99 ** t)) + 1e-6)
                                 ).astype(np.float32)
         net = Network(p)
-        rank = net.window_logits(texts)
+        flat = net.window_logits([t for runs in docs for t in runs])
+        ends = np.cumsum([0] + [len(runs) for runs in docs])
+        rank = [np.concatenate([np.zeros(0, np.float32), *flat[i:j]]) for i, j in zip(ends, ends[1:])]
     top = np.array([r.max() if len(r) else -20.0 for r in rank])
     sure = (labels == 0) | (top >= np.quantile(top[labels == 1], TRIM))
     scale, shift = calibrate(top[sure], labels[sure], prior)
@@ -316,18 +350,43 @@ def calibrate(z: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame,
-                  per_class: int = PER_CLASS) -> tuple[list[str], list[int], float]:
-    """At most ``per_class`` labelled documents of each class, by a hash of the id, and the share of toxic labels."""
+                  per_class: int = PER_CLASS) -> tuple[list[list[str]], list[int], float]:
+    """Excerpts of at most ``per_class`` labelled documents of each class, by a hash of the id, and the share of toxic labels.
+
+    Of rows that share an id the smallest text counts.
+    """
     y = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # the ids first, so that no text is shuffled: each class a top-k, kept small in every task
+    # the ids first, so that only chosen texts are shuffled: each class a top-k, kept small in every task
     ids = [r for label in (0, 1) for r in y.where(F.col("toxic") == label).orderBy(
         F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()]
     chosen = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in ids], "doc_id bigint, toxic int")
-    out = (keyed_texts(docs).where("text <> ''").join(F.broadcast(chosen), "doc_id").select(
-        "doc_id", "toxic", F.substring("text", 1, SLICE).alias("text")).collect())
-    out.sort(key=lambda r: (r.toxic, r.doc_id, r.text))
+    rows = materialise(keyed_texts(docs).where("text <> ''").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(
+        F.min("text").alias("text")), "training")
+
+    def holders(batches):
+        for b in batches:
+            for toxic, text in zip(b.column(1).to_pylist(), b.column(2)):
+                found = list({rank_bucket(x) for x in words_of(text.as_py())})
+                yield {"bucket": found, "toxic": [toxic] * len(found)}
+
+    held = map_batches(rows, holders, "bucket int, toxic int").groupBy("bucket").agg(
+        F.sum("toxic").alias("toxic"), F.count("*").alias("n")).collect()  # at most RANK_BUCKETS rows
+    count = np.zeros((2, RANK_BUCKETS))
+    for r in held:
+        count[:, r.bucket] = r.n - r.toxic, r.toxic
+    n = [max(1, sum(r.toxic == label for r in ids)) for label in (0, 1)]
+    typical = typical_words(count[1], count[0], n[1], n[0]).astype(np.float32)
+
+    def cut(batches):
+        for b in batches:
+            for k in range(b.num_rows):  # one text at a time: texts may be very long
+                yield {"doc_id": b.column(0).slice(k, 1), "toxic": b.column(1).slice(k, 1),
+                       "runs": [excerpt(b.column(2)[k].as_py(), typical)]}
+
+    out = map_batches(rows, cut, "doc_id bigint, toxic int, runs array<string>").collect()
+    out.sort(key=lambda r: (r.toxic, r.doc_id))
     share = y.agg(F.avg("toxic")).first()[0]
-    return [r.text for r in out], [r.toxic for r in out], share or 0.0
+    return [r.runs for r in out], [r.toxic for r in out], share or 0.0
 
 
 def score_documents(docs: DataFrame, net: Network) -> DataFrame:

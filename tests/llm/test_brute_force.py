@@ -329,6 +329,20 @@ def test_long_texts_score_as_their_worst_window():
     assert low < 0.3 <= high and none == 0.0
 
 
+def test_training_reads_whole_texts(spark):
+    """The words that decide lie behind 60 000 code points in every training text."""
+    rows = [(i, prose(i, 12_000) + (" vile scum" if i % 2 else " kind folk"), "xx" if i % 2 else "en") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[0] % 2) for r in rows], "doc_id bigint, toxic int")
+    runs, y, share = toxicity.training_rows(docs, labels)
+    assert share == 0.5 and y == [0] * 40 + [1] * 40
+    assert all(len(r) == toxicity.MOST and any("vile scum" in x for x in r) == bool(t) for r, t in zip(runs, y))
+    assert toxicity.excerpt("few words", np.zeros(toxicity.RANK_BUCKETS)) == ["few words"]
+    late = spark.createDataFrame([(i, "1 " * 9000 + "a" * 3 + f" b{i}", "en") for i in range(20)], docs.schema)
+    runs, held, langs = langid.training_rows(late.unionByName(late))
+    assert 15 < len(langs) <= 20 and all("aaa" in " ".join(r) for r in runs) and any(held) is not all(held)
+
+
 def test_op5_held_out_accuracy(spark):
     rows = toxicity.op5_toxicity(spark, SF01).where("held_out").join(spark.read.parquet(f"{SF01}/labels.parquet"), "doc_id")
     got = rows.select("score", "predicted", "toxic").collect()
@@ -337,6 +351,15 @@ def test_op5_held_out_accuracy(spark):
     assert sum(r.predicted for r in clean) <= 0.15 * len(clean)
 
 
+def test_op5_finds_held_out_toxic_documents(spark):
+    """sf0.1, as sf0.01 has too few toxic rows to learn from."""
+    sf = SF01.replace("sf0.01", "sf0.1")
+    got = toxicity.op5_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select(
+        "predicted", "toxic").collect()
+    toxic, clean = ([r.predicted for r in got if r.toxic == y] for y in (1, 0))
+    assert sum(toxic) >= 0.75 * len(toxic) and sum(clean) <= 0.05 * len(clean)
+
+
 def test_op9_held_out_accuracy(spark):
     rows = langid.op9_language_id(spark, SF01).where("held_out").join(
         spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
