@@ -306,17 +306,18 @@ def _highest(field: str) -> Column:
     return F.aggregate("types", F.lit(0), lambda a, t: F.greatest(a, t[field]))
 
 
-def code_facts(df: DataFrame, id_col: str = "solution_id", code_col: str = "code") -> DataFrame:
-    """A9–A13 + A15 + X3 + X5 per solution, as expressions over the source's node types.
+def code_facts(df: DataFrame, id_col: str = "solution_id", code_col: str = "code",
+               carry: tuple[str, ...] = ()) -> DataFrame:
+    """A9–A13 + A15 + X3 + X5 per solution, as expressions over the source's node types, and the ``carry`` columns.
 
     Line counts are JVM expressions on the source, computed before the parse and carried along.
     """
     src = df.select(id_col, code_col, line_count(F.col(code_col)).alias("code_length"),
-                    nonblank_line_count(F.col(code_col)).alias("lines_of_code"))
-    src = source_facts(src, id_col, code_col, carry=("code_length", "lines_of_code"))
+                    nonblank_line_count(F.col(code_col)).alias("lines_of_code"), *carry)
+    src = source_facts(src, id_col, code_col, carry=("code_length", "lines_of_code", *carry))
     functions = ("FunctionDef", "AsyncFunctionDef")
     agg = src.select(
-        id_col, "code_length", "lines_of_code", "parse_error", _total("n").alias("n_nodes"),
+        id_col, "code_length", "lines_of_code", *carry, "parse_error", _total("n").alias("n_nodes"),
         _highest("max_depth").alias("max_depth"), _total("n", *functions).alias("function_count"),
         _total("n", "For", "While").alias("loop_count"), _highest("max_loop").alias("loop_nesting_depth"),
         _total("n", "If").alias("branch_count"), (_total("calls_local") > 0).alias("recursion_detected"),
@@ -336,7 +337,7 @@ def code_facts(df: DataFrame, id_col: str = "solution_id", code_col: str = "code
          .alias("cyclomatic_complexity"),
         (F.col("_blocks") + F.col("_all_w")).alias("_G"),
         "_tot_ops", "_tot_opnds", "_uniq_ops", "_uniq_opnds",
-        "_stmts", "_str_lines",
+        "_stmts", "_str_lines", *carry,
     )
     out = out.withColumn("big_o_estimate", big_o(F.col("parse_error"), F.col("loop_count"),
                                                  F.col("recursion_detected"),

@@ -405,15 +405,8 @@ def a14_lint(spark, sf_dir):
 @register("x7_style_score")
 def x7_style_score(spark, sf_dir):
     """X7 + A13 + A14: style score of the code corpus (E999 from the parse)."""
-    sol = corpus.code_solutions(spark, sf_dir).select("solution_id", "code")
-    lint = sol.select("solution_id", LN.lint_counts(F.col("code")).alias("c"))
-    facts = code_analysis(spark, sf_dir).select("solution_id", "parse_error", "lines_of_code",
-                                                "docstring_coverage")
-    j = facts.join(lint, "solution_id")
-    total = LN.violation_total(F.col("c"), F.col("parse_error"))
-    dens = LN.violation_density(total, F.col("lines_of_code"))
-    return j.select("solution_id", total.alias("pep8_violations"), "docstring_coverage",
-                    LN.style_score(dens, F.col("docstring_coverage")).alias("style_score"))
+    return ST.style_facts(corpus.code_solutions(spark, sf_dir)).select(
+        "solution_id", "pep8_violations", "docstring_coverage", "style_score")
 
 
 # ------------------------------------------------------------------ code facts

@@ -33,43 +33,35 @@ def _run(writer, available_now: bool = True):
     return q
 
 
-def _written(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
-    """The batches written so far, or None before the first one (Spark's own file listing decides)."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p):
-        return None
-    return (spark.read.schema(schema) if schema else spark.read).option("basePath", path).parquet(path)
-
-
-def analyse_on_arrival(stream: DataFrame, out_dir: str, id_col: str = "solution_id",
-                       code_col: str = "code", available_now: bool = True):
+def analyse_on_arrival(stream: DataFrame, out_dir: str, id_col: str = "solution_id", code_col: str = "code",
+                       available_now: bool = True, ts_col: str | None = None, keep: str = "30 days"):
     """ST1: each arriving micro-batch of solutions → code facts and style columns, appended to ``out_dir``.
 
-    S4 within the stream: an id is analysed once. A batch drops its own repeats and the ids that
-    earlier batches have written (an anti join on the id column of the output), so a solution counts whenever
-    it arrives, however old it is. A source that does not parse yields an error row (X1 never raises),
-    so one bad solution cannot stop the run.
+    S4 within the stream: an id is analysed once, as it first arrives. The ids seen are keyed state, dealt by a hash of
+    the id, so the cost of a batch depends on its own rows and not on what was written before. Without ``ts_col`` an id is
+    remembered for good; with it, for ``keep`` of event time after it came, which bounds the state: a repeat after that is
+    analysed again, and a row more than ``keep`` older than the newest of earlier batches is late and left out. Of different sources with one id in one batch the one read first counts. All rows
+    without an id are one. A source that does not parse yields an error row (X1 never raises), so one bad
+    solution cannot stop the run.
     """
-    src = stream.select(id_col, code_col)
-    data = f"{out_dir}/data"
+    if ts_col is None:
+        new = stream.select(id_col, code_col).dropDuplicates([id_col])
+    else:
+        new = (stream.select(id_col, code_col, F.col(ts_col).cast("timestamp").alias("_ts")).withWatermark("_ts", keep)
+               .dropDuplicatesWithinWatermark([id_col]).drop("_ts"))
 
     def per_batch(df: DataFrame, epoch: int):
-        new = df.groupBy(id_col).agg(F.min(code_col).alias(code_col))
-        done = _written(df.sparkSession, data)
-        if done is not None:  # a replayed epoch does not count itself as done
-            new = new.join(done.where(F.col("batch") < epoch).select(id_col), id_col, "left_anti")
-        style_facts(new, id_col, code_col).write.mode("overwrite").parquet(f"{data}/batch={epoch}")
+        style_facts(df, id_col, code_col).write.mode("overwrite").parquet(f"{out_dir}/data/batch={epoch}")
 
-    w = (src.writeStream.foreachBatch(per_batch)
+    w = (new.writeStream.foreachBatch(per_batch)
             .option("checkpointLocation", f"{out_dir}/_checkpoint"))
     return _run(w, available_now)
 
 
 def style_facts(df: DataFrame, id_col: str = "solution_id", code_col: str = "code") -> DataFrame:
-    """Code facts with ``pep8_violations`` and ``style_score`` (X7), as one row per solution."""
-    counted = df.select(id_col, code_col, lint_counts(F.col(code_col)).alias("_lint"))
-    facts = code_facts(df, id_col, code_col).join(counted.select(id_col, "_lint"), id_col)
+    """Code facts with ``pep8_violations`` and ``style_score`` (X7), one row per row of ``df``, which is read once."""
+    facts = code_facts(df.select(id_col, code_col, lint_counts(F.col(code_col)).alias("_lint")), id_col, code_col,
+                       carry=("_lint",))
     total = violation_total(F.col("_lint"), F.col("parse_error"))
     return (facts.withColumn("pep8_violations", total)
                  .withColumn("style_score", style_score(violation_density(total, F.col("lines_of_code")),

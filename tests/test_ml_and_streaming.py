@@ -96,6 +96,32 @@ def test_st1_late_and_repeated_solutions_over_four_batches(spark, tmp_path):
     assert len({r["batch"] for r in got}) == 4 and all(r["style_score"] is not None for r in got)
 
 
+def test_st1_remembers_ids_for_as_long_as_asked(spark, tmp_path):
+    from codescope.streaming import analysis as ST
+    code = "def f():\n    return 1\n"
+    parts = [[(1, code, "2024-01-01"), (2, code, "2024-01-01")], [(1, code, "2024-01-05"), (3, code, "2024-06-01")],
+             [(4, code, "2024-06-02")], [(3, code, "2024-06-03"), (1, code, "2024-06-03")]]
+    stream = _files(spark, str(tmp_path / "in"), parts, "solution_id long, code string, created_at string")
+    out = ST.stream_folder(spark, "st1-keep")
+    ST.analyse_on_arrival(stream, out, ts_col="created_at", keep="30 days")
+    ids = sorted(r["solution_id"] for r in spark.read.parquet(f"{out}/data").collect())
+    assert ids == [1, 1, 2, 3, 4]  # 1 came again after its time; 3 did not
+
+
+def test_st1_batches_do_not_read_earlier_output(spark, tmp_path):
+    """The rows a batch reads are its own: its input, and the state of its ids."""
+    from codescope.streaming import analysis as ST
+    parts = [[(10 * k + i, f"def f{i}():\n    return {k}\n") for i in range(10)] for k in range(4)]
+    stream = _files(spark, str(tmp_path / "in"), parts, "solution_id long, code string")
+    out = ST.stream_folder(spark, "st1-cost")
+    q = ST.analyse_on_arrival(stream, out)
+    runs = [p for p in q.recentProgress if p["numInputRows"]]
+    assert [p["numInputRows"] for p in runs] == [10] * 4
+    assert [p["stateOperators"][0]["numRowsTotal"] for p in runs] == [10, 20, 30, 40]
+    assert "RocksDB" in str(runs[-1]["stateOperators"][0]["customMetrics"]) or spark.conf.get(
+        "spark.sql.streaming.stateStore.providerClass").endswith("RocksDBStateStoreProvider")
+
+
 def test_st2_executions_may_arrive_before_and_after_their_solutions(spark, tmp_path):
     from codescope.streaming import analysis as ST
     sols = _files(spark, str(tmp_path / "s"), [[(1, "a")], [(2, "a"), (3, "b")], [(4, "b")]], "solution_id long, model string")
