@@ -263,13 +263,14 @@ def type_counts(code: str | None) -> tuple[str | None, dict[str, list[int]]]:
 
 
 def source_facts(df: DataFrame, id_col: str = "solution_id", code_col: str = "code",
-                 carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, carried columns…, parse_error, types): one parse, one row per source.
+                 carry: tuple[str, ...] = (), dealt: bool = False) -> DataFrame:
+    """(id, carried columns…, parse_error, types): one parse, one row per source; ``dealt``: ``df`` is spread already.
 
     ``types`` holds a TYPE_STRUCT per node type, some tens at most. Histogram, error and every
     metric come from this row by expressions, without a shuffle.
     """
-    src = spread(df.select(id_col, code_col, *carry), id_col)
+    src = df.select(id_col, code_col, *carry)
+    src = src if dealt else spread(src, id_col)
     out_schema = T.StructType([df.schema[c] for c in (id_col, *carry)]).add("parse_error", "string").add(
         "types", T._parse_datatype_string(f"array<{TYPE_STRUCT}>"))
     item = pa.struct([("node_type", pa.string())] + [(f, pa.int32()) for f in TYPE_FIELDS])
@@ -307,14 +308,17 @@ def _highest(field: str) -> Column:
 
 
 def code_facts(df: DataFrame, id_col: str = "solution_id", code_col: str = "code",
-               carry: tuple[str, ...] = ()) -> DataFrame:
+               carry: dict[str, Column] | None = None) -> DataFrame:
     """A9–A13 + A15 + X3 + X5 per solution, as expressions over the source's node types, and the ``carry`` columns.
 
-    Line counts are JVM expressions on the source, computed before the parse and carried along.
+    Line counts and ``carry`` (named expressions over the source) are JVM expressions, computed after the sources are
+    spread over the cores and before the parse.
     """
-    src = df.select(id_col, code_col, line_count(F.col(code_col)).alias("code_length"),
-                    nonblank_line_count(F.col(code_col)).alias("lines_of_code"), *carry)
-    src = source_facts(src, id_col, code_col, carry=("code_length", "lines_of_code", *carry))
+    derived = {"code_length": line_count(F.col(code_col)), "lines_of_code": nonblank_line_count(F.col(code_col)),
+               **(carry or {})}
+    carry = tuple(carry or ())
+    src = spread(df.select(id_col, code_col), id_col).withColumns(derived)
+    src = source_facts(src, id_col, code_col, carry=tuple(derived), dealt=True)
     functions = ("FunctionDef", "AsyncFunctionDef")
     agg = src.select(
         id_col, "code_length", "lines_of_code", *carry, "parse_error", _total("n").alias("n_nodes"),

@@ -60,8 +60,7 @@ def analyse_on_arrival(stream: DataFrame, out_dir: str, id_col: str = "solution_
 
 def style_facts(df: DataFrame, id_col: str = "solution_id", code_col: str = "code") -> DataFrame:
     """Code facts with ``pep8_violations`` and ``style_score`` (X7), one row per row of ``df``, which is read once."""
-    facts = code_facts(df.select(id_col, code_col, lint_counts(F.col(code_col)).alias("_lint")), id_col, code_col,
-                       carry=("_lint",))
+    facts = code_facts(df, id_col, code_col, carry={"_lint": lint_counts(F.col(code_col))})
     total = violation_total(F.col("_lint"), F.col("parse_error"))
     return (facts.withColumn("pep8_violations", total)
                  .withColumn("style_score", style_score(violation_density(total, F.col("lines_of_code")),
