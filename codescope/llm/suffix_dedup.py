@@ -1,7 +1,7 @@
 """Suffix-array dedup: bytes covered by a long string that also starts earlier are removed.
 
 Every window of ``LENGTH`` bytes is assigned to an anchor: the smallest hash of
-the ``GRAM``-byte strings inside it, leftmost of equal ones. Equal windows have equal
+the 32-byte strings inside it, leftmost of equal ones. Equal windows have equal
 anchors at the same place, so equal strings always meet, whatever surrounds
 them. A run of windows with one anchor is a piece (under two windows long). Steps:
 
@@ -15,12 +15,14 @@ them. A run of windows with one anchor is a piece (under two windows long). Step
    ``LENGTH`` bytes; of each such group only the first occurrence stays;
 3. the marks of each document are united and its other bytes kept.
 
-Anchors with more than ``HEAVY`` bytes of unequal pieces, which no shard should hold,
-fold their single windows instead, dealt by the window's digest.
+The pieces of an anchor with more than ``HEAVY`` bytes of unequal ones, which no shard should
+hold, are cut anew by anchors of the next length in ``GRAMS`` and go through steps 1 and 2
+again. A longer string is shared by fewer windows; one of ``LENGTH`` bytes is the window itself, so this ends.
 
 Texts move compressed, and only those of documents that need them. Defined results: a
 null text is empty; texts under ``LENGTH`` bytes lose nothing; a null id sorts
-first; of rows that repeat an id the one with the smallest text counts; an
+first; rows that repeat an id are documents by id and text, in the order of the
+texts' digests, and rows alike in both are one document, each with its result; an
 empty table gives an empty frame; extra columns are ignored.
 """
 
@@ -36,9 +38,9 @@ from codescope.llm.common import KEY, map_batches, materialise, outer_id, table,
 from codescope.llm.hashing import M_INV, U, mix, powers, prefix, spans
 
 LENGTH = 100
-GRAM = 32
-SHARD = 1 << 20
-HEAVY = 3 << 20
+GRAMS = (32, 64, 96, LENGTH)
+SHARD = 1 << 19
+HEAVY = 1 << 20
 CHUNK = 1 << 19
 LOW = U((1 << 20) - 1)
 BROADCAST_ROWS = 2_000_000
@@ -53,7 +55,7 @@ def _slide(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(m[:len(h) - w + 1], m[w - k:][:len(h) - w + 1]) if k < w else m
 
 
-def runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAMS[0]) -> tuple[np.ndarray, ...]:
     """``(anchor, digest, at)`` of the pieces in order of start; ``at`` is start * 256 + windows."""
     n = len(data) - length + 1
     if n <= 0:
@@ -75,23 +77,26 @@ def runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.n
 
 
 def raw_bytes(text) -> bytes:
-    return text.as_py().encode("utf-8", "surrogatepass")
+    value = text.as_py()
+    return value if isinstance(value, bytes) else value.encode("utf-8", "surrogatepass")
 
 
-def piece_rows(texts: DataFrame) -> DataFrame:
-    """``(anchor, digest, doc, at)`` of all pieces of ``texts(doc_id, text)``.
+def piece_rows(texts: DataFrame, gram: int = GRAMS[0]) -> DataFrame:
+    """``(anchor, digest, doc, at)`` of all pieces of ``texts(doc, start, text)``: bytes of a document from ``start`` on.
 
-    Where a batch of documents repeats a piece, its first occurrence is a row as any other
+    Where a batch of texts repeats a piece, its first occurrence is a row as any other
     and the later ones are marks already: rows without anchor.
     """
 
     def run(batches):
         for b in batches:
-            got = [runs(np.frombuffer(raw_bytes(t), np.uint8)) for t in b.column(1)]
-            doc = np.repeat(b.column(0).to_numpy(), [len(g[0]) for g in got])
+            got = [runs(np.frombuffer(raw_bytes(t), np.uint8), LENGTH, gram) for t in b.column(2)]
+            sizes = [len(g[0]) for g in got]
+            doc = np.repeat(b.column(0).to_numpy(), sizes)
             if not len(doc):
                 continue
             anchor, digest, at = (np.concatenate([g[i] for g in got]) for i in range(3))
+            at += np.repeat(b.column(1).to_numpy() * 256, sizes)
             order = np.lexsort((at, doc, digest, anchor))
             anchor, digest, doc, at = anchor[order], digest[order], doc[order], at[order]
             again = np.concatenate([[False], (anchor[1:] == anchor[:-1]) & (digest[1:] == digest[:-1])])
@@ -190,16 +195,16 @@ def pieces(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 def suffix_order(text: np.ndarray, length: int) -> np.ndarray:
     """Suffixes of ``text`` sorted by their first ``length`` symbols at least, by prefix doubling."""
     n = len(text)
-    rank = text.astype(np.int64)
+    rank = text.astype(np.int32)
+    new = np.zeros(n, bool)
     k = 1
     while True:
-        second = np.zeros(n, np.int64)
-        second[:n - k] = rank[k:] + 1
-        key = rank * (int(second.max()) + 1) + second
-        order = np.argsort(key, kind="stable")
-        s = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], s[1:] != s[:-1]]))
+        key = rank.astype(np.int64) * (int(rank.max()) + 2)
+        key[:n - k] += rank[k:] + 1
+        order = np.argsort(key).astype(np.int32)  # ties are equal so far: their order is free
+        key = key[order]
+        np.not_equal(key[1:], key[:-1], out=new[1:])
+        rank[order] = np.cumsum(new, dtype=np.int32)
         k *= 2
         if k >= length or rank[order[-1]] == n - 1:
             return order
@@ -218,11 +223,11 @@ def boundaries(bwt: np.ndarray, lowest: int, length: int) -> np.ndarray:
     known[[0, n]] = True
     symbols = np.unique(bwt)
     starts = {int(c): int(np.count_nonzero(bwt < c)) for c in symbols}
-    rows_of = {int(c): np.flatnonzero(bwt == c) for c in symbols}
+    rows_of = {int(c): np.flatnonzero(bwt == c).astype(np.int32) for c in symbols}
     # where each row's suffix with its preceding symbol stands: the last-to-first map
-    lf = np.empty(n, np.int64)
+    lf = np.empty(n, np.int32)
     for c, rows in rows_of.items():
-        lf[rows] = starts[c] + np.arange(len(rows))
+        lf[rows] = np.arange(starts[c], starts[c] + len(rows), dtype=np.int32)
     lb, rb = np.array([0]), np.array([n])
     for _ in range(length):
         if not len(lb):
@@ -259,21 +264,20 @@ def boundaries(bwt: np.ndarray, lowest: int, length: int) -> np.ndarray:
     return known[:n]
 
 
-
-
 def repeats(parts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(group, part, start)`` of every ``length``-byte window of ``parts``; equal windows have equal groups."""
     sizes = np.array([len(p) for p in parts])
     text = np.zeros(int(sizes.sum()) + len(parts), np.uint16)  # a separator, 0, after each part
-    begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-    text[np.arange(sizes.sum()) + np.repeat(np.arange(len(parts)), sizes)] = (
-        np.frombuffer(b"".join(parts), np.uint8).astype(np.uint16) + 1)
+    begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]).astype(np.int32)
+    inside = np.ones(len(text), bool)
+    inside[begin + sizes] = False
+    text[inside] = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint16) + 1
     order = suffix_order(text, length)
     known = boundaries(text[order - 1], 1, length)  # the symbol before each suffix; before the first: the last
-    part = np.repeat(np.arange(len(parts)), sizes + 1)[order]
+    part = np.repeat(np.arange(len(parts), dtype=np.int32), sizes + 1)[order]
     start = order - begin[part]
     whole = start + length <= sizes[part]
-    return np.cumsum(known)[whole], part[whole], start[whole]
+    return np.cumsum(known, dtype=np.int32)[whole], part[whole], start[whole]
 
 
 def shard_marks(rows: DataFrame) -> DataFrame:
@@ -320,32 +324,24 @@ def shard_marks(rows: DataFrame) -> DataFrame:
     return map_batches(dealt.select("anchor", "doc", "at", "piece"), run, "doc bigint, at bigint")
 
 
-def window_marks(rows: DataFrame) -> DataFrame:
-    """The same marks for heavy anchors: single windows folded by digest, first occurrences kept by partial minima."""
-    digest = lambda w: (F.xxhash64(w).alias("d1"), F.xxhash64(F.lit(1), w).alias("d2"))
-    one = rows.select("doc", F.shiftright("at", 8).alias("start"), "piece",
-                      F.explode(F.sequence(F.lit(0), F.octet_length("piece") - F.lit(LENGTH))).alias("i")).select(
-        "doc", (F.col("start") + F.col("i")).alias("start"),
-        *digest(F.substring(F.col("piece"), F.col("i") + 1, F.lit(LENGTH))))
-    low = one.groupBy("d1", "d2").agg(F.min("doc").alias("doc0"))
-    first = one.join(low, ["d1", "d2"]).where("doc = doc0").groupBy("d1", "d2", "doc0").agg(F.min("start").alias("s0"))
-    return one.join(first, ["d1", "d2"]).where("doc <> doc0 OR start <> s0").select(
-        "doc", (F.col("start") * 256 + 1).alias("at")).distinct()
-
-
 def repeat_marks(texts: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """``(doc, at)``: every byte from start to start + windows + ``LENGTH`` - 2 occurs earlier in a long string."""
-    folded = materialise(fold(piece_rows(texts)), "folded")
-    wanted = folded.where("anchor IS NOT NULL")
-    sizes = wanted.groupBy("anchor").agg(F.sum((F.col("at") % 256) + (LENGTH - 1)).alias("bytes"))
-    large = materialise(sizes.where(f"bytes > {heavy}").select("anchor"), "heavy")
-    rows = pieces(texts, wanted)
-    marks = folded.where("anchor IS NULL").select("doc", "at")
-    if large.limit(1).count():  # few: each has more than HEAVY bytes
+    found = piece_rows(texts.select(F.col("doc_id").alias("doc"), F.lit(0).cast("long").alias("start"), "text"))
+    marks = None
+    for finer in (*GRAMS[1:], None):
+        folded = materialise(fold(found), "folded")
+        wanted = folded.where("anchor IS NOT NULL")
+        again = folded.where("anchor IS NULL").select("doc", "at")
+        marks = marks.unionByName(again) if marks else again
+        sizes = wanted.groupBy("anchor").agg(F.sum((F.col("at") % 256) + (LENGTH - 1)).alias("bytes"))
+        large = materialise(sizes.where(f"bytes > {heavy}").select("anchor"), "heavy") if finer else None
+        rows = pieces(texts, wanted)
+        if not finer or not large.limit(1).count():
+            return materialise(marks.unionByName(shard_marks(rows)), "marks")
         rows = materialise(rows, "pieces")
-        marks = marks.unionByName(window_marks(rows.join(large, "anchor", "left_semi")))
-        rows = rows.join(large, "anchor", "left_anti")
-    return materialise(marks.unionByName(shard_marks(rows)), "marks")
+        marks = marks.unionByName(shard_marks(rows.join(large, "anchor", "left_anti")))
+        found = piece_rows(rows.join(large, "anchor", "left_semi").select(
+            "doc", F.shiftright("at", 8).alias("start"), F.col("piece").alias("text")), finer)
 
 
 def kept_texts(texts: DataFrame, marks: DataFrame) -> DataFrame:
@@ -383,15 +379,17 @@ def dedup(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes and digest of what remains of every document."""
-    docs = table(spark, sf_dir, "documents")
-    changed, ids = dedup(docs)
+    keyed, repeated = with_keys(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    own = keyed.select(F.col(KEY).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").alias("id"))
+    changed, ids = dedup(own)
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    same = unique_ids(docs).join(ids, "doc_id", "left_anti").select(
-        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
+    same = own.join(ids, "doc_id", "left_anti").select(
+        "id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
         F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
-    out = changed.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
-                         ).unionByName(same)
-    return out.withColumn("doc_id", outer_id("doc_id"))
+    # a key is the id itself unless ids repeat
+    changed = changed.join(own.select("doc_id", "id"), "doc_id") if repeated else changed.withColumn("id", outer_id("doc_id"))
+    return changed.select("id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+                          ).unionByName(same).withColumnRenamed("id", "doc_id")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

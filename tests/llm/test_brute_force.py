@@ -80,6 +80,30 @@ def test_heavy_anchors_give_the_same_marks(spark, odd_dir):
     assert covered(sd.repeat_marks(texts, heavy=200)) == covered(sd.repeat_marks(texts))
 
 
+def test_one_anchor_shared_by_unlike_texts_is_cut_by_longer_strings(spark, monkeypatch):
+    # every text holds one passage of 60 to 98 bytes between words of its own: too heavy an anchor at each length
+    passage = prose(77, 40)
+    rows = [(i, f"{prose(500 + i, 12)} {passage[:60 + i % 39]} {prose(600 + i // 2, 25)}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    used = []
+    plain = sd.piece_rows
+    monkeypatch.setattr(sd, "piece_rows", lambda t, gram=sd.GRAMS[0]: used.append(gram) or plain(t, gram))
+    got = {r.doc_id: r.n_removed for r in sd.kept_texts(df, sd.repeat_marks(df, heavy=0)).collect()}
+    assert tuple(used) == sd.GRAMS
+    assert got == {d: v[1] for d, v in brute_dedup(rows, 100).items() if v[1]} and len(got) >= 25
+
+
+def test_rows_of_a_shared_id_each_give_a_result(spark, tmp_path):
+    long = prose(3, 60)
+    rows = [(5, "x " + long), (5, "x " + long), (5, "y " + long), (None, None), (6, long)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in sd.op4_suffix_dedup(spark, str(tmp_path)).collect())
+    n = len(long)
+    assert [g[:2] for g in got] == [(0, 0), (5, n + 2), (5, n + 2), (5, n + 2), (6, n)]
+    # one text of id 5 comes first and stays; rows alike in id and text are one document
+    assert got[4][2] == n and sorted(g[2] for g in got[1:4]) in ([0, 0, n + 1], [0, n + 1, n + 1])
+
+
 def test_pieces_cover_every_window_and_chunks_do_not_matter(monkeypatch):
     data = np.frombuffer((prose(8, 900) + "z" * 700).encode(), np.uint8)
     a, d, at = sd.runs(data)
