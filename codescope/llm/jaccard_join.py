@@ -23,9 +23,9 @@ is not yet settled are indexed again, among themselves, by neighbourhoods.
 Lists are never expanded into all pairs. Each set is checked against the smallest first member
 of its lists, then with a member of another component; verified links make components; a list whose members all share a
 component is settled. Only members of different components are compared, in
-unsettled lists. So the links that are returned connect each component; they are not all links in it. Before any set travels, a pair has to pass an exact bound: both sets are
-counted over equal parts of the universe (a byte each, about eight members a part), and their
-difference is no less than the sum of the counts' differences. Equal sets are one node from the start, and the members of a
+unsettled lists. So the links that are returned connect each component; they are not all links in it. Before any set travels, a pair has to pass an exact bound: a bit for each of
+two to four parts of the universe a member tells whether a set has an odd number of members there, and
+two sets differ in no fewer members than bits. Equal sets are one node from the start, and the members of a
 list that one task sees itself are folded there before the shuffle.
 
 Defined results: null, empty and blank texts have no shingle and link with nothing; fewer
@@ -49,7 +49,7 @@ from codescope.llm.hashing import U, mix, shingles, word_hashes
 
 SMALL = 64          # bands up to this size use neighbourhoods at once
 LONG = 1000
-LEAST_PARTS = 64
+LEAST_PARTS = 512
 SPARE = 1.35        # segments per needed segment
 BROADCAST_ROWS = 2_000_000
 FOLD_ROWS = 1_000_000   # 16 bytes each, and some copies of them, in a worker
@@ -112,25 +112,28 @@ def thin(s: np.ndarray, neighbourhoods: bool = False) -> bool:
     return 2 * int((size > 2).sum()) + int(((size == 1) | (size == 2)).sum()) <= 2 * n // 9
 
 
-def counts(s: np.ndarray) -> bytes:
-    """Members of ``s`` in each part of the universe, at most 255; a power of two of parts, an eighth of the set's size."""
-    bits = max(LEAST_PARTS.bit_length() - 1, len(s).bit_length() - 3)
-    part = (mix(s ^ U(0xA0761D6478BD642F)) >> U(64 - bits)).astype(np.int64)
-    return np.minimum(np.bincount(part, minlength=1 << bits), 255).astype(np.uint8).tobytes()
+def parities(s: np.ndarray) -> bytes:
+    """A bit for each part of the universe: whether ``s`` has an odd number of members there; two to four parts a member."""
+    bits = max(LEAST_PARTS.bit_length() - 1, len(s).bit_length() + 1)
+    part = (mix(s ^ U(0xA0761D6478BD642F)) & U((1 << bits) - 1)).astype(np.int64)
+    return np.packbits((np.bincount(part, minlength=1 << bits) & 1).astype(np.uint8)).tobytes()
 
 
 def apart(sketches: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Least difference of the sets ``x[i]`` and ``y[i]`` (row numbers); a finer sketch is folded to the coarser."""
+    """Least difference of the sets ``x[i]`` and ``y[i]`` (row numbers); a finer sketch is folded to the coarser.
+
+    A member of one set alone turns one bit, so as many members differ as bits do, or more.
+    """
     sizes = np.array([len(k) for k in sketches])
     width = np.minimum(sizes[x], sizes[y])
     out = np.zeros(len(x), np.int64)
     for w in np.unique(width):
         p = np.flatnonzero(width == w)
         rows, at = np.unique(np.concatenate([x[p], y[p]]), return_inverse=True)
-        m = np.stack([np.frombuffer(sketches[r], np.uint8).reshape(w, -1).sum(1, dtype=np.int16) for r in rows])
+        m = np.stack([np.bitwise_xor.reduce(np.frombuffer(sketches[r], np.uint64).reshape(-1, w // 8), axis=0) for r in rows])
         a, b, step = at[:len(p)], at[len(p):], max(1, (1 << 22) // int(w))
         for k in range(0, len(p), step):
-            out[p[k:k + step]] = np.abs(m[a[k:k + step]] - m[b[k:k + step]]).sum(1, dtype=np.int64)
+            out[p[k:k + step]] = np.bitwise_count(m[a[k:k + step]] ^ m[b[k:k + step]]).sum(1, dtype=np.int64)
     return out
 
 
@@ -146,7 +149,7 @@ def text_set(text: str) -> np.ndarray:
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, d1, d2, sketch, thin, sigs``: size, 128-bit digest, counts by part and first-tier signatures."""
+    """``doc_id, n_shingles, d1, d2, sketch, thin, sigs``: size, 128-bit digest, parities by part and first-tier signatures."""
 
     def run(batches):
         for whole in batches:
@@ -158,7 +161,7 @@ def profiles(docs: DataFrame) -> DataFrame:
                     n.append(len(s))
                     d1.append(s.sum(dtype=U).view(np.int64))
                     d2.append(mix(s + U(0xD6E8FEB86659FD93)).sum(dtype=U).view(np.int64))
-                    sketch.append(counts(s))
+                    sketch.append(parities(s))
                     slim.append(thin(s))
                     sigs.append(signatures(s))
                 cut = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)

@@ -64,3 +64,21 @@ def test_plain_words_score_as_before():
     for j in range(24):
         h = h * np.uint32(31) + m[:, j]
     assert m.shape[1] == 24 and (common.byte_hash(m, 24) == h).all()
+
+
+def test_op7_parities_never_overstate_a_difference():
+    from codescope.llm import jaccard_join as jj
+    r = np.random.default_rng(1)
+    new = lambda n: r.integers(0, 1 << 63, n).astype(np.uint64)
+    sets, pairs = [np.zeros(0, np.uint64)], []
+    for n in (1, 3, 40, 200, 900, 5000, 20000):
+        a = np.unique(new(n))
+        for other in (0, n // 20, n // 4, n, 3 * n):
+            pairs.append((len(sets), len(sets) + 1))
+            sets += [a, np.unique(np.concatenate([a[other // 2:], new(other)]))]
+    x, y = (np.array(z) for z in zip(*pairs, (0, 1)))
+    least = jj.apart([jj.parities(s) for s in sets], x, y)
+    real = np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in zip(x, y)])
+    assert (least <= real).all() and (least >= 0).all()
+    near = (real < 0.4 * np.array([len(sets[i]) for i in x])) & (real > 0)
+    assert near.sum() >= 8 and (least[near] >= 0.75 * real[near]).all()  # and it says much about sets that are near
