@@ -20,6 +20,9 @@ Orientation: solution_a < solution_b (the reference fetches without order).
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codescope.functions.text import normalize_code
+from codescope.operators.pair_cells import cells, combined, scored
+from codescope.sources.scratch import materialise
 
 
 # ------------------------------------------------------------------ scalars
@@ -37,25 +42,35 @@ def token_counts(code: DataFrame) -> DataFrame:
                 .groupBy("solution_id", "word").agg(F.count(F.lit(1)).alias("n")))
 
 
-def token_similarity(pairs: DataFrame, code: DataFrame) -> DataFrame:
+def token_similarity(pairs: DataFrame, code: DataFrame, dealt: DataFrame | None = None) -> DataFrame:
     """X11: 2·Σ min(n_a, n_b) / (|a| + |b|) over the words of the normalised sources, per pair.
 
-    The share of matching tokens, as an equi join on (solution, word) and a partial sum;
-    two sources without words are equal (1.0). Adds ``token_similarity``.
+    The share of matching tokens; two sources without words are equal (1.0). Adds ``token_similarity``. Sources meet
+    in cells of pairs (``dealt``: ``pair_cells.cells`` of them), so a text travels about once and words never become rows of pairs.
     """
-    counts = token_counts(code)
-    size = counts.groupBy("solution_id").agg(F.sum("n").alias("size"))
-    a = counts.select(F.col("solution_id").alias("solution_a"), "word", F.col("n").alias("na"))
-    b = counts.select(F.col("solution_id").alias("solution_b"), "word", F.col("n").alias("nb"))
-    same = (pairs.select("solution_a", "solution_b").join(a, "solution_a").join(b, ["solution_b", "word"])
-            .groupBy("solution_a", "solution_b").agg(F.sum(F.least("na", "nb")).alias("_m")))
-    out = pairs.join(same, ["solution_a", "solution_b"], "left")
-    for side in ("a", "b"):
-        out = out.join(size.select(F.col("solution_id").alias(f"solution_{side}"), F.col("size").alias(f"_{side}")),
-                       f"solution_{side}", "left")
-    total = F.coalesce("_a", F.lit(0)) + F.coalesce("_b", F.lit(0))
-    return out.withColumn("token_similarity", F.when(total == 0, F.lit(1.0)).otherwise(
-        2.0 * F.coalesce("_m", F.lit(0)) / total)).drop("_m", "_a", "_b")
+    if dealt is None:
+        pairs = materialise(pairs, "pairs")
+        dealt = cells(pairs)
+    texts = code.select("solution_id", normalize_code(F.col("code")).cast("binary").alias("text")).where("text IS NOT NULL")
+
+    def overlaps(members, pairs):
+        at, docs = {}, []
+        for s, text in zip(members[0].to_pylist(), members[1]):
+            if s not in at:  # rows that repeat an id count together
+                at[s] = len(docs)
+                docs.append(Counter())
+            docs[at[s]].update((text.as_py() or b"").split())  # the ASCII blanks of \s
+        x, y = (np.array([at[s] for s in side.tolist()], np.int64) for side in pairs[:2])
+        size = np.array([d.total() for d in docs], np.int64)
+        return pairs[0], pairs[1], combined(docs, x, y, np.minimum) * pairs[2], size[x] + size[y]
+
+    kind = dict(pairs.dtypes)["solution_a"]
+    same = scored(dealt, texts, "text", overlaps, f"solution_a {kind}, solution_b {kind}, _m bigint, _t bigint")
+    out = pairs.join(same.hint("merge"), ["solution_a", "solution_b"], "left")
+    total = F.coalesce("_t", F.lit(0))
+    rest = [c for c in pairs.columns if c not in ("solution_a", "solution_b")]
+    return out.select("solution_b", "solution_a", *rest, F.when(total == 0, F.lit(1.0)).otherwise(
+        2.0 * F.coalesce("_m", F.lit(0)) / total).alias("token_similarity"))
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -102,22 +117,38 @@ def ast_cosine(types_a: Column, error_a: Column, types_b: Column, error_b: Colum
     return _histogram_cosine(types_a, _length(types_a), error_a, _counts(types_b), _length(types_b), error_b)
 
 
-def pair_ast_similarity(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+def pair_ast_similarity(pairs: DataFrame, facts: DataFrame, dealt: DataFrame | None = None) -> DataFrame:
     """J7 + X12: adds ``ast_similarity`` to (solution_a, solution_b) pairs.
 
-    ``facts`` is ``codefacts.source_facts``: both sides join the same exchange of it, so it is parsed once.
+    ``facts`` is ``codefacts.source_facts``; histograms meet in cells of pairs (``dealt``: ``pair_cells.cells`` of them), so one
+    travels about once.
     """
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # only the counts travel, not all facts of a type; the lookup and the norm are made once a source
-    keyed = facts.select("solution_id", _counts(F.col("types")).alias("counts"), _length(F.col("types")).alias("norm"),
-                         "parse_error").repartition(parts, "solution_id")
-    for side in ("a", "b"):
-        pairs = pairs.join(keyed.select(F.col("solution_id").alias(f"solution_{side}"), F.col("counts").alias(f"_{side}"), F.col("norm").alias(f"_n{side}"),
-                                        F.col("parse_error").alias(f"_e{side}")), f"solution_{side}", "left")
-    none = F.create_map().cast(dict(keyed.dtypes)["counts"])
-    entries = F.transform(F.map_entries(F.coalesce("_a", none)), lambda e: F.struct(e["key"].alias("node_type"), e["value"].alias("n")))
-    return pairs.withColumn("ast_similarity", _histogram_cosine(
-        entries, F.col("_na"), F.col("_ea"), F.coalesce("_b", none), F.col("_nb"), F.col("_eb"))).drop("_a", "_b", "_na", "_nb", "_ea", "_eb")
+    if dealt is None:
+        pairs = materialise(pairs, "pairs")
+        dealt = cells(pairs)
+    entry = F.transform("types", lambda t: F.struct(t["node_type"].alias("node_type"), t["n"].alias("n")))
+    counts = facts.select("solution_id", F.struct(entry.alias("types"), F.col("parse_error").isNotNull().alias("failed")).alias("counts"))
+
+    def cosines(members, pairs):
+        at: dict = {}
+        docs, failed = [], []
+        for s, c in zip(members[0].to_pylist(), members[1].to_pylist()):
+            at.setdefault(s, []).append(len(docs))
+            docs.append({t["node_type"]: t["n"] for t in c["types"] or ()} if c else {})
+            failed.append(bool(c and c["failed"]))
+        rows = [(i, u, v) for i, (p, q) in enumerate(zip(pairs[0].tolist(), pairs[1].tolist())) for u in at[p] for v in at[q]]
+        i, x, y = (np.array(c, np.int64) for c in zip(*rows))
+        norm = np.sqrt(np.array([sum(n * n for n in d.values()) for d in docs], float))
+        failed, empty = np.array(failed), norm == 0
+        scale = norm[x] * norm[y]
+        cos = np.minimum(1.0, combined(docs, x, y, np.multiply) / np.where(scale > 0, scale, 1.0))
+        cos = np.where(failed[x] | failed[y], 0.0, np.where(empty[x] & empty[y], 1.0, cos))
+        return pairs[0][i], pairs[1][i], cos
+
+    kind = dict(pairs.dtypes)["solution_a"]
+    same = scored(dealt, counts, "counts", cosines, f"solution_a {kind}, solution_b {kind}, ast_similarity double")
+    rest = [c for c in pairs.columns if c not in ("solution_a", "solution_b")]
+    return pairs.join(same.hint("merge"), ["solution_a", "solution_b"], "left").select("solution_b", "solution_a", *rest, "ast_similarity")
 
 
 # ------------------------------------------------------------------ pair shapes
@@ -150,9 +181,11 @@ def similarity_report(pairs: DataFrame, code: DataFrame, facts: DataFrame | None
     ``code``: (solution_id, code); ``facts``: ``source_facts``; ``vectors``: (solution_id, vector). The
     embedding column is NULL unless both sides have a vector.
     """
-    out = token_similarity(pairs, code)
+    pairs = materialise(pairs, "pairs")
+    dealt = cells(pairs)
+    out = token_similarity(pairs, code, dealt)
     if facts is not None:
-        out = pair_ast_similarity(out, facts)
+        out = pair_ast_similarity(out, facts, dealt)
     if vectors is not None:
         va = vectors.select(F.col("solution_id").alias("solution_a"), F.col("vector").alias("va"))
         vb = vectors.select(F.col("solution_id").alias("solution_b"), F.col("vector").alias("vb"))

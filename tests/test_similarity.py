@@ -151,3 +151,49 @@ def test_embed_with_seam(spark):
     df = spark.createDataFrame([(1, "ab"), (2, None)], "id long, t string")
     out = {r["id"]: r["vector"] for r in embed_with(df, "id", "t", load, 2).collect()}
     assert out == {1: [2.0, 1.0], 2: [0.0, 1.0]}
+
+
+def test_pair_scores_of_a_large_prompt_send_each_source_about_once(spark):
+    """A prompt of many blocks, repeated ids, missing sources and words beyond ASCII, against counting every pair."""
+    from collections import Counter
+
+    from codescope.operators import pair_cells as PC
+    rnd = random.Random(3)
+    words = ["a", "b", "x1", "é", "a\x0bb", "c d", "long" * 30, "="]
+    sols = [(i, 0 if i < 500 else i // 20, f"m{rnd.randrange(4)}") for i in range(700)]
+    text = {i: " ".join(rnd.choice(words) for _ in range(rnd.choice([0, 1, 5, 40]))) for i, _, _ in sols}
+    codes = [(i, t) for i, t in text.items() if i % 11] + [(7, "a b")]
+    sdf = spark.createDataFrame(sols, "solution_id long, prompt_id long, model string")
+    pairs = SIM.coverage_pairs(sdf)
+    dealt = PC.cells(pairs)
+    sent = dealt.select("cell", F.explode(F.array("solution_a", "solution_b")).alias("s")).distinct().groupBy("cell").count().collect()
+    assert max(r["count"] for r in sent) <= 4 * PC.BLOCK and sum(r["count"] for r in sent) < 2 * len(sols)
+    bags: dict = {}
+    for i, t in codes:
+        bags.setdefault(i, Counter()).update(t.encode().split())
+    got = SIM.token_similarity(pairs, spark.createDataFrame(codes, "solution_id long, code string")).collect()
+    assert len(got) == pairs.count()
+    for r in got:
+        a, b = bags.get(r["solution_a"], Counter()), bags.get(r["solution_b"], Counter())
+        n = a.total() + b.total()
+        assert r["token_similarity"] == (2.0 * (a & b).total() / n if n else 1.0)
+
+
+def test_no_scorer_joins_every_pair_with_its_payloads(spark):
+    sol = spark.createDataFrame([(i, 0, f"m{i % 3}") for i in range(30)], "solution_id long, prompt_id long, model string")
+    code = spark.createDataFrame([(i, T[i % 8]) for i in range(30)], "solution_id long, code string")
+    out = SIM.pair_ast_similarity(SIM.coverage_pairs(sol), source_facts(code))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") + plan.count("BroadcastHashJoin") <= 2
+    hist = {i: _histogram(t) for i, t in enumerate(T)}
+    for r in out.collect():
+        a, b = hist[r["solution_a"] % 8], hist[r["solution_b"] % 8]
+        want = 0.0 if a is None or b is None else min(1.0, sum(n * b.get(k, 0) for k, n in a.items()) / (
+            math.sqrt(sum(n * n for n in a.values())) * math.sqrt(sum(n * n for n in b.values()))))
+        assert r["ast_similarity"] == pytest.approx(want)
+
+
+def _histogram(code):
+    from codescope.operators.codefacts import type_counts
+    error, types = type_counts(code)
+    return None if error else {k: v[0] for k, v in types.items()}
