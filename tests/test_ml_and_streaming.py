@@ -222,3 +222,38 @@ def test_dbscan_chain_and_spread_points(spark):
         CC.materialise = keep
     assert got == [0] * 120 + [-1]
     assert len(rounds) <= 14          # a chain of 120 links
+
+
+def test_dbscan_blocks_return_no_pairs(spark):
+    """Clusters over several blocks, with border rows, copies and a repeated id, against a plain search; all rows alike link."""
+    import numpy as np
+
+    from codescope.operators import dbscan as DB
+    rng = np.random.default_rng(5)
+    pts = np.round(rng.normal(size=(150, 3)), 2)
+    pts[100:140] = pts[0]
+    sent = []
+    keep, size, met = DB.materialise, DB.BLOCK, DB._met
+    DB.BLOCK = 40
+    DB._met = lambda rows, eps, fn, schema: sent.append(met(rows, eps, fn, schema)) or sent[-1]
+    try:
+        got = {r["solution_id"]: r["cluster"] for r in DB.dbscan(_vecs(spark, pts.tolist()), eps=0.01, min_samples=4).collect()}
+        assert max(d.count() for d in sent) <= 150 * 5  # rows in each task they meet in, not the 780 pairs of copies and more
+    finally:
+        DB.materialise, DB.BLOCK, DB._met = keep, size, met
+    unit = pts / np.sqrt((pts ** 2).sum(1))[:, None]
+    near = 1 - unit @ unit.T <= 0.01
+    core = near.sum(1) >= 4
+    label, c = [-1] * 150, 0
+    for i in range(150):
+        if core[i] and label[i] == -1:
+            todo, label[i] = [i], c
+            while todo:
+                p = todo.pop()
+                for q in np.flatnonzero(near[p]):
+                    if label[q] == -1:
+                        label[q] = c
+                        if core[q]:
+                            todo.append(q)
+            c += 1
+    assert [got[i] for i in range(150)] == label and -1 in label and c > 1
