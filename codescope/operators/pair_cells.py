@@ -8,39 +8,37 @@ holds no more than the payloads of two blocks at a time.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codescope.operators.neighbours import _whole_keys
 from codescope.sources.scratch import materialise
 
 BLOCK = 64
 
 
-def cells(pairs: DataFrame, group: str = "prompt_id", block: int = BLOCK) -> DataFrame:
-    """``cell, solution_a, solution_b, k``: the distinct pairs with their number of rows; written. Without the group column all are one group."""
+def cells(pairs: DataFrame, group: str = "prompt_id", block: int = BLOCK, written: bool = True) -> DataFrame:
+    """``cell, solution_a, solution_b, k``: the distinct pairs with their number of rows; written, or a plan that runs no job. Without the group column all are one group."""
+    keep = materialise if written else lambda df, _: df
     own = F.min(group) if group in pairs.columns else F.lit(0)
     links = pairs.where("solution_a IS NOT NULL AND solution_b IS NOT NULL").groupBy("solution_a", "solution_b").agg(
         F.count(F.lit(1)).alias("k"), own.alias("g"))
-    links = materialise(links, "links")
+    links = keep(links, "links")
     degrees = links.select("g", F.explode(F.array("solution_a", "solution_b")).alias("s")).groupBy("g", "s").agg(F.count(F.lit(1)).alias("d"))
     met = links
     for side in ("a", "b"):
         d = degrees.select(F.col("g").alias("_g"), F.col("s").alias("_s"), F.col("d").alias(f"d_{side}")).hint("merge")
         met = met.join(d, F.col("g").eqNullSafe(F.col("_g")) & (F.col(f"solution_{side}") == F.col("_s"))).drop("_g", "_s")
     is_a = (F.col("d_a") > F.col("d_b")) | ((F.col("d_a") == F.col("d_b")) & (F.col("solution_a") < F.col("solution_b")))
-    met = materialise(met.select("g", "solution_a", "solution_b", "k", F.when(is_a, F.col("solution_a")).otherwise(F.col("solution_b")).alias("hub"),
+    met = keep(met.select("g", "solution_a", "solution_b", "k", F.when(is_a, F.col("solution_a")).otherwise(F.col("solution_b")).alias("hub"),
                                  F.when(is_a, F.col("solution_b")).otherwise(F.col("solution_a")).alias("other")), "met")
     # sketches: the numbers of blocks only balance the work
     sizes = met.groupBy(F.col("g").alias("_g")).agg(*[
         F.ceil(F.approx_count_distinct(c) / block).alias(f"n_{c}") for c in ("hub", "other")])
     at = [F.pmod(F.xxhash64(F.lit(c), F.col(c)), F.col(f"n_{c}")) for c in ("hub", "other")]
-    return materialise(met.join(sizes, F.col("g").eqNullSafe(F.col("_g"))).select(
+    return keep(met.join(sizes, F.col("g").eqNullSafe(F.col("_g"))).select(
         F.xxhash64("g", *at).alias("cell"), "solution_a", "solution_b", "k"), "cells")
 
 
@@ -52,7 +50,6 @@ def scored(dealt: DataFrame, payload: DataFrame, kind: str, fn, schema: str) ->
     """
     out = T._parse_datatype_string(schema)
     names = out.names
-    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     members = dealt.select("cell", F.explode(F.array("solution_a", "solution_b")).alias("s")).distinct()
     # the merge join: what a parse returns is larger than its input's size lets a planner expect
     held = members.join(payload.select(F.col("solution_id").alias("s"), kind).hint("merge"), "s", "left")
@@ -60,22 +57,15 @@ def scored(dealt: DataFrame, payload: DataFrame, kind: str, fn, schema: str) ->
     rows = held.select("cell", "s", F.col(kind).alias("payload"), none.cast(id_type).alias("b"), none.cast("bigint").alias("k")).unionByName(
         dealt.select("cell", F.col("solution_a").alias("s"), none.cast(dict(payload.dtypes)[kind]).alias("payload"), F.col("solution_b").alias("b"), "k"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _whole_keys(batches):
-            cell, is_pair = b.column(0).to_numpy(), b.column(3).is_valid().to_numpy(zero_copy_only=False)
-            start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-            found = []
-            for lo, hi in zip(start, np.append(start[1:], len(cell))):
-                pair = pa.array(np.flatnonzero(is_pair[lo:hi]))
-                own = pa.array(np.flatnonzero(~is_pair[lo:hi]))
-                part = b.slice(lo, hi - lo)
-                s = part.column(1)
-                found.append(fn((s.take(own), part.column(2).take(own)), tuple(
-                    part.column(c).take(pair).to_numpy(zero_copy_only=False) for c in (1, 3, 4))))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=names)
-
-    return rows.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(run, out)
+    def run(t: pa.Table) -> pa.Table:
+        is_pair = t.column("b").is_valid().to_numpy()
+        own, pair = (pa.array(np.flatnonzero(x)) for x in (~is_pair, is_pair))
+        s = t.column("s")
+        found = fn((s.take(own), t.column("payload").take(own)), tuple(t.column(c).take(pair).to_numpy() for c in ("s", "b", "k")))
+        return pa.table(dict(zip(names, found)))
+
+    # a cell is two blocks at most
+    return rows.groupBy("cell").applyInArrow(run, out)
 
 
 def _entries(docs: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:

@@ -124,8 +124,7 @@ def pair_ast_similarity(pairs: DataFrame, facts: DataFrame, dealt: DataFrame | N
     travels about once.
     """
     if dealt is None:
-        pairs = materialise(pairs, "pairs")
-        dealt = cells(pairs)
+        dealt = cells(pairs, written=False)  # building the query runs no job
     entry = F.transform("types", lambda t: F.struct(t["node_type"].alias("node_type"), t["n"].alias("n")))
     counts = facts.select("solution_id", F.struct(entry.alias("types"), F.col("parse_error").isNotNull().alias("failed")).alias("counts"))
 
