@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from codescope.functions.text import NONBLANK_RE, split_lines
+from codescope.functions.text import NONBLANK_RE, once, split_lines
 
 # ---- fixed values ----
 MAX_LINE_LENGTH = 100
@@ -41,8 +41,10 @@ def _blank(x: Column) -> Column:
 
 def lint_counts(code: Column) -> Column:
     """Per-rule violation counts as a struct (line rules only, no E999)."""
-    lines = split_lines(code)
+    return once(split_lines(code), lambda lines: _line_counts(code, lines))
 
+
+def _line_counts(code: Column, lines: Column) -> Column:
     def count(pred) -> Column:
         return F.size(F.filter(lines, pred))
 

@@ -29,12 +29,20 @@ NONBLANK_RE = f"[^{WS_CHARS}]"
 RSTRIP_RE = f"[{WS_CHARS}]+\\z"
 STRIP_RE = f"\\A[{WS_CHARS}]+|[{WS_CHARS}]+\\z"
 WS_RUN_RE = f"[{WS_CHARS}]+"
+# A line with its terminator, or the unended last one; and the rest of a line from its first non-whitespace character.
+LINE_RE = f"[^{LINE_BREAK_CHARS}]*+(?:\\r\\n|[{LINE_BREAK_CHARS}])|[^{LINE_BREAK_CHARS}]++"
+NONBLANK_LINE_RE = f"{NONBLANK_RE}[^{LINE_BREAK_CHARS}]*+"
+
+
+def once(value: Column, fn) -> Column:
+    """``fn(value)``, where ``value`` is computed once however often ``fn`` names it."""
+    return F.transform(F.array(value), fn)[0]
 
 
 def split_lines(text: Column) -> Column:
     """Python ``str.splitlines()`` as ARRAY<STRING> (no trailing empty line)."""
-    parts = F.split(text, LINE_SPLIT_RE, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return once(F.split(text, LINE_SPLIT_RE, -1), lambda parts: F.when(
+        F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 
 def line_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -49,12 +57,12 @@ def is_blank(line: Column) -> Column:
 
 def line_count(text: Column) -> Column:
     """All lines (``len(code.splitlines())``)."""
-    return F.size(split_lines(text))
+    return F.regexp_count(text, F.lit(LINE_RE))
 
 
 def nonblank_line_count(text: Column) -> Column:
     """Lines with a non-whitespace character."""
-    return F.size(F.filter(split_lines(text), lambda x: x.rlike(NONBLANK_RE)))
+    return F.regexp_count(text, F.lit(NONBLANK_LINE_RE))
 
 
 def py_strip(text: Column) -> Column:
