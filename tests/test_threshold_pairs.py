@@ -91,3 +91,50 @@ def test_dense_vectors_and_words(spark):
     vec = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, None])], "solution_id int, vector array<double>")
     (r,) = TP.cosine_pairs(TP.histogram_classes(TP.vector_entries(sol, vec)), 0.9).collect()
     assert (r.class_a, r.class_b) == (1, 2) and abs(r.similarity - 1 / math.sqrt(1.01)) < 1e-12
+
+
+def test_small_prompts_are_compared_whole_and_agree_with_the_index(spark, monkeypatch):
+    classes = TP.histogram_classes(frame(spark, corpus_rows(7, 150, True))).persist()
+    by = {small: sorted((r.prompt_id, r.class_a, r.class_b, r.n_links, round(r.similarity, 9)) for r in TP.cosine_pairs(classes, 0.6137, small=small).collect())
+          for small in (0, 200, TP.SMALL)}
+    assert len(by[0]) > 40 and by[0] == by[200] == by[TP.SMALL]
+    monkeypatch.setattr(TP, "candidate_pairs", None)  # entries do not become rows
+    assert TP.cosine_pairs(classes, 0.6137).count() == len(by[0])
+
+
+def test_groups_are_cut_whole_between_batches(spark, monkeypatch):
+    monkeypatch.setattr(TP, "SMALL", 40)
+    classes = TP.with_norm(TP.histogram_classes(frame(spark, corpus_rows(8, 200))))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        small = sorted(tuple(r) for r in TP.small_pairs(classes, 0.5137).select("prompt_id", "class_a", "class_b", "n_a", "n_b").collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert small == sorted(tuple(r) for r in TP.indexed_pairs(classes, 0.5137).select("prompt_id", "class_a", "class_b", "n_a", "n_b").collect())
+
+
+def test_infinite_and_missing_values_go_on_as_before(spark):
+    rows = spark.createDataFrame([(1, 1, [("a", float("inf")), ("b", 1.0)]), (1, 2, [("b", 1.0)]), (1, 3, [("b", 2.0)]), (None, 4, [("b", 1.0)]),
+                                  (None, 5, [("b", 2.0)])], ENTRIES)
+    got = sorted((r.class_a, r.class_b) for r in TP.cosine_pairs(TP.histogram_classes(rows), 0.5).collect())
+    assert got == [(2, 3)]
+
+
+def test_words_do_not_become_rows(spark):
+    from codescope.operators.similarity import token_counts
+    sol = spark.createDataFrame([(1, 1, "a b a  # c\n\tb\x0bc"), (1, 2, "x"), (1, 2, "x y"), (2, 3, None), (2, None, "a"), (2, 4, "\u00e9 \u00a0z \u2003")],
+                                "prompt_id int, solution_id int, code string")
+
+    def found(df):
+        return sorted((str(r.prompt_id), str(r.solution_id), sorted(map(tuple, r.entries))) for r in df.collect())
+
+    assert found(TP.text_entries(sol)) == found(TP.word_entries(sol, token_counts(sol)))
+    once = TP.text_entries(sol.where("solution_id <> 2"))
+    assert "Generate" not in once._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("name", ["j3_link_counts", "s10_results_document"])
+def test_sources_are_parsed_once(spark, name):
+    """What several steps read is written before, so the query's own plan has no parse."""
+    from codescope.plans import catalog
+    assert "parse_error" not in catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
