@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codescope.functions.text import normalize_code
+from codescope.operators.codefacts import task_parts
 from codescope.operators.pair_cells import cells, combined, scored
 from codescope.sources.scratch import materialise
 
@@ -198,40 +199,25 @@ def model_pair_similarity(solutions: DataFrame, facts: DataFrame, vectors: DataF
     """J3 exact aggregate: mean AST / embedding cosine per (prompt, model_a ≤ model_b).
 
     ``solutions``: (solution_id, prompt_id, model); ``facts``: ``codefacts.source_facts``, whose unparsable
-    sources have no node types (their cosine is 0 with everything, matching the per-pair rule).
+    sources have no node types (their cosine is 0 with everything, matching the per-pair rule), or ``solution_facts``
+    that carry the prompt and model, which need no join.
     """
     sol = solutions.select("solution_id", "prompt_id", "model")
     counts = sol.groupBy("prompt_id", "model").agg(F.count(F.lit(1)).alias("n"))
     # unit histograms, summed per (prompt, model, node_type); the pseudo type '' counts the parsed sources
     norm = F.sqrt(F.aggregate("types", F.lit(0).cast("long"), lambda acc, t: acc + t["n"] * t["n"]))
-    unit = facts.where(F.size("types") > 0).select("solution_id", F.explode(F.concat(
+    units = facts.where(F.size("types") > 0).select(*[c for c in ("solution_id", "prompt_id", "model") if c in facts.columns], F.concat(
         F.array(F.struct(F.lit("").alias("node_type"), F.lit(1.0).alias("u"))),
-        F.transform("types", lambda t: F.struct(t["node_type"].alias("node_type"), (t["n"] / norm).alias("u"))))
-    ).alias("x")).select("solution_id", "x.node_type", "x.u")
-    parts = int(solutions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        F.transform("types", lambda t: F.struct(t["node_type"].alias("node_type"), (t["n"] / norm).alias("u")))).alias("units"))
+    # node types become rows after the join, for the sums
+    units = units if "model" in facts.columns else units.join(sol, "solution_id")
+    unit = units.select("prompt_id", "model", F.explode("units").alias("x")).select("prompt_id", "model", "x.node_type", "x.u")
+    # sums of a bounded number of solutions meet in a task; given as a number, since small shuffled bytes may be many rows
+    parts = task_parts(solutions.count(), solutions.sparkSession)
     # one row per (prompt, model) with its summed vector, some tens of node types long
-    v = (unit.join(sol, "solution_id").groupBy("prompt_id", "model", "node_type").agg(F.sum("u").alias("s"))
-             .groupBy("prompt_id", "model").agg(F.map_from_entries(F.collect_list(F.struct("node_type", "s"))).alias("v"))
-             .repartition(parts, "prompt_id"))
-    va = v.select("prompt_id", F.col("model").alias("model_a"), F.col("v").alias("v_a"))
-    vb = v.select("prompt_id", F.col("model").alias("model_b"), F.col("v").alias("v_b"))
-    dots = (va.join(vb, "prompt_id").where(F.col("model_a") <= F.col("model_b"))
-              .select("prompt_id", "model_a", "model_b", F.try_element_at("v_a", F.lit("")).cast("long").alias("q_a"),
-                      F.aggregate(F.filter(F.map_entries("v_a"), lambda e: e["key"] != ""), F.lit(0.0),
-                                  lambda acc, e: acc + e["value"] * F.coalesce(
-                                      F.try_element_at(F.col("v_b"), e["key"]), F.lit(0.0))).alias("dot")))
-    ca = counts.select("prompt_id", F.col("model").alias("model_a"), F.col("n").alias("n_a"))
-    cb = counts.select("prompt_id", F.col("model").alias("model_b"), F.col("n").alias("n_b"))
-    pairs = ca.join(cb, "prompt_id").where(F.col("model_a") <= F.col("model_b"))
-    same = F.col("model_a") == F.col("model_b")
-    n_pairs = F.when(same, F.col("n_a") * (F.col("n_a") - 1) / 2).otherwise(F.col("n_a") * F.col("n_b"))
-    out = (pairs.join(dots, ["prompt_id", "model_a", "model_b"], "left")
-                .withColumn("n_pairs", n_pairs.cast("long"))
-                .where(F.col("n_pairs") > 0))
-    pair_sum = F.when(same, (F.coalesce("dot", F.lit(0.0)) - F.coalesce("q_a", F.lit(0))) / 2) \
-                .otherwise(F.coalesce("dot", F.lit(0.0)))
-    out = out.withColumn("ast_similarity_mean", pair_sum / F.col("n_pairs"))
-    cols = ["prompt_id", "model_a", "model_b", "n_pairs", "ast_similarity_mean"]
+    v = (unit.groupBy("prompt_id", "model", "node_type").agg(F.sum("u").alias("s")).repartition(parts, "prompt_id")
+             .groupBy("prompt_id", "model").agg(F.map_from_entries(F.collect_list(F.struct("node_type", "s"))).alias("v")))
+    sums = counts.repartition(parts, "prompt_id").join(v.hint("merge"), ["prompt_id", "model"], "left")
     if vectors is not None:
         vec = vectors.join(sol, "solution_id").withColumn("_norm", _norm(F.col("vector")))
         vec = vec.withColumn("_u", F.when(F.col("_norm") > 0, F.transform("vector", lambda x: x / F.col("_norm")))
@@ -239,10 +225,19 @@ def model_pair_similarity(solutions: DataFrame, facts: DataFrame, vectors: DataF
         e = (vec.groupBy("prompt_id", "model")
                 .agg(vector_to_array(Summarizer.sum(array_to_vector(F.col("_u")))).alias("e"),
                      F.count(F.lit(1)).alias("m"), F.count_if(F.col("_norm") > 0).alias("mq")))
-        ea = e.select("prompt_id", F.col("model").alias("model_a"), F.col("e").alias("e_a"),
-                      F.col("m").alias("m_a"), F.col("mq").alias("mq_a"))
-        eb = e.select("prompt_id", F.col("model").alias("model_b"), F.col("e").alias("e_b"), F.col("m").alias("m_b"))
-        out = out.join(ea, ["prompt_id", "model_a"], "left").join(eb, ["prompt_id", "model_b"], "left")
+        sums = sums.join(e.repartition(parts, "prompt_id").hint("merge"), ["prompt_id", "model"], "left")
+    a, b = (sums.select("prompt_id", *[F.col(c).alias(f"{c}_{side}") for c in sums.columns if c != "prompt_id"]) for side in "ab")
+    pairs = a.join(b.hint("merge"), "prompt_id").where(F.col("model_a") <= F.col("model_b"))
+    same = F.col("model_a") == F.col("model_b")
+    n_pairs = F.when(same, F.col("n_a") * (F.col("n_a") - 1) / 2).otherwise(F.col("n_a") * F.col("n_b"))
+    dot = F.coalesce(F.aggregate(F.filter(F.map_entries("v_a"), lambda e: e["key"] != ""), F.lit(0.0),
+                                 lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at(F.col("v_b"), e["key"]), F.lit(0.0))), F.lit(0.0))
+    parsed = F.coalesce(F.try_element_at("v_a", F.lit("")).cast("long"), F.lit(0))
+    pair_sum = F.when(same, (dot - parsed) / 2).otherwise(dot)
+    out = pairs.withColumn("n_pairs", n_pairs.cast("long")).where(F.col("n_pairs") > 0).withColumn(
+        "ast_similarity_mean", pair_sum / F.col("n_pairs"))
+    cols = ["prompt_id", "model_a", "model_b", "n_pairs", "ast_similarity_mean"]
+    if vectors is not None:
         edot = _dot(F.col("e_a"), F.col("e_b"))
         m_pairs = F.when(same, F.col("m_a") * (F.col("m_a") - 1) / 2).otherwise(F.col("m_a") * F.col("m_b"))
         esum = F.when(same, (edot - F.col("mq_a")) / 2).otherwise(edot)

@@ -197,3 +197,28 @@ def _histogram(code):
     from codescope.operators.codefacts import type_counts
     error, types = type_counts(code)
     return None if error else {k: v[0] for k, v in types.items()}
+
+
+def test_facts_that_carry_the_prompt_need_no_join(spark, monkeypatch):
+    """Repeated ids meet each other, missing ones go, and tasks get more where the rows grow."""
+    from codescope.operators import codefacts
+    rows = [(i, i // 6, "ab"[i % 2], f"x = {i}\n" if i % 3 else f"def f{i}(a):\n    return a + {i}\n") for i in range(1, 60)]
+    sol = spark.createDataFrame(rows + [rows[3], rows[3], (None, 1, "a", "x = 1\n"), (90, None, "a", "y\n"), (91, 1, None, "z\n")],
+                                "solution_id int, prompt_id int, model string, code string")
+    plain = codefacts.source_facts(sol.select("solution_id", "code"))
+    monkeypatch.setattr(codefacts, "TASK_ROWS", 2)
+    facts = codefacts.solution_facts(sol, ("prompt_id", "model"))
+
+    def found(df, *cols):
+        return sorted(map(str, df.select(*cols).collect()))
+
+    cols = "solution_id", "prompt_id", "model", "parse_error", "types"
+    assert found(facts, *cols) == found(sol.drop("code").join(plain, "solution_id"), *cols)
+    assert codefacts.solution_facts(sol.where("solution_id <> 4"), ("prompt_id", "model")).rdd.getNumPartitions() >= 29
+    vec = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 40)], "solution_id int, vector array<double>")
+    new = SIM.model_pair_similarity(sol, facts, vec)
+    was = {tuple(r[:3]): r[3:] for r in SIM.model_pair_similarity(sol, plain, vec).collect()}
+    got = {tuple(r[:3]): r[3:] for r in new.collect()}
+    assert len(got) == len(was) > 20
+    assert all([round(x, 9) if x is not None else x for x in got[k]] == [round(x, 9) if x is not None else x for x in was[k]] for k in was)
+    assert "REPARTITION_BY_NUM" in new._jdf.queryExecution().executedPlan().toString()
