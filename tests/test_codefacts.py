@@ -144,3 +144,21 @@ def test_ast_udtf_lateral(spark):
         "SELECT s.solution_id, count(n.node_type) AS n FROM srcs s, LATERAL ast_nodes(s.code) n "
         "GROUP BY s.solution_id").collect()}
     assert [got[i] for i in range(8)] == [e[0] for e in EXPECTED]
+
+
+def test_totals_are_the_sums_of_node_types(spark):
+    """Summed where the source is parsed: no histogram reaches the JVM, and the metrics have no aggregate over one."""
+    from codescope.operators import codefacts as CF
+    sources = CODE_TEMPLATES + ["", None, "class A:\n    async def f(self):\n        'doc'\n        return [x for x in y if x and z]\n", "while a < b:\n    a += 1 + 2 * b\n"]
+    df = spark.createDataFrame(list(enumerate(sources)), "solution_id int, code string")
+    facts = {r.solution_id: r for r in CF.source_facts(df).collect()}
+    totals = CF.source_totals(df).collect()
+    assert len(totals) == len(facts) == len(sources)
+    for r in totals:
+        types = facts[r.solution_id].types
+        assert r.parse_error == facts[r.solution_id].parse_error
+        for name, (field, *kinds) in CF.TOTALS.items():
+            assert r[name] == sum(t[field] for t in types if not kinds or t.node_type in kinds)
+        for name, field in CF.HIGHEST.items():
+            assert r[name] == max([t[field] for t in types], default=0)
+    assert "types" not in CF.code_facts(df)._jdf.queryExecution().optimizedPlan().toString()
