@@ -29,9 +29,6 @@ NONBLANK_RE = f"[^{WS_CHARS}]"
 RSTRIP_RE = f"[{WS_CHARS}]+\\z"
 STRIP_RE = f"\\A[{WS_CHARS}]+|[{WS_CHARS}]+\\z"
 WS_RUN_RE = f"[{WS_CHARS}]+"
-# A line with its terminator, or the unended last one; and the rest of a line from its first non-whitespace character.
-LINE_RE = f"[^{LINE_BREAK_CHARS}]*+(?:\\r\\n|[{LINE_BREAK_CHARS}])|[^{LINE_BREAK_CHARS}]++"
-NONBLANK_LINE_RE = f"{NONBLANK_RE}[^{LINE_BREAK_CHARS}]*+"
 
 
 def once(value: Column, fn) -> Column:
@@ -56,13 +53,13 @@ def is_blank(line: Column) -> Column:
 
 
 def line_count(text: Column) -> Column:
-    """All lines (``len(code.splitlines())``)."""
-    return F.regexp_count(text, F.lit(LINE_RE))
+    """All lines (``len(code.splitlines())``). A split is many times faster than counting matches of a line."""
+    return F.array_size(split_lines(text))
 
 
 def nonblank_line_count(text: Column) -> Column:
     """Lines with a non-whitespace character."""
-    return F.regexp_count(text, F.lit(NONBLANK_LINE_RE))
+    return F.array_size(F.filter(split_lines(text), lambda x: x.rlike(NONBLANK_RE)))
 
 
 def py_strip(text: Column) -> Column:

@@ -148,3 +148,14 @@ def test_text_outputs_of_a_problem_file_render(spark, tmp_path):
     exec("def f(i):\n    return " + repr(out) + "[i]\n" + row.test_file.removeprefix(HARNESS_HEADER), names)
     for i in range(len(out)):
         names[f"test_case_{i}"]()
+
+
+def test_line_counts_split_and_match_python(spark):
+    """Odd separators, empty and missing texts; lines are counted on a split, not by matches of a pattern."""
+    from codescope.functions.text import line_count, nonblank_line_count
+    texts = ["", "\n", "a\r\nb\r", " \n\x85  x ", "\r\n\r\n", "\n\r", "a\x1cb\x1d\x1e\x0b\x0c ", "   a", "x", "　\n ", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", line_count(F.col("t")).alias("n"), nonblank_line_count(F.col("t")).alias("k"))
+    for t, n, k in df.collect():
+        lines = None if t is None else t.splitlines()
+        assert (n, k) == ((None, None) if t is None else (len(lines), sum(bool(x.strip()) for x in lines)))
+    assert "regexp_extract_all" not in df._jdf.queryExecution().optimizedPlan().toString()
