@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codescope.functions.text import normalize_code
-from codescope.operators.codefacts import task_parts
 from codescope.operators.pair_cells import cells, combined, scored
 from codescope.sources.scratch import materialise
 
@@ -209,11 +208,12 @@ def model_pair_similarity(solutions: DataFrame, facts: DataFrame, vectors: DataF
     units = facts.where(F.size("types") > 0).select(*[c for c in ("solution_id", "prompt_id", "model") if c in facts.columns], F.concat(
         F.array(F.struct(F.lit("").alias("node_type"), F.lit(1.0).alias("u"))),
         F.transform("types", lambda t: F.struct(t["node_type"].alias("node_type"), (t["n"] / norm).alias("u")))).alias("units"))
+    # the session's partitions, given as a number: small shuffled bytes may be many rows, so a task's share is not to be
+    # coalesced; known without a job
+    parts = int(solutions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # node types become rows after the join, for the sums
-    units = units if "model" in facts.columns else units.join(sol, "solution_id")
+    units = units if "model" in facts.columns else units.repartition(parts, "solution_id").join(sol.repartition(parts, "solution_id"), "solution_id")
     unit = units.select("prompt_id", "model", F.explode("units").alias("x")).select("prompt_id", "model", "x.node_type", "x.u")
-    # sums of a bounded number of solutions meet in a task; given as a number, since small shuffled bytes may be many rows
-    parts = task_parts(solutions.count(), solutions.sparkSession)
     # one row per (prompt, model) with its summed vector, some tens of node types long
     v = (unit.groupBy("prompt_id", "model", "node_type").agg(F.sum("u").alias("s")).repartition(parts, "prompt_id")
              .groupBy("prompt_id", "model").agg(F.map_from_entries(F.collect_list(F.struct("node_type", "s"))).alias("v")))
