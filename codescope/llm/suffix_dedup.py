@@ -6,7 +6,7 @@ anchors at the same place, so equal strings always meet, whatever surrounds
 them. A run of windows with one anchor is a piece (under two windows long). Steps:
 
 1. equal pieces (anchor and digest) are folded to their first occurrence: all
-   others repeat it whole. Batches of documents fold their own pieces first;
+   others repeat it whole. Slices of a batch of documents fold their own pieces first;
 2. unequal pieces that share an anchor are compared in shards. A shard's pieces form one
    string; its suffixes are sorted by ``LENGTH`` bytes at least, which gives the
    Burrows-Wheeler transform, and intervals of common prefixes are derived by
@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codescope.llm.common import KEY, map_batches, materialise, outer_id, table, unique_ids, with_keys
+from codescope.llm.common import KEY, SLICE_BYTES, map_batches, materialise, outer_id, slices, table, unique_ids, with_keys
 from codescope.llm.hashing import M_INV, U, mix, powers, prefix, spans
 
 LENGTH = 100
@@ -84,12 +84,12 @@ def raw_bytes(text) -> bytes:
 def piece_rows(texts: DataFrame, gram: int = GRAMS[0]) -> DataFrame:
     """``(anchor, digest, doc, at)`` of all pieces of ``texts(doc, start, text)``: bytes of a document from ``start`` on.
 
-    Where a batch of texts repeats a piece, its first occurrence is a row as any other
+    Where a slice of a batch of texts repeats a piece, its first occurrence is a row as any other
     and the later ones are marks already: rows without anchor.
     """
 
     def run(batches):
-        for b in batches:
+        for b in (s for whole in batches for s in slices(whole, 2)):
             got = [runs(np.frombuffer(raw_bytes(t), np.uint8), LENGTH, gram) for t in b.column(2)]
             sizes = [len(g[0]) for g in got]
             doc = np.repeat(b.column(0).to_numpy(), sizes)
@@ -161,7 +161,7 @@ def packed(texts: DataFrame, ids: DataFrame) -> DataFrame:
 
     def run(batches):
         z = zstandard.ZstdCompressor(level=1)
-        for b in batches:
+        for b in (s for whole in batches for s in slices(whole, 1)):
             yield {"doc_id": b.column(0), "z": [z.compress(raw_bytes(t)) for t in b.column(1)]}
 
     return map_batches(texts.join(ids, "doc_id", "left_semi").select("doc_id", "text"), run, "doc_id bigint, z binary")
@@ -344,14 +344,17 @@ def repeat_marks(texts: DataFrame, heavy: int = HEAVY) -> DataFrame:
             "doc", F.shiftright("at", 8).alias("start"), F.col("piece").alias("text")), finer)
 
 
-def kept_texts(texts: DataFrame, marks: DataFrame) -> DataFrame:
-    """``doc_id, kept, n_bytes, n_removed, n_spans`` of the documents that ``marks`` names; ``kept`` is binary."""
+def kept_texts(texts: DataFrame, marks: DataFrame, as_text: bool = False) -> DataFrame:
+    """``doc_id, kept, n_bytes, n_removed, n_spans`` of the documents that ``marks`` names.
+
+    ``kept`` is binary, or text, where a code point cut in two goes as a whole.
+    """
     per_doc = marks.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("at").alias("m"))
     ids = materialise(marks.select(F.col("doc").alias("doc_id")).distinct(), "ids")
 
     def run(batches):
         z = zstandard.ZstdDecompressor()
-        for b in batches:
+        for b in (s for whole in batches for s in slices(whole, 1, SLICE_BYTES // 4)):  # compressed
             out = {"doc_id": b.column(0), "kept": [], "n_bytes": [], "n_removed": [], "n_spans": []}
             for blob, m in zip(b.column(1), b.column(2)):
                 raw = np.frombuffer(z.decompress(blob.as_py()), np.uint8)
@@ -360,21 +363,22 @@ def kept_texts(texts: DataFrame, marks: DataFrame) -> DataFrame:
                 np.add.at(depth, at >> 8, 1)
                 np.add.at(depth, (at >> 8) + (at & 255) + (LENGTH - 1), -1)
                 gone = np.cumsum(depth[:-1]) > 0
-                out["kept"].append(raw[~gone].tobytes())
+                left = raw[~gone].tobytes()
+                out["kept"].append(left.decode("utf-8", "ignore") if as_text else left)
                 out["n_bytes"].append(len(raw))
                 out["n_removed"].append(int(gone.sum()))
                 out["n_spans"].append(int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()))
             yield out
 
     return map_batches(packed(texts, ids).join(per_doc, "doc_id").select("doc_id", "z", "m"), run,
-                       "doc_id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
+                       f"doc_id bigint, kept {'string' if as_text else 'binary'}, n_bytes bigint, n_removed bigint, n_spans bigint")
 
 
-def dedup(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def dedup(docs: DataFrame, as_text: bool = False) -> tuple[DataFrame, DataFrame]:
     """``(changed, ids)``: :func:`kept_texts` of every document that loses bytes, and their ids as a written table."""
     texts = unique_ids(docs)
     marks = repeat_marks(texts)
-    return kept_texts(texts, marks), materialise(marks.select(F.col("doc").alias("doc_id")).distinct(), "ids")
+    return kept_texts(texts, marks, as_text), materialise(marks.select(F.col("doc").alias("doc_id")).distinct(), "ids")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -399,13 +403,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     and differ in text are documents of their own, in the order of :func:`with_keys`.
     """
     keyed, _ = with_keys(docs)
-    changed, ids = dedup(keyed.select(F.col(KEY).alias("doc_id"), "text"))
-
-    def run(batches):
-        for b in batches:
-            yield {"__id": b.column(0), "__text": [k.as_py().decode("utf-8", "ignore") for k in b.column(1)]}
-
-    new = map_batches(changed.select("doc_id", "kept"), run, "__id bigint, __text string")
+    changed, ids = dedup(keyed.select(F.col(KEY).alias("doc_id"), "text"), as_text=True)
+    new = changed.select(F.col("doc_id").alias("__id"), F.col("kept").alias("__text"))
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     marked = ids.select(F.col("doc_id").alias("__marked"))
     columns = {"text": F.col("__text")} | ({"n_chars": F.char_length("__text").cast(dict(docs.dtypes)["n_chars"])}
