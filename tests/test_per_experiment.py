@@ -140,6 +140,46 @@ def test_descent_small_and_empty(spark):
     assert NB.descend(frame(spark, [])).count() == 0
 
 
+def test_descent_over_many_leaves(spark, monkeypatch):
+    """Leaves far smaller than the table: starts and rounds together still find nearly all neighbours."""
+    monkeypatch.setattr(NB, "LEAF", 250)
+    r = np.random.default_rng(7)
+    v = spark.createDataFrame([(0, i, x.tolist()) for i, x in enumerate(r.normal(size=(3000, 24)).round(3))], POINTS).repartition(5)
+    found = NB.descend(v).cache()
+    assert found.count() == 15 * 3000 and NB.recall(v, found) >= 0.99
+    assert found.where("neighbour = solution_id").count() == 0
+
+
+def test_descent_of_copies(spark, monkeypatch):
+    """A vector held by more rows than a leaf has is dealt to many leaves; its copies are neighbours at distance 0."""
+    monkeypatch.setattr(NB, "LEAF", 64)
+    rows = points([300]) + [(0, 1000 + i, [1e8] * 5 + [0.5]) for i in range(700)]
+    got = NB.descend(frame(spark, rows)).where("solution_id >= 1000").collect()
+    assert len(got) == 700 * 15 and {(r.distance, r.neighbour >= 1000) for r in got} == {(0.0, True)}
+    trees = NB._trees(spark.createDataFrame([(i, v) for _, i, v in rows], "id bigint, vector array<double>"), 1000, 6, 42)
+    leaves = [np.bincount(NB._codes(np.array([v for *_, v in rows]), np.array([i for _, i, _ in rows]), *t)) for t in trees]
+    assert max(x.max() for x in leaves) <= 3 * 64
+
+
+def test_one_leaf_is_exact_with_ties_and_repeated_ids(spark):
+    rows = points([60], seed=4) + [(0, 500 + i, [2.0] * 6) for i in range(40)]
+    got = {}
+    for r in NB.descend(frame(spark, rows + rows[:7])).collect():
+        got.setdefault(r.solution_id, []).append((r.neighbour, r.rank, round(r.distance, 9)))
+    want = brute_nearest([i for _, i, _ in rows], [np.array(v) for *_, v in rows], 15)
+    twice = {i for _, i, _ in rows[:7]}
+    assert {i: sorted(x, key=lambda y: y[1]) for i, x in got.items() if i not in twice} == {i: x for i, x in want.items() if i not in twice}
+    for i in twice:  # a row that comes twice is its own nearest, as ever
+        assert [x[0] for x in sorted(got[i], key=lambda y: y[1])] == sorted([i, *(x[0] for x in want[i][:14])], key=[i, *(x[0] for x in want[i])].index)
+
+
+def test_descent_ships_only_what_is_new(spark):
+    """Rows with nothing new around them ship no vectors; numbers exact in single precision travel so."""
+    graph = spark.createDataFrame([(1, 2, 0.5, False), (2, 1, 0.5, False), (3, 4, 0.1, True), (4, 3, 0.1, False), (5, 1, 2.0, False)], NB.LISTS)
+    got = {(r.id, r.neighbour, r.fresh) for r in NB._around(graph, 2).collect()}
+    assert got == {(3, 4, True), (4, 3, True)}
+
+
 def test_cluster_maps_join_every_embedded_solution(spark):
     rows = points([20, 12])
     sol = spark.createDataFrame([(e, i, f"m{i % 3}", i // 4) for e, i, _ in rows] + [(0, 999, "m0", 1)],
