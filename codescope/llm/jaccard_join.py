@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codescope.llm.common import (KEY, keyed_texts, map_batches, materialise, outer_id, table, unique_ids,
+from codescope.llm.common import (KEY, keyed_texts, map_batches, materialise, outer_id, slices, table, unique_ids,
                                   with_keys)
 from codescope.operators.components import components
 from codescope.sources.scratch import few_files
@@ -261,7 +261,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     keep = keyed_texts(docs).join(small(wanted), "doc_id", "left_semi")
 
     def run(batches):
-        for b in batches:
+        for b in (s for whole in batches for s in slices(whole, 1)):
             sets = [text_set(t.as_py()).view(np.int64) for t in b.column(1)]
             cut = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
             yield {"node": b.column(0), "n": [len(x) for x in sets],

@@ -36,7 +36,7 @@ MAX_LEN = 4096
 END_ID = 1
 OPEN_BINS = 512
 PIECES_PER_TASK = 200_000
-CACHE = 500_000
+CACHE = 100_000
 SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
 #: A Latin word and trailing marks: the tokenizer's own rule makes exactly these two pieces of it.
 PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\\[-`{-~]*)")

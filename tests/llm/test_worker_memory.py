@@ -43,3 +43,10 @@ def test_freed_memory_is_given_back(spark, monkeypatch):
     batch = pa.record_batch({"n": [1]})
     run = common.map_batches(Captured(), lambda batches: ({"n": b.column(0)} for b in batches), "n bigint").run
     assert [b.to_pydict() for b in run(iter([batch]))] == [{"n": [1]}] and told == [1]
+
+
+def test_large_batches_leave_in_parts(spark):
+    n = 3 * common.SLICE_BYTES // 8
+    run = common.map_batches(Captured(), lambda batches: ({"n": np.arange(n)} for _ in batches), "n bigint").run
+    out = list(run(iter([pa.record_batch({"n": [1]})])))
+    assert max(b.nbytes for b in out) <= common.SLICE_BYTES and np.array_equal(pa.Table.from_batches(out).column(0).to_numpy(), np.arange(n))
