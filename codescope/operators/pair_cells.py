@@ -8,6 +8,8 @@ holds no more than the payloads of two blocks at a time.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -100,3 +102,155 @@ def combined(docs: list[dict], x: np.ndarray, y: np.ndarray, op) -> np.ndarray:
                 out[i] = op(dense[keys[other]], n[other]).sum()
         dense[keys[own]] = 0
     return out
+
+
+# ------------------------------------------------------------------ pairs that are dealt where they are made
+#: What a row of a task is. Of a cell the solutions' payloads come first, then its pairs.
+TEXT, TYPES, VECTOR, PAIR = range(4)
+
+
+def in_cells(pairs: DataFrame, members: dict[int, DataFrame], fn, schema: str) -> DataFrame:
+    """``pairs`` without their ``cell`` and with the columns of ``schema``, which ``fn`` scores, many cells at a time.
+
+    ``pairs``: ``cell, solution_a, solution_b`` and any other columns; ``members``: for a kind of payload its rows ``cells,
+    solution_id`` and payload columns, where ``cells`` are those whose pairs name the solution. Both meet in one shuffle and no pair
+    is joined: ``fn(keys, kinds, payloads, x, y)`` gets the keys of the payloads' solutions, which repeat where an id does, the payloads by column, and
+    the keys of the pairs' sides, and returns numbers of pairs, ascending, with their columns of ``schema``. A task holds some Arrow batches
+    and a cell at a time.
+    """
+    spark = pairs.sparkSession
+    kinds = dict(pairs.dtypes)
+    rest = [c for c in pairs.columns if c not in ("cell", "solution_a", "solution_b")]
+    payload = {c: t for df in members.values() for c, t in df.dtypes if c not in ("cells", "solution_id")}
+    # lists are empty, not null: over a run of nulls Spark's Arrow writer takes a time that grows with the square of it
+    none = {c: (F.array() if t.startswith("array") else F.lit(None)).cast(t).alias(c) for c, t in {**payload, **{c: kinds[c] for c in rest}, "b": kinds["solution_b"]}.items()}
+    rows = pairs.select("cell", F.lit(PAIR).cast("tinyint").alias("kind"), F.col("solution_a").alias("s"), F.col("solution_b").alias("b"),
+                        *[none[c] for c in payload], *rest)
+    for kind, df in members.items():
+        own = df.where("solution_id IS NOT NULL").select(F.explode("cells").alias("cell"), F.lit(kind).cast("tinyint").alias("kind"),
+                                                         F.col("solution_id").cast(kinds["solution_a"]).alias("s"), *[c for c in payload if c in df.columns])
+        rows = rows.unionByName(own.select("cell", "kind", "s", none["b"], *[c if c in own.columns else none[c] for c in payload], *[none[c] for c in rest]))
+    # given as a number: a task's share is not to be coalesced, for small shuffled bytes may be many rows
+    rows = rows.repartition(shares(spark), "cell").sortWithinPartitions("cell", "kind")
+    # nondeterministic, so that nothing is filtered before it and the order stays
+    scores = F.arrow_udf(_per_row(fn, tuple(payload), schema), f"array<struct<{schema}>>").asNondeterministic()
+    met = rows.withColumn("_scores", scores("cell", "kind", "s", "b", *payload))
+    return met.select(F.col("s").alias("solution_a"), F.col("b").alias("solution_b"), *rest, F.explode("_scores").alias("_score")).select(
+        "solution_b", "solution_a", *rest, "_score.*")
+
+
+def shares(spark) -> int:
+    """Partitions for rows whose number is not known without a job."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _per_row(fn, payload: tuple[str, ...], schema: str):
+    """The Arrow function of :func:`in_cells`: for every row the list of its scores, empty for payloads."""
+    names = T._parse_datatype_string(schema).names
+
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for cell, kind, s, b, *columns in _whole_cells(batches):
+            kind = kind.to_numpy()
+            n_pairs = np.zeros(len(kind), np.int64)
+            is_pair = kind == PAIR
+            own, pair = np.flatnonzero(~is_pair), np.flatnonzero(is_pair)
+            cells = np.cumsum(np.concatenate([[0], np.diff(cell.to_numpy()) != 0]))
+            ids = pa.chunked_array([s, b.take(pa.array(pair))]).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            width = int(ids.max()) + 1
+            keys = cells * width + ids[:len(kind)]
+            y = cells[pair] * width + ids[len(kind):]
+            i, found = fn(keys[own], kind[own], {c: a.take(pa.array(own)) for c, a in zip(payload, columns)}, keys[pair], y)
+            n_pairs[pair] = np.bincount(i, minlength=len(pair))
+            items = pa.StructArray.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in found], names=names)
+            yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_pairs)]), pa.int32()), items)
+
+    return run
+
+
+def _whole_cells(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[list[pa.Array]]:
+    """Rows sorted by the first column, cut where it changes, about a batch at a time."""
+    held: list[list[pa.Array]] = []  # of the last cell
+    for batch in batches:
+        if not len(batch[0]):
+            continue
+        cell = batch[0].to_numpy()
+        cut = int(np.argmax(cell == cell[-1]))
+        if cut == 0 and held and held[0][0][0].as_py() == cell[0]:
+            held.append(list(batch))
+            continue
+        done = [*held, [c.slice(0, cut) for c in batch]]
+        if sum(len(d[0]) for d in done):
+            yield [pa.concat_arrays(c) for c in zip(*done)]
+        held = [[c.slice(cut) for c in batch]]
+    if held:
+        yield [pa.concat_arrays(c) for c in zip(*held)]
+
+
+def each_with(i: np.ndarray, x: np.ndarray, y: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``i`` (numbers of pairs with keys ``x`` and ``y``) once for all places in ``keys`` of both sides, and these places.
+
+    A side that is not there has the place after the last.
+    """
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    places = np.append(order, len(keys))
+    first, n = [], []
+    for side in (x[i], y[i]):
+        lo = np.searchsorted(ordered, side)
+        own = np.searchsorted(ordered, side, "right") - lo
+        first.append(np.where(own > 0, lo, len(keys)))
+        n.append(np.maximum(own, 1))
+    times = n[0] * n[1]
+    within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    u = np.repeat(first[0], times) + within // np.repeat(n[1], times)
+    v = np.repeat(first[1], times) + within % np.repeat(n[1], times)
+    return np.repeat(i, times), places[u], places[v]
+
+
+#: Numbers of an array that a step of the sums below makes.
+STEP = 1 << 20
+
+
+def shared_counts(doc: np.ndarray, key: np.ndarray, n_docs: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For documents ``x[i]`` and ``y[i]`` the sum of the smaller counts of their shared keys, and every document's size.
+
+    ``doc`` and ``key`` name the document and key of every occurrence. The document with fewer keys is looked up in the other.
+    """
+    width = int(key.max()) + 1 if len(key) else 1
+    entries, n = np.unique(doc * width + key, return_counts=True)
+    first = np.searchsorted(entries, np.arange(n_docs + 1) * width)
+    length = np.diff(first)
+    lead = np.where(length[x] <= length[y], x, y)
+    other = np.where(length[x] <= length[y], y, x)
+    out = np.zeros(len(x), np.int64)
+    for at in _steps(length[lead]):
+        size = length[lead[at]]
+        begin = np.cumsum(size) - size
+        e = np.repeat(first[lead[at]] - begin, size) + np.arange(size.sum())
+        wanted = entries[e] % width + np.repeat(other[at] * width, size)
+        there = np.minimum(np.searchsorted(entries, wanted), len(entries) - 1)
+        both = np.where(entries[there] == wanted, np.minimum(n[e], n[there]), 0) if len(e) else e
+        sums = np.concatenate([[0], np.cumsum(both)])
+        out[at] = sums[begin + size] - sums[begin]
+    return out, np.bincount(doc, minlength=n_docs)
+
+
+def products(doc: np.ndarray, key: np.ndarray, n: np.ndarray, n_docs: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For documents ``x[i]`` and ``y[i]`` the sum of the products of their counts ``n`` of few kinds of keys, exact, and every document's square."""
+    width = int(key.max()) + 1 if len(key) else 1
+    counts = np.zeros((n_docs, width), np.int64)
+    counts[doc, key] = n
+    out = np.zeros(len(x), np.int64)
+    for at in _steps(np.full(len(x), width)):
+        out[at] = np.einsum("ij,ij->i", counts[x[at]], counts[y[at]])
+    return out, np.einsum("ij,ij->i", counts, counts)
+
+
+def _steps(sizes: np.ndarray) -> Iterator[slice]:
+    """Slices whose sizes sum up to about ``STEP``, or of one."""
+    upto = np.cumsum(sizes)
+    lo = 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + STEP, "right")))
+        yield slice(lo, hi)
+        lo = hi

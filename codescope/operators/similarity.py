@@ -14,6 +14,8 @@ Two shapes, neither of which expands all solution pairs of a prompt:
   embedding cosine) between every solution and the first-appearing solution of
   each model of its prompt: at most n × #models rows, and every solution appears. When a prompt
   has one solution per model (the normal run) this is exactly every solution pair.
+  Pairs and solutions that were dealt to cells where they were made (``dealt``, ``in_cells``) meet in one shuffle;
+  other pairs are dealt by ``pair_cells.cells`` and joined with their scores.
 
 Orientation: solution_a < solution_b (the reference fetches without order).
 """
@@ -23,6 +25,8 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -30,7 +34,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codescope.functions.text import normalize_code
-from codescope.operators.pair_cells import cells, combined, scored
+from codescope.operators import pair_cells as PC
+from codescope.operators.pair_cells import BLOCK, cells, combined, scored
 from codescope.sources.scratch import materialise
 
 
@@ -42,16 +47,44 @@ def token_counts(code: DataFrame) -> DataFrame:
                 .groupBy("solution_id", "word").agg(F.count(F.lit(1)).alias("n")))
 
 
+def _texts(code: DataFrame) -> DataFrame:
+    """``code`` with the normalised ``text`` as bytes in its place, where there is one; normalised once, not for a filter too."""
+    return code.where("code IS NOT NULL").withColumn("text", normalize_code(F.col("code")).cast("binary")).drop("code")
+
+
+def _overlaps(keys: np.ndarray, texts: pa.Array, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """X11 of pairs of keys, for the texts of one key as one; a key without a text has no words."""
+    docs, doc = np.unique(keys, return_inverse=True)
+    split = [(t or b"").split() for t in texts.to_pylist()]  # the ASCII blanks of \s
+    words = pa.array([w for own in split for w in own], pa.binary()).dictionary_encode().indices.to_numpy().astype(np.int64)
+    at = np.array([len(own) for own in split], np.int64)
+    sides = []
+    for side in (x, y):
+        place = np.minimum(np.searchsorted(docs, side), max(len(docs) - 1, 0))
+        sides.append(np.where(docs[place] == side, place, len(docs)) if len(docs) else np.zeros(len(side), np.int64))
+    both, size = PC.shared_counts(np.repeat(doc, at), words, len(docs) + 1, *sides)
+    total = size[sides[0]] + size[sides[1]]
+    # rows that repeat a pair count together
+    _, same, times = np.unique(sides[0] * (len(docs) + 1) + sides[1], return_inverse=True, return_counts=True)
+    return np.where(total == 0, 1.0, 2.0 * (both * times[same]) / np.maximum(total, 1))
+
+
 def token_similarity(pairs: DataFrame, code: DataFrame, dealt: DataFrame | None = None) -> DataFrame:
     """X11: 2·Σ min(n_a, n_b) / (|a| + |b|) over the words of the normalised sources, per pair.
 
     The share of matching tokens; two sources without words are equal (1.0). Adds ``token_similarity``. Sources meet
     in cells of pairs (``dealt``: ``pair_cells.cells`` of them), so a text travels about once and words never become rows of pairs.
+    Pairs with a ``cell`` meet the ``code`` of :func:`in_cells`.
     """
+    if "cell" in pairs.columns:
+        def overlap(keys, kinds, payloads, x, y):
+            return np.arange(len(x)), [_overlaps(keys, payloads["text"], x, y)]
+
+        return PC.in_cells(pairs, {PC.TEXT: _texts(code)}, overlap, "token_similarity double")
     if dealt is None:
         pairs = materialise(pairs, "pairs")
         dealt = cells(pairs)
-    texts = code.select("solution_id", normalize_code(F.col("code")).cast("binary").alias("text")).where("text IS NOT NULL")
+    texts = _texts(code)
 
     def overlaps(members, pairs):
         at, docs = {}, []
@@ -117,16 +150,41 @@ def ast_cosine(types_a: Column, error_a: Column, types_b: Column, error_b: Colum
     return _histogram_cosine(types_a, _length(types_a), error_a, _counts(types_b), _length(types_b), error_b)
 
 
+def _histograms(facts: DataFrame) -> DataFrame:
+    """``facts`` with the counts of its node types and whether the parse failed."""
+    entry = F.transform("types", lambda t: F.struct(t["node_type"].alias("node_type"), t["n"].alias("n")))
+    return facts.select(*[c for c in facts.columns if c not in ("types", "parse_error")], entry.alias("types"), F.col("parse_error").isNotNull().alias("failed"))
+
+
+def _cosines(keys: np.ndarray, types: pa.Array, failed: pa.Array, i: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """X12 of the pairs ``i`` of keys, once for all rows of both keys; a key without a row has an empty histogram."""
+    i, u, v = PC.each_with(i, x, y, keys)
+    flat = types.flatten()
+    doc = np.repeat(np.arange(len(keys)), pc.fill_null(types.value_lengths(), 0).to_numpy())
+    kind = flat.field("node_type").dictionary_encode().indices.to_numpy()
+    dot, square = PC.products(doc, kind, flat.field("n").to_numpy(), len(keys) + 1, u, v)
+    failed = np.append(pc.fill_null(failed, False).to_numpy(zero_copy_only=False), False)
+    norm = np.sqrt(square.astype(float))
+    scale = norm[u] * norm[v]
+    cos = np.minimum(1.0, dot / np.where(scale > 0, scale, 1.0))
+    return i, np.where(failed[u] | failed[v], 0.0, np.where((norm[u] == 0) & (norm[v] == 0), 1.0, cos))
+
+
 def pair_ast_similarity(pairs: DataFrame, facts: DataFrame, dealt: DataFrame | None = None) -> DataFrame:
     """J7 + X12: adds ``ast_similarity`` to (solution_a, solution_b) pairs.
 
     ``facts`` is ``codefacts.source_facts``; histograms meet in cells of pairs (``dealt``: ``pair_cells.cells`` of them), so one
-    travels about once.
+    travels about once. Pairs with a ``cell`` meet facts that carry the ``cells`` of :func:`in_cells`.
     """
+    if "cell" in pairs.columns:
+        def cosine(keys, kinds, payloads, x, y):
+            i, cos = _cosines(keys, payloads["types"], payloads["failed"], np.arange(len(x)), x, y)
+            return i, [cos]
+
+        return PC.in_cells(pairs, {PC.TYPES: _histograms(facts)}, cosine, "ast_similarity double")
     if dealt is None:
         dealt = cells(pairs, written=False)  # building the query runs no job
-    entry = F.transform("types", lambda t: F.struct(t["node_type"].alias("node_type"), t["n"].alias("n")))
-    counts = facts.select("solution_id", F.struct(entry.alias("types"), F.col("parse_error").isNotNull().alias("failed")).alias("counts"))
+    counts = _histograms(facts).select("solution_id", F.struct("types", "failed").alias("counts"))
 
     def cosines(members, pairs):
         at: dict = {}
@@ -152,25 +210,61 @@ def pair_ast_similarity(pairs: DataFrame, facts: DataFrame, dealt: DataFrame | N
 
 # ------------------------------------------------------------------ pair shapes
 def representatives(solutions: DataFrame) -> DataFrame:
-    """First-appearing solution per (prompt, model): W3 by smallest solution_id."""
+    """First-appearing solution per (prompt, model): W3 by smallest solution_id; and their number ``n``."""
     return (solutions.groupBy("prompt_id", "model")
-                     .agg(F.min("solution_id").alias("solution_id")))
+                     .agg(F.min("solution_id").alias("solution_id"), F.count(F.lit(1)).alias("n")))
+
+
+def _with_representatives(solutions: DataFrame) -> DataFrame:
+    """``solutions`` with the representatives of the prompt (``_reps``, at most one a model), in how many blocks (``_blocks``, ``_rep_blocks``)
+    its solutions and representatives are, and for how many models the id is one (``_own``; more than 1 where an id repeats)."""
+    prompts = representatives(solutions).groupBy("prompt_id").agg(
+        F.collect_list(F.struct("model", "solution_id")).alias("_reps"), F.ceil(F.sum("n") / BLOCK).alias("_blocks"))
+    rows = solutions.join(prompts.withColumn("_rep_blocks", F.ceil(F.size("_reps") / BLOCK)), "prompt_id")
+    return rows.withColumn("_own", F.size(F.filter("_reps", lambda r: r["solution_id"] == F.col("solution_id"))))
 
 
-def coverage_pairs(solutions: DataFrame) -> DataFrame:
+def _block(solution: Column, blocks: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit(blocks), solution), F.col(blocks))
+
+
+def in_cells(solutions: DataFrame) -> DataFrame:
+    """``solutions`` with the ``cells`` whose :func:`coverage_pairs` (``dealt``) name them, spread by the id.
+
+    A prompt's solutions and its representatives are dealt to blocks of about ``BLOCK`` by a hash; a cell is one block of each. So a small prompt is
+    one cell, and of a large one a solution goes to its own block's cells, and only representatives to all. Rows without a prompt or id have no pairs and go.
+    """
+    rows = _with_representatives(solutions).where("solution_id IS NOT NULL")
+    at, rep_at = _block(F.col("solution_id"), "_blocks"), _block(F.col("solution_id"), "_rep_blocks")
+
+    def upto(blocks, cell):
+        return F.transform(F.sequence(F.lit(0).cast("bigint"), F.col(blocks) - 1), cell)
+
+    own = upto("_rep_blocks", lambda j: F.xxhash64("prompt_id", F.col("_at"), j))
+    every = upto("_blocks", lambda j: F.xxhash64("prompt_id", j, F.col("_rep_at")))
+    found = F.when((F.col("_blocks") == 1) & (F.col("_rep_blocks") == 1), F.array(F.xxhash64("prompt_id", F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))))
+    found = found.when(F.col("_own") == 0, own).otherwise(F.array_union(own, every))
+    return rows.withColumns({"_at": at, "_rep_at": rep_at}).select(*solutions.columns, found.alias("cells")).repartition(
+        PC.shares(solutions.sparkSession), "solution_id")
+
+
+def coverage_pairs(solutions: DataFrame, dealt: bool = False) -> DataFrame:
     """J3 (linear): every solution with the representative of each model of its prompt.
 
-    Equi join on prompt_id with at most #models representatives; a pair of two representatives appears once.
+    Equi join on prompt_id with its at most #models representatives; a pair of two representatives appears once. An id belongs to one
+    prompt. ``dealt`` adds the ``cell`` where the pair meets the payloads of :func:`in_cells`.
     """
-    reps = representatives(solutions).select("prompt_id", F.col("model").alias("_rm"), F.col("solution_id").alias("_r"))
-    own = reps.select(F.col("_r").alias("solution_id"), F.lit(True).alias("_is_rep"))
-    rows = (solutions.select("prompt_id", "solution_id", "model").join(own, "solution_id", "left").join(reps, "prompt_id")
-            .where((F.col("solution_id") < F.col("_r")) | ((F.col("solution_id") > F.col("_r")) & F.col("_is_rep").isNull())))
-    first = F.col("solution_id") < F.col("_r")
-    return rows.select(
-        "prompt_id", F.least("solution_id", "_r").alias("solution_a"), F.greatest("solution_id", "_r").alias("solution_b"),
-        F.when(first, F.col("model")).otherwise(F.col("_rm")).alias("model_a"),
-        F.when(first, F.col("_rm")).otherwise(F.col("model")).alias("model_b"))
+    s, rep = F.col("solution_id"), F.col("_rep.solution_id")
+    rows = _with_representatives(solutions.select("prompt_id", "solution_id", "model"))
+    rows = rows.withColumn("_met", F.filter("_reps", lambda r: (s < r["solution_id"]) | ((s > r["solution_id"]) & (F.col("_own") == 0))))
+    # an id that stands for several models meets the others as often
+    rows = rows.withColumn("_met", F.when(F.col("_own") > 1, F.flatten(F.array_repeat("_met", F.col("_own")))).otherwise(F.col("_met")))
+    cell = [F.xxhash64("prompt_id", _block(s, "_blocks"), _block(rep, "_rep_blocks")).alias("cell")] if dealt else []
+    first = s < rep
+    return rows.withColumn("_rep", F.explode("_met")).select(
+        "prompt_id", F.least(s, rep).alias("solution_a"), F.greatest(s, rep).alias("solution_b"),
+        F.when(first, F.col("model")).otherwise(F.col("_rep.model")).alias("model_a"),
+        F.when(first, F.col("_rep.model")).otherwise(F.col("model")).alias("model_b"), *cell)
 
 
 def similarity_report(pairs: DataFrame, code: DataFrame, facts: DataFrame | None,
@@ -178,8 +272,11 @@ def similarity_report(pairs: DataFrame, code: DataFrame, facts: DataFrame | None
     """Token, AST and embedding similarity per pair.
 
     ``code``: (solution_id, code); ``facts``: ``source_facts``; ``vectors``: (solution_id, vector). The
-    embedding column is NULL unless both sides have a vector.
+    embedding column is NULL unless both sides have a vector. Pairs with a ``cell`` meet ``code`` and ``facts`` that carry
+    the ``cells`` of :func:`in_cells`, all three scores in one pass.
     """
+    if "cell" in pairs.columns:
+        return _report_in_cells(pairs, code, facts, vectors)
     pairs = materialise(pairs, "pairs")
     dealt = cells(pairs)
     out = token_similarity(pairs, code, dealt)
@@ -194,6 +291,44 @@ def similarity_report(pairs: DataFrame, code: DataFrame, facts: DataFrame | None
     return out
 
 
+def _report_in_cells(pairs: DataFrame, code: DataFrame, facts: DataFrame | None, vectors: DataFrame | None) -> DataFrame:
+    members, schema = {PC.TEXT: _texts(code)}, "token_similarity double"
+    if facts is not None:
+        members[PC.TYPES] = _histograms(facts)
+        schema += ", ast_similarity double"
+    if vectors is not None:
+        at = code.select("solution_id", F.explode("cells").alias("cell")).distinct()
+        members[PC.VECTOR] = vectors.select("solution_id", F.col("vector").cast("array<double>").alias("vector")).join(at, "solution_id").select(
+            "solution_id", F.array("cell").alias("cells"), "vector")
+        schema += ", va array<double>, vb array<double>"
+    with_facts, with_vectors = facts is not None, vectors is not None
+
+    def scores(keys, kinds, payloads, x, y):
+        def of(kind):
+            rows = np.flatnonzero(kinds == kind)
+            return keys[rows], lambda name: payloads[name].take(pa.array(rows))
+
+        i, out = np.arange(len(x)), []
+        own, column = of(PC.TEXT)
+        out.append(_overlaps(own, column("text"), x, y))
+        if with_facts:
+            own, column = of(PC.TYPES)
+            i, cos = _cosines(own, column("types"), column("failed"), i, x, y)
+            out = [out[0][i], cos]
+        if with_vectors:
+            own, column = of(PC.VECTOR)
+            at, u, v = PC.each_with(np.arange(len(i)), x[i], y[i], own)
+            none = (u == len(own)) | (v == len(own))  # a vector travels on only where both are there
+            i, out = i[at], [c[at] for c in out]
+            out += [column("vector").take(pa.array(side, mask=none)) for side in (u, v)]
+        return i, out
+
+    out = PC.in_cells(pairs, members, scores, schema)
+    if vectors is not None:
+        out = out.withColumn("embedding_similarity", embedding_similarity(F.col("va"), F.col("vb"))).drop("va", "vb")
+    return out
+
+
 def model_pair_similarity(solutions: DataFrame, facts: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
     """J3 exact aggregate: mean AST / embedding cosine per (prompt, model_a ≤ model_b).
 

@@ -61,3 +61,22 @@ def test_building_a_query_runs_no_job(spark, name):
         assert list(tracker.getJobIdsForGroup(group)) == []
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("name, joins", [("x14_similarity_report", 5)])
+def test_pairs_are_scored_where_they_are_dealt(spark, name, joins):
+    """No group of its own a prompt, no pairs joined with their scores, and text and parse are spread over the tasks."""
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(f"dealt-{name}", name)
+    try:
+        df = E.queries()[name](spark, SF01)
+        assert list(tracker.getJobIdsForGroup(f"dealt-{name}")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    plan = _plan(df)
+    assert "FlatMapGroupsInArrow" not in plan and plan.count("ArrowEvalPython") == 1
+    assert sum("Join " in line for line in plan.splitlines()) <= joins and "Window" not in plan
+    lines = plan.splitlines()
+    at = next(i for i, line in enumerate(lines) if "MapInArrow" in line)
+    assert "REPARTITION_BY_NUM" in next(line for line in lines[at:] if "Exchange" in line)
+    assert all("solution_a" not in line for line in lines if "Exchange" in line)

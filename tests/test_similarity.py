@@ -222,3 +222,85 @@ def test_facts_that_carry_the_prompt_need_no_join(spark, monkeypatch):
     assert len(got) == len(was) > 20
     assert all([round(x, 9) if x is not None else x for x in got[k]] == [round(x, 9) if x is not None else x for x in was[k]] for k in was)
     assert "REPARTITION_BY_NUM" in new._jdf.queryExecution().executedPlan().toString()
+
+
+def _odd_solutions(spark):
+    """A large prompt of three blocks, small ones, repeated ids (also with other models), null models and ids, sources that do not parse."""
+    rnd = random.Random(5)
+    rows = [(i, 0 if i < 180 else i // 20, f"m{rnd.randrange(4)}" if i % 13 else None, T[rnd.randrange(8)] + "x = 1 # y\n" * rnd.randrange(3)) for i in range(300)]
+    rows += rows[3:9] + rows[200:203] + [(0, 0, "m9", "z = 3\n"), (200, 10, "m9", None), (None, 1, "m1", "a\n"), (400, None, "m1", "b\n")]
+    vec = [(i, [rnd.uniform(-1, 1) for _ in range(3)]) for i in range(0, 300, 3)] + [(6, [0.0, 0.0, 0.0]), (9, None), (999, [1.0, 0.0, 0.0])]
+    return (spark.createDataFrame(rows, "solution_id long, prompt_id long, model string, code string"),
+            spark.createDataFrame(vec, "solution_id long, vector array<double>"))
+
+
+def test_dealt_pairs_score_as_joined_pairs_do(spark):
+    from codescope.operators import pair_cells as PC
+    sol, vec = _odd_solutions(spark)
+    dealt = SIM.in_cells(sol).select("solution_id", "code", "cells")
+    sent = dealt.select(F.explode("cells").alias("cell"), "solution_id").distinct()
+    assert max(r["count"] for r in sent.groupBy("cell").count().collect()) <= 4 * PC.BLOCK
+    assert sent.count() < 1.2 * sol.select("solution_id").distinct().count()
+    facts = source_facts(dealt, carry=("cells",), dealt=True, fields=("n",))
+    pairs, at = SIM.coverage_pairs(sol), SIM.coverage_pairs(sol, dealt=True)
+    assert at.select("cell").distinct().count() > at.select("prompt_id").distinct().count()
+    code, plain = sol.select("solution_id", "code"), source_facts(sol.select("solution_id", "code"))
+    found = SIM.similarity_report(at, dealt, facts, vec)
+    joined = SIM.similarity_report(pairs, code, plain, vec)
+    assert found.columns == joined.columns and found.count() > 1000
+    assert sorted(map(str, _rounded(found))) == sorted(map(str, _rounded(joined)))
+    assert sorted(map(str, _rounded(SIM.pair_ast_similarity(at, facts)))) == sorted(map(str, _rounded(SIM.pair_ast_similarity(pairs, plain))))
+    assert sorted(map(str, _rounded(SIM.token_similarity(at, dealt)))) == sorted(map(str, _rounded(SIM.token_similarity(pairs, code))))
+
+
+def _rounded(df):
+    return [tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect()]
+
+
+def test_coverage_pairs_repeat_as_rows_do(spark):
+    """Every row meets every (model, first id) of its prompt; a row whose id stands for k models meets them k times."""
+    sol, _ = _odd_solutions(spark)
+    rows = [(r[0], r[1], r[2]) for r in sol.collect() if r[0] is not None and r[1] is not None]
+    reps: dict = {}
+    for i, p, m in rows:
+        reps[p, m] = min(i, reps.get((p, m), i))
+    want = []
+    for i, p, m in rows:
+        own = sum(r == i for r in reps.values())
+        for (q, n), r in reps.items():
+            if p == q and (i < r or (i > r and not own)):
+                want += [(p, min(i, r), max(i, r), m if i < r else n, n if i < r else m)] * max(own, 1)
+    assert any(sum(r == i for r in reps.values()) > 1 for i, _, _ in rows)
+    assert sorted(map(str, map(tuple, SIM.coverage_pairs(sol).collect()))) == sorted(map(str, want))
+
+
+def test_bulk_sums_equal_counting():
+    """Steps of the sums cut anywhere, and cells that cross batches, give what counting each pair gives."""
+    import numpy as np
+    import pyarrow as pa
+    from collections import Counter
+
+    from codescope.operators import pair_cells as PC
+    rnd = np.random.default_rng(1)
+    doc, key = rnd.integers(0, 40, 400), rnd.integers(0, 30, 400)
+    x, y = rnd.integers(0, 42, 300), rnd.integers(0, 42, 300)  # 40 and 41 have none
+    bags = [Counter(key[doc == d].tolist()) for d in range(42)]
+    step, PC.STEP = PC.STEP, 7
+    try:
+        both, size = PC.shared_counts(doc, key, 42, x, y)
+        assert both.tolist() == [(bags[a] & bags[b]).total() for a, b in zip(x, y)] and size.tolist() == [b.total() for b in bags]
+        at = np.array([(d, k, n) for d, b in enumerate(bags) for k, n in b.items()])
+        dot, square = PC.products(at[:, 0], at[:, 1], at[:, 2], 42, x, y)
+        assert dot.tolist() == [sum(n * bags[b][k] for k, n in bags[a].items()) for a, b in zip(x, y)]
+        assert square.tolist() == [sum(n * n for n in b.values()) for b in bags]
+        none = np.zeros(0, np.int64)
+        assert PC.shared_counts(none, none, 1, np.zeros(2, np.int64), np.zeros(2, np.int64))[0].tolist() == [0, 0]
+    finally:
+        PC.STEP = step
+    cells = np.sort(rnd.integers(0, 9, 100))
+    for n in (1, 7, 30, 100):
+        batches = [(pa.array(cells[k:k + n]), pa.array(np.arange(100)[k:k + n])) for k in range(0, 100, n)]
+        got = list(PC._whole_cells(iter(batches)))
+        assert [v for _, c in got for v in c.to_pylist()] == list(range(100))
+        ends = [(c[0][0].as_py(), c[0][-1].as_py()) for c in got]
+        assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
