@@ -63,7 +63,7 @@ def test_building_a_query_runs_no_job(spark, name):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
-@pytest.mark.parametrize("name, joins", [("x14_similarity_report", 5)])
+@pytest.mark.parametrize("name, joins", [("j7_ast_pair_similarity", 2), ("x14_similarity_report", 5)])
 def test_pairs_are_scored_where_they_are_dealt(spark, name, joins):
     """No group of its own a prompt, no pairs joined with their scores, and text and parse are spread over the tasks."""
     tracker = spark.sparkContext.statusTracker()
