@@ -70,7 +70,7 @@ def normalize_code(text: Column) -> Column:
     """Cut each line at the first '#', right-strip, drop blank lines, join by LF."""
     cut = F.transform(split_lines(text),
                       lambda x: F.regexp_replace(F.split_part(x, F.lit("#"), F.lit(1)), RSTRIP_RE, ""))
-    return F.array_join(F.filter(cut, lambda x: x.rlike(NONBLANK_RE)), "\n")
+    return F.array_join(F.filter(cut, lambda x: x != ""), "\n")  # blank lines are empty by now
 
 
 def extract_code(text: Column) -> Column:
